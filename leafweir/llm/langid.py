@@ -4,7 +4,7 @@ A text is a vector of hashed byte 1- to 3-grams of its letters (other bytes coun
 weighted by log(1 + count) * idf and set to length one. Each language has several centroids, from
 spherical k-means over the vectors of a bounded, hash-picked sample of its learned texts. A text
 gets the language of the nearest centroid by cosine. It is rejected when it lies further from that
-centroid than the centroid's reach: the given quantile of its own members' distances, times ``slack``.
+centroid than its language's reach: the given quantile of the sample's distances, times ``slack``.
 
 Document frequencies come from all learned texts. Learning reads text and language of the rows that
 it is given; a prediction reads the text alone.
@@ -30,7 +30,7 @@ from ._text import CHUNK_BYTES, U64, Chunk, chunks, mix64
 DIMS = 4096
 SAMPLE = 400
 CENTROIDS = 4
-QUANTILE, SLACK = 0.99, 1.5
+QUANTILE, SLACK, MOST = 0.99, 1.5, 0.97
 
 _MAP = np.full(256, 32, dtype=np.uint8)
 _MAP[97:123] = np.arange(97, 123)
@@ -131,12 +131,11 @@ def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int
         x = np.frombuffer(b"".join(part), dtype=np.float16).reshape(len(part), dims).astype(np.float32)
         c, near = _cluster(x, min(centroids, len(x)), seed)
         cos = (x @ c.T)[np.arange(len(x)), near]
+        far = min(MOST, float(np.quantile(1 - cos, quantile)) * slack)
         for k in range(len(c)):
-            own = 1 - cos[near == k]
-            if len(own):
-                owner.append(i)
-                found.append(c[k])
-                reach.append(min(1.0, float(np.quantile(own, quantile)) * slack))
+            owner.append(i)
+            found.append(c[k])
+            reach.append(far)
     c = np.array(found, dtype=np.float32).reshape(-1, dims)
     return Model(languages, np.array(owner, dtype=np.int64), c, np.array(reach), idf)
 

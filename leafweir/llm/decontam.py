@@ -314,3 +314,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+win as (
+  select distinct item_id, 10 as n, array_to_string(w[k:k + 9], ' ') as gram from (select item_id, w, unnest(range(1, len(w) - 8)) as k from i where len(w) >= 10)
+  union all select distinct item_id, len(w), array_to_string(w, ' ') from i where len(w) between 1 and 9),
+lens as (select distinct n from win),
+occ as (select d.doc_id, k, lens.n, array_to_string(w[k:k + lens.n - 1], ' ') as gram from d, lens, unnest(range(1, len(w) - lens.n + 2)) as u(k) where len(w) >= lens.n),
+hit as (select occ.doc_id, occ.k, occ.n, win.item_id from occ join win using (n, gram)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from hit) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""

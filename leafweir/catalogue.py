@@ -1,10 +1,561 @@
-"""The reference operators as registered queries over the supplied tables, each with its SQL."""
+"""The reference operators as registered queries over the supplied tables, each with its SQL.
+
+Queries are thin: they lay evidence out (``sources.evidence``) and call one operator.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import geometry as G
+from .functions import text as T
+from .operators import chrome, document, forms, layout, ocr, quality, regions, rules, search
+from .plans import process, report
+from .sources import evidence as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+W, H = ev.PAGE_WIDTH, ev.PAGE_HEIGHT
+_EV = "with " + ev.SQL.strip()
+
+
+def query(sql: str | None = None, evidence: bool = True):
+    """Registers a function (spark, sf_dir); its SQL may use the evidence CTEs line, block, page, span."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"{_EV}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}" if evidence else sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return ev.table(spark, d, "documents")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return ev.lines(docs(spark, d))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return ev.pages(lines(spark, d))
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return ev.blocks(lines(spark, d))
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    return ev.spans(lines(spark, d))
+
+
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """A page image for every seventh page, a figure for the others with a multiple of three (by id and page)."""
+    n = F.col("doc_id") * 31 + F.col("page")
+    full = n % 7 == 0
+    rows = pages(spark, d).filter(full | (n % 3 == 0)).select("doc_id", "page", full.alias("full"))
+    return rows.select("doc_id", "page", F.lit(0).alias("image"), *[F.when(F.col("full"), a).otherwise(b).alias(c) for c, a, b in (("x", 6.0, 100.0), ("y", 6.0, 500.0), ("width", 600.0, 400.0), ("height", 780.0, 280.0))])
+
+
+_IMAGE = """image as (select doc_id, page, 0 as image, case when full_ then 6.0 else 100.0 end as x, case when full_ then 6.0 else 500.0 end as y, case when full_ then 600.0 else 400.0 end as width, case when full_ then 780.0 else 280.0 end as height
+  from (select doc_id, page, (doc_id * 31 + page) % 7 = 0 as full_ from page where (doc_id * 31 + page) % 7 = 0 or (doc_id * 31 + page) % 3 = 0))"""
+_STATUS = r"""quality as (select *, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]')) as non_printable_count from page),
+status as (select *, case when char_count > 0 then floor(non_printable_count / char_count * 1000 + 0.5) / 1000 else 0.0 end as non_printable_ratio,
+  case when char_count > 0 and non_printable_count / char_count >= 0.2995 then 'unusable_glyph_indices' when char_count > 0 and non_printable_count / char_count >= 0.0495 then 'mixed_glyph_indices' when char_count > 0 then 'ok' else 'empty' end as native_text_status from quality)"""
+_MARKED = r"""keyed as (select *, floor(y / 5.0) as bin, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') as key from block),
+total as (select doc_id, count(distinct page) as total from block group by 1),
+rep as (select doc_id, bin, key, count(distinct page) as on_pages from keyed join total using (doc_id) where length(key) > 0 group by doc_id, bin, key, total having count(distinct page) >= greatest(2, ceil(total / 2))),
+marked as (select keyed.*, on_pages is not null as repeated from keyed left join rep using (doc_id, bin, key))"""
+
+
+# -- quality ---------------------------------------------------------------------------------------
+
+
+@query("+" + _STATUS + " select doc_id, page, char_count, text_coverage, non_printable_count, non_printable_ratio, native_text_status from status")
+def page_quality(spark, d):
+    return quality.with_quality(pages(spark, d)).select("doc_id", "page", "char_count", "text_coverage", "non_printable_count", "non_printable_ratio", "native_text_status")
+
+
+@query("+" + _STATUS + " select native_text_status, count(*) as pages, sum(char_count)::bigint as chars from status group by 1")
+def status_counts(spark, d):
+    return quality.with_quality(pages(spark, d)).groupBy("native_text_status").agg(F.count(F.lit(1)).alias("pages"), F.sum("char_count").alias("chars"))
+
+
+@query("+ b as (select doc_id, page, count(*) as block_count from block group by all), s as (select doc_id, page, count(*) as span_count from span group by all), p as (select *, count(*) over (partition by doc_id) as total_pages from page) select doc_id, page, char_count, text_coverage, total_pages, coalesce(block_count, 0) as block_count, coalesce(span_count, 0) as span_count from p left join b using (doc_id, page) left join s using (doc_id, page) where total_pages > 1")
+def overview(spark, d):
+    return quality.overview(pages(spark, d), {"block_count": blocks(spark, d), "span_count": spans(spark, d)}).select("doc_id", "page", "char_count", "text_coverage", "total_pages", "block_count", "span_count")
+
+
+@query("+" + _STATUS + """, d as (select distinct doc_id, native_text_status, page from status), g as (select *, page - row_number() over (partition by doc_id, native_text_status order by page) as island from d),
+r as (select doc_id, native_text_status, min(page) as a, max(page) as b, count(*) as n from g group by doc_id, native_text_status, island)
+select doc_id, native_text_status, sum(n)::bigint as pages, string_agg(case when a = b then a::varchar else a || '-' || b end, ', ' order by a) as ranges from r group by all""")
+def document_map_ranges(spark, d):
+    return quality.page_ranges(quality.with_quality(pages(spark, d)), ["doc_id", "native_text_status"])
+
+
+@query("select doc_id, page, count(*) as n from line where page between 2 and 3 or page = 7 group by all")
+def page_range_filter(spark, d):
+    return quality.select_pages(lines(spark, d), "2-3,7").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("+ " + _IMAGE + """ select p.doc_id, p.page, case when r is null then null when r > 0.005 then 'ok' when r > 0.001 then 'sparse' when r > 0 and p.char_count > 0 and not g then 'sparse' when r >= 0.0005 and g then 'sparse' else 'blank' end as visual_status
+from (select *, case when (doc_id + page) % 5 = 0 then null else ((doc_id * 7 + page) % 13) / 2000.0 end as r from page) p join (select page.doc_id, page.page, image.image is not null as g from page left join image using (doc_id, page)) using (doc_id, page)""")
+def visual_status(spark, d):
+    rows = pages(spark, d).withColumn("r", F.when((F.col("doc_id") + F.col("page")) % 5 != 0, ((F.col("doc_id") * 7 + F.col("page")) % 13) / 2000.0))
+    has = images(spark, d).select("doc_id", "page", F.lit(True).alias("g"))
+    rows = rows.join(has, ["doc_id", "page"], "left").withColumn("g", F.coalesce("g", F.lit(False)))
+    return rows.select("doc_id", "page", quality.visual_status(F.col("r"), F.col("char_count") > 0, F.col("g"), F.lit(False)).alias("visual_status"))
+
+
+# -- text statistics -------------------------------------------------------------------------------
+
+
+@query(r"select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]')) as bad, length(coalesce(text, '')) as points from documents", evidence=False)
+def nonprintable_stats(spark, d):
+    return docs(spark, d).select("doc_id", T.non_printable_count(F.col("text")).alias("bad"), T.code_points(F.col("text")).alias("points"))
+
+
+@query(r"select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]')) as private_use, len(regexp_extract_all(coalesce(text, ''), '\x{FFFD}')) as replaced from documents", evidence=False)
+def private_use_and_replacement(spark, d):
+    return docs(spark, d).select("doc_id", T.private_use_count(F.col("text")).alias("private_use"), T.replacement_count(F.col("text")).alias("replaced"))
+
+
+@query(r"select doc_id, page, len(regexp_extract_all(text, '\p{L}')) as letters, len(regexp_extract_all(text, '[\x{C0}-\x{FF}]')) as accented from page where len(regexp_extract_all(text, '\p{L}')) >= 50")
+def letter_counts(spark, d):
+    t = F.col("text")
+    return pages(spark, d).select("doc_id", "page", T.letters(t).alias("letters"), T.count(t, r"[\x{C0}-\x{FF}]").alias("accented")).filter("letters >= 50")
+
+
+@query(r"select doc_id, page from page where len(regexp_extract_all(text, '\p{L}')) >= 50 and len(regexp_extract_all(text, '[\p{Hebrew}\p{Arabic}]')) > 0.25 * len(regexp_extract_all(text, '\p{L}'))")
+def rtl_script_text(spark, d):
+    return rules.rtl_script(pages(spark, d)).select("doc_id", "page")
+
+
+@query(r"select doc_id, page, floor(len(regexp_extract_all(text, '[^\p{L}\p{N}\s]')) / len(regexp_extract_all(text, '\S')) * 1000 + 0.5) / 1000 as share from page where char_count >= 80 and len(regexp_extract_all(text, '[^\p{L}\p{N}\s]')) / len(regexp_extract_all(text, '\S')) >= 0.35")
+def symbol_noise(spark, d):
+    return rules.symbol_noise(pages(spark, d)).select("doc_id", "page", F.col("detail").cast("double").alias("share"))
+
+
+@query(r"+ t as (select doc_id, page, list_filter(regexp_split_to_array(trim(text), '\s+'), x -> length(x) > 0) as w from page) select doc_id, page, len(w) as tokens, len(list_filter(w, x -> regexp_matches(x, '^\p{L}$'))) as single, len(list_filter(w, x -> regexp_matches(x, '^\p{L}{1,2}$'))) as short from t where len(w) >= 80")
+def word_fragmentation_stats(spark, d):
+    tokens = F.filter(F.split(F.trim(F.col("text")), r"\s+"), lambda w: F.length(w) > 0)
+    n = lambda p: F.size(F.filter(tokens, lambda w: w.rlike(p))).cast("long")
+    return pages(spark, d).select("doc_id", "page", F.size(tokens).cast("long").alias("tokens"), n(r"^\p{L}$").alias("single"), n(r"^\p{L}{1,2}$").alias("short")).filter("tokens >= 80")
+
+
+@query(r"select doc_id, page, count(*) as dot_lines, sum(length(regexp_replace(text, '\s+', '', 'g')))::bigint as dots from line where regexp_matches(regexp_replace(text, '\s+', '', 'g'), '^[.·•․‥…|*#$%&!]{3,}$') group by all")
+def leader_lines(spark, d):
+    token = F.regexp_replace("text", r"\s+", "")
+    return lines(spark, d).filter(token.rlike("^[.·•․‥…|*#$%&!]{3,}$")).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("dot_lines"), F.sum(F.length(token)).alias("dots"))
+
+
+@query(r"+ t as (select doc_id, page, text, regexp_replace(text, '\s+', '', 'g') as k from line) select doc_id, page, count(*) as n from t where regexp_matches(k, '^[.·•․‥…]{3,}$') group by all having count(*) >= 8 and sum(length(k)) >= 80")
+def dot_leader_noise(spark, d):
+    return rules.dot_leaders(lines(spark, d)).select("doc_id", "page", F.split("detail", "/")[0].cast("long").alias("n"))
+
+
+@query(r"select doc_id, page from page where regexp_matches(text, '<latexit[^>]*>[A-Za-z0-9+/=\s]{80,}')")
+def latexit_payload(spark, d):
+    return rules.raw_embedded_source(pages(spark, d)).select("doc_id", "page")
+
+
+@query(r"""+ c as (select doc_id, page, regexp_extract_all(text, '\b[a-z0-9]+LJ[a-z0-9]+\b') as s, len(regexp_extract_all(text, '\x{FFFD}')) as r, len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}]')) as p from page)
+select doc_id, page, 'digraph' as rule from c where len(s) > 0 union all select doc_id, page, 'replacement' from c where r > 0 union all select doc_id, page, 'private_use' from c where p > 0""")
+def localized_glyph_noise(spark, d):
+    return rules.localized_glyph_noise(pages(spark, d)).select("doc_id", "page", F.col("detail").alias("rule"))
+
+
+@query(r"""select doc_id, regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), s -> not (length(s) > 0 and length(regexp_replace(s, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) = 0)), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') as text from documents""", evidence=False)
+def normalize_text_c0(spark, d):
+    return docs(spark, d).select("doc_id", T.strip_controls(F.col("text")).alias("text"))
+
+
+@query("select doc_id, md5(nfc_normalize(coalesce(text, ''))) as digest from documents", evidence=False)
+def normalize_text_nfc(spark, d):
+    """NFKC and NFC agree on these texts; the operator is NFKC."""
+    from .functions.normal import nfkc
+
+    return nfkc(docs(spark, d).select("doc_id", "text"), "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select doc_id, length(coalesce(text, '')) as points, substr(sha256(coalesce(text, '')), 1, 16) as fingerprint from documents", evidence=False)
+def fingerprint(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return docs(spark, d).select("doc_id", T.code_points(t).alias("points"), document.fingerprint(t.cast("binary")).alias("fingerprint"))
+
+
+# -- layout ----------------------------------------------------------------------------------------
+
+
+@query("select doc_id, page, line, count(*) as words, min(x) as x, max(x + width) - min(x) as width from span group by all")
+def span_lines(spark, d):
+    return spans(spark, d).groupBy("doc_id", "page", "line").agg(F.count(F.lit(1)).alias("words"), F.min("x").alias("x"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"))
+
+
+@query("select doc_id, page, block, md5(text) as digest, n_lines, font_size, x, y, width, height from block")
+def union_box(spark, d):
+    return blocks(spark, d).select("doc_id", "page", "block", F.md5(F.col("text").cast("binary")).alias("digest"), "n_lines", "font_size", "x", "y", "width", "height")
+
+
+@query("""+ l as (select *, lag(y) over w as py, lag(height) over w as ph, lag(font_size) over w as pf, lag(x) over w as px, lag(width) over w as pw from line window w as (partition by doc_id, page order by y, x, line)),
+b as (select *, (py is null or y - (py + ph) > 0.4 * greatest(height, ph) or greatest(font_size, pf) > 1.3 * least(font_size, pf) or least(x + width, px + pw) <= greatest(x, px))::int as new from l),
+s as (select *, sum(new) over (partition by doc_id, page order by y, x, line) - 1 as session from b)
+select doc_id, page, cast(session as integer) as block, count(*) as n_lines, min(y) as y from s group by all""")
+def block_sessionize(spark, d):
+    return layout.sessions(lines(spark, d), 0.4).groupBy("doc_id", "page", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.min("y").alias("y"))
+
+
+@query("""+ r as (select doc_id, page, font_size, sum(length(trim(text))) as n from line where length(trim(text)) > 0 group by all), u as (select *, sum(n) over (partition by doc_id, page order by font_size) as upto, sum(n) over (partition by doc_id, page) as total from r)
+select doc_id, page, min(font_size) as body from u where upto >= total / 2 group by all""")
+def body_font_median(spark, d):
+    return layout.body_font(lines(spark, d))
+
+
+@query(r"""+ r as (select doc_id, page, font_size, sum(length(trim(text))) as n from line where length(trim(text)) > 0 group by all), u as (select *, sum(n) over (partition by doc_id, page order by font_size) as upto, sum(n) over (partition by doc_id, page) as total from r),
+f as (select doc_id, page, min(font_size) as body from u where upto >= total / 2 group by all)
+select b.doc_id, b.page, block, case when font_size / body >= 1.4 then 1 when font_size / body >= 1.25 then 2 when font_size / body >= 1.15 then 3 else 4 end as level
+from block b join f using (doc_id, page) where font_size / body >= 1.08 and n_lines <= 3 and length(trim(text)) between 2 and 120 and regexp_matches(text, '\p{L}') and not regexp_matches(trim(text), '(?i)^(?:fig(?:ure)?\.?|table|tab\.|図|表)\s*[0-9]+')
+and not regexp_matches(trim(text), '(?i)^(?:https?://|www\.|@|doi:)') and not regexp_matches(trim(text), '[,;]$') and not regexp_matches(trim(text), '[.!?]\s+\p{Lu}.*[.!?]$')""")
+def heading_tiers(spark, d):
+    ls = lines(spark, d)
+    return layout.headings(ev.blocks(ls), layout.body_font(ls)).filter("level is not null").select("doc_id", "page", "block", "level")
+
+
+@query("""+ c as (select *, (width > 612 * 0.6)::int as wide from block), r as (select *, sum(wide) over (partition by doc_id, page order by y, x, block) * 2 - wide as run from c)
+select doc_id, page, block, cast(row_number() over (partition by doc_id, page order by run, case when wide = 1 then 0 else floor(x / 30.6) end, y, x, block) - 1 as integer) as ord from r""")
+def column_order(spark, d):
+    return layout.column_order(blocks(spark, d), W).select("doc_id", "page", "block", F.col("ord").cast("int").alias("ord"))
+
+
+@query("""+ g as (select *, lag(x + width) over (partition by doc_id, page, line order by x, word) as e from span) select doc_id, page, cast(floor((x + e) / 2 / 5.0) as bigint) as bin, count(distinct line) as rows from g where x - e >= 6 group by all having count(distinct line) >= 3""")
+def recurring_gutters(spark, d):
+    return layout.recurring_gutters(spans(spark, d), 3, 0.5)
+
+
+@query("""+ a as (select doc_id, page, block, x, y, width, height from block), p as (select a.doc_id, a.page, a.block, o.block as other, a.y - (o.y + o.height) as up, o.y - (a.y + a.height) as down from a join a o on a.doc_id = o.doc_id and a.page = o.page and a.block <> o.block and least(a.x + a.width, o.x + o.width) > greatest(a.x, o.x)),
+n as (select doc_id, page, block, arg_min(other, (up, other)) filter (where up >= 0) as above, arg_min(other, (down, other)) filter (where down >= 0) as below from p group by all)
+select a.doc_id, a.page, a.block, above, below from a left join n using (doc_id, page, block)""")
+def heading_neighbours(spark, d):
+    return layout.neighbours(blocks(spark, d))
+
+
+@query(r"""select doc_id, page, line, word, text from span where regexp_matches(text, '\d') and length(regexp_replace(text, '[0-9.,()%$¥€£+\-/~\s·⋅∙×^]', '', 'g')) = 0""")
+def numeric_cells(spark, d):
+    return spans(spark, d).filter(T.numeric_cell(F.col("text"))).select("doc_id", "page", "line", "word", "text")
+
+
+@query("""+ c as (select l_orderkey as doc_id, 1 as page, cast(l_linenumber as integer) as line, 0 as word, l_returnflag as text from lineitem union all select l_orderkey, 1, cast(l_linenumber as integer), 1, cast(cast(l_quantity as integer) as varchar) from lineitem union all select l_orderkey, 1, cast(l_linenumber as integer), 2, cast(l_suppkey as varchar) from lineitem),
+r as (select distinct doc_id, page, line, count(*) as cells, sum((text ~ '^[0-9]+$')::int) as num from c group by all having count(*) >= 3 and sum((text ~ '^[0-9]+$')::int) >= 2),
+n as (select *, coalesce(line - lag(line) over (partition by doc_id order by line) > 1, true)::int as new from r), t as (select *, sum(new) over (partition by doc_id order by line) - 1 as tab from n)
+select doc_id, cast(tab as integer) as "table", min(line) as first_line, max(line) as last_line, count(*) as row_count from t group by all having count(*) >= 2""")
+def numeric_tables(spark, d):
+    """Order lines as rows of three cells (flag, quantity, supplier)."""
+    cells = F.array(F.col("l_returnflag"), F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey").cast("string"))
+    rows = ev.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("int").alias("line"), F.posexplode(cells).alias("word", "text"))
+    return layout.tables(layout.table_rows(rows)).select("doc_id", "table", "first_line", "last_line", "row_count")
+
+
+# -- repeated chrome -------------------------------------------------------------------------------
+
+
+@query("+" + _MARKED + " select doc_id, cast(bin as bigint) as bin, key, on_pages from rep")
+def repeated_chrome(spark, d):
+    return chrome.repeated_keys(blocks(spark, d))
+
+
+@query("+" + _MARKED + " select doc_id, page, md5(coalesce(string_agg(text, chr(10) order by block) filter (where not repeated), '')) as digest from marked group by all")
+def strip_repeated_body(spark, d):
+    return chrome.body_text(chrome.mark_repeated(blocks(spark, d))).select("doc_id", "page", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query("+" + _MARKED + """, p as (select a.doc_id, a.page, a.block, b.block as chrome, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) as depth, b.y - (a.y + a.height) as gap from marked a join marked b on a.doc_id = b.doc_id and a.page = b.page
+where not a.repeated and b.repeated and b.y + b.height > a.y and least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x))
+select doc_id, page, block, coalesce(arg_min(chrome, (-depth, chrome)) filter (where depth > 0), arg_min(chrome, (gap, chrome)) filter (where depth <= 0 and gap >= 0 and gap < 6)) as other_block, max(depth) filter (where depth > 0) as overlap,
+case when count(*) filter (where depth > 0) = 0 then min(gap) filter (where depth <= 0 and gap >= 0 and gap < 6) end as gap from p where depth > 0 or (gap >= 0 and gap < 6) group by all""")
+def body_near_chrome(spark, d):
+    return chrome.body_near_chrome(chrome.mark_repeated(blocks(spark, d)))
+
+
+# -- geometry rules --------------------------------------------------------------------------------
+
+
+@query("select doc_id, page, block from block where x < -3.672 or x + width > 612 + 3.672 or y + height > 792 + 3.672")
+def off_page(spark, d):
+    return rules.off_page(blocks(spark, d), W, H).select("doc_id", "page", "block")
+
+
+@query("+ s as (select *, x * 1.2 as x2, width * 1.2 as w2 from block) select doc_id, page, block from s where x2 + w2 > 612 + 3.672")
+def off_page_scaled(spark, d):
+    """As if the pages were set a fifth larger than their sheet."""
+    wide = blocks(spark, d).withColumns({"x": F.col("x") * 1.2, "width": F.col("width") * 1.2})
+    return rules.off_page(wide, W, H).select("doc_id", "page", "block")
+
+
+@query(r"""+ m as (select * from block) select doc_id, page, block, floor((756.0 - (y + height)) * 10 + 0.5) / 10 as rest from m where 756.0 - (y + height) >= 0 and 756.0 - (y + height) < 18 and not (length(trim(text)) between 1 and 120 and n_lines <= 2 and width <= 612 * 0.35 and abs(x + width / 2 - 306) <= 612 * 0.15)
+and not (length(trim(text)) between 1 and 160 and ((width <= 40 and regexp_matches(trim(text), '^\d{1,4}$')) or regexp_matches(trim(text), '(?i)\b(?:https?://|www\.|doi:|arxiv:)') or (width <= 40 and regexp_matches(trim(text), '(?i)^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$'))))""")
+def near_bottom_edge(spark, d):
+    """On a sheet of 756 points, whose last line ends near the bottom."""
+    return rules.near_bottom_edge(blocks(spark, d), W, 756.0).select("doc_id", "page", "block", F.col("detail").cast("double").alias("rest"))
+
+
+@query(r"""+ t as (select *, trim(text) as t from line) select doc_id, page, case when width >= height * 1.5 and width >= font_size * 6 and x + width - 570 > 0 and x + width - 570 <= font_size * 1.25 then 'right' end as edge, count(*) as n from t
+where length(t) >= 8 and not regexp_matches(t, '[\p{P}\p{S}]$') group by all having edge is not null""")
+def page_edge_truncated(spark, d):
+    """Lines as runs on a sheet of 570 points, where full lines cross the right edge."""
+    found = rules.page_edge_truncated(lines(spark, d), 570.0, H)
+    return found.select("doc_id", "page", F.split("detail", ":")[0].alias("edge"), F.split("detail", ":")[1].cast("long").alias("n"))
+
+
+@query(r"""+ g as (select *, height + 14 as h2 from block), p as (select a.doc_id, a.page, a.block, b.block as other_block, greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h2, b.y + b.h2) - greatest(a.y, b.y)) as area from g a join g b on a.doc_id = b.doc_id and a.page = b.page and a.block < b.block
+where trim(regexp_replace(a.text, '\s+', ' ', 'g')) <> trim(regexp_replace(b.text, '\s+', ' ', 'g'))), r as (select *, row_number() over (partition by doc_id, page order by area desc, block, other_block) as rank, count(*) over (partition by doc_id, page) as pairs from p where area >= 1)
+select doc_id, page, block, other_block, floor(area * 100 + 0.5) / 100 as area, rank, pairs from r where rank <= 8""")
+def text_overlap_topk(spark, d):
+    """Blocks grown downwards by 14 points, so that neighbours overlap."""
+    return rules.text_overlaps(blocks(spark, d).withColumn("height", F.col("height") + 14)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(r"""+ s as (select doc_id, page, line, lower(trim(text)) as key, y, font_size from line where length(trim(text)) >= 6), p as (select a.doc_id, a.page, a.key, a.y as y1, b.y as y2 from s a join s b on a.doc_id = b.doc_id and a.page = b.page and a.key = b.key and b.y - a.y >= 20)
+select doc_id, page, count(distinct key) as keys, count(*) as pairs from p group by all having count(distinct key) >= 2""")
+def duplicate_layer_pairs(spark, d):
+    s = lines(spark, d).withColumn("key", F.lower(F.trim("text"))).filter(F.length("key") >= 6)
+    pair = s.select("doc_id", "page", "key", F.col("y").alias("y1")).join(s.select("doc_id", "page", "key", F.col("y").alias("y2")), ["doc_id", "page", "key"]).filter(F.col("y2") - F.col("y1") >= 20)
+    return pair.groupBy("doc_id", "page").agg(F.countDistinct("key").alias("keys"), F.count(F.lit(1)).alias("pairs")).filter("keys >= 2")
+
+
+@query("+ " + _IMAGE + """, t as (select image.doc_id, image.page, max(image.width * image.height) / (612.0 * 792.0) as share from image group by all) select doc_id, page, floor(share * 1000 + 0.5) / 1000 as share from page join t using (doc_id, page) where share >= 0.9 and (text_coverage >= 0.1 or (text_coverage >= 0.02 and char_count >= 50))""")
+def raster_backed_text(spark, d):
+    return rules.raster_backed(pages(spark, d).withColumn("vector_count", F.lit(0)), images(spark, d)).select("doc_id", "page", F.col("detail").cast("double").alias("share"))
+
+
+@query("+ " + _IMAGE + """ select i.doc_id, i.page, i.image from image i left join line l using (doc_id, page) where i.width * i.height >= 0.2 * 612.0 * 792.0 group by i.doc_id, i.page, i.image, i.x, i.y, i.width, i.height
+having coalesce(sum(greatest(0, least(i.x + i.width, l.x + l.width) - greatest(i.x, l.x)) * greatest(0, least(i.y + i.height, l.y + l.height) - greatest(i.y, l.y))), 0) / (i.width * i.height) < 0.01""")
+def large_raster_low_text(spark, d):
+    return rules.large_raster_low_text(images(spark, d), lines(spark, d), W * H).select("doc_id", "page", F.col("detail").cast("int").alias("image"))
+
+
+@query("""+ f as (select doc_id, page, 36.0 as x, 30.0 as y, 200.0 as width, 40.0 as height, 20 as preceding_runs from page where (doc_id + page) % 3 = 0), s as (select *, line as run from span where length(text) >= 3)
+select s.doc_id, s.page, count(*) as n from s where exists (select 1 from f where f.doc_id = s.doc_id and f.page = s.page and f.preceding_runs >= s.run and greatest(0, least(s.x + s.width, f.x + f.width) - greatest(s.x, f.x)) * greatest(0, least(s.y + s.height, f.y + f.height) - greatest(s.y, f.y)) / (s.width * s.height) >= 0.9) group by all""")
+def redaction_coverage(spark, d):
+    """A dark box over the top left of every third page, drawn after 20 runs."""
+    at = pages(spark, d).filter((F.col("doc_id") + F.col("page")) % 3 == 0)
+    fills = at.select("doc_id", "page", F.lit(36.0).alias("x"), F.lit(30.0).alias("y"), F.lit(200.0).alias("width"), F.lit(40.0).alias("height"), F.lit(20).alias("preceding_runs"))
+    return rules.text_under_fill(spans(spark, d).withColumn("run", F.col("line")), fills).select("doc_id", "page", F.col("detail").cast("long").alias("n"))
+
+
+# -- search ----------------------------------------------------------------------------------------
+
+_FOUND = """f as (select doc_id, page, line, q, regexp_extract_all(text, p) as m, regexp_split_to_array(text, p) as s, x, y, width, height, text from line, (values (0, '(?i)nder'), (1, '(?i)tion the')) as v(q, p)),
+hit as (select doc_id, page, line, q as query, m[k] as match, list_sum(list_transform(s[1:k], z -> length(z))) + coalesce(list_sum(list_transform(m[1:k - 1], z -> length(z))), 0) as start, x, y, width, height, text from (select *, unnest(range(1, len(m) + 1)) as k from f where len(m) > 0))"""
+
+
+def _hits(spark, d):
+    return search.matches(lines(spark, d), search.compile_queries(["nder", "tion the"]))
+
+
+@query("+ " + _FOUND + " select doc_id, page, line, query, match, cast(start as integer) as start, floor((x + width / length(text) * start) * 100 + 0.5) / 100 as x, floor(width / length(text) * length(match) * 100 + 0.5) / 100 as width from hit")
+def search_literal(spark, d):
+    return _hits(spark, d).select("doc_id", "page", "line", "query", "match", "start", "x", "width")
+
+
+@query(r"select doc_id, page, line, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:tion|ment|heit)\b')) as match from line")
+def search_regex(spark, d):
+    return search.matches(lines(spark, d), search.compile_queries(r"[A-Z][a-z]+(?:tion|ment|heit)\b", regex=True, case_sensitive=True)).select("doc_id", "page", "line", "match")
+
+
+@query("+ " + _FOUND + ", n as (select *, row_number() over (partition by doc_id, page, query order by line, start) as k from hit) select doc_id, page, query, line, cast(start as integer) as start from n where k <= 3")
+def search_capped(spark, d):
+    return search.capped(_hits(spark, d), 3).select("doc_id", "page", "query", "line", "start")
+
+
+@query("+ " + _FOUND + " select query, count(*) as hits, count(distinct doc_id) as documents from hit group by all")
+def search_multi_query(spark, d):
+    return _hits(spark, d).groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("+ " + _FOUND + """, b as (select *, floor((x + width / length(text) * start) * 100 + 0.5) / 100 as bx, floor(width / length(text) * length(match) * 100 + 0.5) / 100 as bw from hit)
+select doc_id, page, line, query, cast(start as integer) as start, 24.0 as x, y - 12.0 as y, floor((least(612.0, x + width + 12) - 24.0) * 100 + 0.5) / 100 as width from b""")
+def search_context_region(spark, d):
+    ls = lines(spark, d)
+    found = search.crop_region(_hits(spark, d), ls, W, H)
+    return found.select("doc_id", "page", "line", "query", "start", "region.x", "region.y", "region.width")
+
+
+@query("+ " + _FOUND + ", w as (select doc_id, page, line, query, start, match, text as context from hit) select doc_id, page, line, query, cast(start as integer) as start, md5(context) as digest from w")
+def search_line_context(spark, d):
+    found = search.with_context(_hits(spark, d), lines(spark, d))
+    return found.select("doc_id", "page", "line", "query", "start", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query("+ " + _FOUND + " select doc_id, page, line, count(*) as hits, array_to_string(list_sort(list_distinct(list(match)))[1:4], '/') as texts from hit group by all")
+def search_collapse(spark, d):
+    """Hits of one line have one region, so they collapse to one row."""
+    found = search.collapse(search.crop_region(_hits(spark, d), lines(spark, d), W, H))
+    return found.select("doc_id", "page", F.col("first.line").alias("line"), "hits", F.array_join("texts", "/").alias("texts"))
+
+
+@query("+ " + _FOUND + """, o as (select * from hit where start >= 40), n as (select * from hit where start < 40), b as (select doc_id, page, query, lower(match) as k, count(*) as budget from n group by all),
+r as (select doc_id, page, query, line, start, lower(match) as k, row_number() over (partition by doc_id, page, query, lower(match) order by line, start) as i from o) select doc_id, page, query, line, cast(start as integer) as start from r left join b using (doc_id, page, query, k) where i > coalesce(budget, 0)""")
+def ocr_bag_difference(spark, d):
+    """Hits in the left 40 characters as native, the others as OCR."""
+    found = _hits(spark, d)
+    return search.bag_difference(found.filter("start < 40"), found.filter("start >= 40")).select("doc_id", "page", "query", "line", "start")
+
+
+@query("+ " + _FOUND + """, r as (select doc_id, page, query, line, start, 'p' || page || ' [native] ' || match as s from hit) select doc_id, md5(string_agg(s, chr(10) order by page, query, line, start)) as digest, count(*) as matches from r group by all""")
+def matches_only_report(spark, d):
+    return search.matches_only(_hits(spark, d)).select("doc_id", F.md5(F.col("report").cast("binary")).alias("digest"), "matches")
+
+
+# -- links and structure of HTML pages -------------------------------------------------------------
+
+
+@query(r"""select page_id, cast(k - 1 as integer) as link, t[k] as target, trim(regexp_replace(s[k], '\s+', ' ', 'g')) as text, case when regexp_matches(t[k], '(?i)^https?://') then 'url' when t[k] like '#%' then 'destination' else 'relative' end as type
+from (select *, unnest(range(1, len(t) + 1)) as k from (select page_id, regexp_extract_all(html, '(?i)<a\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) as t, regexp_extract_all(html, '(?i)<a\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) as s from pages))""", evidence=False)
+def link_extract(spark, d):
+    return forms.html_links(ev.table(spark, d, "pages"))
+
+
+@query(r"""with l as (select page_id, unnest(regexp_extract_all(html, '(?i)<a\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as target, unnest(regexp_extract_all(html, '(?i)<a\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as text from pages),
+w as (select *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> length(x) > 0) as a, list_filter(regexp_split_to_array(lower(target), '[^\p{L}\p{N}]+'), x -> length(x) > 0) as b from l)
+select page_id, count(*) as links, sum((len(a) > 0 and list_has_all(b, a))::int)::bigint as restated from w group by all""", evidence=False)
+def anchor_restates_target(spark, d):
+    found = forms.html_links(ev.table(spark, d, "pages"))
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.sum(search.anchor_restates_target(F.col("text"), F.col("target")).cast("int")).alias("restated"))
+
+
+@query(r"""select page_id, cast(k - 1 as integer) as ord, cast(l[k] as integer) as level, trim(regexp_replace(t[k], '\s+', ' ', 'g')) as text from (select *, unnest(range(1, len(l) + 1)) as k from (select page_id, regexp_extract_all(html, '(?i)<h([1-6])[^>]*>([^<]*)</h[1-6]>', 1) as l, regexp_extract_all(html, '(?i)<h([1-6])[^>]*>([^<]*)</h[1-6]>', 2) as t from pages))""", evidence=False)
+def heading_extract(spark, d):
+    return forms.html_headings(ev.table(spark, d, "pages"))
+
+
+@query(r"""with r as (select page_id, cast(k - 1 as integer) as row, tr[k] as tr from (select page_id, tr, unnest(range(1, len(tr) + 1)) as k from (select page_id, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) as tr from pages)))
+select page_id, row, len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) as cells, array_to_string(list_transform(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), c -> trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), '|') as text from r where len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) > 0""", evidence=False)
+def structure_table_grid(spark, d):
+    cells = forms.html_cells(ev.table(spark, d, "pages")).withColumns({"doc_id": F.col("page_id"), "page": F.lit(1), "table": F.lit(0)})
+    return forms.structure_tables(cells).select(F.col("doc_id").alias("page_id"), "row", F.size("cells").cast("long").alias("cells"), F.array_join("cells", "|").alias("text"))
+
+
+@query("""+ k as (select doc_id, page, line as link, text as own, x + 30.0 as x, y, 60.0 as width, height from line where line % 5 = 0 and width > 120), p as (select k.doc_id, k.page, link, l.line, l.text from k join line l on k.doc_id = l.doc_id and k.page = l.page
+where greatest(0, least(k.x + k.width, l.x + l.width) - greatest(k.x, l.x)) * greatest(0, least(k.y + k.height, l.y + l.height) - greatest(k.y, l.y)) / least(k.width * k.height, l.width * l.height) >= 0.45 and l.width > 0)
+select k.doc_id, k.page, k.link, md5(string_agg(p.text, ' ' order by p.line)) as digest from k left join p using (doc_id, page, link) group by all""")
+def link_text_join(spark, d):
+    """A link box on every fifth line."""
+    ls = lines(spark, d).filter("width > 0")
+    at = ls.filter("line % 5 = 0 and width > 120").select("doc_id", "page", F.col("line").alias("link"), (F.col("x") + 30).alias("x"), "y", F.lit(60.0).alias("width"), "height")
+    return forms.link_text(at, ls).select("doc_id", "page", "link", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+# -- OCR against native text -----------------------------------------------------------------------
+
+
+@query(r"""with t as (select doc_id, trim(regexp_replace(lower(substr(text, 1, 180)), '\s+', ' ', 'g')) as a, trim(regexp_replace(lower(reverse(substr(text, 1, 180))), '\s+', ' ', 'g')) as b from documents)
+select doc_id, levenshtein(a, b) as distance from t where length(a) between 3 and 200 and length(b) between 3 and 200 and least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.75 and floor(levenshtein(a, b) / greatest(length(a), length(b)) * 1000 + 0.5) / 1000 >= 0.5""", evidence=False)
+def ocr_native_mismatch(spark, d):
+    """The first line's worth of text against itself reversed, as if an engine had misread it."""
+    head = F.substring("text", 1, 180)
+    pairs = docs(spark, d).select("doc_id", head.alias("native"), F.reverse(head).alias("ocr"), F.lit(0.95).alias("confidence"))
+    return ocr.native_mismatch(pairs).select("doc_id", F.col("distance").cast("long").alias("distance"))
+
+
+@query(r"""with t as (select doc_id, substr(text, 1, 600) as o, regexp_replace(substr(text, 1, 600), '([aeiou]) ', '\1', 'g') as n from documents) select doc_id, len(regexp_extract_all(trim(n), '\s+')) as native_spaces, len(regexp_extract_all(trim(o), '\s+')) as ocr_spaces from t
+where length(o) >= 120 and levenshtein(regexp_replace(lower(n), '\s+', '', 'g'), regexp_replace(lower(o), '\s+', '', 'g')) <= 0.12 * length(regexp_replace(lower(o), '\s+', '', 'g')) and len(regexp_extract_all(trim(n), '\s+')) <= 0.7 * len(regexp_extract_all(trim(o), '\s+'))""", evidence=False)
+def ocr_spacing_loss(spark, d):
+    """Texts against themselves with the spaces after vowels lost."""
+    head = F.substring("text", 1, 600)
+    pairs = docs(spark, d).select("doc_id", F.regexp_replace(head, "([aeiou]) ", "$1").alias("native"), head.alias("ocr"), F.lit(0.95).alias("confidence"))
+    return ocr.spacing_loss(pairs).select("doc_id", F.col("native_spaces").cast("long").alias("native_spaces"), F.col("ocr_spaces").cast("long").alias("ocr_spaces"))
+
+
+# -- regions ---------------------------------------------------------------------------------------
+
+
+@query("+ " + _IMAGE + """, c as (select doc_id, page, x, y, width, height from image union all select doc_id, page, x + 10, y + 10, width / 2, height / 2 from image)
+select doc_id, page, x, width from c a where not exists (select 1 from c o where o.doc_id = a.doc_id and o.page = a.page and o.width * o.height >= 1.5 * a.width * a.height and greatest(0, least(a.x + a.width, o.x + o.width) - greatest(a.x, o.x)) * greatest(0, least(a.y + a.height, o.y + o.height) - greatest(a.y, o.y)) >= 0.9 * a.width * a.height)""")
+def region_contained_anti(spark, d):
+    at = regions.raster_candidates(images(spark, d), W, H)
+    inner = at.withColumns({"x": F.col("x") + 10, "y": F.col("y") + 10, "width": F.col("width") / 2, "height": F.col("height") / 2})
+    return regions.without_contained(at.unionByName(inner)).select("doc_id", "page", "x", "width")
+
+
+@query("""+ b as (select doc_id, page, x, y, width, height, width * height / (612.0 * 792.0) as share from block where width > 0), s as (select *, 100 + share * 20 + 1 as score from b), r as (select *, row_number() over (partition by doc_id, page order by score desc, y, x, width, height) as k from s)
+select doc_id, page, y, floor(share * 1000 + 0.5) / 1000 as area_ratio, row_number() over (partition by doc_id, page order by y, x, width, height) as region from r where k <= 3""")
+def region_topk(spark, d):
+    at = blocks(spark, d).filter("width > 0").select("doc_id", "page", F.lit("block").alias("kind"), "x", "y", "width", "height", F.lit(1).alias("sources"), F.lit(1).alias("boxes"))
+    return regions.ranked(at, W, H, 3).select("doc_id", "page", "y", "area_ratio", F.col("region").cast("long").alias("region"))
+
+
+@query()
+def visual_regions(spark, d):
+    """Images and the words of pipe-parted lines as small vectors: merged, suppressed, captioned, ranked."""
+    vectors = spans(spark, d).filter(F.col("text") == "|").select("doc_id", "page", "x", "y", "width", "height")
+    return regions.build(images(spark, d), vectors, lines(spark, d), W, H).drop("caption")
+
+
+# -- orchestration and sinks -----------------------------------------------------------------------
+
+
+@query()
+def page_warnings(spark, d):
+    return process.process(docs(spark, d)).warnings
+
+
+@query("+ w as (select doc_id, page, 'off_page' as code, block from block where x + width > 560 union all select doc_id, page, 'late', block from block where n_lines > 3), r as (select *, row_number() over (partition by doc_id, page order by case when code = 'off_page' then 0 else 1 end, code, block) as rank from w) select doc_id, page, code, block, rank from r")
+def warning_sort(spark, d):
+    found = blocks(spark, d)
+    a = rules.warning(found.filter("x + width > 560"), "off_page", F.lit(""), F.col("block"))
+    b = rules.warning(found.filter("n_lines > 3"), "late", F.lit(""), F.col("block"))
+    return rules.settle(rules.all_of(a, b)).select("doc_id", "page", "code", "block", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""+ s as (select doc_id, page, '## Page ' || page || chr(10) || chr(10) || text || chr(10) as section from page), r as (select *, sum(length(section)) over (partition by doc_id order by page) as upto from s) select doc_id, count(*) as kept, sum(length(section))::bigint as chars from r where upto <= 6000 group by all""")
+def truncate_budget(spark, d):
+    kept = report.within_budget(report.markdown_sections(pages(spark, d)), 6000)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("section")).alias("chars"))
+
+
+@query("""+ s as (select doc_id, page, '## Page ' || page || chr(10) || chr(10) || text || chr(10) as section from page), r as (select *, sum(length(section)) over (partition by doc_id order by page) as upto, count(*) over (partition by doc_id) as pages from s),
+k as (select doc_id, any_value(pages) as pages, coalesce(string_agg(section, chr(10) order by page) filter (where upto <= 30000), '') as body, count(*) filter (where upto <= 30000) as kept from r group by all) select doc_id, pages, md5(body || case when pages > kept then chr(10) || '[... ' || (pages - kept) || ' more pages]' else '' end) as digest from k""")
+def markdown_report(spark, d):
+    return report.markdown(report.markdown_sections(pages(spark, d))).select("doc_id", "pages", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query(r"""+ e as (select doc_id, page, replace(replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]', '�', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as t from page) select doc_id, md5('<document>' || string_agg('<page number="' || page || '">' || t || '</page>', '' order by page) || '</document>') as digest from e group by all""")
+def xml_report(spark, d):
+    return report.xml_pages(pages(spark, d)).select("doc_id", F.md5(F.col("xml").cast("binary")).alias("digest"))
+
+
+@query()
+def json_report(spark, d):
+    return process.process_to_text(docs(spark, d), process.Options(format="json"))
+
+
+@query()
+def table_notation_report(spark, d):
+    return process.process_to_text(docs(spark, d), process.Options(format="table"))
+
+
+@query("""+ i as (select doc_id, page, line as ord, case when line % 3 = 0 then null else line // 4 end as mcid, line % 7 = 0 as artifact, trim(text) as t from line) select doc_id, page, cast(mcid as integer) as mcid, md5(coalesce(string_agg(t, ' ' order by ord) filter (where not artifact and length(t) > 0), '')) as digest from i where mcid is not null group by all""")
+def marked_content_text(spark, d):
+    items = lines(spark, d).select("doc_id", "page", F.col("line").alias("ord"), F.when(F.col("line") % 3 != 0, F.floor(F.col("line") / 4).cast("int")).alias("mcid"), (F.col("line") % 7 == 0).alias("artifact"), "text")
+    return document.marked_text(items).select("doc_id", "page", "mcid", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""with a as (select source as doc_id, lang || '.txt' as name, sha256(text) as sha, row_number() over (partition by source, lang, text order by doc_id) as k from documents where text is not null), u as (select doc_id, name, sha from a where k = 1),
+n as (select *, row_number() over (partition by doc_id, lower(name) order by name, sha) as i from u) select doc_id, count(*) as files, count(distinct case when i > 1 then replace(name, '.txt', '') || '-' || i || '.txt' else name end) as names from n group by all""", evidence=False)
+def attachment_dedupe(spark, d):
+    """Texts as attachments of their source, named by language."""
+    rows = docs(spark, d).filter("text is not null").select(F.col("source").alias("doc_id"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    return document.merge_attachments(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_name").alias("names"))
+
+
+@query("""+ k as (select doc_id, page, line as field, x + 200.0 as x, y, 80.0 as width, height from line where line % 8 = 2 and width < 150 and width > 0) select doc_id, page, field from k""")
+def form_fields(spark, d):
+    """A field box right of every eighth line when it is short."""
+    at = lines(spark, d).filter("line % 8 = 2 and width < 150 and width > 0").select("doc_id", "page", F.col("line").alias("field"), (F.col("x") + 200).alias("x"), "y", F.lit(80.0).alias("width"), "height")
+    return forms.nearest_label(at, lines(spark, d)).select("doc_id", "page", "field")

@@ -10,10 +10,18 @@ which takes about ``m ln m`` points a text rather than ``m`` for each shingle.
 
 Signatures are cut into bands; texts sharing a band are candidates, and a pair is linked only when
 its multiset overlap, computed from the whole texts, reaches the threshold. Classes are connected
-components of the links. Nothing is capped: within a bucket every text is compared with a centre;
-afterwards texts of different components that share a bucket are compared through further centres
-(those outside the bucket's largest component, so many per round) until no such pair is left
-unseen. Work per round is linear in the bucket. Pairs of one component need no comparison.
+components of the links. Nothing is capped, and no bucket's pairs are all compared:
+
+* Within a bucket every text is compared with a centre, the text whose buckets are fullest: among
+  edited copies that is the original or next to it. What links is one component.
+* Each comparison also tells how much a text shares with the centre and which shingles it has
+  besides. Those that no other member of the centre has can be in no partner. With ``u`` of them in
+  x, ``|x & y| <= min(|x & c|, |y & c|) + min(other extra of x, of y)`` bounds the overlap exactly,
+  so a text with many is out at once and most pairs fall within the join.
+* Of the pairs of different components that are left in a bucket, texts outside its largest component
+  are compared with the rest, ``centres`` of them per bucket and round, until none is unseen.
+
+Work per round is linear in the bucket. Pairs of one component need no comparison.
 
 Defined results: null text counts as empty. Texts without a word form a class with equal texts only.
 Equal word sequences are copies whatever their case or punctuation. Null or repeated ids are rows
@@ -36,7 +44,7 @@ from ._text import U64, Chunk, Words, chunks, gram_hash, mix64, ranges, words
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 THRESHOLD = 0.8
-CENTRES = 32
+CENTRES = 512
 _GOLD = U64(0x9E3779B97F4A7C15)
 _STEP = U64(0xD6E8FEB86659FD93)
 
@@ -136,51 +144,67 @@ def _sign(bands: int, rows: int):
     return run
 
 
-def _verify(threshold: float):
-    """Rows sorted by centre: first the centre's text, then each member's; one centre is held at a time."""
+_FOUND = "centre long, member long, similarity double, size long, common long, extra array<long>"
+
+
+def _verify():
+    """Rows sorted by centre: first the centre's text, then each member's; one centre is held at a time.
+
+    Shingles are told apart by occurrence, so multisets are sets. ``extra`` (where wanted) are the
+    member's that the centre lacks.
+    """
 
-    def bag(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    def bag(text: pa.Scalar) -> np.ndarray:
         c = next(chunks(pa.array([text.as_py() or ""])))
         _, value, count = multiset(*shingles(words(c)))
-        return value, count
+        return np.sort(mix64(np.repeat(value, count) + ranges(np.zeros(len(count), dtype=np.int64), count).astype(U64) * _STEP))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, centre = None, None
         for batch in batches:
-            found: list[tuple[int, float]] = []
-            ids, who, member, text = (batch.column(x) for x in ("centre", "salt", "member", "text"))
-            ids, who, members = ids.to_pylist(), who.to_pylist(), member.to_pylist()
-            for i, (a, s, b) in enumerate(zip(ids, who, members, strict=True)):
+            rows: list[tuple] = []
+            text = batch.column("text")
+            for i, (a, s, b, want) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("centre", "salt", "member", "want")), strict=True)):
+                own = bag(text[i])
                 if b is None:
-                    held, centre = bag(text[i]), (a, s)
+                    held, centre = own, (a, s)
                     continue
                 if centre != (a, s):
                     raise ValueError("a member came without its centre")
-                value, count = bag(text[i])
-                _, x, y = np.intersect1d(held[0], value, assume_unique=True, return_indices=True)
-                both = int(np.minimum(held[1][x], count[y]).sum())
-                found.append((i, both / max(1, int(held[1].sum() + count.sum()) - both)))
-            take = pa.array([i for i, s in found if s >= threshold], type=pa.int64())
-            out = batch.select(["centre", "member"]).take(take)
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), pa.array([s for _, s in found if s >= threshold], type=pa.float64())], names=["centre", "member", "similarity"])
+                at = np.searchsorted(held, own)
+                at[at == len(held)] = 0
+                same = held[at] == own if len(held) else np.zeros(len(own), dtype=bool)
+                common = int(same.sum())
+                rows.append((a, b, common / max(1, len(held) + len(own) - common), len(own), common, own[~same].view(np.int64) if want else None))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["centre", "member", "similarity", "size", "common", "extra"])
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (centre, member) of text keys, those whose multiset overlap reaches the threshold.
+def verified(pairs: DataFrame, texts: DataFrame, extra: bool) -> DataFrame:
+    """Pairs (centre, member, n: members of the centre) of text keys with their multiset overlap, and sizes.
 
     A centre's text is sent once for each 64 of its members, so a centre with very many is dealt out.
     """
     salted = pairs.withColumn("salts", F.ceil(F.col("n") / 64).cast("int")).withColumn("salt", F.pmod(F.xxhash64("member"), "salts").cast("int"))
     heads = pairs.select("centre", F.ceil(F.col("n") / 64).cast("int").alias("salts")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    want = (F.col("n") > 1) & F.lit(extra)
     rows = (
-        heads.join(texts, heads.centre == texts.key).select("centre", "salt", F.lit(None).cast("long").alias("member"), "text")
-        .unionByName(salted.join(texts, salted.member == texts.key).select("centre", "salt", "member", "text"))
+        heads.join(texts, heads.centre == texts.key).select("centre", "salt", F.lit(None).cast("long").alias("member"), F.lit(False).alias("want"), "text")
+        .unionByName(salted.join(texts, salted.member == texts.key).select("centre", "salt", "member", want.alias("want"), "text"))
     )
     dealt = rows.repartition(fan_out(pairs), "centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
-    # a salt may get no member, but a member always has its head
-    return dealt.mapInArrow(_verify(threshold), "centre long, member long, similarity double")
+    return dealt.mapInArrow(_verify(), _FOUND)
+
+
+def reach(found: DataFrame) -> DataFrame:
+    """centre, key, size, common, shared: of a member's extra shingles those that another member of the centre has."""
+    tokens = found.select("centre", "member", F.explode("extra").alias("token"))
+    alone = tokens.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("member")).filter("n = 1").groupBy("centre", "member").agg(F.count(F.lit(1)).alias("alone"))
+    rows = found.filter("extra is not null").select("centre", "member", "size", "common").join(alone, ["centre", "member"], "left")
+    return rows.select("centre", F.col("member").alias("key"), "size", "common", (F.col("size") - F.col("common") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -220,11 +244,12 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float, centres:
     distinct = signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_md5")).alias("least"), F.min("doc_id").alias("least_id"))
     distinct = materialize(distinct.withColumn("key", F.xxhash64("k1", "k2")), "distinct")
     buckets = distinct.select("key", F.explode("bands").alias("bucket"))
-    shared = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("centre")).filter("size > 1"), "shared")
-    in_shared = materialize(buckets.join(shared, "bucket").select("bucket", "size", "centre", "key"), "buckets")
+    sizes = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    shared = materialize(buckets.join(sizes, "bucket").select("bucket", "size", "key"), "shared")
+    full = shared.groupBy("key").agg(F.sum("size").alias("fullness"))
+    centre = materialize(shared.join(full, "key").groupBy("bucket").agg(F.max_by("key", F.struct("fullness", "key")).alias("centre")), "first-centres")
     # whole texts of the keys that share a bucket, once per key
-    wanted = in_shared.select("key").distinct()
-    rows_of = distinct.join(wanted, "key", "left_semi").select("key", F.col("least.doc_id").alias("one_id"), F.col("least.text_md5").alias("one_md5"))
+    rows_of = distinct.join(full, "key", "left_semi").select("key", F.col("least.doc_id").alias("one_id"), F.col("least.text_md5").alias("one_md5"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text", md5.alias("text_md5"))
     texts = materialize(own.join(rows_of, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))).groupBy("key").agg(F.min("text").alias("text")), "texts")
 
@@ -232,37 +257,38 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float, centres:
         pairs = materialize(pairs.distinct(), "pairs")
         return pairs.join(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "centre")
 
-    tested = counted(in_shared.filter("key <> centre").select("centre", F.col("key").alias("member")))
-    links = materialize(verified(tested, texts, threshold), "verified")
-    tested = tested.select("centre", "member")  # a bucket's first centre is its least key, so pairs stand in order
-    done = shared.select("bucket", F.col("centre").alias("c"))
-    root = components(distinct.select("key"), links)
-    more = in_shared.filter("size > 2").select("bucket", "key")
-    for _ in range(10_000):
-        root = materialize(root, "components")
-        rooted = more.join(root, "key")
-        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        more = materialize(more.join(mixed, "bucket", "left_semi"), "mixed")
-        if more.isEmpty():
-            break
-        rooted = more.join(root, "key")
-        sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        waiting = rooted.join(largest, "bucket").filter("root <> main").select("bucket", F.col("key").alias("c"), F.col("root").alias("c_root")).join(done, ["bucket", "c"], "left_anti")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
+
+    members = shared.join(centre, "bucket")
+    first = materialize(verified(counted(members.filter("key <> centre").select("centre", F.col("key").alias("member"))), texts, True), "verified")
+    links = ordered(first.filter(F.col("similarity") >= threshold)).distinct()
+    tested = ordered(first)
+    root = materialize(components(distinct.select("key"), links), "components")
+    # only buckets of more than two texts can hold an unseen pair; a centre itself has been compared with all
+    mixed = members.filter("size > 2").join(root, "key").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    bound = reach(first).filter(F.col("common") + F.col("shared") >= threshold * F.col("size"))
+    open_rows = materialize(members.filter("size > 2 and key <> centre").drop("size").join(mixed, "bucket", "left_semi").join(bound, ["centre", "key"]).select("bucket", "key", "size", "common", "shared"), "open")
+    done = open_rows.select("bucket", F.col("key").alias("c")).limit(0)
+    while True:
+        rooted = open_rows.join(root, "key")
+        largest = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        waiting = rooted.join(largest, "bucket").filter("root <> main").select("bucket", F.col("key").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"), F.col("common").alias("c_common"), F.col("shared").alias("c_shared")).join(done, ["bucket", "c"], "left_anti")
         ranked = waiting.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("c")))
         chosen = materialize(ranked.filter(F.col("rank") <= centres).drop("rank"), "centres")
-        done = done.unionByName(chosen.select("bucket", "c"))
         if chosen.isEmpty():
             break
-        across = chosen.join(rooted, "bucket").filter("root <> c_root").select(F.least("c", "key").alias("centre"), F.greatest("c", "key").alias("member"))
+        done = done.unionByName(chosen.select("bucket", "c"))
+        most = F.least("common", "c_common") + F.least("shared", "c_shared")
+        able = (F.col("root") != F.col("c_root")) & (most >= threshold * (F.col("size") + F.col("c_size") - most))
+        across = chosen.alias("a").join(rooted.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & able).select(F.least("c", "key").alias("centre"), F.greatest("c", "key").alias("member"))
         fresh = counted(across.join(tested, ["centre", "member"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        found = materialize(verified(fresh, texts, threshold), "verified")
-        tested = tested.unionByName(fresh.select("centre", "member"))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            root = components(distinct.select("key"), links)
+        found = materialize(verified(fresh, texts, False), "verified")
+        tested = tested.unionByName(found.select("centre", "member"))
+        near = found.filter(F.col("similarity") >= threshold)
+        if not near.isEmpty():
+            links = links.unionByName(near.select("centre", "member"))
+            root = materialize(components(distinct.select("key"), links), "components")
     degree = links.select(F.explode(F.array("centre", "member")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     per_key = distinct.join(root, "key").join(degree, "key", "left")
     named = per_key.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.when(F.col("least.doc_id").isNotNull(), F.col("least"))).alias("first"), F.min("least").alias("any_first"))

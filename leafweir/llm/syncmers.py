@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import materialize
-from ._text import all_spans, chunks, prefix_hash, sliding, span_hash
+from ._store import fan_out
+from ._text import CHUNK_BYTES, all_spans, chunks, prefix_hash, sliding, span_hash
 
 K, S = 32, 12
 
@@ -134,59 +134,41 @@ def _compare(ids: list, texts: list[str], following: list[str], k: int, s: int)
 def edited_likeness(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Each text against its edited form and its follower, by descending id (ties by text; null ids last).
 
-    Texts are range-partitioned once. A task needs a row's follower only, so it holds one row back;
-    the last row of a partition and the first of the next meet in a second, small step: at most two
-    rows for each partition. After the last row comes the first.
+    Texts are dealt once, by ranges of ids cut at quantiles, and sorted. A task holds one row back until
+    its follower comes. The last row of a range needs the first of the next one: that row is dealt to
+    both, as a guard behind the range's own rows. After the last range comes the first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    size = 1 << 20
+    parts = max(1, fan_out(docs))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts - 1, 0, -1)] or [0.5], F.lit(max(10_000, 100 * parts)))).first()[0] or []
+    cuts = sorted(set(cuts), reverse=True)
+    # range number: how many cuts the id is not above; a null id is below them all
+    part = (F.lit(len(cuts)) if not cuts else F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))))).cast("int")
+    rows = rows.withColumn("part", part)
+    heads = rows.groupBy("part").agg(F.max("doc_id").alias("top"))
+    around = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one row for each range: bounded by the number of partitions
+    follows = heads.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.last("part").over(around)).alias("before"), "top")
+    guard = rows.join(F.broadcast(follows.withColumnRenamed("part", "own")), (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    guard = guard.groupBy("own").agg(F.first("before").alias("part"), F.first("doc_id").alias("doc_id"), F.min("text").alias("text")).select("doc_id", "text", "part", F.lit(True).alias("guard"))
+    order = ["part", "guard", F.col("doc_id").desc_nulls_last(), "text"]
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
-        seen = held = 0
-
-        def out(columns: dict, n: int, edge: str | None, text: str | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({**columns, "part": pa.array([part] * n, type=pa.int32()), "edge": pa.array([edge] * n, type=pa.string()), "edge_text": pa.array([text] * n, type=pa.string())})
-
-        def edge(i, text: str, kind: str) -> pa.RecordBatch:
-            empty = {f.split()[0]: pa.array([None], type={"long": pa.int64(), "double": pa.float64()}.get(f.split()[1], pa.string())) for f in _RESULT.split(", ")}
-            return out(empty | {"doc_id": pa.array([i], type=pa.int64())}, 1, kind, text)
-
+        size = 0
         for batch in batches:
-            more, more_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, text in zip(more, more_texts, strict=True):
-                if not seen:
-                    yield edge(i, text, "first")
-                seen += 1
+            for i, text, guards in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "guard")), strict=True):
                 ids.append(i)
                 texts.append(text)
-                held += len(text)
-                if len(texts) > 1 and (len(texts) > 256 or held > size):
-                    yield out(_compare(ids[:-1], texts[:-1], texts[1:], k, s), len(ids) - 1, None, None)
-                    ids, texts, held = ids[-1:], texts[-1:], len(text)
-        if len(texts) > 1:
-            yield out(_compare(ids[:-1], texts[:-1], texts[1:], k, s), len(ids) - 1, None, None)
+                size += len(text)
+                if guards or len(texts) > 256 or size > CHUNK_BYTES:
+                    if len(texts) > 1:
+                        yield pa.RecordBatch.from_pydict(_compare(ids[:-1], texts[:-1], texts[1:], k, s))
+                    ids, texts = (ids[-1:], texts[-1:]) if not guards else ([], [])
+                    size = sum(map(len, texts))
         if texts:
-            yield edge(ids[-1], texts[-1], "last")
-
-    done = materialize(rows.repartitionByRange(max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order).mapInArrow(local, f"{_RESULT}, part int, edge string, edge_text string"), "fingerprints")
-    # partitions in order: each last row with the first row of the next partition that has rows
-    edges = done.filter("edge is not null").select("doc_id", "part", "edge", "edge_text")
-    ends = edges.groupBy("part").agg(
-        F.max(F.when(F.col("edge") == "last", F.struct(F.col("doc_id").alias("i"), F.col("edge_text").alias("t")))).alias("last"), F.max(F.when(F.col("edge") == "first", F.col("edge_text"))).alias("first")
-    )
-    chain = Window.orderBy("part")
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joined = ends.select(F.col("last.i").alias("doc_id"), F.col("last.t").alias("text"), F.coalesce(F.lead("first").over(chain), F.first("first").over(whole)).alias("following"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text, following in zip(*(batch.column(x).to_pylist() for x in range(3)), strict=True):
-                yield pa.RecordBatch.from_pydict(_compare([i], [text], [following], k, s))
+            raise ValueError("a range came without its guard")
 
-    return done.filter("edge is null").select("doc_id", *[f.split()[0] for f in _RESULT.split(", ")[1:]]).unionByName(joined.mapInArrow(across, _RESULT))
+    every = rows.withColumn("guard", F.lit(False)).unionByName(guard)
+    return every.repartitionById(max(1, len(cuts) + 1), "part").sortWithinPartitions(*order).mapInArrow(run, _RESULT)

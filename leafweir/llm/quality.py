@@ -5,10 +5,11 @@ Grades 0 < 1 < ... < G share one vector of weights over hashed text features; or
 order by holding their gaps as exponentials. Scores give the expected grade and the tail
 probability P(grade >= ``select``), by which texts are selected.
 
-Features (whole texts): presence of each word; binned shape figures: share of bytes that are
-letters, digits, spaces, upper-case and other punctuation, share of repeated words and lines, word
-length, text length. The vector's length is set to one for the words and one for the shape, so long
-texts do not outweigh short ones; words carry an idf learned from the sample.
+Features (whole texts): presence of each word and of each run of punctuation, by hash; binned shape
+figures: shares of upper-case, lower-case, digits, spaces and punctuation, words alike that adjoin,
+distinct words and lines, word length, length, words a line. Only words whose grades differ from
+those of the sample by ``Z`` standard deviations keep a weight: the many others would add up to noise
+in long texts.
 
 Fitting takes at most ``sample`` labelled rows, those of least hash of (doc_id, text): a bound that
 is a parameter, as the model's size is. Scoring covers every row and needs no shuffle.
@@ -27,18 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Chunk, chunks, ranges, words
+from ._text import U64, Chunk, Words, chunks, mix64, prefix_hash, ranges, span_hash, words
 
 BITS = 18
 SAMPLE = 12_000
 EPOCHS = 12
+LEAST_STEPS = 500
+Z = 4.0
 _SHAPES = 12
 _BINS = 12
 
 
 class Model(NamedTuple):
     weights: np.ndarray
-    idf: np.ndarray
+    known: np.ndarray
     thresholds: np.ndarray
     bits: int
 
@@ -55,7 +58,7 @@ _CLASS[48:58] = 3
 _CLASS[[9, 10, 11, 12, 13, 32]] = 4
 
 
-def _shape(c: Chunk, text: np.ndarray, distinct: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+def _shape(c: Chunk, w: Words, distinct: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """texts x _SHAPES bin numbers."""
     n = c.hi - c.lo
     size = np.maximum(np.diff(c.off), 1).astype(np.float64)
@@ -69,9 +72,13 @@ def _shape(c: Chunk, text: np.ndarray, distinct: np.ndarray, n_words: np.ndarray
     newline = np.concatenate([[0], np.cumsum(c.data == 10)])
     lines = newline[c.off[1:]] - newline[c.off[:-1]] + 1
     nw = np.maximum(n_words, 1)
+    h = w.hash
+    again = np.concatenate([[0], np.cumsum(np.append(False, h[1:] == h[:-1]))]) if len(h) else np.zeros(1, dtype=np.int64)
+    alike = again[w.off[1:]] - again[w.off[:-1]]
+    root = lambda x: np.sqrt(x) * _BINS
     cols = [
-        *(shares[:, k] * _BINS for k in range(5)), kinds[:, 1] / letters * _BINS, kinds[:, 0] / nw * 4, distinct / nw * _BINS,
-        letters / nw, np.log2(size), np.log2(1 + n_words / lines), np.log2(1 + kinds[:, 3]),
+        *(root(shares[:, k]) for k in range(5)), root(kinds[:, 1] / letters), root(alike / nw), distinct / nw * _BINS,
+        letters / nw, np.log2(size), np.log2(1 + n_words / lines), root(kinds[:, 0] / (kinds[:, 0] + nw)),
     ]
     return np.stack([np.clip(x, 0, _BINS - 1).astype(np.int64) for x in cols], axis=1)
 
@@ -81,16 +88,25 @@ def features(c: Chunk, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = words(c)
     n = c.hi - c.lo
     text = np.repeat(np.arange(n), np.diff(w.off))
-    h = (w.hash >> U64(64 - bits)).astype(np.int64)
-    key = np.unique(text * (1 << bits) + h)
+    mark = _CLASS[c.data] == 0
+    edge = np.ones(len(mark) + 1, dtype=bool)
+    edge[1:-1] = mark[1:] != mark[:-1]
+    edge[c.off] = True
+    border = np.flatnonzero(edge)
+    start, end = border[:-1], border[1:]
+    run = mark[start] if len(mark) else np.zeros(0, dtype=bool)
+    start, end = (start[run], end[run]) if len(mark) else (border[:0], border[:0])
+    marks = mix64(span_hash(prefix_hash(c.data), start, end) + U64(1))
+    h = (np.concatenate([w.hash, marks]) >> U64(64 - bits)).astype(np.int64)
+    key = np.unique(np.concatenate([text, np.searchsorted(c.off, start, side="right") - 1]) * (1 << bits) + h)
     own = key >> bits
     off = np.searchsorted(own, np.arange(n + 1))
-    shape = _shape(c, text, np.diff(off), np.diff(w.off))
+    shape = _shape(c, w, np.diff(off), np.diff(w.off))
     return off, key & ((1 << bits) - 1), (1 << bits) + shape + np.arange(_SHAPES) * _BINS
 
 
 def _scores(m: Model, off: np.ndarray, feature: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    value = m.idf[feature]
+    value = m.known[feature]
     total = np.concatenate([[0], np.cumsum(value * m.weights[feature])])
     return (total[off[1:]] - total[off[:-1]]) + m.weights[shape].sum(axis=1) / np.sqrt(_SHAPES)
 
@@ -135,9 +151,13 @@ def fit(docs: DataFrame, graded: DataFrame, bits: int = BITS, sample: int = SAMP
 def _descend(off, feature, shape, grade, bits, epochs, seed) -> Model:
     """Adam over mini-batches on the cumulative-link likelihood."""
     size, levels = 1 << bits, int(grade.max())
-    df = np.bincount(feature, minlength=size)
-    idf = np.log((1 + len(grade)) / (1 + df)) / np.log(1 + len(grade))
-    idf[df < 3] = 0  # words of one or two texts say nothing about others
+    owner = np.repeat(np.arange(len(grade)), np.diff(off))
+    df, keep = np.bincount(feature, minlength=size), np.zeros(size, dtype=bool)
+    for g in range(1, levels + 1):
+        p = (grade >= g).mean()
+        k = np.bincount(feature[grade[owner] >= g], minlength=size)
+        keep |= np.abs(k - df * p) >= Z * np.sqrt(df * p * (1 - p) + 0.5)
+    known = (keep & (df >= 5)).astype(np.float64)
     dim = size + _SHAPES * _BINS
     w, m1, m2 = np.zeros(dim), np.zeros(dim), np.zeros(dim)
     # thresholds t_1, t_1 + e^a, ...
@@ -152,13 +172,14 @@ def _descend(off, feature, shape, grade, bits, epochs, seed) -> Model:
     def cuts() -> np.ndarray:
         return q[0] + np.concatenate([[0], np.cumsum(np.exp(q[1:]))])
 
-    for _ in range(epochs):
+    batch = int(np.clip(len(grade) // 40, 16, 256))
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(grade)))):
         order = draw.permutation(len(grade))
-        for lo in range(0, len(order), 256):
-            at = np.sort(order[lo : lo + 256])
+        for lo in range(0, len(order), batch):
+            at = np.sort(order[lo : lo + batch])
             n = off[at + 1] - off[at]
             own, f = np.repeat(np.arange(len(at)), n), feature[ranges(off[at], n)]
-            v = idf[f]
+            v = known[f]
             score = np.bincount(own, v * w[f], minlength=len(at)) + w[shape[at]].sum(axis=1) / np.sqrt(_SHAPES)
             t = cuts()
             tail = _tails(score, t)
@@ -184,7 +205,7 @@ def _descend(off, feature, shape, grade, bits, epochs, seed) -> Model:
                 b *= 0.99
                 b += 0.01 * dx * dx
                 x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-    return Model(w, idf, cuts(), bits)
+    return Model(w, known, cuts(), bits)
 
 
 def score(docs: DataFrame, model: Model, select: int | None = None, at_least: float = 0.5) -> DataFrame:

@@ -142,7 +142,7 @@ def symbol_noise(spark, d):
     return rules.symbol_noise(pages(spark, d)).select("doc_id", "page", F.col("detail").cast("double").alias("share"))
 
 
-@query(r"+ t as (select doc_id, page, list_filter(regexp_split_to_array(trim(text), '\s+'), x -> length(x) > 0) as w from page) select doc_id, page, len(w) as tokens, len(list_filter(w, x -> regexp_matches(x, '^\p{L}$'))) as single, len(list_filter(w, x -> regexp_matches(x, '^\p{L}{1,2}$'))) as short from t where len(w) >= 80")
+@query(r"+ t as (select doc_id, page, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: length(x) > 0) as w from page) select doc_id, page, len(w) as tokens, len(list_filter(w, lambda x: regexp_matches(x, '^\p{L}$'))) as single, len(list_filter(w, lambda x: regexp_matches(x, '^\p{L}{1,2}$'))) as short from t where len(w) >= 80")
 def word_fragmentation_stats(spark, d):
     tokens = F.filter(F.split(F.trim(F.col("text")), r"\s+"), lambda w: F.length(w) > 0)
     n = lambda p: F.size(F.filter(tokens, lambda w: w.rlike(p))).cast("long")
@@ -171,7 +171,7 @@ def localized_glyph_noise(spark, d):
     return rules.localized_glyph_noise(pages(spark, d)).select("doc_id", "page", F.col("detail").alias("rule"))
 
 
-@query(r"""select doc_id, regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), s -> not (length(s) > 0 and length(regexp_replace(s, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) = 0)), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') as text from documents""", evidence=False)
+@query(r"""select doc_id, regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: not (length(s) > 0 and length(regexp_replace(s, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) = 0)), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') as text from documents""", evidence=False)
 def normalize_text_c0(spark, d):
     return docs(spark, d).select("doc_id", T.strip_controls(F.col("text")).alias("text"))
 
@@ -233,16 +233,17 @@ def column_order(spark, d):
     return layout.column_order(blocks(spark, d), W).select("doc_id", "page", "block", F.col("ord").cast("int").alias("ord"))
 
 
-@query("""+ g as (select *, lag(x + width) over (partition by doc_id, page, line order by x, word) as e from span) select doc_id, page, cast(floor((x + e) / 2 / 5.0) as bigint) as bin, count(distinct line) as rows from g where x - e >= 6 group by all having count(distinct line) >= 3""")
+@query("""+ g as (select *, lag(x + width) over (partition by doc_id, page, line order by x, word) as e from span) select doc_id, page, cast(floor((x + e) / 2 / 5.0) as bigint) as bin, count(distinct line) as rows from g where x - e >= 0.5 * font_size group by all having count(distinct line) >= 3""")
 def recurring_gutters(spark, d):
     return layout.recurring_gutters(spans(spark, d), 3, 0.5)
 
 
 @query("""+ a as (select doc_id, page, block, x, y, width, height from block), p as (select a.doc_id, a.page, a.block, o.block as other, a.y - (o.y + o.height) as up, o.y - (a.y + a.height) as down from a join a o on a.doc_id = o.doc_id and a.page = o.page and a.block <> o.block and least(a.x + a.width, o.x + o.width) > greatest(a.x, o.x)),
-n as (select doc_id, page, block, arg_min(other, (up, other)) filter (where up >= 0) as above, arg_min(other, (down, other)) filter (where down >= 0) as below from p group by all)
-select a.doc_id, a.page, a.block, above, below from a left join n using (doc_id, page, block)""")
+n as (select doc_id, page, block, arg_min(other, up * 1000000 + other) filter (where up >= 0) as above, arg_min(other, down * 1000000 + other) filter (where down >= 0) as below from p group by all)
+select a.doc_id, a.page, a.block, coalesce(above, -1) as above, coalesce(below, -1) as below from a left join n using (doc_id, page, block)""")
 def heading_neighbours(spark, d):
-    return layout.neighbours(blocks(spark, d))
+    near = layout.neighbours(blocks(spark, d))
+    return near.select("doc_id", "page", "block", F.coalesce("above", F.lit(-1)).alias("above"), F.coalesce("below", F.lit(-1)).alias("below"))
 
 
 @query(r"""select doc_id, page, line, word, text from span where regexp_matches(text, '\d') and length(regexp_replace(text, '[0-9.,()%$¥€£+\-/~\s·⋅∙×^]', '', 'g')) = 0""")
@@ -276,10 +277,11 @@ def strip_repeated_body(spark, d):
 
 @query("+" + _MARKED + """, p as (select a.doc_id, a.page, a.block, b.block as chrome, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) as depth, b.y - (a.y + a.height) as gap from marked a join marked b on a.doc_id = b.doc_id and a.page = b.page
 where not a.repeated and b.repeated and b.y + b.height > a.y and least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x))
-select doc_id, page, block, coalesce(arg_min(chrome, (-depth, chrome)) filter (where depth > 0), arg_min(chrome, (gap, chrome)) filter (where depth <= 0 and gap >= 0 and gap < 6)) as other_block, max(depth) filter (where depth > 0) as overlap,
-case when count(*) filter (where depth > 0) = 0 then min(gap) filter (where depth <= 0 and gap >= 0 and gap < 6) end as gap from p where depth > 0 or (gap >= 0 and gap < 6) group by all""")
+select doc_id, page, block, coalesce(arg_min(chrome, (-depth, chrome)) filter (where depth > 0), arg_min(chrome, (gap, chrome)) filter (where depth <= 0 and gap >= 0 and gap < 6)) as other_block, coalesce(max(depth) filter (where depth > 0), 0.0) as overlap,
+coalesce(case when count(*) filter (where depth > 0) = 0 then min(gap) filter (where depth <= 0 and gap >= 0 and gap < 6) end, -1.0) as gap from p where depth > 0 or (gap >= 0 and gap < 6) group by all""")
 def body_near_chrome(spark, d):
-    return chrome.body_near_chrome(chrome.mark_repeated(blocks(spark, d)))
+    near = chrome.body_near_chrome(chrome.mark_repeated(blocks(spark, d)))
+    return near.withColumns({"overlap": F.coalesce("overlap", F.lit(0.0)), "gap": F.coalesce("gap", F.lit(-1.0))})
 
 
 # -- geometry rules --------------------------------------------------------------------------------
@@ -351,7 +353,7 @@ def redaction_coverage(spark, d):
 # -- search ----------------------------------------------------------------------------------------
 
 _FOUND = """f as (select doc_id, page, line, q, regexp_extract_all(text, p) as m, regexp_split_to_array(text, p) as s, x, y, width, height, text from line, (values (0, '(?i)nder'), (1, '(?i)tion the')) as v(q, p)),
-hit as (select doc_id, page, line, q as query, m[k] as match, list_sum(list_transform(s[1:k], z -> length(z))) + coalesce(list_sum(list_transform(m[1:k - 1], z -> length(z))), 0) as start, x, y, width, height, text from (select *, unnest(range(1, len(m) + 1)) as k from f where len(m) > 0))"""
+hit as (select doc_id, page, line, q as query, m[k] as match, list_sum(list_transform(s[1:k], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda z: length(z))), 0) as start, x, y, width, height, text from (select *, unnest(range(1, len(m) + 1)) as k from f where len(m) > 0))"""
 
 
 def _hits(spark, d):
@@ -363,9 +365,9 @@ def search_literal(spark, d):
     return _hits(spark, d).select("doc_id", "page", "line", "query", "match", "start", "x", "width")
 
 
-@query(r"select doc_id, page, line, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:tion|ment|heit)\b')) as match from line")
+@query(r"select doc_id, page, line, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:tion|ment|heit)[ .,]')) as match from line")
 def search_regex(spark, d):
-    return search.matches(lines(spark, d), search.compile_queries(r"[A-Z][a-z]+(?:tion|ment|heit)\b", regex=True, case_sensitive=True)).select("doc_id", "page", "line", "match")
+    return search.matches(lines(spark, d), search.compile_queries(r"[A-Z][a-z]+(?:tion|ment|heit)[ .,]", regex=True, case_sensitive=True)).select("doc_id", "page", "line", "match")
 
 
 @query("+ " + _FOUND + ", n as (select *, row_number() over (partition by doc_id, page, query order by line, start) as k from hit) select doc_id, page, query, line, cast(start as integer) as start from n where k <= 3")
@@ -422,7 +424,7 @@ def link_extract(spark, d):
 
 
 @query(r"""with l as (select page_id, unnest(regexp_extract_all(html, '(?i)<a\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) as target, unnest(regexp_extract_all(html, '(?i)<a\s+[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) as text from pages),
-w as (select *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> length(x) > 0) as a, list_filter(regexp_split_to_array(lower(target), '[^\p{L}\p{N}]+'), x -> length(x) > 0) as b from l)
+w as (select *, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0) as a, list_filter(regexp_split_to_array(lower(target), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0) as b from l)
 select page_id, count(*) as links, sum((len(a) > 0 and list_has_all(b, a))::int)::bigint as restated from w group by all""", evidence=False)
 def anchor_restates_target(spark, d):
     found = forms.html_links(ev.table(spark, d, "pages"))
@@ -435,7 +437,7 @@ def heading_extract(spark, d):
 
 
 @query(r"""with r as (select page_id, cast(k - 1 as integer) as row, tr[k] as tr from (select page_id, tr, unnest(range(1, len(tr) + 1)) as k from (select page_id, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) as tr from pages)))
-select page_id, row, len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) as cells, array_to_string(list_transform(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), c -> trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), '|') as text from r where len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) > 0""", evidence=False)
+select page_id, row, len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) as cells, array_to_string(list_transform(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), lambda c: trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), '|') as text from r where len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) > 0""", evidence=False)
 def structure_table_grid(spark, d):
     cells = forms.html_cells(ev.table(spark, d, "pages")).withColumns({"doc_id": F.col("page_id"), "page": F.lit(1), "table": F.lit(0)})
     return forms.structure_tables(cells).select(F.col("doc_id").alias("page_id"), "row", F.size("cells").cast("long").alias("cells"), F.array_join("cells", "|").alias("text"))
@@ -454,11 +456,11 @@ def link_text_join(spark, d):
 # -- OCR against native text -----------------------------------------------------------------------
 
 
-@query(r"""with t as (select doc_id, trim(regexp_replace(lower(substr(text, 1, 180)), '\s+', ' ', 'g')) as a, trim(regexp_replace(lower(reverse(substr(text, 1, 180))), '\s+', ' ', 'g')) as b from documents)
+@query(r"""with h as (select doc_id, regexp_replace(substr(text, 1, 180), '[^\x00-\x7F]', '', 'g') as s from documents), t as (select doc_id, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) as a, trim(regexp_replace(lower(reverse(s)), '\s+', ' ', 'g')) as b from h)
 select doc_id, levenshtein(a, b) as distance from t where length(a) between 3 and 200 and length(b) between 3 and 200 and least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.75 and floor(levenshtein(a, b) / greatest(length(a), length(b)) * 1000 + 0.5) / 1000 >= 0.5""", evidence=False)
 def ocr_native_mismatch(spark, d):
     """The first line's worth of text against itself reversed, as if an engine had misread it."""
-    head = F.substring("text", 1, 180)
+    head = F.regexp_replace(F.substring("text", 1, 180), r"[^\x{0}-\x{7F}]", "")
     pairs = docs(spark, d).select("doc_id", head.alias("native"), F.reverse(head).alias("ocr"), F.lit(0.95).alias("confidence"))
     return ocr.native_mismatch(pairs).select("doc_id", F.col("distance").cast("long").alias("distance"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .text import strip_controls
@@ -17,7 +17,8 @@ def nfkc(rows: DataFrame, column: str, strip: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.set_column(at, batch.schema.field(at), pc.utf8_normalize(batch.column(at), form="NFKC"))
+            texts = [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, type=pa.string()))
 
     out = rows.mapInArrow(run, rows.schema)
     return out.withColumn(column, strip_controls(out[column])) if strip else out

@@ -70,7 +70,7 @@ def spans(line_rows: DataFrame) -> DataFrame:
 
 #: The same rules in SQL, for the checks: CTEs line, block and page.
 SQL = """
-cut as (select doc_id, source, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), t -> list_transform(range(0, greatest(1, cast(ceil(length(t) / 90.0) as bigint))), j -> {'text': substr(t, j * 90 + 1, 90), 'first': j = 0}))) as cells from documents),
+cut as (select doc_id, source, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda t: list_transform(range(0, greatest(1, cast(ceil(length(t) / 90.0) as bigint))), lambda j: {'text': substr(t, j * 90 + 1, 90), 'first': j = 0}))) as cells from documents),
 cell as (select doc_id, source, unnest(cells) as c, generate_subscripts(cells, 1) - 1 as n from cut),
 line as (select doc_id, source, cast(n // 40 + 1 as integer) as page, cast(n % 40 as integer) as line, c.text as text, c.first or n % 40 = 0 as start,
   36.0::double as x, (36.0 + 18.0 * (n % 40))::double as y, (6.0 * length(c.text))::double as width,
@@ -81,5 +81,5 @@ block as (select doc_id, source, page, block, string_agg(text, chr(10) order by
 page as (select doc_id, source, page, string_agg(text, chr(10) order by line) as text, length(string_agg(text, chr(10) order by line)) as char_count,
   floor(sum(width * height) / (612.0 * 792.0) * 1000 + 0.5) / 1000 as text_coverage from line group by all),
 words as (select doc_id, page, line, y, height, font_size, string_split(text, ' ') as w from line),
-span as (select * from (select doc_id, page, line, generate_subscripts(w, 1) - 1 as word, unnest(w) as text, 36.0 + 6.0 * unnest(list_transform(range(0, len(w)), i -> length(array_to_string(w[1:i], ' ')) + (i > 0)::int)) as x, y, 6.0 * length(unnest(w)) as width, height, font_size from words) where length(text) > 0)
+span as (select * from (select doc_id, page, line, generate_subscripts(w, 1) - 1 as word, unnest(w) as text, 36.0 + 6.0 * unnest(list_transform(range(0, len(w)), lambda i: length(array_to_string(w[1:i], ' ')) + (i > 0)::int)) as x, y, 6.0 * length(unnest(w)) as width, height, font_size from words) where length(text) > 0)
 """

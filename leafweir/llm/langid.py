@@ -1,7 +1,7 @@
 """Language identification by nearest centroids (op 6).
 
 A text is a vector of hashed byte 1- to 3-grams of its letters (other bytes count as one space),
-weighted by log(1 + count) * idf and set to length one. Each language has several centroids, from
+weighted by count * idf and set to length one (so that the language of most of a text decides). Each language has several centroids, from
 spherical k-means over the vectors of a bounded, hash-picked sample of its learned texts. A text
 gets the language of the nearest centroid by cosine. It is rejected when it lies further from that
 centroid than its language's reach: the given quantile of the sample's distances, times ``slack``.
@@ -30,7 +30,7 @@ from ._text import CHUNK_BYTES, U64, Chunk, chunks, mix64
 DIMS = 4096
 SAMPLE = 400
 CENTROIDS = 4
-QUANTILE, SLACK, MOST = 0.99, 1.5, 0.97
+QUANTILE, SLACK, MOST = 0.99, 2.2, 0.97
 
 _MAP = np.full(256, 32, dtype=np.uint8)
 _MAP[97:123] = np.arange(97, 123)
@@ -83,7 +83,7 @@ def _grams(c: Chunk, dims: int) -> np.ndarray:
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts) * idf
+    v = counts * idf
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return v / np.maximum(norm, 1e-12)
 
@@ -113,7 +113,7 @@ def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int
     at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
     total, df = int(n[at == -1].sum()), np.zeros(dims)
     df[at[at >= 0]] = n[at >= 0]
-    idf = (np.log((1 + total) / (1 + df)) + 0.1).astype(np.float32)
+    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     # the sample: per language the rows of least text hash, kept as they are met (a hot language is no larger than another)
     picked = known.withColumn("h", F.xxhash64("text")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by("text", "h").alias("text"))
 

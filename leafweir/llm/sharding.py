@@ -41,20 +41,25 @@ def tree(shards: int, per_rack: int = 4, racks: int = 5) -> list[Shard]:
     return [Shard(s // per_rack // racks, s // per_rack, s) for s in range(shards)]
 
 
-def _draw(key: Column, s: Shard) -> Column:
-    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(s.region), F.lit(s.rack), F.lit(s.shard)), 11)
-    return F.struct((-F.log((h.cast("double") + 0.5) * _STEPS) / s.weight).alias("draw"), F.lit(s.shard).alias("shard"))
-
-
 def place(key: Column, shards: list[Shard]) -> Column:
-    """Shard number of a key: least draw of each rack, of each region, of all."""
+    """Shard number of a key: the least draw of each rack's shards, of a region's racks, of all regions.
+
+    The tree is one literal of nested arrays that higher-order functions walk: generated code does not
+    grow with the number of shards.
+    """
     if not shards or any(not s.weight > 0 or not math.isfinite(s.weight) for s in shards):
         raise ValueError("a tree needs shards of positive finite weight")
     regions: dict[int, dict[int, list[Shard]]] = {}
     for s in shards:
         regions.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
-    first = lambda nodes: nodes[0] if len(nodes) == 1 else F.least(*nodes)
-    return first([first([first([_draw(key, s) for s in rack]) for rack in racks.values()]) for racks in regions.values()])["shard"]
+    leaf = lambda s: F.struct(F.lit(s.region).alias("region"), F.lit(s.rack).alias("rack"), F.lit(s.shard).alias("shard"), F.lit(float(s.weight)).alias("weight"))
+    nodes = F.array(*[F.array(*[F.array(*map(leaf, rack)) for rack in racks.values()]) for racks in regions.values()])
+
+    def draw(s: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, s["region"], s["rack"], s["shard"]), 11).cast("double") + 0.5) * _STEPS
+        return F.struct((-F.log(u) / s["weight"]).alias("draw"), s["shard"].alias("shard"))
+
+    return F.array_min(F.transform(nodes, lambda racks: F.array_min(F.transform(racks, lambda rack: F.array_min(F.transform(rack, draw))))))["shard"]
 
 
 def assign(docs: DataFrame, shards: list[Shard] | None = None, buckets: int = BUCKETS, grown: list[Shard] | None = None) -> DataFrame:

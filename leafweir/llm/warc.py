@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import fan_out, scratch, spread_back
+from ._store import scratch, spread_back
 
 ROLL = 4 << 20
 PIECE = 1 << 16
@@ -154,8 +154,8 @@ def archives(pages: DataFrame, least: int = 0, roll: int = ROLL) -> DataFrame:
         if held:
             yield out()
 
-    dealt = planned(pages, least).repartition(fan_out(pages), F.xxhash64("page_id", "url")).sortWithinPartitions("page_id", "url")
-    return dealt.mapInArrow(run, "name string, content binary, records long")
+    # pages stand where the join by payload has put them: they are not moved again
+    return planned(pages, least).sortWithinPartitions("page_id", "url").mapInArrow(run, "name string, content binary, records long")
 
 
 def write(pages: DataFrame, path: str, least: int = 0, roll: int = ROLL) -> None:

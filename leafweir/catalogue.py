@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from .functions import geometry as G
 from .functions import text as T
-from .operators import chrome, document, forms, layout, ocr, quality, regions, rules, search
-from .plans import process, report
+from .operators import chrome, document, forms, labels, layout, ocr, pagetext, quality, reading, regions, rules, search, tables, vertical
+from .plans import process, report, tools
 from .sources import evidence as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,3 +561,154 @@ def form_fields(spark, d):
     """A field box right of every eighth line when it is short."""
     at = lines(spark, d).filter("line % 8 = 2 and width < 150 and width > 0").select("doc_id", "page", F.col("line").alias("field"), (F.col("x") + 200).alias("x"), "y", F.lit(80.0).alias("width"), "height")
     return forms.nearest_label(at, lines(spark, d)).select("doc_id", "page", "field")
+
+
+# -- page text, rows, order ------------------------------------------------------------------------
+
+
+@query(r"""+ l as (select doc_id, page, line, word, text, lag(text) over (partition by doc_id, page, line order by word) as b, lag(x + width) over (partition by doc_id, page, line order by word) as e, x, font_size from span),
+s as (select *, case when b is null then '' when regexp_matches(b, '[\p{Latin}\p{Greek}\p{N})\].,;:!?]$') and regexp_matches(text, '^[\p{Latin}\p{Greek}\p{N}(]') and (x - e) / font_size >= 0.18 then ' ' when regexp_matches(b, '[\p{L}\p{N})\]]$') and regexp_matches(text, '(?i)^(?:https?://|www\.|doi:|arxiv:)') then ' ' else '' end as sep from l),
+r as (select doc_id, page, line, string_agg(sep || text, '' order by word) as t from s group by all) select doc_id, page, md5(string_agg(ltrim(t), chr(10) order by line)) as digest from r group by all""")
+def page_text_join(spark, d):
+    """Words as text items; the last of a line ends it."""
+    last = F.max("word").over(Window.partitionBy("doc_id", "page", "line"))
+    items = spans(spark, d).withColumns({"has_eol": F.col("word") == last, "ord": F.col("line") * 1000 + F.col("word")}).withColumnRenamed("text", "str")
+    return pagetext.page_text(items).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("select doc_id, page, md5(string_agg(t, chr(10) order by line)) as digest from (select doc_id, page, line, string_agg(text, ' ' order by word) as t from span group by all) group by all")
+def layout_lines(spark, d):
+    """The greedy fold from words back to lines."""
+    found = layout.lines_from_spans(spans(spark, d).withColumn("ord", F.col("line") * 1000 + F.col("word")), gutter_em=1e6)
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "line", "text"))), lambda s: s["text"]), "\n")
+    return found.groupBy("doc_id", "page").agg(F.md5(said.cast("binary")).alias("digest"))
+
+
+@query(r"""+ g as (select doc_id, page, line, text, font_size, x * 4 as x, width, x * 4 - lag(x * 4 + width) over (partition by doc_id, page, line order by x, word) as gap from span),
+r as (select doc_id, page, line, count(*) as n, bool_and(regexp_matches(text, '^\p{Latin}{1,16}$')) as latin, max(gap) as most, max(font_size) as em, max(x + width) - min(x) as across from g group by all)
+select doc_id, page, line from r where latin and n between 3 and 6 and across <= 0.85 * 2448 and most <= 0.2 * 2448 and most > greatest(1.5 * em, 16)""")
+def wide_word_rows(spark, d):
+    """Words of lines set four times as far apart on a sheet as much wider."""
+    return pagetext.wide_word_rows(spans(spark, d).withColumn("x", F.col("x") * 4), 4 * W)
+
+
+@query("+ d as (select distinct doc_id, page, text, line, x from span) select doc_id, page, count(*) as items, count(*) * 2 as drawn from d group by all")
+def text_item_dedupe(spark, d):
+    """Every word drawn twice."""
+    one = spans(spark, d).select("doc_id", "page", F.col("text").alias("str"), "width", "height", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), "x", "y").alias("transform"), F.lit("f").alias("font_name"), (F.col("line") * 1000 + F.col("word")).alias("ord"), F.lit(False).alias("has_eol"))
+    both = one.unionByName(one.withColumn("has_eol", F.lit(True)))
+    return layout.dedupe_items(both).filter("has_eol").groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("items"), (F.count(F.lit(1)) * 2).alias("drawn"))
+
+
+@query("""+ b as (select *, trim(split_part(text, chr(10), 1)) as probe, row_number() over (partition by doc_id, page order by block) - 1 as k, count(*) over (partition by doc_id, page) as n from block),
+p as (select b.doc_id, b.page, b.block, b.k, b.n, b.probe, strpos(page.text, b.probe) as pos, page.text as t, char_count from b join page using (doc_id, page))
+select doc_id, page, block, k / greatest(n - 1, 1) as layout, coalesce(case when length(probe) >= 8 and pos > 0 and strpos(substr(t, pos + 1), probe) = 0 then (pos - 1) / greatest(char_count, 1) end, -1.0) as native from p""")
+def reading_order_places(spark, d):
+    ls = lines(spark, d)
+    return reading.native_places(ev.blocks(ls), ev.pages(ls)).select("doc_id", "page", "block", "layout", F.coalesce("native", F.lit(-1.0)).alias("native"))
+
+
+@query("""+ b as (select *, (block * 7) % 5 as k2 from block), o as (select *, row_number() over (partition by doc_id, page order by k2, block) - 1 as nb from b), c as (select *, trim(split_part(text, chr(10), 1)) as probe from o),
+p as (select c.doc_id, c.page, c.nb, probe, strpos(page.text, probe) as pos, page.text as t, char_count from c join page using (doc_id, page)), v as (select *, case when length(probe) >= 8 and pos > 0 and strpos(substr(t, pos + 1), probe) = 0 then (pos - 1) / greatest(char_count, 1) end as native from p),
+w as (select *, (native < lag(native) over (partition by doc_id, page order by nb))::int as back from v where native is not null), s as (select doc_id, page, sum(back) as back, count(*) as n from w group by all)
+select doc_id, page, back::bigint as back, n from s where back >= 3 and back * 3 >= n""")
+def reading_order_sequential(spark, d):
+    """Blocks shuffled by their number against the text's own order."""
+    ls = lines(spark, d)
+    order = Window.partitionBy("doc_id", "page").orderBy((F.col("block") * 7) % 5, "block")
+    shuffled = ev.blocks(ls).withColumn("block", (F.row_number().over(order) - 1).cast("int"))
+    found = reading.out_of_sequence(reading.native_places(shuffled, ev.pages(ls)))
+    return found.select("doc_id", "page", F.split("detail", "/")[0].cast("long").alias("back"), F.split("detail", "/")[1].cast("long").alias("n"))
+
+
+# -- tables, forms, labels -------------------------------------------------------------------------
+
+
+@query("""with g as (select l_orderkey as doc_id, l_linenumber as line, l_linenumber - row_number() over (partition by l_orderkey order by l_linenumber) as island from (select distinct l_orderkey, l_linenumber from lineitem))
+select doc_id, cast(min(line) as integer) as first_line, cast(max(line) as integer) as last_line, count(*) as row_count from g group by doc_id, island having count(*) >= 5""", evidence=False)
+def aligned_text_tables(spark, d):
+    """Order lines as rows of three words at fixed places, 30 points apart."""
+    cells = F.array("l_returnflag", "l_linestatus", F.lit("unit"))
+    rows = ev.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").dropDuplicates(["l_orderkey", "l_linenumber"])
+    rows = rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("int").alias("line"), F.posexplode(cells).alias("word", "text"))
+    placed = rows.withColumns({"x": 40.0 + 100 * F.col("word"), "y": 30.0 * F.col("line"), "width": F.lit(30.0), "height": F.lit(12.0)})
+    return tables.aligned_text_tables(tables.rows_of(placed)).select("doc_id", "first_line", "last_line", "row_count")
+
+
+@query("""+ f as (select doc_id, page, x, y, width, height from line where width between 1 and 300), m as (select *, max(y + height) over (partition by doc_id, page order by y, x rows between unbounded preceding and 1 preceding) as low from f),
+n as (select *, sum(case when coalesce(y - low <= 18, false) then 0 else 1 end) over (partition by doc_id, page order by y, x) as part from m) select doc_id, page, min(y) as y, max(y + height) - min(y) as height, cast(count(*) as integer) as boxes from n group by doc_id, page, part""")
+def form_regions(spark, d):
+    """Short lines as fields."""
+    return regions.form_candidates(lines(spark, d).filter("width between 1 and 300")).select("doc_id", "page", "y", "height", "boxes")
+
+
+@query(r"""+ """ + _IMAGE + r""", l as (select doc_id, page, line, trim(text) as t, x, y, width, height from line where length(trim(text)) between 1 and 120 and regexp_matches(trim(text), '\p{L}') and len(regexp_extract_all(trim(text), '[^\p{L}\p{N}\s]')) < 0.5 * len(regexp_extract_all(trim(text), '\S')) and not regexp_matches(trim(text), '(?i)^(?:fig(?:ure)?\.?|table|tab\.|図|表)\s*[0-9]+')),
+p as (select i.doc_id, i.page, l.line, l.t, case when i.y - (l.y + l.height) >= 0 then i.y - (l.y + l.height) when l.y - (i.y + i.height) >= 0 then l.y - (i.y + i.height) else 0.0 end as away,
+ greatest(0, least(i.x + i.width, l.x + l.width) - greatest(i.x, l.x)) * greatest(0, least(i.y + i.height, l.y + l.height) - greatest(i.y, l.y)) >= 0.9 * l.width * l.height as inside, greatest(0, least(i.x + i.width, l.x + l.width) - greatest(i.x, l.x)) / least(i.width, l.width) as share from image i join l using (doc_id, page))
+select i.doc_id, i.page, coalesce(arg_min(t, away * 1000 + line) filter (where not inside and away <= 28 and share >= 0.45), '') as label from image i left join p using (doc_id, page) group by all""")
+def plain_labels(spark, d):
+    """Page images with the nearest plain line."""
+    at = images(spark, d).withColumnRenamed("image", "region")
+    found = labels.attach(at, lines(spark, d), labels.RULES["plain_label"], W * H)
+    return found.select("doc_id", "page", F.coalesce("plain_label", F.lit("")).alias("label"))
+
+
+@query("""+ n as (select doc_id, page, case when doc_id % 2 = 0 then substr(text, 11, 20) else 'zzz' || page end as contents, text from page)
+select doc_id, page from n where length(regexp_replace(contents, '\\s+', '', 'g')) > 0 and strpos(lower(regexp_replace(text, '\\s+', '', 'g')), lower(regexp_replace(contents, '\\s+', '', 'g'))) = 0""".replace("\\\\", "\\"))
+def annotation_text_missing(spark, d):
+    """A note on every page: words of it on pages of even documents, none of it on others."""
+    ps = pages(spark, d)
+    said = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 11, 20)).otherwise(F.concat(F.lit("zzz"), "page"))
+    notes = ps.select("doc_id", "page", F.lit("FreeText").alias("subtype"), said.alias("contents"), F.array(F.lit("print")).alias("flag_names"))
+    return forms.missing_annotation_text(notes, ps).select("doc_id", "page")
+
+
+@query("""with recursive node as (select r_regionkey as node, null::integer as parent, r_regionkey as ord, r_name as title from region union all select 100 + n_nationkey, n_regionkey, n_nationkey, n_name from nation),
+w as (select node, title, 1 as depth from node where parent is null union all select n.node, n.title, w.depth + 1 from w join node n on n.parent = w.node) select node, title, depth from w""", evidence=False)
+def outline_tree(spark, d):
+    """Regions as bookmarks with nations below them."""
+    none = F.lit(None).cast("string")
+    top = ev.table(spark, d, "region").select(F.lit(1).alias("doc_id"), F.col("r_regionkey").cast("int").alias("node"), F.lit(None).cast("int").alias("parent"), F.col("r_regionkey").cast("int").alias("ord"), F.col("r_name").alias("title"), none.alias("url"), none.alias("dest"))
+    low = ev.table(spark, d, "nation").select(F.lit(1).alias("doc_id"), (F.col("n_nationkey") + 100).cast("int").alias("node"), F.col("n_regionkey").cast("int").alias("parent"), F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("title"), none.alias("url"), none.alias("dest"))
+    return document.outline(top.unionByName(low)).select("node", "title", "depth")
+
+
+@query("""+ n as (select *, coalesce(abs(y - lag(y) over (partition by doc_id, page order by y, x, word)) > 0.75 * height, true)::int as new from span), s as (select *, sum(new) over (partition by doc_id, page order by y, x, word) - 1 as l from n)
+select doc_id, page, cast(l as integer) as line, md5(string_agg(text, ' ' order by x, word, text)) as digest from s group by all""")
+def ocr_word_lines(spark, d):
+    """Words as an engine would give them."""
+    return ocr.words_to_lines(spans(spark, d)).select("doc_id", "page", F.col("line").cast("int").alias("line"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("+" + _STATUS + ", c as (select doc_id, page, floor(least(1.0, greatest(0.0, ((doc_id * 13 + page * 7) % 110) / 100.0)) * 1000 + 0.5) / 1000 as confidence, char_count from status) select doc_id, page, confidence from c where confidence < 0.5 and char_count < 400")
+def ocr_low_confidence(spark, d):
+    """Confidences by number; short pages as the weak ones."""
+    ps = pages(spark, d)
+    seen = ps.select("doc_id", "page", ocr.confidence(((F.col("doc_id") * 13 + F.col("page") * 7) % 110).cast("double")).alias("confidence"))
+    weak = ps.select("doc_id", "page", F.when(F.col("char_count") < 400, "empty").otherwise("ok").alias("native_text_status"))
+    return rules.low_confidence_ocr(seen, weak).select("doc_id", "page", F.col("detail").cast("double").alias("confidence"))
+
+
+@query("+ " + _FOUND + ", r as (select doc_id, page, line, query, start, dense_rank() over (partition by doc_id order by page, line) as ord from hit) select doc_id, page, line, count(*) as hits, any_value(ord)::bigint as ord from r where ord <= 5 group by all")
+def search_tool(spark, d):
+    """The search tool: places in order, five a document."""
+    hits = search.collapse(search.crop_region(_hits(spark, d), lines(spark, d), W, H))
+    return hits.filter("ord <= 5").select("doc_id", "page", F.col("first.line").alias("line"), "hits", F.col("ord").cast("long").alias("ord"))
+
+
+@query()
+def read_tool(spark, d):
+    return tools.read(docs(spark, d))
+
+
+@query()
+def vertical_text(spark, d):
+    """Letters of the first words, one under another, as glyphs of a column; ruby finds none here."""
+    rows = spans(spark, d).filter("word = 0").withColumns({"text": F.translate(F.lower(F.substring("text", 1, 1)), "abcdefghijklmnopqrstuvwxyz", "日一国会人年大十二本中長出三同時政事自行社見月分議後"), "x": F.lit(300.0)})
+    return vertical.vertical_blocks(vertical.vertical_runs(rows))
+
+
+@query()
+def search_guarded(spark, d):
+    """A pattern that backtracks, under its time limit."""
+    return search.matches_guarded(lines(spark, d), search.compile_queries(r"\b(?:the|of|and)(?: \w+){0,3} (?:in|to)\b", regex=True))

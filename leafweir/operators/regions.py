@@ -53,8 +53,8 @@ def vector_candidates(vectors: DataFrame, gap: float = 10.0, least_boxes: int =
     return vectors.groupBy("doc_id", "page").applyInPandas(page, _SCHEMA)
 
 
-def merged(candidates: DataFrame, overlap: float = 0.75) -> DataFrame:
-    """First-fit merge, in order, of candidates that overlap by so much of the smaller one."""
+def merged(candidates: DataFrame, overlap: float = 0.75, alike: float = 0.0) -> DataFrame:
+    """First-fit merge, in order, of candidates that overlap by so much of the smaller one and are so alike in area."""
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
@@ -63,7 +63,8 @@ def merged(candidates: DataFrame, overlap: float = 0.75) -> DataFrame:
                 w = min(o[3] + o[5], r.x + r.width) - max(o[3], r.x)
                 h = min(o[4] + o[6], r.y + r.height) - max(o[4], r.y)
                 small = min(o[5] * o[6], r.width * r.height)
-                if w > 0 and h > 0 and small > 0 and w * h / small >= overlap:
+                large = max(o[5] * o[6], r.width * r.height)
+                if w > 0 and h > 0 and small > 0 and w * h / small >= overlap and small / large >= alike:
                     x, y = min(o[3], r.x), min(o[4], r.y)
                     o[5], o[6] = max(o[3] + o[5], r.x + r.width) - x, max(o[4] + o[6], r.y + r.height) - y
                     o[3], o[4], o[7], o[8] = x, y, o[7] + r.sources, o[8] + r.boxes
@@ -115,3 +116,107 @@ def build(images: DataFrame, vectors: DataFrame, lines: DataFrame, page_width: f
     found = raster_candidates(images, page_width, page_height).unionByName(vector_candidates(vectors))
     kept = without_contained(without_background(merged(found), page_width, page_height))
     return ranked(captioned(kept, lines), page_width, page_height)
+
+
+# -- more candidates -------------------------------------------------------------------------------
+
+
+def table_candidates(tables: DataFrame) -> DataFrame:
+    """Layout tables (doc_id, page and box) as candidates."""
+    return tables.select("doc_id", "page", F.lit("table").alias("kind"), "x", "y", "width", "height", F.lit(1).alias("sources"), F.lit(1).alias("boxes"))
+
+
+def annotation_candidates(annotations: DataFrame) -> DataFrame:
+    """Visible markup annotations as candidates."""
+    shown = annotations.filter("not array_contains(flag_names, 'hidden') and subtype not in ('Link', 'Widget', 'Popup')")
+    return shown.select("doc_id", "page", F.lit("annotation").alias("kind"), "x", "y", "width", "height", F.lit(1).alias("sources"), F.lit(1).alias("boxes"))
+
+
+def form_candidates(fields: DataFrame, gap: float = 18.0) -> DataFrame:
+    """Fields down a page with no gap over ``gap`` as one form region each."""
+    order = Window.partitionBy("doc_id", "page").orderBy("y", "x")
+    low = F.max(F.col("y") + F.col("height")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = fields.withColumn("_new", F.when(F.coalesce(F.col("y") - low <= gap, F.lit(False)), 0).otherwise(1)).withColumn("_part", F.sum("_new").over(order))
+    grouped = rows.groupBy("doc_id", "page", "_part").agg(F.count(F.lit(1)).cast("int").alias("boxes"), *G.union_aggs())
+    return grouped.select("doc_id", "page", F.lit("form").alias("kind"), "x", "y", "width", "height", F.lit(1).alias("sources"), "boxes")
+
+
+def ruled_candidates(vectors: DataFrame, kind: str = "table", gap: float = 14.0, least: int = 8, across: int = 3, down: int = 2, thick: float = 1.5) -> DataFrame:
+    """Clusters of thin rules with enough level and upright ones."""
+    rules_ = vectors.filter((F.least("width", "height") <= thick) & (F.greatest("width", "height") >= 18))
+    found = vector_candidates(rules_, gap, least)
+    v = rules_.select(F.col("doc_id").alias("vd"), F.col("page").alias("vp"), G.box().alias("_v"))
+    inside = G.touches(F.col("_b"), F.col("_v"), 1.0)
+    pair = found.withColumn("_b", G.box()).join(v, (F.col("doc_id") == F.col("vd")) & (F.col("page") == F.col("vp")) & inside)
+    level = F.col("_v.width") >= F.col("_v.height")
+    per = pair.groupBy("doc_id", "page", "x", "y", "width", "height", "boxes").agg(F.sum(level.cast("int")).alias("level"), F.sum((~level).cast("int")).alias("upright")).filter((F.col("level") >= across) & (F.col("upright") >= down))
+    return per.select("doc_id", "page", F.lit(kind).alias("kind"), "x", "y", "width", "height", F.lit(1).alias("sources"), "boxes")
+
+
+def mixed_diagrams(images: DataFrame, vectors: DataFrame, page_area: float, least_images: int = 3, least_vectors: int = 2) -> DataFrame:
+    """Small images and connectors of a page as one region when together they take 3 to 50 % of it."""
+    small = images.filter(F.col("width") * F.col("height") < 0.1 * page_area)
+    a = small.select("doc_id", "page", "x", "y", "width", "height", F.lit(1).alias("i"), F.lit(0).alias("v"))
+    b = vectors.select("doc_id", "page", "x", "y", "width", "height", F.lit(0).alias("i"), F.lit(1).alias("v"))
+    per = a.unionByName(b).groupBy("doc_id", "page").agg(F.sum("i").alias("i"), F.sum("v").alias("v"), *G.union_aggs())
+    share = F.col("width") * F.col("height") / page_area
+    return per.filter((F.col("i") >= least_images) & (F.col("v") >= least_vectors) & share.between(0.03, 0.5)).select("doc_id", "page", F.lit("mixed").alias("kind"), "x", "y", "width", "height", F.lit(2).alias("sources"), (F.col("i") + F.col("v")).cast("int").alias("boxes"))
+
+
+def merged_strips(candidates: DataFrame, gap: float = 12.0, share: float = 0.5) -> DataFrame:
+    """Low raster strips taken into the nearest vector chart that shares half of their width."""
+    strip = (F.col("kind") == "raster") & F.col("height").between(8, 36) & (F.col("width") >= 70)
+    s = candidates.filter(strip).withColumn("_s", G.box())
+    chart = candidates.filter("kind = 'vector'").select(F.col("doc_id").alias("cd"), F.col("page").alias("cp"), G.box().alias("_c"))
+    away = F.greatest(F.lit(0.0), -G.y_overlap(F.col("_s"), F.col("_c")))
+    pair = s.join(chart, (F.col("doc_id") == F.col("cd")) & (F.col("page") == F.col("cp")) & (away <= gap) & (G.horizontal_overlap_ratio(F.col("_s"), F.col("_c")) >= share))
+    best = pair.groupBy("doc_id", "page", "_s").agg(F.min(F.struct(away.alias("away"), "_c")).alias("b")).select("doc_id", "page", "_s", F.col("b._c").alias("_c"))
+    grown = best.groupBy("doc_id", "page", "_c").agg(F.min("_s.x").alias("sx"), F.min("_s.y").alias("sy"), F.max(G.right(F.col("_s"))).alias("sr"), F.max(G.bottom(F.col("_s"))).alias("sb"), F.count(F.lit(1)).cast("int").alias("n"))
+    keep = s.join(best.select("doc_id", "page", "_s"), ["doc_id", "page", "_s"], "left_anti").drop("_s").unionByName(candidates.filter(~strip))
+    rows = keep.withColumn("_c", G.box()).join(grown, ["doc_id", "page", "_c"], "left").filter((F.col("kind") == "vector") | F.col("n").isNull())
+    x, y = F.least("x", F.coalesce("sx", "x")), F.least("y", F.coalesce("sy", "y"))
+    r, b = F.greatest(F.col("x") + F.col("width"), F.coalesce("sr", F.lit(0.0))), F.greatest(F.col("y") + F.col("height"), F.coalesce("sb", F.lit(0.0)))
+    return rows.select("doc_id", "page", "kind", x.alias("x"), y.alias("y"), (r - x).alias("width"), (b - y).alias("height"), (F.col("sources") + F.coalesce("n", F.lit(0))).alias("sources"), "boxes")
+
+
+# -- more suppressions -----------------------------------------------------------------------------
+
+
+def _count_within(candidates: DataFrame, others: DataFrame, share: float) -> DataFrame:
+    rows = candidates.withColumn("_b", G.box())
+    o = others.select(F.col("doc_id").alias("od"), F.col("page").alias("op"), G.box().alias("_o"))
+    hit = G.overlap_area(F.col("_b"), F.col("_o")) >= share * G.area(F.col("_o"))
+    n = rows.join(o, (F.col("doc_id") == F.col("od")) & (F.col("page") == F.col("op")) & hit).groupBy("doc_id", "page", "kind", "_b").agg(F.count(F.lit(1)).alias("within"))
+    return rows.join(n, ["doc_id", "page", "kind", "_b"], "left").withColumn("within", F.coalesce("within", F.lit(0))).drop("_b")
+
+
+def without_form_backplanes(candidates: DataFrame, page_area: float) -> DataFrame:
+    """Without vectors of 30 % of the page behind two or more form regions."""
+    counted = _count_within(candidates, candidates.filter("kind = 'form'"), 0.5)
+    return counted.filter(~((F.col("kind") == "vector") & (F.col("width") * F.col("height") >= 0.3 * page_area) & (F.col("within") >= 2))).select(*candidates.columns)
+
+
+def without_vector_backplanes(candidates: DataFrame, page_area: float) -> DataFrame:
+    """Without vectors of 25 % of the page behind two or more rasters, unless they are dense."""
+    counted = _count_within(candidates, candidates.filter("kind = 'raster'"), 0.9)
+    return counted.filter(~((F.col("kind") == "vector") & (F.col("width") * F.col("height") >= 0.25 * page_area) & (F.col("within") >= 2) & (F.col("boxes") < 40))).select(*candidates.columns)
+
+
+def without_table_strips(candidates: DataFrame) -> DataFrame:
+    """Without narrow vectors that tables cover: column rules, not charts."""
+    rows = candidates.withColumn("_b", G.box())
+    t = candidates.filter("kind = 'table'").select(F.col("doc_id").alias("td"), F.col("page").alias("tp"), G.box().alias("_t"))
+    strip = (F.col("kind") == "vector") & (G.overlap_area(F.col("_b"), F.col("_t")) >= 0.85 * G.area(F.col("_b"))) & (F.col("width") <= 0.5 * F.col("_t.width")) & (F.col("height") >= 0.7 * F.col("_t.height"))
+    return rows.join(t, (F.col("doc_id") == F.col("td")) & (F.col("page") == F.col("tp")) & strip, "left_anti").drop("_b")
+
+
+def without_chrome(candidates: DataFrame, chrome_blocks: DataFrame, share: float = 0.55) -> DataFrame:
+    """Without regions that repeated blocks cover for the most part."""
+    rows = candidates.withColumn("_b", G.box())
+    c = chrome_blocks.filter("repeated").select(F.col("doc_id").alias("cd"), F.col("page").alias("cp"), G.box().alias("_c"))
+    return rows.join(c, (F.col("doc_id") == F.col("cd")) & (F.col("page") == F.col("cp")) & (G.overlap_area(F.col("_b"), F.col("_c")) >= share * G.area(F.col("_b"))), "left_anti").drop("_b")
+
+
+def equivalent_merged(candidates: DataFrame) -> DataFrame:
+    """First-fit merge of candidates that are all but the same box."""
+    return merged(candidates, 0.98, 0.98)

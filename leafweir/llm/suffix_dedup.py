@@ -38,13 +38,13 @@ from ._text import BASE_A, BASE_B, CHUNK_BYTES, U64, all_spans, buffers, chunks,
 
 LENGTH, ANCHOR, RUN = 200, 100, 16
 #: Suffix runs: core and span rank, text key, anchor's place, first window before the anchor, number of windows.
-RUNS = "core long, span long, key long, anchor int, back short, count short, done boolean"
+RUNS = "core long, span long, key long, anchor int, back short, count int, done boolean"
 _NAMES = [f.split()[0] for f in RUNS.split(", ")]
 
 
 def _runs(core, span, key, anchor, back, count, done) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(anchor.astype(np.int32)), pa.array(back.astype(np.int16)), pa.array(count.astype(np.int16)), pa.array(done)], names=_NAMES
+        [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(anchor.astype(np.int32)), pa.array(back.astype(np.int16)), pa.array(count.astype(np.int32)), pa.array(done)], names=_NAMES
     )
 
 
@@ -127,9 +127,15 @@ def _settled(core, span, key, place, back, count, same) -> Iterator[pa.RecordBat
     head = ~same[:-1]
     on = head
     yield _runs(core[on], span[on], key[on], place[on], back[on], count[on], met[on])
-    off = ~head
-    if off.any():  # done and no longer needed for ranking: any core spreads them
-        yield _runs(mix64(key[off].view(U64) + place[off].astype(U64)), np.zeros(int(off.sum()), dtype=U64), key[off], place[off], back[off], count[off], np.ones(int(off.sum()), dtype=bool))
+    off = np.flatnonzero(~head)
+    if len(off):  # done and no longer needed for ranking: windows that adjoin go as one run, under any core that spreads them
+        first, many = place[off] - back[off], count[off]
+        order = np.lexsort((first, key[off]))
+        k, first, many = key[off][order], first[order], many[order]
+        new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (first[1:] > first[:-1] + many[:-1])))
+        end = np.append(new[1:], len(k)) - 1
+        k, begin, total = k[new], first[new], first[end] + many[end] - first[new]
+        yield _runs(mix64(k.view(U64) + begin.astype(U64)), np.zeros(len(k), dtype=U64), k, begin, np.zeros(len(k), dtype=np.int64), total, np.ones(len(k), dtype=bool))
 
 
 def _rank():
@@ -143,7 +149,7 @@ def _rank():
         n = len(rows)
         return pa.RecordBatch.from_arrays([pa.array(rows["core"]), pa.array(rows["key"]), pa.array(rows["anchor"]), pa.array(rows["back"]), pa.array(rows["count"]), pa.array(np.full(n, flag))], names=["core", "key", "anchor", "back", "count", "open"])
 
-    kind = np.dtype([("core", "i8"), ("span", "i8"), ("key", "i8"), ("anchor", "i4"), ("back", "i2"), ("count", "i2"), ("done", "?"), ("met", "?"), ("more", "?"), ("sent", "?")])
+    kind = np.dtype([("core", "i8"), ("span", "i8"), ("key", "i8"), ("anchor", "i4"), ("back", "i2"), ("count", "i4"), ("done", "?"), ("met", "?"), ("more", "?"), ("sent", "?")])
 
     def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole information on these rows is there: met = shares (core, span); more = core has other spans."""
@@ -192,7 +198,7 @@ def _rank():
 
 def _ranked(runs: DataFrame, name: str) -> DataFrame:
     sorted_runs = runs.repartition(fan_out(runs), "core").sortWithinPartitions("core", "span")
-    return materialize(sorted_runs.mapInArrow(_rank(), "core long, key long, anchor int, back short, count short, open boolean"), name)
+    return materialize(sorted_runs.mapInArrow(_rank(), "core long, key long, anchor int, back short, count int, open boolean"), name)
 
 
 def _rerank(length: int, step: int, salt: int):

@@ -3,10 +3,10 @@
 A k-mer of the text's UTF-8 bytes is an anchor when the least of its inner s-mers, by hash, stands
 at its first or last place. Whether it is one depends on its own bytes alone, so an edit elsewhere
 moves no anchor, and every run of ``k - s + 1`` k-mers holds at least one. A text without an anchor
-has one for the whole of it.
+(of fewer than ``2 k - s`` bytes) has each of its four-byte strings as one, or the whole of it.
 
 A fingerprint lists the anchors in order: for each, one byte for the distance from the one before
-(distances cannot exceed ``k - s + 1``; the first and a whole-text anchor count from the start) and
+(distances cannot exceed ``k - s + 1``; the first counts from the start) and
 three of its hash, all in base64. ``likeness`` is the Dice share of anchors in common, as multisets;
 ``matches`` gives the places.
 
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._store import fan_out
-from ._text import CHUNK_BYTES, all_spans, chunks, prefix_hash, sliding, span_hash
+from ._text import CHUNK_BYTES, all_spans, chunks, prefix_hash, ranges, sliding, span_hash
 
 K, S = 32, 12
+SHORT = 4
 
 
 def anchors(data: np.ndarray, off: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,10 +48,14 @@ def anchors(data: np.ndarray, off: np.ndarray, k: int = K, s: int = S) -> tuple[
     has[text] = True
     bare = np.flatnonzero(~has & (np.diff(off) > 0))
     if len(bare):
-        at = np.concatenate([at, off[bare]])
-        text = np.concatenate([text, bare])
-        value = np.concatenate([value, span_hash(prefix, off[bare], off[bare + 1])])
-        order = np.argsort(text, kind="stable")
+        n = off[bare + 1] - off[bare]
+        grams = np.maximum(n - SHORT + 1, 1)
+        own = np.repeat(bare, grams)
+        start = ranges(off[bare], grams)
+        at = np.concatenate([at, start])
+        text = np.concatenate([text, own])
+        value = np.concatenate([value, span_hash(prefix, start, np.minimum(start + SHORT, off[own + 1]))])
+        order = np.lexsort((at, text))
         at, text, value = at[order], text[order], value[order]
     return text, at - off[text], value
 

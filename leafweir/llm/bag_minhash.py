@@ -45,6 +45,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 THRESHOLD = 0.8
 CENTRES = 512
+DEAL = 64
 _GOLD = U64(0x9E3779B97F4A7C15)
 _STEP = U64(0xD6E8FEB86659FD93)
 
@@ -183,17 +184,17 @@ def _verify():
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, extra: bool) -> DataFrame:
-    """Pairs (centre, member, n: members of the centre) of text keys with their multiset overlap, and sizes.
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (centre, member, want: its extra shingles, n: members of the centre) of text keys with their overlap and sizes.
 
-    A centre's text is sent once for each 64 of its members, so a centre with very many is dealt out.
+    A centre's text is sent once for each DEAL of its members, so a centre with very many is dealt out.
     """
-    salted = pairs.withColumn("salts", F.ceil(F.col("n") / 64).cast("int")).withColumn("salt", F.pmod(F.xxhash64("member"), "salts").cast("int"))
-    heads = pairs.select("centre", F.ceil(F.col("n") / 64).cast("int").alias("salts")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    want = (F.col("n") > 1) & F.lit(extra)
+    pairs = pairs.withColumn("salts", F.ceil(F.col("n") / DEAL).cast("int"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), "salts").cast("int"))
+    heads = pairs.select("centre", "salts").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     rows = (
         heads.join(texts, heads.centre == texts.key).select("centre", "salt", F.lit(None).cast("long").alias("member"), F.lit(False).alias("want"), "text")
-        .unionByName(salted.join(texts, salted.member == texts.key).select("centre", "salt", "member", want.alias("want"), "text"))
+        .unionByName(salted.join(texts, salted.member == texts.key).select("centre", "salt", "member", "want", "text"))
     )
     dealt = rows.repartition(fan_out(pairs), "centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
     return dealt.mapInArrow(_verify(), _FOUND)
@@ -215,8 +216,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = materialize(links.select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(links.select(F.col("member").alias("a"), F.col("centre").alias("b"))), "links")
     touched = materialize(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("root")), "roots")
     for _ in range(100):
-        near = both.join(touched, both.b == touched.key).groupBy("a").agg(F.min("root").alias("least"))
-        hooked = touched.join(near, touched.key == near.a, "left").select("key", F.col("root").alias("old"), F.least("root", "least").alias("root"))
+        # own root and the neighbours' in one aggregate, then a jump to the root's own root
+        near = both.join(touched, both.b == touched.key).select(F.col("a").alias("key"), "root", F.lit(None).cast("long").alias("own"))
+        hooked = near.unionByName(touched.select("key", "root", F.col("root").alias("own"))).groupBy("key").agg(F.max("own").alias("old"), F.min("root").alias("root"))
         jump = touched.select(F.col("key").alias("root"), F.col("root").alias("up"))
         step = materialize(hooked.join(jump, "root", "left").select("key", "old", F.least("root", "up").alias("root")), "roots")
         touched = step.select("key", "root")
@@ -254,14 +256,16 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float, centres:
     texts = materialize(own.join(rows_of, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))).groupBy("key").agg(F.min("text").alias("text")), "texts")
 
     def counted(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "pairs")
-        return pairs.join(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "centre")
+        pairs = materialize(pairs.groupBy("centre", "member").agg(F.max("want").alias("want")), "pairs")
+        # only centres of many members are looked up: a table for Spark to broadcast while small, else to split
+        many = materialize(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DEAL), "many")
+        return pairs.join(many, "centre", "left").withColumn("n", F.coalesce("n", F.lit(1)))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
 
     members = shared.join(centre, "bucket")
-    first = materialize(verified(counted(members.filter("key <> centre").select("centre", F.col("key").alias("member"))), texts, True), "verified")
+    first = materialize(verified(counted(members.filter("key <> centre").select("centre", F.col("key").alias("member"), (F.col("size") > 2).alias("want"))), texts), "verified")
     links = ordered(first.filter(F.col("similarity") >= threshold)).distinct()
     tested = ordered(first)
     root = materialize(components(distinct.select("key"), links), "components")
@@ -275,20 +279,21 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float, centres:
         largest = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
         waiting = rooted.join(largest, "bucket").filter("root <> main").select("bucket", F.col("key").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"), F.col("common").alias("c_common"), F.col("shared").alias("c_shared")).join(done, ["bucket", "c"], "left_anti")
         ranked = waiting.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("c")))
-        chosen = materialize(ranked.filter(F.col("rank") <= centres).drop("rank"), "centres")
-        if chosen.isEmpty():
-            break
+        ranked = materialize(ranked.filter(F.col("rank") <= centres + 1), "centres")
+        chosen = ranked.filter(F.col("rank") <= centres).drop("rank")
         done = done.unionByName(chosen.select("bucket", "c"))
         most = F.least("common", "c_common") + F.least("shared", "c_shared")
         able = (F.col("root") != F.col("c_root")) & (most >= threshold * (F.col("size") + F.col("c_size") - most))
-        across = chosen.alias("a").join(rooted.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & able).select(F.least("c", "key").alias("centre"), F.greatest("c", "key").alias("member"))
+        across = chosen.alias("a").join(rooted.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & able).select(F.least("c", "key").alias("centre"), F.greatest("c", "key").alias("member"), F.lit(False).alias("want"))
         fresh = counted(across.join(tested, ["centre", "member"], "left_anti"))
-        found = materialize(verified(fresh, texts, False), "verified")
+        found = materialize(verified(fresh, texts), "verified")
         tested = tested.unionByName(found.select("centre", "member"))
         near = found.filter(F.col("similarity") >= threshold)
         if not near.isEmpty():
             links = links.unionByName(near.select("centre", "member"))
             root = materialize(components(distinct.select("key"), links), "components")
+        if ranked.filter(F.col("rank") > centres).isEmpty():
+            break  # every text outside its bucket's largest component has been a centre
     degree = links.select(F.explode(F.array("centre", "member")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     per_key = distinct.join(root, "key").join(degree, "key", "left")
     named = per_key.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.when(F.col("least.doc_id").isNotNull(), F.col("least"))).alias("first"), F.min("least").alias("any_first"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import geometry as G
+from .functions import predicates as P
 from .functions import text as T
 from .operators import chrome, document, forms, labels, layout, ocr, pagetext, quality, reading, regions, rules, search, tables, vertical
 from .plans import process, report, tools
@@ -712,3 +713,25 @@ def vertical_text(spark, d):
 def search_guarded(spark, d):
     """A pattern that backtracks, under its time limit."""
     return search.matches_guarded(lines(spark, d), search.compile_queries(r"\b(?:the|of|and)(?: \w+){0,3} (?:in|to)\b", regex=True))
+
+
+@query(r"""+ t as (select doc_id, page, trim(text) as t, text from line) select doc_id, page, sum(regexp_matches(t, '^(?:\d+|[IVXLC]+)[.)]\s+\p{L}')::int)::bigint as numbered, sum(regexp_matches(t, '^\d+(?:\.\d+)+\.?\s+\p{L}')::int)::bigint as sections, sum(regexp_matches(t, '^(?:\d{1,2}[a-z]?|[a-z])[.)]?\s')::int)::bigint as items,
+sum((length(t) between 1 and 220 and regexp_matches(t, '[\p{L}\p{N}]'))::int)::bigint as usable, sum(regexp_matches(t, '(?i)^(?:fig(?:ure)?\.?|table|tab\.|図|表)\s*[0-9]+')::int)::bigint as captions from t group by all""")
+def line_predicates(spark, d):
+    """Lines of each page that match the grammars of headings, items, labels and captions."""
+    t = F.col("text")
+    n = lambda c, name: F.sum(c.cast("int")).alias(name)
+    return lines(spark, d).groupBy("doc_id", "page").agg(n(P.numbered_heading(t), "numbered"), n(P.decimal_section(t), "sections"), n(P.item_marker(t), "items"), n(P.usable_label(t), "usable"), n(P.caption(t), "captions"))
+
+
+@query("+ " + _FOUND + """, b as (select doc_id, page, line, query, start, floor((x + width / length(text) * start) * 100 + 0.5) / 100 as bx, floor(width / length(text) * length(match) * 100 + 0.5) / 100 as bw from hit)
+select b.doc_id, b.page, b.line, query, count(*) as parts, floor(sum(floor((least(bx + bw, s.x + s.width) - greatest(bx, s.x)) * 100 + 0.5) / 100) * 100 + 0.5) / 100 as across from b join span s on b.doc_id = s.doc_id and b.page = s.page and b.line = s.line and least(bx + bw, s.x + s.width) - greatest(bx, s.x) > 0.01 group by all""")
+def search_owners(spark, d):
+    """Matches cut into the words they run over."""
+    found = search.owners(_hits(spark, d), spans(spark, d))
+    return found.groupBy("doc_id", "page", "line", "query").agg(F.count(F.lit(1)).alias("parts"), G.half_up(F.sum("width")).alias("across"))
+
+
+@query()
+def search_stacked_labels(spark, d):
+    return search.stacked_labels(lines(spark, d))

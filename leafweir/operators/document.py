@@ -114,3 +114,60 @@ def marked_text(items: DataFrame) -> DataFrame:
 
 def xfa_shape(content: Column, acro_form: Column, placeholder: Column) -> Column:
     return F.when(content, "static_content").when(acro_form, "fields_only").when(placeholder, "viewer_placeholder").otherwise("unknown")
+
+
+# fixed values: permission bits by number
+PERMISSIONS = {"print": 4, "modify": 8, "copy": 16, "annotate": 32, "fillForms": 256, "extract": 512, "assemble": 1024, "printHighQuality": 2048}
+#: Parser error codes of encrypted documents.
+_PASSWORD = {1: "password needed", 2: "password wrong"}
+
+
+def permissions(bits: Column) -> Column:
+    """Names of the permissions that are granted; null bits grant all."""
+    granted = lambda n, b: F.when(bits.isNull() | (bits.bitwiseAND(F.lit(b)) != 0), F.lit(n))
+    return F.filter(F.array(*[granted(n, b) for n, b in PERMISSIONS.items()]), lambda x: x.isNotNull())
+
+
+def password_failure(code: Column) -> Column:
+    return F.when(code == 1, _PASSWORD[1]).when(code == 2, _PASSWORD[2])
+
+
+def page_mode(mode: Column) -> Column:
+    return F.when(mode != "UseNone", mode)
+
+
+def resolve_destinations(links: DataFrame, destinations: DataFrame) -> DataFrame:
+    """Links with the page that their named destination stands for (null where it is unknown)."""
+    to = destinations.select("doc_id", F.col("name").alias("target"), F.col("page").alias("target_page")).dropDuplicates(["doc_id", "target"])
+    return links.join(to, ["doc_id", "target"], "left")
+
+
+def layer_order(groups: DataFrame) -> DataFrame:
+    """Optional-content groups (doc_id, layer, parent, ord, name, visible) with depth, path and what shows: one is seen only with all above it."""
+    return groups.sparkSession.sql(
+        """
+        with recursive walk as (
+          select doc_id, layer, name, visible, 1 as depth, cast(format_string('%06d', ord) as string) as path from {g} where parent is null
+          union all
+          select g.doc_id, g.layer, g.name, w.visible and g.visible, w.depth + 1, concat(w.path, '.', format_string('%06d', g.ord)) from walk w join {g} g on g.doc_id = w.doc_id and g.parent = w.layer
+        ) select * from walk
+        """,
+        g=groups,
+    )
+
+
+def features(documents: DataFrame, pages: DataFrame, attachments: DataFrame, outline_nodes: DataFrame, scripts: DataFrame) -> DataFrame:
+    """One row per document: page, attachment, outline and script counts."""
+    n = lambda rows, name: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    out = documents
+    for rows, name in ((pages, "total_pages"), (attachments, "attachment_count"), (outline_nodes, "outline_count"), (scripts, "javascript_action_count")):
+        out = out.join(n(rows, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def run_envelope(matrix: Column, advance: Column, page_height: Column) -> Column:
+    """The upright box of a turned text run: matrix [a, b, c, d, e, f], advance along it, one em across."""
+    corner = lambda i, j: (matrix[0] * i * advance + matrix[2] * j + matrix[4], matrix[1] * i * advance + matrix[3] * j + matrix[5])
+    points = [corner(i, j) for i in (0, 1) for j in (0, 1)]
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    return F.struct(F.least(*xs).alias("x"), (page_height - F.greatest(*ys)).alias("y"), (F.greatest(*xs) - F.least(*xs)).alias("width"), (F.greatest(*ys) - F.least(*ys)).alias("height"))

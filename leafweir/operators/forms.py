@@ -99,3 +99,29 @@ def html_cells(pages: DataFrame) -> DataFrame:
     cell = r"(?is)<t([hd])[^>]*>(.*?)</t[hd]>"
     pairs = F.arrays_zip(F.regexp_extract_all("tr", F.lit(cell), F.lit(1)).alias("kind"), F.regexp_extract_all("tr", F.lit(cell), F.lit(2)).alias("text"))
     return rows.select("page_id", "row", F.posexplode(pairs).alias("col", "c")).select("page_id", "row", "col", T.collapsed(F.regexp_replace("c.text", "<[^>]*>", "")).alias("text"), (F.lower("c.kind") == "h").alias("header"))
+
+
+def crossing_penalty(candidates: DataFrame, fields: DataFrame, each: float = 40.0) -> DataFrame:
+    """Label candidates (doc_id, page, field, line boxes as l_x...) with a penalty for every other field between the two."""
+    o = fields.select(F.col("doc_id").alias("od"), F.col("page").alias("op"), F.col("field").alias("other"), G.box().alias("_o"))
+    c = candidates.withColumns({"_f": G.box(), "_l": G.box("l_")})
+    x, y = F.least("_f.x", "_l.x"), F.least("_f.y", "_l.y")
+    hull = F.struct(x.alias("x"), y.alias("y"), (F.greatest(G.right(F.col("_f")), G.right(F.col("_l"))) - x).alias("width"), (F.greatest(G.bottom(F.col("_f")), G.bottom(F.col("_l"))) - y).alias("height"))
+    c = c.withColumn("_h", hull)
+    hit = (F.col("doc_id") == F.col("od")) & (F.col("page") == F.col("op")) & (F.col("field") != F.col("other")) & (G.overlap_area(F.col("_h"), F.col("_o")) >= 0.5 * G.area(F.col("_o")))
+    n = c.join(o, hit).groupBy("doc_id", "page", "field", "line").agg((F.count(F.lit(1)) * each).alias("penalty"))
+    return candidates.join(n, ["doc_id", "page", "field", "line"], "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+
+
+def currency_prompts(fields: DataFrame, lines: DataFrame, marker_gap: float = 14.0, prompt_gap: float = 140.0) -> DataFrame:
+    """Fields right after a lone currency sign, with the prompt to the sign's left on its row."""
+    f = fields.select("doc_id", "page", "field", G.box().alias("_f"))
+    l = lambda p: lines.select(F.col("doc_id").alias(f"{p}d"), F.col("page").alias(f"{p}p"), F.trim("text").alias(f"{p}t"), G.box().alias(f"_{p}"))  # noqa: E731, E741
+    sign, prompt = l("s").filter(T.currency_only(F.col("st"))), l("q").filter(F.col("qt").rlike(r"\p{L}"))
+    row = lambda a, b: G.y_overlap(F.col(a), F.col(b)) > 0
+    after = F.col("_f.x") - G.right(F.col("_s"))
+    before = F.col("_s.x") - G.right(F.col("_q"))
+    pair = f.join(sign, (F.col("doc_id") == F.col("sd")) & (F.col("page") == F.col("sp")) & row("_f", "_s") & after.between(-1, marker_gap))
+    pair = pair.join(prompt, (F.col("doc_id") == F.col("qd")) & (F.col("page") == F.col("qp")) & row("_s", "_q") & before.between(-1, prompt_gap))
+    best = pair.groupBy("doc_id", "page", "field").agg(F.min_by("qt", F.struct(before, "qt")).alias("prompt"))
+    return fields.join(best, ["doc_id", "page", "field"], "left")

@@ -114,3 +114,10 @@ def select_pages(rows: DataFrame, spec: str) -> DataFrame:
     for lo, hi in runs:
         test = test | F.col("page").between(lo, hi)
     return rows.filter(test)
+
+
+def unreadable_report(warnings: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, code, pages, ranges: what document-wide codes cover (all pages) and page codes do (their own)."""
+    wide = warnings.filter(F.col("code").isin("xfa_form", "xfa_fields_only", "xfa_static_content")).select("doc_id", "code").distinct().join(pages.select("doc_id", "page"), "doc_id")
+    own = warnings.filter(F.col("code").isin("glyph_garbage_text", "raster_image_no_native_text")).select("doc_id", "code", "page")
+    return page_ranges(wide.unionByName(own), ["doc_id", "code"])

@@ -163,3 +163,56 @@ def matches_only(found: DataFrame) -> DataFrame:
     """Report lines of one document's matches, as one text."""
     said = F.concat(F.lit("p"), "page", F.lit(" ["), "source", F.lit("] "), "match")
     return ordered(found).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", said.alias("s")))), lambda r: r["s"]), "\n").alias("report"), F.count(F.lit(1)).alias("matches"))
+
+
+def stacked_labels(lines: DataFrame, ahead: int = 24, gap_em: float = 1.6) -> DataFrame:
+    """Short lines joined with the nearest line right below that shares their middle: labels set on two lines."""
+    a = lines.filter(F.length(F.trim("text")).between(1, 40)).withColumn("_a", G.box())
+    b = lines.select(F.col("doc_id").alias("bd"), F.col("page").alias("bp"), F.col("line").alias("bl"), F.col("text").alias("bt"), G.box().alias("_b"))
+    below = F.col("_b.y") - G.bottom(F.col("_a"))
+    middle = F.abs((F.col("_a.x") + F.col("_a.width") / 2) - (F.col("_b.x") + F.col("_b.width") / 2)) <= F.greatest(F.col("_a.height"), F.lit(4.0))
+    pair = a.join(b, (F.col("doc_id") == F.col("bd")) & (F.col("page") == F.col("bp")) & (F.col("bl") > F.col("line")) & (F.col("bl") <= F.col("line") + ahead) & (below >= 0) & (below <= gap_em * F.col("_a.height")) & middle)
+    best = pair.groupBy("doc_id", "page", "line").agg(F.min_by(F.struct("bt", "_b"), F.struct(below, "bl")).alias("n"), F.first("text").alias("t"), F.first("_a").alias("_a"))
+    x, y = F.least("_a.x", "n._b.x"), F.col("_a.y")
+    return best.select("doc_id", "page", "line", F.concat_ws(" ", F.trim("t"), F.trim("n.bt")).alias("text"), x.alias("x"), y.alias("y"), (F.greatest(G.right(F.col("_a")), G.right(F.col("n._b"))) - x).alias("width"), (G.bottom(F.col("n._b")) - y).alias("height"))
+
+
+def vertical_lines(runs: DataFrame) -> DataFrame:
+    """Vertical columns (``vertical.vertical_runs``) as lines to be searched; a match's place is down the column."""
+    return runs.select("doc_id", "page", F.col("run").alias("line"), "text", "x", "y", "width", "height")
+
+
+def within_time(timed: DataFrame, budget_ms: float) -> DataFrame:
+    """Pages (doc_id, page, cost_ms) that a request's time budget reaches: those before which it was not yet spent."""
+    order = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return timed.withColumn("searched", F.coalesce(F.sum("cost_ms").over(order), F.lit(0)) < budget_ms)
+
+
+def owners(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each match cut into the parts of the words that it runs over: doc_id, page, line, query, start, part and box."""
+    s = spans.select(F.col("doc_id").alias("sd"), F.col("page").alias("sp"), F.col("line").alias("sl"), F.col("word").alias("part"), G.box().alias("_s"))
+    m = found.withColumn("_m", G.box())
+    pair = m.join(s, (F.col("doc_id") == F.col("sd")) & (F.col("page") == F.col("sp")) & (F.col("line") == F.col("sl")) & (G.x_overlap(F.col("_m"), F.col("_s")) > 0.01))
+    left = F.greatest(F.col("_m.x"), F.col("_s.x"))
+    return pair.select("doc_id", "page", "line", "query", "start", "part", G.half_up(left).alias("x"), F.col("_s.y").alias("y"), G.half_up(F.least(G.right(F.col("_m")), G.right(F.col("_s"))) - left).alias("width"), F.col("_s.height").alias("height"))
+
+
+def without_precise_duplicates(more: DataFrame, precise: DataFrame, least: float = 0.5) -> DataFrame:
+    """Matches with no precise one of the same query and text over half of them."""
+    m = more.withColumn("_m", G.box())
+    p = precise.select(F.col("doc_id").alias("pd"), F.col("page").alias("pp"), F.col("query").alias("pq"), F.lower("match").alias("pt"), G.box().alias("_p"))
+    return m.join(p, (F.col("doc_id") == F.col("pd")) & (F.col("page") == F.col("pp")) & (F.col("query") == F.col("pq")) & (F.lower("match") == F.col("pt")) & (G.overlap_of_smaller(F.col("_m"), F.col("_p")) >= least), "left_anti").drop("_m")
+
+
+def field_matches(fields: DataFrame, queries: list[Query]) -> DataFrame:
+    """Matches in values, captions and options of form fields, placed on the field."""
+    said = F.explode(F.array_distinct(F.filter(F.flatten(F.array(F.array("value", "caption"), F.coalesce("options", F.array().cast("array<string>")))), lambda t: t.isNotNull())))
+    rows = fields.withColumn("text", said).withColumn("line", F.col("field"))
+    return matches(rows, queries, "formField").drop("x", "width", "start").join(fields.select("doc_id", "page", F.col("field").alias("line"), "x", "width"), ["doc_id", "page", "line"]).withColumn("start", F.lit(0))
+
+
+def link_matches(links: DataFrame, queries: list[Query]) -> DataFrame:
+    """Matches in link targets, unless the link's own text says them already."""
+    rows = links.filter(~F.coalesce(anchor_restates_target(F.col("text"), F.col("target")), F.lit(False)))
+    rows = rows.select("doc_id", "page", F.col("link").alias("line"), F.col("target").alias("text"), "x", "y", "width", "height")
+    return matches(rows, queries, "link")

@@ -108,3 +108,25 @@ def table_notation(documents: DataFrame, column: str = "json") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, type=pa.string())], names=["doc_id", "notation"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), column).mapInArrow(run, "doc_id long, notation string")
+
+
+def overview_table(pages: DataFrame, counts: list[str]) -> DataFrame:
+    """doc_id, markdown: a density table of pages; a count column shows where any page of the document has it."""
+    shown = [F.when(F.max(c).over(Window.partitionBy("doc_id")) > 0, F.col(c).cast("string")) for c in counts]
+    cells = F.filter(F.array(F.col("page").cast("string"), F.col("char_count").cast("string"), *shown), lambda x: x.isNotNull())
+    heads = F.filter(F.array(F.lit("page"), F.lit("chars"), *[F.when(F.max(c).over(Window.partitionBy("doc_id")) > 0, F.lit(c)) for c in counts]), lambda x: x.isNotNull())
+    rows = pages.select("doc_id", "page", cells.alias("cells"), heads.alias("heads"))
+    top = rows.groupBy("doc_id").agg(F.first("heads").alias("cells")).select("doc_id", F.lit(0).alias("page"), "cells")
+    return markdown_table(rows.select("doc_id", "page", "cells").unionByName(top), ["doc_id"], "page")
+
+
+def field_table(fields: DataFrame) -> DataFrame:
+    """doc_id, page, markdown: fields with label, type and value; a blank form is one line of types and numbers."""
+    filled = F.bool_or(F.length(F.trim(F.coalesce("value", F.lit("")))) > 0).over(Window.partitionBy("doc_id", "page"))
+    rows = fields.withColumn("_filled", filled)
+    cells = F.array(F.coalesce("label", "name"), F.col("type"), F.coalesce("value", F.lit("")))
+    full = rows.filter("_filled").select("doc_id", "page", F.col("field").alias("row"), cells.alias("cells"))
+    head = full.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(-1).alias("row"), F.array(F.lit("field"), F.lit("type"), F.lit("value")).alias("cells"))
+    per = rows.filter(~F.col("_filled")).groupBy("doc_id", "page", "type").agg(F.count(F.lit(1)).alias("n"))
+    blank = per.groupBy("doc_id", "page").agg(F.concat(F.lit("blank form: "), F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "n", "type"))), ", ")).alias("markdown"))
+    return markdown_table(full.unionByName(head), ["doc_id", "page"], "row").unionByName(blank)

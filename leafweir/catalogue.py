@@ -64,7 +64,7 @@ def images(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "page", F.lit(0).alias("image"), *[F.when(F.col("full"), a).otherwise(b).alias(c) for c, a, b in (("x", 6.0, 100.0), ("y", 6.0, 500.0), ("width", 600.0, 400.0), ("height", 780.0, 280.0))])
 
 
-_IMAGE = """image as (select doc_id, page, 0 as image, case when full_ then 6.0 else 100.0 end as x, case when full_ then 6.0 else 500.0 end as y, case when full_ then 600.0 else 400.0 end as width, case when full_ then 780.0 else 280.0 end as height
+_IMAGE = """image as (select doc_id, page, 0 as image, (case when full_ then 6.0 else 100.0 end)::double as x, (case when full_ then 6.0 else 500.0 end)::double as y, (case when full_ then 600.0 else 400.0 end)::double as width, (case when full_ then 780.0 else 280.0 end)::double as height
   from (select doc_id, page, (doc_id * 31 + page) % 7 = 0 as full_ from page where (doc_id * 31 + page) % 7 = 0 or (doc_id * 31 + page) % 3 = 0))"""
 _STATUS = r"""quality as (select *, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]')) as non_printable_count from page),
 status as (select *, case when char_count > 0 then floor(non_printable_count / char_count * 1000 + 0.5) / 1000 else 0.0 end as non_printable_ratio,
@@ -382,7 +382,7 @@ def search_multi_query(spark, d):
 
 
 @query("+ " + _FOUND + """, b as (select *, floor((x + width / length(text) * start) * 100 + 0.5) / 100 as bx, floor(width / length(text) * length(match) * 100 + 0.5) / 100 as bw from hit)
-select doc_id, page, line, query, cast(start as integer) as start, 24.0 as x, y - 12.0 as y, floor((least(612.0, x + width + 12) - 24.0) * 100 + 0.5) / 100 as width from b""")
+select doc_id, page, line, query, cast(start as integer) as start, 24.0::double as x, y - 12.0 as y, floor((least(612.0, x + width + 12) - 24.0) * 100 + 0.5) / 100 as width from b""")
 def search_context_region(spark, d):
     ls = lines(spark, d)
     found = search.crop_region(_hits(spark, d), ls, W, H)

@@ -81,5 +81,5 @@ block as (select doc_id, source, page, block, string_agg(text, chr(10) order by
 page as (select doc_id, source, page, string_agg(text, chr(10) order by line) as text, length(string_agg(text, chr(10) order by line)) as char_count,
   floor(sum(width * height) / (612.0 * 792.0) * 1000 + 0.5) / 1000 as text_coverage from line group by all),
 words as (select doc_id, page, line, y, height, font_size, string_split(text, ' ') as w from line),
-span as (select * from (select doc_id, page, line, generate_subscripts(w, 1) - 1 as word, unnest(w) as text, 36.0 + 6.0 * unnest(list_transform(range(0, len(w)), lambda i: length(array_to_string(w[1:i], ' ')) + (i > 0)::int)) as x, y, 6.0 * length(unnest(w)) as width, height, font_size from words) where length(text) > 0)
+span as (select * from (select doc_id, page, line, cast(generate_subscripts(w, 1) - 1 as integer) as word, unnest(w) as text, 36.0::double + 6.0::double * unnest(list_transform(range(0, len(w)), lambda i: length(array_to_string(w[1:i], ' ')) + (i > 0)::int)) as x, y, 6.0::double * length(unnest(w)) as width, height, font_size from words) where length(text) > 0)
 """

@@ -4,7 +4,15 @@ A text is a vector of hashed byte 1- to 3-grams of its letters (other bytes coun
 weighted by count * idf and set to length one (so that the language of most of a text decides). Each language has several centroids, from
 spherical k-means over the vectors of a bounded, hash-picked sample of its learned texts. A text
 gets the language of the nearest centroid by cosine. It is rejected when it lies further from that
-centroid than its language's reach: the given quantile of the sample's distances, times ``slack``.
+centroid than its language's reach for its length (short texts lie further from any centroid), learned
+from prefixes of the sampled texts and interpolated between them. A reach is the least of
+
+* the given quantile of the sample's own distances, taken as at most three times the 0.9 quantile (so that
+  some per cent of junk do not set it), times ``slack``;
+* ``margin`` times the distance of the nearest other language: the median over that language's sample,
+  so mislabelled rows do not move it;
+
+but not less than the 0.9 quantile (two labels of one language do not reject each other).
 
 Document frequencies come from all learned texts. Learning reads text and language of the rows that
 it is given; a prediction reads the text alone.
@@ -30,7 +38,9 @@ from ._text import CHUNK_BYTES, U64, Chunk, chunks, mix64
 DIMS = 4096
 SAMPLE = 400
 CENTROIDS = 4
-QUANTILE, SLACK, MOST = 0.99, 2.2, 0.97
+QUANTILE, SLACK, MARGIN, MOST = 0.99, 2.2, 0.8, 0.97
+#: Bytes of the prefixes that a reach is learned at; the last stands for whole texts
+SIZES = (8, 16, 32, 64, 128, 256, 512, 1024)
 
 _MAP = np.full(256, 32, dtype=np.uint8)
 _MAP[97:123] = np.arange(97, 123)
@@ -44,6 +54,7 @@ class Model(NamedTuple):
     languages: list[str]
     owner: np.ndarray
     centroids: np.ndarray
+    #: centroids x sizes
     reach: np.ndarray
     idf: np.ndarray
 
@@ -96,8 +107,8 @@ def _small(column: pa.Array, dims: int) -> Iterator[Chunk]:
             yield Chunk(c.lo + lo, c.hi + lo, c.data, c.off)
 
 
-def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int = CENTROIDS, quantile: float = QUANTILE, slack: float = SLACK, seed: int = 11) -> Model:
-    """rows: text, lang. At most ``sample`` vectors of each language go to the driver."""
+def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int = CENTROIDS, quantile: float = QUANTILE, slack: float = SLACK, seed: int = 11, margin: float = MARGIN) -> Model:
+    """rows: text, lang. At most ``sample`` vectors (and beginnings of texts) of each language go to the driver."""
     known = rows.filter("lang is not null and text is not null").select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,23 +132,41 @@ def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int
         for batch in batches:
             for c in _small(batch.column("text"), dims):
                 v = _vectors(_grams(c, dims), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(c.lo, c.hi - c.lo), batch.column("slot").slice(c.lo, c.hi - c.lo), pa.array([x.tobytes() for x in v], type=pa.binary())], names=["lang", "slot", "v"])
+                own = batch.slice(c.lo, c.hi - c.lo)
+                head = pc.binary_slice(own.column("text").cast(pa.binary()), 0, SIZES[-2])
+                yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("slot"), pa.array([x.tobytes() for x in v], type=pa.binary()), head], names=["lang", "slot", "v", "head"])
 
-    sampled = picked.select("lang", "slot", "text").mapInArrow(vectors, "lang string, slot long, v binary").toArrow().sort_by([("lang", "ascending"), ("slot", "ascending")])
+    sampled = picked.select("lang", "slot", "text").mapInArrow(vectors, "lang string, slot long, v binary, head binary").toArrow().sort_by([("lang", "ascending"), ("slot", "ascending")])
     languages = sorted(set(sampled.column("lang").to_pylist()))
-    owner, found, reach = [], [], []
-    for i, lang in enumerate(languages):
-        part = sampled.filter(pc.equal(sampled.column("lang"), lang)).column("v").to_pylist()
-        x = np.frombuffer(b"".join(part), dtype=np.float16).reshape(len(part), dims).astype(np.float32)
-        c, near = _cluster(x, min(centroids, len(x)), seed)
-        cos = (x @ c.T)[np.arange(len(x)), near]
-        far = min(MOST, float(np.quantile(1 - cos, quantile)) * slack)
-        for k in range(len(c)):
-            owner.append(i)
-            found.append(c[k])
-            reach.append(far)
-    c = np.array(found, dtype=np.float32).reshape(-1, dims)
-    return Model(languages, np.array(owner, dtype=np.int64), c, np.array(reach), idf)
+    parts = [sampled.filter(pc.equal(sampled.column("lang"), lang)) for lang in languages]
+    whole = lambda part: np.frombuffer(b"".join(part.column("v").to_pylist()), dtype=np.float16).reshape(len(part), dims).astype(np.float32)
+    owner, found = [], []
+    for i, part in enumerate(parts):
+        x = whole(part)
+        c, _ = _cluster(x, min(centroids, len(x)), seed)
+        owner += [i] * len(c)
+        found += list(c)
+    c, owner = np.array(found, dtype=np.float32).reshape(-1, dims), np.array(owner, dtype=np.int64)
+    if not languages:
+        return Model(languages, owner, c, np.zeros((0, len(SIZES))), idf)
+    first = np.searchsorted(owner, np.arange(len(languages)))
+    # distance of each language's texts from each language's nearest centroid, at each size
+    reach = np.zeros((len(languages), len(SIZES)))
+    for j, size in enumerate(SIZES):
+        far = []
+        for part in parts:
+            if size < SIZES[-1]:
+                cut = pc.binary_slice(part.column("head").combine_chunks(), 0, size)
+                cos = np.concatenate([_vectors(_grams(x, dims), idf) @ c.T for x in _small(cut, dims)])
+            else:
+                cos = whole(part) @ c.T
+            far.append(1 - np.maximum.reduceat(cos, first, axis=1))
+        middle = np.array([np.median(d, axis=0) for d in far])
+        np.fill_diagonal(middle, np.inf)
+        for i, d in enumerate(far):
+            top, most = np.quantile(d[:, i], [0.9, quantile])
+            reach[i, j] = min(MOST, max(top, min(slack * min(most, 3 * top), margin * middle[:, i].min())))
+    return Model(languages, owner, c, reach[owner], idf)
 
 
 def _cluster(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +191,14 @@ def _cluster(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return c, (x @ c.T).argmax(axis=1)
 
 
+def _reach(reach: np.ndarray, k: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Reach of centroid k for a text of this size, between the sizes by the logarithm."""
+    at = (np.log2(np.maximum(size, 1)) - np.log2(SIZES[0])).clip(0, len(SIZES) - 1)
+    low = np.minimum(at.astype(np.int64), len(SIZES) - 2)
+    part = at - low
+    return reach[k, low] * (1 - part) + reach[k, low + 1] * part
+
+
 def predict_arrow(model: Model, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """lang_pred, score, rejected of a column of texts."""
     n, dims = len(column), len(model.idf)
@@ -169,10 +206,12 @@ def predict_arrow(model: Model, column: pa.Array) -> tuple[pa.Array, np.ndarray,
     letter = pc.match_substring_regex(column, r"\pL").fill_null(False).to_numpy(zero_copy_only=False)
     if len(model.centroids):
         for c in _small(column, dims):
-            cos = _vectors(_grams(c, dims), model.idf) @ model.centroids.T
+            counts = _grams(c, dims)
+            cos = _vectors(counts, model.idf) @ model.centroids.T
             k = cos.argmax(axis=1)
+            far = _reach(model.reach, k, counts.sum(axis=1) / 3)
             s = cos[np.arange(len(k)), k]
-            best[c.lo : c.hi], score[c.lo : c.hi], rejected[c.lo : c.hi] = model.owner[k], s, 1 - s > model.reach[k]
+            best[c.lo : c.hi], score[c.lo : c.hi], rejected[c.lo : c.hi] = model.owner[k], s, 1 - s > far
         best[~letter], score[~letter], rejected[~letter] = -1, 0, True
     names = np.array([*model.languages, "und"], dtype=object)
     return pa.array(names[best], type=pa.string()), score.clip(0, 1), rejected

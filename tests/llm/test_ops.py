@@ -220,6 +220,31 @@ def test_language(spark, empty):
     assert langid.predict(docs, none).filter("lang_pred <> 'und'").count() == 0 and langid.accepted(empty, none).count() == 0
 
 
+ITALIAN = "Tutti gli esseri umani nascono liberi ed eguali in dignita e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. "
+FINNISH = "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja omatunto, ja heidan on toimittava toisiaan kohtaan veljeyden hengessa. "
+
+
+@pytest.mark.parametrize("out", ["de", "es", "fr"])
+def test_unlearned_languages_are_rejected(spark, out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").toPandas().dropna()
+    r = random.Random(6)
+    learned = docs[docs.lang != out].reset_index(drop=True)
+    held = learned.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)
+    train, known = learned[~held].copy(), learned[held]
+    # one row in thirty is mislabelled, one in thirty is junk
+    odd = [r.randrange(30) for _ in range(len(train))]
+    train["lang"] = [r.choice(sorted(set(train.lang) - {x})) if k == 0 else x for k, x in zip(odd, train.lang, strict=True)]
+    train["text"] = ["".join(r.choice("bcdfgxyz{}<>|0123 ") for _ in range(300)) if k == 1 else t for k, t in zip(odd, train.text, strict=True)]
+    model = langid.fit(spark.createDataFrame(train))
+    gibberish = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (30, 60, 120, 250, 1000, 4000)]
+    gone = lambda texts: langid.predict_arrow(model, pa.array(texts))[2]
+    assert gone([*gibberish, *[t[:n] for t in (ITALIAN, FINNISH) for n in (60, 120, 250)], ITALIAN * 10, FINNISH * 10]).all()
+    for n in (128, 256, 10**6):
+        assert gone([t[:n] for t in docs.text[docs.lang == out]]).mean() > 0.9
+    lost, cut = gone(known.text.tolist()), gone([t[:64] for t in known.text])
+    assert lost.mean() < 0.05 and cut.mean() < 0.08
+
+
 CONV = "conv_id long, turn long, role string, text string"
 
 

@@ -2,13 +2,14 @@
 
 A k-mer of the text's UTF-8 bytes is an anchor when the least of its inner s-mers, by hash, stands
 at its first or last place. Whether it is one depends on its own bytes alone, so an edit elsewhere
-moves no anchor, and every run of ``k - s + 1`` k-mers holds at least one. A text without an anchor
-(of fewer than ``2 k - s`` bytes) has each of its four-byte strings as one, or the whole of it.
+moves no anchor, and every run of ``k - s + 1`` k-mers holds at least one. A text of up to ``FINE`` bytes has, besides, each of its four-byte strings (or the whole of it) as a
+fine anchor.
 
 A fingerprint lists the anchors in order: for each, one byte for the distance from the one before
 (distances cannot exceed ``k - s + 1``; the first counts from the start) and
-three of its hash, all in base64. ``likeness`` is the Dice share of anchors in common, as multisets;
-``matches`` gives the places.
+three of its hash, all in base64. Fine anchors follow in the same form behind a mark. ``likeness`` is the
+Dice share of anchors in common, as multisets; ``matches`` gives the places. Two texts with fine anchors
+are compared by these, any others by the syncmers, so both sides always have the same kind.
 
 Defined results: null counts as empty; two empty texts are alike (1), an empty and another are not (0).
 """
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._store import fan_out
-from ._text import CHUNK_BYTES, all_spans, chunks, prefix_hash, ranges, sliding, span_hash
+from ._text import CHUNK_BYTES, Chunk, all_spans, chunks, prefix_hash, ranges, sliding, span_hash
 
 K, S = 32, 12
 SHORT = 4
+#: Most bytes of a text with fine anchors: beyond, half a text holds several syncmers
+FINE = 256
+#: Stands before the fine anchors; no distance is 255
+MARK = b"\xff\0\0\0"
 
 
 def anchors(data: np.ndarray, off: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,23 +49,20 @@ def anchors(data: np.ndarray, off: np.ndarray, k: int = K, s: int = S) -> tuple[
     inside = at + k <= off[text + 1]
     at, text = at[inside], text[inside]
     value = span_hash(prefix, at, at + k)
-    has = np.zeros(len(off) - 1, dtype=bool)
-    has[text] = True
-    bare = np.flatnonzero(~has & (np.diff(off) > 0))
-    if len(bare):
-        n = off[bare + 1] - off[bare]
-        grams = np.maximum(n - SHORT + 1, 1)
-        own = np.repeat(bare, grams)
-        start = ranges(off[bare], grams)
-        at = np.concatenate([at, start])
-        text = np.concatenate([text, own])
-        value = np.concatenate([value, span_hash(prefix, start, np.minimum(start + SHORT, off[own + 1]))])
-        order = np.lexsort((at, text))
-        at, text, value = at[order], text[order], value[order]
     return text, at - off[text], value
 
 
-def encode(text: np.ndarray, at: np.ndarray, value: np.ndarray, texts: int) -> list[str]:
+def fine_anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of each four-byte string of the texts of 1 to ``FINE`` bytes."""
+    size = np.diff(off)
+    short = np.flatnonzero((size > 0) & (size <= FINE))
+    grams = np.maximum(size[short] - SHORT + 1, 1)
+    text, at = np.repeat(short, grams), ranges(off[short], grams)
+    value = span_hash(prefix_hash(data), at, np.minimum(at + SHORT, off[text + 1]))
+    return text, at - off[text], value
+
+
+def _packed(text: np.ndarray, at: np.ndarray, value: np.ndarray, texts: int) -> list[bytes]:
     gap = np.diff(at, prepend=0)
     first = np.flatnonzero(np.diff(text, prepend=-1))
     gap[first] = at[first]
@@ -69,19 +71,40 @@ def encode(text: np.ndarray, at: np.ndarray, value: np.ndarray, texts: int) -> l
     for j in range(3):
         packed[:, j + 1] = (value >> np.uint64(40 + 8 * j)).astype(np.uint8)
     raw, cut = packed.tobytes(), np.searchsorted(text, np.arange(texts + 1)) * 4
-    return [base64.b64encode(raw[a:b]).decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    """(places, 24-bit hashes) of the anchors."""
+def encode(c: Chunk, k: int = K, s: int = S) -> list[str]:
+    n = c.hi - c.lo
+    coarse, fine = _packed(*anchors(c.data, c.off, k, s), n), _packed(*fine_anchors(c.data, c.off), n)
+    return [base64.b64encode(a + MARK + b if b else a).decode() for a, b in zip(coarse, fine, strict=True)]
+
+
+def _levels(fingerprint: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, 24-bit hashes) of the syncmers and, where there are some, of the fine anchors."""
     packed = np.frombuffer(base64.b64decode(fingerprint or ""), dtype=np.uint8).reshape(-1, 4).astype(np.int64)
-    return np.cumsum(packed[:, 0]), packed[:, 1] | packed[:, 2] << 8 | packed[:, 3] << 16
+    mark = np.flatnonzero(packed[:, 0] == MARK[0])
+    parts = [packed[: mark[0]], packed[mark[0] + 1 :]] if len(mark) else [packed]
+    return [(np.cumsum(p[:, 0]), p[:, 1] | p[:, 2] << 8 | p[:, 3] << 16) for p in parts]
+
+
+def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places, 24-bit hashes) of the finest anchors."""
+    return _levels(fingerprint)[-1]
+
+
+def _same_level(a: str, b: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    x, y = _levels(a), _levels(b)
+    level = min(len(x), len(y)) - 1
+    return x[level], y[level]
 
 
 def likeness(a: str, b: str) -> float:
-    x, y = decode(a)[1], decode(b)[1]
+    if not a or not b:
+        return float(a == b)
+    (_, x), (_, y) = _same_level(a, b)
     if not len(x) or not len(y):
-        return float(len(x) == len(y))
+        return 0.0
     both = np.concatenate([x, y])
     value, inverse = np.unique(both, return_inverse=True)
     one, other = np.bincount(inverse[: len(x)], minlength=len(value)), np.bincount(inverse[len(x) :], minlength=len(value))
@@ -90,7 +113,7 @@ def likeness(a: str, b: str) -> float:
 
 def matches(a: str, b: str) -> list[tuple[int, int]]:
     """Places (in a, in b) of equal anchors, the i-th of a value with the i-th."""
-    (p, x), (q, y) = decode(a), decode(b)
+    (p, x), (q, y) = _same_level(a, b)
     left, right = {}, {}
     for places, values, into in ((p, x, left), (q, y, right)):
         for at, v in zip(places.tolist(), values.tolist(), strict=True):
@@ -101,7 +124,7 @@ def matches(a: str, b: str) -> list[tuple[int, int]]:
 def fingerprint_texts(texts: list[str], k: int = K, s: int = S) -> list[str]:
     out: list[str] = []
     for c in chunks(pa.array(texts, type=pa.large_string())):
-        out += encode(*anchors(c.data, c.off, k, s), c.hi - c.lo)
+        out += encode(c, k, s)
     return out
 
 
@@ -111,7 +134,7 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.hi - c.lo), pa.array(encode(*anchors(c.data, c.off, k, s), c.hi - c.lo))], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.hi - c.lo), pa.array(encode(c, k, s))], names=["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 

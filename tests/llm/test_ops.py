@@ -49,6 +49,19 @@ def docs(spark):
     return spark.createDataFrame(rows(), DOCS).withColumns({"key": F.lit("k"), "size": F.lit(1), "bucket": F.lit(None).cast("string"), "shard": F.lit("s")}).repartition(3).cache()
 
 
+@pytest.mark.parametrize("size", [30, 40, 51, 52, 63, 64, 80, 100, 250, 257, 300])
+def test_short_texts_that_share_a_half_are_near(size):
+    for i in range(60):
+        t, other = prose(120, 700 + i).encode()[:size].decode(errors="ignore"), prose(120, 800 + i)
+        changed = t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :]
+        a, half, one, far, none = syncmers.fingerprint_texts([t, syncmers.edited(t, other), changed, other, ""])
+        assert 0.25 < syncmers.likeness(a, half) < 0.75 and syncmers.likeness(a, one) > 0.4
+        assert syncmers.likeness(a, a) == 1 and syncmers.likeness(a, far) < 0.2 and syncmers.likeness(a, none) == 0
+        # a text with fine anchors and its longer form without them still meet in their syncmers
+        longer = t + t[: max(0, syncmers.FINE + 1 - size)]
+        assert size < 200 or syncmers.likeness(a, syncmers.fingerprint_texts([longer])[0]) > 0.8
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], DOCS)

@@ -475,6 +475,13 @@ def ocr_spacing_loss(spark, d):
     return ocr.spacing_loss(pairs).select("doc_id", F.col("native_spaces").cast("long").alias("native_spaces"), F.col("ocr_spaces").cast("long").alias("ocr_spaces"))
 
 
+@query()
+def ocr_spacing_loss_pages(spark, d):
+    """Whole pages against themselves with the spaces after most letters lost."""
+    pairs = pages(spark, d).select("doc_id", "page", F.regexp_replace("text", "([aeiounrst]) ", "$1").alias("native"), F.col("text").alias("ocr"), F.lit(0.95).alias("confidence"))
+    return ocr.page_spacing_loss(pairs).select("doc_id", "page", *[F.col(c).cast("long").alias(c) for c in ("native_spaces", "ocr_spaces")])
+
+
 # -- regions ---------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.normal import nfkc
 
 
 def confidence(raw: Column) -> Column:
@@ -33,6 +34,16 @@ def _plain(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def _within(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance, or -1 beyond ``most``: banded, so that texts of any length stay affordable."""
+    return F.call_function("levenshtein", a, b, F.floor(most).cast("int"))
+
+
+def _comparable(rows: DataFrame, column: str, to: str) -> DataFrame:
+    """With the letters and digits of a column, in NFKC and lower case."""
+    return nfkc(rows.withColumn(to, F.col(column)), to).withColumn(to, F.regexp_replace(F.lower(F.col(to)), r"[^\p{L}\p{N}]+", ""))
+
+
 def native_mismatch(pairs: DataFrame, least_confidence: float = 0.85, least_ratio: float = 0.5) -> DataFrame:
     """Of pages with native and OCR text of 3 to 200 characters and like length, those that differ by half or more."""
     rows = pairs.withColumns({"a": _plain(F.col("native")), "b": _plain(F.col("ocr"))})
@@ -45,7 +56,21 @@ def spacing_loss(pairs: DataFrame, least_confidence: float = 0.85) -> DataFrame:
     """Pages of 120 characters or more whose native text is the OCR text with spaces lost."""
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     spaces = lambda c: F.regexp_count(F.trim(c), F.lit(r"\s+"))
-    rows = pairs.filter((F.col("confidence") >= least_confidence) & (F.length("ocr") >= 120) & (F.length("native") < 2000) & (F.length("ocr") < 2000))
-    rows = rows.withColumns({"distance": F.levenshtein(squeeze(F.col("native")), squeeze(F.col("ocr"))), "native_spaces": spaces(F.col("native")), "ocr_spaces": spaces(F.col("ocr"))})
-    same = F.col("distance") <= 0.12 * F.length(squeeze(F.col("ocr")))
-    return rows.filter(same & (F.col("native_spaces") <= 0.7 * F.col("ocr_spaces")))
+    rows = pairs.filter((F.col("confidence") >= least_confidence) & (F.length("ocr") >= 120))
+    rows = rows.withColumns({"distance": _within(squeeze(F.col("native")), squeeze(F.col("ocr")), 0.12 * F.length(squeeze(F.col("ocr")))), "native_spaces": spaces(F.col("native")), "ocr_spaces": spaces(F.col("ocr"))})
+    return rows.filter((F.col("distance") >= 0) & (F.col("native_spaces") <= 0.7 * F.col("ocr_spaces")))
+
+
+def page_spacing_loss(pairs: DataFrame, least_confidence: float = 0.85) -> DataFrame:
+    """Whole raster-backed pages, of any length from 120 characters on, under all conditions of the reference:
+    like letters, but less white space, longer tokens and fewer word runs in the native text."""
+    rows = _comparable(_comparable(pairs.filter(F.col("confidence") >= least_confidence), "native", "_a"), "ocr", "_b")
+    short, long = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
+    rows = rows.filter((long >= 120) & (short / long >= 0.75)).withColumn("distance", _within(F.col("_a"), F.col("_b"), 0.12 * long)).filter("distance >= 0")
+    count = lambda c, what: F.regexp_count(F.col(c), F.lit(what))
+    for c in ("native", "ocr"):
+        rows = rows.withColumns({f"{c}_alnum": count(c, r"[\p{L}\p{N}]"), f"{c}_spaces": count(c, r"\s"), f"{c}_runs": count(c, r"[\p{L}\p{N}]+")})
+    # products in place of quotients: counts of letters and runs are above 0 from here on
+    n, o = F.col("native_alnum"), F.col("ocr_alnum")
+    lost = (F.col("ocr_spaces") >= 0.14 * o) & (F.col("native_spaces") / n <= 0.6 * F.col("ocr_spaces") / o) & (n >= 8 * F.col("native_runs")) & (o <= 7 * F.col("ocr_runs")) & (F.col("native_runs") <= 0.65 * F.col("ocr_runs"))
+    return rows.filter((n >= 120) & (o >= 120)).filter(lost).drop("_a", "_b")

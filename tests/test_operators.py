@@ -186,6 +186,15 @@ def test_ocr(spark):
     assert [r.text for r in ocr.words_to_lines(words).orderBy("line").collect()] == ["a b", "c"]
 
 
+def test_spacing_loss_on_whole_pages(spark):
+    long = "some words that go on for quite a while " * 90
+    tail = long[:2400] + long[2400:].replace(" ", "")
+    rows = [(1, long.replace(" ", ""), long), (2, long, long), (3, long.replace(" ", "").replace("w", "x").replace("o", "y"), long), (4, tail[:600], long[:600]), (5, long[:2400].replace(" ", "") + long[2400:], long)]
+    pairs = spark.createDataFrame([(*r, 0.9) for r in rows], "doc_id long, native string, ocr string, confidence double")
+    assert sorted(r.doc_id for r in ocr.spacing_loss(pairs).collect()) == [1, 5]
+    assert sorted(r.doc_id for r in ocr.page_spacing_loss(pairs).collect()) == [1, 5]
+
+
 def test_regions(spark):
     vectors = spark.createDataFrame([(1, 1, 120.0 + 14 * (i % 20), 150.0 + 14 * (i // 20), 6.0, 6.0) for i in range(260)] + [(1, 1, 500.0, 700.0, 5.0, 5.0)], "doc_id long, page int, x double, y double, width double, height double")
     images = spark.createDataFrame([(1, 1, 0, 100.0, 400.0, 200.0, 100.0), (1, 1, 1, 110.0, 410.0, 90.0, 90.0), (1, 1, 2, 0.0, 0.0, 612.0, 792.0)], "doc_id long, page int, image int, x double, y double, width double, height double")

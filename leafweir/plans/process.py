@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import chrome, layout, quality, rules, search
+from ..operators import chrome, layout, quality, reading, rules, search
 from ..sources import evidence as ev
 from . import report
 
@@ -61,11 +62,15 @@ def process(documents: DataFrame, options: Options | None = None) -> Result:
     blocks = chrome.mark_repeated(ev.blocks(lines))
     spans = ev.spans(lines)
     headed = layout.headings(blocks, layout.body_font(lines))
+    placed = reading.native_places(blocks, pages)
+    overlaps, near = rules.text_overlaps(blocks), chrome.body_near_chrome(blocks)
     found = rules.settle(
         rules.all_of(
             rules.glyph_garbage(pages), rules.localized_glyph_noise(pages), rules.rtl_script(pages), rules.raw_embedded_source(pages), rules.dot_leaders(lines),
             rules.tiny_text(lines), rules.off_page(blocks, ev.PAGE_WIDTH, ev.PAGE_HEIGHT), rules.near_bottom_edge(blocks, ev.PAGE_WIDTH, ev.PAGE_HEIGHT),
             rules.page_edge_truncated(spans, ev.PAGE_WIDTH, ev.PAGE_HEIGHT), rules.numeric_layout(lines), rules.late_heading(blocks, pages),
+            rules.duplicate_text_layer(spans), reading.out_of_sequence(placed), reading.column_lists(placed, ev.PAGE_WIDTH),
+            rules.warning(overlaps, "text_overlap", F.concat_ws("/", "other_block", "area", "pairs"), F.col("block")), rules.warning(near, "body_near_repeated_chrome", F.concat_ws("/", "other_block", "overlap", "gap"), F.col("block")),
         )
     )
     matches = search.capped(search.matches(lines, search.compile_queries(options.search, options.regex, options.case_sensitive))) if options.search else None

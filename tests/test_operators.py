@@ -195,6 +195,16 @@ def test_spacing_loss_on_whole_pages(spark):
     assert sorted(r.doc_id for r in ocr.page_spacing_loss(pairs).collect()) == [1, 5]
 
 
+def test_the_plan_warns_of_body_near_chrome(spark):
+    from leafweir.plans import process
+
+    text = "\n".join(line for title in ("Apples", "Pears") for line in (title, "Chrome on each page", *[f"A body line about {title.lower()} that goes on and ends with a stop."] * 38))
+    docs = spark.createDataFrame([(1, text, "src0")], "doc_id long, text string, source string")
+    found = process.process(docs).warnings.filter("code = 'body_near_repeated_chrome'").select("page", "block").collect()
+    assert {(1, 0), (2, 0)} <= {tuple(r) for r in found}
+
+
+
 def test_regions(spark):
     vectors = spark.createDataFrame([(1, 1, 120.0 + 14 * (i % 20), 150.0 + 14 * (i // 20), 6.0, 6.0) for i in range(260)] + [(1, 1, 500.0, 700.0, 5.0, 5.0)], "doc_id long, page int, x double, y double, width double, height double")
     images = spark.createDataFrame([(1, 1, 0, 100.0, 400.0, 200.0, 100.0), (1, 1, 1, 110.0, 410.0, 90.0, 90.0), (1, 1, 2, 0.0, 0.0, 612.0, 792.0)], "doc_id long, page int, image int, x double, y double, width double, height double")

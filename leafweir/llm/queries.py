@@ -50,7 +50,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = sharding.assign(docs, sharding.tree(sharding.SHARDS), grown=sharding.tree(sharding.SHARDS + 1))
+    found = sharding.assign(docs, sharding.tree(sharding.SHARDS))
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

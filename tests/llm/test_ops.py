@@ -326,17 +326,71 @@ def test_sharding_law_and_slots(docs, empty):
     assert sharding.assign(empty).count() == 0
 
 
+def xx64(value, start):
+    """Spark's xxhash64 of a long with a running seed."""
+    m, p = 2**64 - 1, [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+    rot = lambda x, n: ((x << n) | (x >> (64 - n))) & m
+    h = (start + p[4] + 8) & m
+    h ^= (rot(((value & m) * p[1]) & m, 31) * p[0]) & m
+    h = (rot(h, 27) * p[0] + p[3]) & m
+    h = ((h ^ (h >> 33)) * p[1]) & m
+    h = ((h ^ (h >> 29)) * p[2]) & m
+    return h ^ (h >> 32)
+
+
+def descend(key, shards, path=()):
+    """(draw, shard) by the rule, level by level."""
+    kids = defaultdict(list)
+    for s in shards:
+        kids[s[len(path)]].append(s)
+    first = 42 if key is None else xx64(key, 42)
+
+    def draw(child):
+        h = xx64(sharding.seed(*path, child), first)
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53) / sum(s.weight for s in kids[child])
+
+    best = min(kids, key=draw)
+    return draw(best), best if len(path) == 2 else descend(key, kids[best], (*path, best))[1]
+
+
+UNEVEN = [sharding.Shard(s // 4, s // 2, s, 1.0 + s % 3) for s in range(8)]
+
+
+@pytest.mark.parametrize("tree", [sharding.tree(40), UNEVEN, [sharding.Shard(7, 1, 3, 2.5)], [sharding.Shard(0, 0, 1), sharding.Shard(0, 1, 1), sharding.Shard(1, 0, 2, 0.1)]])
+def test_places_are_those_of_a_plain_descent(spark, tree):
+    keys = [None, 0, -1, 2**62, *range(1, 400)]
+    added = sharding.more(tree, 3.0)
+    rows = spark.createDataFrame([(k, "x") for k in keys], "doc_id long, text string")
+    got = sharding.assign(rows, tree, added=added).collect()
+    for r in got:
+        assert r.shard == descend(r.doc_id, tree)[1]
+        assert r.grown_shard == min(descend(r.doc_id, tree), descend(r.doc_id, added))[1] == descend(r.doc_id, [*tree, *added])[1]
+
+
 def test_hash_tree_is_weighted_and_confined(spark):
     keys = spark.range(40_000).select(F.col("id").alias("doc_id"))
-    tree = [sharding.Shard(s // 4, s // 2, s, 1.0 + s % 3) for s in range(8)]
-    more = [s._replace(weight=s.weight * 2) if s.shard == 5 else s for s in tree]
-    out = keys.select("doc_id", sharding.place(F.col("doc_id"), tree).alias("a"), sharding.place(F.col("doc_id"), more).alias("b"), sharding.place(F.col("doc_id"), [*tree, sharding.Shard(9, 9, 9)]).alias("c")).toPandas()
+    heavier = [s._replace(weight=s.weight * 2) if s.shard == 5 else s for s in UNEVEN]
+    lighter = [s._replace(weight=s.weight / 2) if s.shard == 5 else s for s in UNEVEN]
+    grown = [*UNEVEN, *sharding.more(UNEVEN)]
+    again = [*UNEVEN, sharding.Shard(9, 9, 5, 2.0)]
+    key = F.col("doc_id")
+    out = keys.select("doc_id", *[sharding.place(key, t).alias(n) for n, t in dict(a=UNEVEN, b=heavier, c=grown, d=again, e=lighter).items()]).toPandas()
     share = out.a.value_counts(normalize=True)
-    total = sum(s.weight for s in tree)
-    assert all(abs(share[s.shard] - s.weight / total) < 0.01 for s in tree)
-    assert (out.b[out.b != out.a] == 5).all() and (out.c[out.c != out.a] == 9).all()
+    total = sum(s.weight for s in UNEVEN)
+    assert all(abs(share[s.shard] - s.weight / total) < 0.01 for s in UNEVEN)
+    # a change of weight moves keys into (out of) region 1 alone and, within it, into (out of) rack 2 alone, within that into (out of) shard 5
+    for new, old in (("b", "a"), ("a", "e")):
+        moved = out[out[new] != out[old]]
+        assert len(moved) and (moved[new] >= 4).all()
+        inside = moved[moved[old] >= 4]
+        assert inside[new].isin([4, 5]).all() and (inside[new][inside[old].isin([4, 5])] == 5).all()
+    # what is added takes keys only into itself
+    assert (out.c[out.c != out.a] == 8).all() and (out.d[out.d != out.a] == 5).all()
+    assert abs((out.c != out.a).mean() - 1 / (total + 1)) < 0.01
     with pytest.raises(ValueError):
         sharding.place(F.col("doc_id"), [sharding.Shard(0, 0, 0, 0.0)])
+    with pytest.raises(ValueError):
+        sharding.assign(keys.withColumn("text", F.lit("")), UNEVEN, added=[sharding.Shard(1, 9, 9)])
 
 
 def test_warc_round_trip(spark, tmp_path):

@@ -26,6 +26,8 @@ from ._store import materialize
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = 20240229
+#: A source is dealt to 2 ** 12 buckets by its draws' leading bits; the order of draws is the same for any number.
+BUCKET_BITS = 12
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 def _taken(docs: DataFrame, keep: list[str], weights: tuple[int, ...], epochs: int, seed: int) -> DataFrame:
     """``keep`` and _lw_size, _lw_source_size, _lw_target, _lw_taken."""
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.select(*keep, F.col("source").alias("_lw_source"), size_of(F.col("text")).alias("_lw_size"), draw.alias("_lw_draw")).withColumn("_lw_bucket", F.shiftrightunsigned("_lw_draw", 56))
+    rows = docs.select(*keep, F.col("source").alias("_lw_source"), size_of(F.col("text")).alias("_lw_size"), draw.alias("_lw_draw")).withColumn("_lw_bucket", F.shiftrightunsigned("_lw_draw", 64 - BUCKET_BITS))
     small = materialize(rows.groupBy(F.col("_lw_source").alias("source"), F.col("_lw_bucket").alias("bucket")).agg(F.sum("_lw_size").alias("n")), "bucket-sizes")
     per_source = targets(small.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

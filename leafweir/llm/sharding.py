@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SHARDS = 40
-BUCKETS = 4096
+BUCKETS = 1024
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 _STEPS = 2.0**-53
 

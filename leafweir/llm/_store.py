@@ -3,8 +3,8 @@
 ``materialize`` cuts lineage by writing Parquet under ``spark.checkpoint.dir`` and reading it back:
 Spark's commit protocol makes it safe against lost executors, and a later join on it has a plain
 exchange on either side, which adaptive execution can split when a key is hot. The folder is the
-cluster's own when the setting is there; only where it is unset (tests, a laptop) a local one is set.
-Tables go when Python ends, or earlier with ``clear``.
+cluster's own when the setting is there; only where it is unset and Spark is local (tests, a laptop) a
+local one is set. Tables go when Python ends, or earlier with ``clear``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     kept = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
     folder = spark.conf.get("spark.checkpoint.dir", None) or kept
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="leafweir-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -19,9 +19,13 @@ components of the links. Nothing is capped, and no bucket's pairs are all compar
   x, ``|x & y| <= min(|x & c|, |y & c|) + min(other extra of x, of y)`` bounds the overlap exactly,
   so a text with many is out at once and most pairs fall within the join.
 * Of the pairs of different components that are left in a bucket, texts outside its largest component
-  are compared with the rest, ``centres`` of them per bucket and round, until none is unseen.
+  are compared with the rest: ``centres`` of a bucket's in the first round, twice as many in each
+  further one, so rounds are as many as the doublings up to the fullest bucket. Components merge
+  between rounds, and pairs of one component need no comparison.
 
-Work per round is linear in the bucket. Pairs of one component need no comparison.
+Buckets are dealt over tasks: a join on a bucket takes at most about ``SPREAD`` of its rows in one.
+Texts are known by a number of their own, given when the table of distinct texts is written, and are
+the same only if 128 bits of their words agree.
 
 Defined results: null text counts as empty. Texts without a word form a class with equal texts only.
 Equal word sequences are copies whatever their case or punctuation. Null or repeated ids are rows
@@ -46,6 +50,10 @@ BANDS, ROWS = 32, 5
 THRESHOLD = 0.8
 CENTRES = 512
 DEAL = 64
+SPREAD = 256
+#: Points drawn at once; fixed, so that a point's time has the same bits whatever texts are signed with it.
+STEPS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+CELLS = 2_000_000
 _GOLD = U64(0x9E3779B97F4A7C15)
 _STEP = U64(0xD6E8FEB86659FD93)
 
@@ -83,22 +91,24 @@ def signatures(text: np.ndarray, value: np.ndarray, count: np.ndarray, texts: in
     low = np.where(block > 0, 1 << np.maximum(block - 1, 0), 0)
     width = np.maximum(low, 1)
     seed = mix64(value[own] + block.astype(U64) * _STEP)
-    row, weight, time, drawn, step = text[own], count[own], np.zeros(len(own)), 0, 1
+    row, weight, time, drawn, turn = text[own], count[own], np.zeros(len(own)), 0, 0
     while len(row):
+        step = STEPS[min(turn, len(STEPS) - 1)]
         k = (np.arange(drawn, drawn + step, dtype=U64) + U64(1)) * _GOLD
-        a = mix64(seed[:, None] + k)
-        gap = -np.log(((a >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (m * width)[:, None]
-        times = time[:, None] + np.cumsum(gap, axis=1)
-        b = mix64(a ^ _STEP)
-        component = ((b >> U64(40)) * U64(m) >> U64(24)).astype(np.int64)
-        level = low[:, None] + 1 + (b & (width - 1).astype(U64)[:, None]).astype(np.int64)  # widths are powers of two: the low bits descend the block
-        kept = level <= weight[:, None]
-        np.minimum.at(best, (row[:, None] * m + component)[kept], times[kept])
-        time = times[:, -1]
+        for lo in range(0, len(row), max(1, CELLS // step)):
+            part = slice(lo, lo + max(1, CELLS // step))
+            a = mix64(seed[part, None] + k)
+            gap = -np.log(((a >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (m * width[part])[:, None]
+            times = time[part, None] + np.cumsum(gap, axis=1)
+            b = mix64(a ^ _STEP)
+            component = ((b >> U64(40)) * U64(m) >> U64(24)).astype(np.int64)
+            level = low[part, None] + 1 + (b & (width[part] - 1).astype(U64)[:, None]).astype(np.int64)  # widths are powers of two: the low bits descend the block
+            kept = level <= weight[part, None]
+            np.minimum.at(best, (row[part, None] * m + component)[kept], times[kept])
+            time[part] = times[:, -1]
         on = time < best.reshape(texts, m).max(axis=1)[row]
         row, weight, time, seed, low, width = row[on], weight[on], time[on], seed[on], low[on], width[on]
-        drawn += step
-        step = int(min(step * 2, 512, max(1, 2_000_000 // max(1, len(row)))))
+        drawn, turn = drawn + step, turn + 1
     return best.reshape(texts, m)
 
 
@@ -229,27 +239,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(touched, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, centres: int = CENTRES) -> DataFrame:
-    """One row per document: doc_id, text_md5, class_id, n_links, keep.
+def along(rows: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """Joins what is known of each bucket (bucket, fill, ...) to its rows (bucket, fill, key, ...), a full bucket over several tasks."""
+    parts = F.ceil(F.col("fill") / SPREAD).cast("int")
+    left = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    right = per_bucket.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("fill")
+    return left.join(right, ["bucket", "part"]).drop("part")
 
-    ``keep`` marks the row of least (doc_id, text_md5) in each class; rows alike in both are marked
-    alike. ``n_links`` counts verified links of the row's text to texts of other words.
-    """
-    return _classes(docs, bands, rows, threshold, centres)
 
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, centres: int = CENTRES) -> DataFrame:
+    """One row per document: doc_id, text_md5, class_id, class_size (rows), keep.
 
-def _classes(docs: DataFrame, bands: int, rows: int, threshold: float, centres: int) -> DataFrame:
+    ``keep`` marks the row of least (doc_id, text_md5) in each class; rows alike in both are marked alike.
+    """
     md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", md5.alias("text_md5")).mapInArrow(_sign(bands, rows), "doc_id long, text_md5 string, k1 long, k2 long, bands array<long>")
     signed = materialize(signed, "signed")
-    # a text key is 64 of the 128 bits; two word sequences that share those but not the rest get keys of their own
     distinct = signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_md5")).alias("least"), F.min("doc_id").alias("least_id"))
-    distinct = materialize(distinct.withColumn("key", F.xxhash64("k1", "k2")), "distinct")
+    # unique by construction; a task that is run again is committed once, and later steps read what was written
+    distinct = materialize(distinct.withColumn("key", F.monotonically_increasing_id()), "distinct")
     buckets = distinct.select("key", F.explode("bands").alias("bucket"))
-    sizes = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    shared = materialize(buckets.join(sizes, "bucket").select("bucket", "size", "key"), "shared")
-    full = shared.groupBy("key").agg(F.sum("size").alias("fullness"))
-    centre = materialize(shared.join(full, "key").groupBy("bucket").agg(F.max_by("key", F.struct("fullness", "key")).alias("centre")), "first-centres")
+    sizes = materialize(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("fill")).filter("fill > 1"), "sizes")
+    shared = materialize(buckets.join(sizes, "bucket").select("bucket", "fill", "key"), "shared")
+    full = shared.groupBy("key").agg(F.sum("fill").alias("fullness"))
+    centre = materialize(shared.join(full, "key").groupBy("bucket", "fill").agg(F.max_by("key", F.struct("fullness", "key")).alias("centre")), "first-centres")
     # whole texts of the keys that share a bucket, once per key
     rows_of = distinct.join(full, "key", "left_semi").select("key", F.col("least.doc_id").alias("one_id"), F.col("least.text_md5").alias("one_md5"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text", md5.alias("text_md5"))
@@ -264,42 +277,57 @@ def _classes(docs: DataFrame, bands: int, rows: int, threshold: float, centres:
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
 
-    members = shared.join(centre, "bucket")
-    first = materialize(verified(counted(members.filter("key <> centre").select("centre", F.col("key").alias("member"), (F.col("size") > 2).alias("want"))), texts), "verified")
+    members = along(shared, centre)
+    first = materialize(verified(counted(members.filter("key <> centre").select("centre", F.col("key").alias("member"), (F.col("fill") > 2).alias("want"))), texts), "verified")
     links = ordered(first.filter(F.col("similarity") >= threshold)).distinct()
-    tested = ordered(first)
     root = materialize(components(distinct.select("key"), links), "components")
-    # only buckets of more than two texts can hold an unseen pair; a centre itself has been compared with all
-    mixed = members.filter("size > 2").join(root, "key").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    bound = reach(first).filter(F.col("common") + F.col("shared") >= threshold * F.col("size"))
-    open_rows = materialize(members.filter("size > 2 and key <> centre").drop("size").join(mixed, "bucket", "left_semi").join(bound, ["centre", "key"]).select("bucket", "key", "size", "common", "shared"), "open")
-    done = open_rows.select("bucket", F.col("key").alias("c")).limit(0)
-    while True:
-        rooted = open_rows.join(root, "key")
-        largest = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        waiting = rooted.join(largest, "bucket").filter("root <> main").select("bucket", F.col("key").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"), F.col("common").alias("c_common"), F.col("shared").alias("c_shared")).join(done, ["bucket", "c"], "left_anti")
-        ranked = waiting.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("c")))
-        ranked = materialize(ranked.filter(F.col("rank") <= centres + 1), "centres")
-        chosen = ranked.filter(F.col("rank") <= centres).drop("rank")
-        done = done.unionByName(chosen.select("bucket", "c"))
-        most = F.least("common", "c_common") + F.least("shared", "c_shared")
-        able = (F.col("root") != F.col("c_root")) & (most >= threshold * (F.col("size") + F.col("c_size") - most))
-        across = chosen.alias("a").join(rooted.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & able).select(F.least("c", "key").alias("centre"), F.greatest("c", "key").alias("member"), F.lit(False).alias("want"))
-        fresh = counted(across.join(tested, ["centre", "member"], "left_anti"))
+    waiting = materialize(_waiting(members, first, root, threshold), "waiting")
+    most = waiting.agg(F.max("n_out").alias("n")).first()["n"] or 0
+    tested, begin, width = ordered(first), 0, centres
+    while begin < most:
+        rooted = waiting.join(root, "key")
+        turn = rooted.filter(F.col("out") & (F.col("place") >= begin) & (F.col("place") < begin + width)).join(root.select(F.col("key").alias("head"), F.col("root").alias("head_root")), "head").filter("root <> head_root")
+        fresh = counted(_across(turn, rooted, threshold).join(tested, ["centre", "member"], "left_anti"))
         found = materialize(verified(fresh, texts), "verified")
         tested = tested.unionByName(found.select("centre", "member"))
+        begin, width = begin + width, 2 * width
         near = found.filter(F.col("similarity") >= threshold)
         if not near.isEmpty():
             links = links.unionByName(near.select("centre", "member"))
             root = materialize(components(distinct.select("key"), links), "components")
-        if ranked.filter(F.col("rank") > centres).isEmpty():
-            break  # every text outside its bucket's largest component has been a centre
-    degree = links.select(F.explode(F.array("centre", "member")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    per_key = distinct.join(root, "key").join(degree, "key", "left")
-    named = per_key.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.when(F.col("least.doc_id").isNotNull(), F.col("least"))).alias("first"), F.min("least").alias("any_first"))
-    classes = per_key.join(named, "root").select("k1", "k2", "copies", F.col("least_id").alias("one"), "class_id", F.coalesce("first", "any_first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per_key = distinct.join(root, "key")
+    named = per_key.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.when(F.col("least.doc_id").isNotNull(), F.col("least"))).alias("first"), F.min("least").alias("any_first"))
+    classes = per_key.join(named, "root").select("k1", "k2", "copies", F.col("least_id").alias("one"), "class_id", "class_size", F.coalesce("first", "any_first").alias("first"))
     out = spread_back(signed.drop("bands"), classes, ["k1", "k2"], "copies", "one", "doc_id")
-    return out.select("doc_id", "text_md5", "class_id", "n_links", F.struct("doc_id", "text_md5").eqNullSafe(F.col("first")).alias("keep"))
+    return out.select("doc_id", "text_md5", "class_id", "class_size", F.struct("doc_id", "text_md5").eqNullSafe(F.col("first")).alias("keep"))
+
+
+def _waiting(members: DataFrame, first: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
+    """Rows of buckets that still hold unseen pairs of different components: bucket, fill, key, size, common, shared, out, n_out, head, place.
+
+    Only buckets of more than two texts can; a centre has been compared with all. A row is ``out`` if it
+    is not in the bucket's largest component, of which ``head`` is one; ``place`` is its turn, by hash,
+    among the ``n_out`` that are. Components only grow: a row that joins the head's stays there.
+    """
+    more = members.filter("fill > 2")
+    mixed = more.join(root, "key").groupBy("bucket", "fill").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "fill")
+    bound = reach(first).filter(F.col("common") + F.col("shared") >= threshold * F.col("size"))
+    open_rows = along(more.filter("key <> centre"), mixed).join(bound, ["centre", "key"]).select("bucket", "fill", "key", "size", "common", "shared")
+    rooted = materialize(open_rows.join(root, "key"), "open")
+    parts = rooted.groupBy("bucket", "fill", "root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head"))
+    main = parts.groupBy("bucket", "fill").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root", "head")).alias("main")).filter("n > main.n")
+    known = along(rooted, main.select("bucket", "fill", (F.col("n") - F.col("main.n")).alias("n_out"), F.col("main.root").alias("main"), F.col("main.head").alias("head")))
+    return known.select("bucket", "fill", "key", "size", "common", "shared", (F.col("root") != F.col("main")).alias("out"), "n_out", "head", F.pmod(F.xxhash64("key"), "n_out").alias("place"))
+
+
+def _across(turn: DataFrame, rooted: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a row of ``turn`` and one of its bucket in another component that the bounds don't rule out."""
+    parts = F.ceil(F.col("fill") / SPREAD).cast("int")
+    c = turn.select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("key").alias("c"), F.col("root").alias("c_root"), F.col("size").alias("c_size"), F.col("common").alias("c_common"), F.col("shared").alias("c_shared"))
+    rows = rooted.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    most = F.least("common", "c_common") + F.least("shared", "c_shared")
+    able = (F.col("root") != F.col("c_root")) & (most >= threshold * (F.col("size") + F.col("c_size") - most))
+    return c.join(rows, ["bucket", "part"]).filter(able).select(F.least("c", "key").alias("centre"), F.greatest("c", "key").alias("member"), F.lit(False).alias("want"))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bag_minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "keep")
+    return bag_minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,17 +97,67 @@ def test_near_duplicate_classes(docs, empty):
             want[(data[i][0], min(ids) if ids else None)] += 1
     na = lambda v: None if pd.isna(v) else int(v)
     assert Counter((na(r.doc_id), na(r.class_id)) for r in got.itertuples()) == want
+    sizes = Counter(classes)
+    by_class = defaultdict(set)
+    for r in got.itertuples():
+        by_class[na(r.class_id)].add(r.class_size)
+    assert all(by_class[c] <= {sizes[k] for k, own in members.items() if c in [data[i][0] for i in own]} for c in by_class)
     kept = bag_minhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len(members)
     assert bag_minhash.near_duplicates(empty).count() == 0 and bag_minhash.keep_one(empty).count() == 0
 
 
 def test_near_duplicates_through_further_centres(docs):
-    """With one centre a round the same classes come out."""
+    """With one centre in the first round the same classes come out."""
     key = lambda d: sorted((str(r.doc_id), str(r.class_id)) for r in d.collect())
     assert key(bag_minhash.near_duplicates(docs, centres=1)) == key(bag_minhash.near_duplicates(docs))
 
 
+def test_a_full_bucket_of_many_classes(spark, monkeypatch):
+    """Texts that all share bands with one another, of which only few pairs are near: rounds and dealt buckets find them."""
+    monkeypatch.setattr(bag_minhash, "SPREAD", 8)
+    base = prose(100, 61)
+    texts = [edited(base, 300 + i, 0.028) for i in range(100)] + [base]
+    near = brute.near_classes(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(rows, bands=64, rows=1, centres=2).collect()}
+    least = {c: near.index(c) for c in set(near)}
+    assert len(set(near)) > 5 and got == {i: least[c] for i, c in enumerate(near)}
+
+
+def test_signatures_do_not_depend_on_the_other_texts(monkeypatch):
+    texts, value = np.repeat(np.arange(300), 40), bag_minhash.mix64(np.arange(12_000, dtype=np.uint64))
+    whole = bag_minhash.signatures(*bag_minhash.multiset(texts, value), 300, 160)
+    alone = bag_minhash.signatures(*bag_minhash.multiset(texts[:40], value[:40]), 1, 160)
+    assert (whole[0] == alone[0]).all()
+    monkeypatch.setattr(bag_minhash, "CELLS", 500)
+    assert (bag_minhash.signatures(*bag_minhash.multiset(texts, value), 300, 160) == whole).all()
+
+
+def test_recall_by_similarity(spark):
+    """Of the pairs of different words that brute force finds, all from 0.8 on are in one class; below, none need be."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    r = random.Random(8)
+    # the table has few pairs between 0.8 and 1
+    planted = [(t, edited(t, 9000 + i, r.uniform(0.005, 0.04))) for i in range(200) for t in [prose(r.randint(30, 160), 5000 + i)]]
+    data = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6 * (k + 1) + i, t) for i, two in enumerate(planted) for k, t in enumerate(two)]
+    cls = {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(spark.createDataFrame(data, docs.schema).repartition(6)).collect()}
+    bags = [brute.bag(t) for _, t in data]
+    where = defaultdict(list)
+    for i, b in enumerate(bags):
+        for s in b:
+            where[s].append(i)
+    seen, found = Counter(), Counter()
+    for i, b in enumerate(bags):
+        for j, n in Counter(j for s in b for j in where[s] if j < i).items():
+            if n * 2 >= 0.5 * (sum(b.values()) + sum(bags[j].values())):
+                x = brute.similarity(b, bags[j])
+                band = "1" if x == 1 else "0.9" if x >= 0.9 else "0.85" if x >= 0.85 else "0.8" if x >= 0.8 else "below"
+                seen[band] += 1
+                found[band] += cls[data[i][0]] == cls[data[j][0]]
+    assert all(seen[b] == found[b] for b in ("1", "0.9", "0.85", "0.8")) and min(seen[b] for b in ("0.9", "0.85", "0.8", "below")) >= 15, (seen, found)
+
+
 def test_fingerprints(docs, empty):
     data = sorted(rows(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     got = syncmers.edited_likeness(docs).toPandas()

@@ -12,12 +12,14 @@ Windows go to the tasks in blocks of at most ``block`` (bounded memory); a large
 one pass over the corpus for each block, and texts are put together by id and text afterwards.
 
 Defined results: null or wordless texts have no words, no hits and the digest of nothing. Items that
-are null or wordless have no window. Items with equal ids count as one id; a null id never counts.
+are null or wordless have no window. Items with equal ids count as one id; the windows of an item
+without an id hit words as others do, but it is not among the items.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -73,31 +75,42 @@ def item_windows(texts: list[str], ids: list[int]) -> tuple[np.ndarray, np.ndarr
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[Block]:
     """The benchmark, item by item, in blocks of about ``block`` windows; one is held at a time."""
 
-    def packed(rows: list, lengths: list, owners: list) -> Block:
-        w, n, o = np.concatenate(rows), np.concatenate(lengths), np.concatenate(owners)
+    def packed(rows: list, lengths: list, owners: list, named: list) -> Block:
+        w, n, o, has = (np.concatenate(x) for x in (rows, lengths, owners, named))
         w, inverse = np.unique(np.column_stack([w, n.astype(U64)]), axis=0, return_inverse=True)
-        pair = np.unique(np.column_stack([inverse.ravel(), o]), axis=0)
+        pair = np.unique(np.column_stack([inverse.ravel(), o])[has], axis=0)
         n = w[:, -1].astype(np.int64)
-        grams = {}
-        for k in range(1, SHINGLE + 1):
-            of = np.flatnonzero(np.minimum(n, SHINGLE) == k)
-            if len(of):
-                grams[k] = np.unique(np.concatenate([gram_hash(np.ascontiguousarray(w[i, : n[i]]), k) for i in of]))
-        return Block(np.ascontiguousarray(w[:, :-1]), n, np.searchsorted(pair[:, 0], np.arange(len(w) + 1)), pair[:, 1], grams)
-
-    rows, lengths, owners, held = [], [], [], 0
-    for item in benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("item_id is not null and text is not null").toLocalIterator():
-        w, n, o = item_windows([item[1]], [item[0]])
+        grams: dict[int, list] = {}
+        for size, of in _by_length(n):
+            grams.setdefault(_shingle_size(size), []).append(_row_grams(w[of, :size], _shingle_size(size)).ravel())
+        return Block(np.ascontiguousarray(w[:, :-1]), n, np.searchsorted(pair[:, 0], np.arange(len(w) + 1)), pair[:, 1], {k: np.unique(np.concatenate(g)) for k, g in grams.items()})
+
+    held: tuple[list, ...] = ([], [], [], [])
+    size = 0
+    for item in benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null").toLocalIterator():
+        w, n, o = item_windows([item[1]], [0 if item[0] is None else item[0]])
         for lo in range(0, len(n), block):
-            rows.append(w[lo : lo + block])
-            lengths.append(n[lo : lo + block])
-            owners.append(o[lo : lo + block])
-            held += len(rows[-1])
-            if held >= block:
-                yield packed(rows, lengths, owners)
-                rows, lengths, owners, held = [], [], [], 0
-    if held:
-        yield packed(rows, lengths, owners)
+            part = slice(lo, lo + block)
+            for into, x in zip(held, (w[part], n[part], o[part], np.full(len(n[part]), item[0] is not None)), strict=True):
+                into.append(x)
+            size += len(held[0][-1])
+            if size >= block:
+                yield packed(*held)
+                held, size = ([], [], [], []), 0
+    if size:
+        yield packed(*held)
+
+
+def _by_length(n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for size in np.unique(n).tolist():
+        yield size, np.flatnonzero(n == size)
+
+
+def _row_grams(w: np.ndarray, k: int) -> np.ndarray:
+    """``gram_hash`` of every k consecutive words of each row."""
+    rows, n = w.shape
+    flat = gram_hash(np.ascontiguousarray(w).ravel(), k)
+    return flat[np.arange(rows)[:, None] * n + np.arange(n - k + 1)]
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,14 +163,18 @@ class _Prefixes(NamedTuple):
 
 def _prefixes(block: Block, counts: dict[int, np.ndarray]) -> dict[int, _Prefixes]:
     """For each shingle size: the sorted prefix shingles and, for each, the windows it stands for."""
+    found: dict[int, list] = {}
+    for size, of in _by_length(block.length):
+        k = _shingle_size(size)
+        g = _row_grams(block.words[of, :size], k)
+        often = counts[k][np.searchsorted(block.grams[k], g)]
+        # the rarest of a window; of those the least, and where it stands first
+        least = np.where(often == often.min(axis=1)[:, None], g, U64(2**64 - 1))
+        place = least.argmin(axis=1)
+        found.setdefault(k, []).append((g[np.arange(len(of)), place], of, place))
     out = {}
-    for k, table in block.grams.items():
-        of = np.flatnonzero(np.minimum(block.length, SHINGLE) == k)
-        key, place = np.empty(len(of), dtype=U64), np.empty(len(of), dtype=np.int64)
-        for j, i in enumerate(of.tolist()):
-            g = gram_hash(np.ascontiguousarray(block.words[i, : block.length[i]]), k)
-            place[j] = best = int(np.lexsort((g, counts[k][np.searchsorted(table, g)]))[0])
-            key[j] = g[best]
+    for k, parts in found.items():
+        key, of, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(key, kind="stable")
         unique, first = np.unique(key[order], return_index=True)
         out[k] = _Prefixes(unique, np.append(first, len(order)), of[order], place[order], _maybe(unique))
@@ -245,26 +262,17 @@ def _join(docs: DataFrame, block: Block, prefixes: dict[int, _Prefixes], keep: l
 def overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = [(b, _prefixes(b, _counts(rows, b))) for b in _first_two(_blocks(benchmark, block))]
-    if not blocks:
+    blocks = _blocks(benchmark, block)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         none = Block(np.zeros((0, WINDOW), dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), {})
         return _join(rows, none, {}, ["doc_id"], RESULT, False)
-    if len(blocks) == 1:
-        return _join(rows, *blocks[0], ["doc_id"], RESULT, False)
-    return _in_blocks(rows, benchmark, block)
-
-
-def _first_two(blocks: Iterator[Block]) -> list[Block]:
-    """The only block, or two when there are more (their further handling is in passes)."""
-    out = []
-    for b in blocks:
-        out.append(b)
-        if len(out) == 2:
-            break
-    return out
+    if second is None:
+        return _join(rows, first, _prefixes(first, _counts(rows, first)), ["doc_id"], RESULT, False)
+    return _in_blocks(rows, itertools.chain((first, second), blocks))
 
 
-def _in_blocks(rows: DataFrame, benchmark: DataFrame, block: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, blocks: Iterator[Block]) -> DataFrame:
     """One pass for each block; then hits are united for each (id, text digest).
 
     Rows alike in both have the same hits, so any one of them stands for all in the union and the
@@ -273,7 +281,7 @@ def _in_blocks(rows: DataFrame, benchmark: DataFrame, block: int) -> DataFrame:
     rows = rows.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     schema = "doc_id long, text_md5 string, n_words long, items array<long>, runs array<struct<first: long, count: long>>"
     passes = None
-    for b in _blocks(benchmark, block):
+    for b in blocks:
         found = _join(rows, b, _prefixes(b, _counts(rows, b)), ["doc_id", "text_md5"], schema, True)
         passes = found if passes is None else passes.unionByName(found)
     same = rows.groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("rows"))
@@ -318,7 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
 ORACLE = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 win as (
   select distinct item_id, 10 as n, array_to_string(w[k:k + 9], ' ') as gram from (select item_id, w, unnest(range(1, len(w) - 8)) as k from i where len(w) >= 10)
   union all select distinct item_id, len(w), array_to_string(w, ' ') from i where len(w) between 1 and 9),
@@ -326,7 +334,7 @@ lens as (select distinct n from win),
 occ as (select d.doc_id, k, lens.n, array_to_string(w[k:k + lens.n - 1], ' ') as gram from d, lens, unnest(range(1, len(w) - lens.n + 2)) as u(k) where len(w) >= lens.n),
 hit as (select occ.doc_id, occ.k, occ.n, win.item_id from occ join win using (n, gram)),
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from hit) group by doc_id),
-items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, cast(item_id as varchar) as item from hit where item_id is not null) group by doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
 """

@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -159,6 +160,18 @@ def _compare(ids: list, texts: list[str], following: list[str], k: int, s: int)
     }
 
 
+def _cuts_above(value: Column, cuts: list[int]) -> Column:
+    """How many of the falling cuts are above the value (all, if it is null), by two steps of about a root of their number."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts) - 1) + 1
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    above = lambda c: F.coalesce(c > value, F.lit(True))
+    whole = F.size(F.filter(F.array(*[F.lit(b[-1]) for b in blocks]), above))
+    rest = F.get(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), whole)
+    return F.when(whole == len(blocks), len(cuts)).otherwise(whole * width + F.size(F.filter(rest, above))).cast("int")
+
+
 def edited_likeness(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Each text against its edited form and its follower, by descending id (ties by text; null ids last).
 
@@ -171,8 +184,7 @@ def edited_likeness(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts - 1, 0, -1)] or [0.5], F.lit(max(10_000, 100 * parts)))).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
     # range number: how many cuts the id is not above; a null id is below them all
-    part = (F.lit(len(cuts)) if not cuts else F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))))).cast("int")
-    rows = rows.withColumn("part", part)
+    rows = rows.withColumn("part", _cuts_above(F.col("doc_id"), cuts))
     heads = rows.groupBy("part").agg(F.max("doc_id").alias("top"))
     around = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # one row for each range: bounded by the number of partitions

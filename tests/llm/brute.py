@@ -70,7 +70,7 @@ def decontaminated(text, items):
             for i in places.get(x[0], []):
                 if w[i : i + len(x)] == x:
                     hit.update(range(i, i + len(x)))
-                    found.add(item_id)
+                    found |= {item_id} - {None}
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 

@@ -14,10 +14,11 @@ import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,9 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+def scratch(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A path for an intermediate table, and its name where it is one of the catalogue's."""
     path = f"{shared_folder(spark).rstrip('/')}/leafweir-{uuid.uuid4().hex[:12]}-{name}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, path, table))
     return path
 
 
@@ -44,10 +46,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear() -> None:
-    """Delete every intermediate table that this process wrote; frames that still read one are void."""
+    """Delete every intermediate table that this process wrote; frames that still read one are void.
+
+    Files go even when Spark has been stopped, as long as its process lives; catalogue entries only before.
+    """
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        with contextlib.suppress(Exception):
+        spark, path, table = _WRITTEN.pop()
+        with contextlib.suppress(Py4JError, OSError):
+            if table and spark.sparkContext._jsc is not None:
+                spark.sql(f"drop table if exists {table}")
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

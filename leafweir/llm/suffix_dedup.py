@@ -17,7 +17,14 @@ extension. A unique core means that no window of the run recurs, a shared span t
 
 Equal texts are one: they are removed whole from ``length`` bytes on, and one of them takes part
 against the others. Ranks are 64-bit polynomial hashes to two bases; a core and span agree falsely
-with a chance of 2**-128 for each pair of runs.
+with a chance of 2**-128 for each pair of runs. A text's key is unique: where the leading bits of two
+digests agree, the next bits number the texts.
+
+Hot ranks: runs alike in core and span are settled within a batch, and one of each goes on. A core
+with very many spans (a phrase in a third of all texts, in ever other surroundings) would meet in one
+task; such cores are looked for in one text of ``SAMPLE``, and as two spans were seen there, that there
+are others is known: only equal spans still have to meet, so the core's runs are dealt by span. The
+sample decides on routes alone, never on results.
 
 Defined results: null counts as empty; texts of fewer than ``length`` bytes lose nothing.
 """
@@ -30,24 +37,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._store import fan_out, materialize, spread_back
+from ._store import fan_out, materialize, scratch, spread_back
 from ._text import BASE_A, BASE_B, CHUNK_BYTES, U64, all_spans, buffers, chunks, mix64, prefix_hash, ranges, sliding, span_hash
 
 LENGTH, ANCHOR, RUN = 200, 100, 16
 #: Suffix runs: core and span rank, text key, anchor's place, first window before the anchor, number of windows.
-RUNS = "core long, span long, key long, anchor int, back short, count int, done boolean"
+RUNS = "core long, span long, key long, anchor int, back short, count int, done boolean, salt short, more boolean"
+#: One text of so many is looked at for hot cores, which are those of at least HOT sampled runs; at most ROUTES of them.
+SAMPLE, HOT, ROUTES = 64, 16, 10_000
 _NAMES = [f.split()[0] for f in RUNS.split(", ")]
 
 
-def _runs(core, span, key, anchor, back, count, done) -> pa.RecordBatch:
+def _runs(core, span, key, anchor, back, count, done, hot) -> pa.RecordBatch:
+    dealt = np.isin(core.view(np.int64), hot)
+    salt = np.where(dealt, span.view(np.int64) & 0x7FFF, 0).astype(np.int16)
     return pa.RecordBatch.from_arrays(
-        [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(anchor.astype(np.int32)), pa.array(back.astype(np.int16)), pa.array(count.astype(np.int32)), pa.array(done)], names=_NAMES
+        [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(anchor.astype(np.int32)), pa.array(back.astype(np.int16)), pa.array(count.astype(np.int32)), pa.array(done), pa.array(salt), pa.array(dealt)], names=_NAMES
     )
 
 
+_NONE = np.zeros(0, dtype=np.int64)
+
+
 def _anchors(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Runs of windows by anchor: core rank, text number, anchor's place, first and last window."""
     width = length - anchor + 1
@@ -91,7 +106,7 @@ def _leftmost(rank: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
     return found
 
 
-def _first(length: int, anchor: int):
+def _first(length: int, anchor: int, hot: np.ndarray):
     """Round 1: runs by anchor. Equal runs of one batch are settled there and sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,27 +121,26 @@ def _first(length: int, anchor: int):
                 back = place - first
                 span = span_hash(own, first, last + length, BASE_B) ^ mix64(back.astype(U64) + U64(11))
                 parts.append((core, span, keys[c.lo + text], place - c.off[text], back, last - first + 1))
-            if not parts:
-                continue
-            core, span, key, place, back, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((span, core))
-            core, span, key, place, back, count = (x[order] for x in (core, span, key, place, back, count))
-            same = np.zeros(len(core) + 1, dtype=bool)
-            same[1:-1] = (core[1:] == core[:-1]) & (span[1:] == span[:-1])
-            yield from _settled(core, span, key, place, back, count, same)
+            yield from _settled(parts, hot)
 
     return run
 
 
-def _settled(core, span, key, place, back, count, same) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of one batch: those that meet their like there are done; the first of each goes on.
+def _settled(parts: list[tuple], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch's runs by rank: those that meet their like there are done; the first of each goes on.
 
-    One that goes on and is done is sent as two rows of the same rank: it is settled for good then.
+    One that goes on and is done is settled for good then.
     """
+    if not parts:
+        return
+    core, span, key, place, back, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((span, core))
+    core, span, key, place, back, count = (x[order] for x in (core, span, key, place, back, count))
+    same = np.zeros(len(core) + 1, dtype=bool)
+    same[1:-1] = (core[1:] == core[:-1]) & (span[1:] == span[:-1])
     met = same[:-1] | same[1:]
     head = ~same[:-1]
-    on = head
-    yield _runs(core[on], span[on], key[on], place[on], back[on], count[on], met[on])
+    yield _runs(core[head], span[head], key[head], place[head], back[head], count[head], met[head], hot)
     off = np.flatnonzero(~head)
     if len(off):  # done and no longer needed for ranking: windows that adjoin go as one run, under any core that spreads them
         first, many = place[off] - back[off], count[off]
@@ -135,7 +149,7 @@ def _settled(core, span, key, place, back, count, same) -> Iterator[pa.RecordBat
         new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (first[1:] > first[:-1] + many[:-1])))
         end = np.append(new[1:], len(k)) - 1
         k, begin, total = k[new], first[new], first[end] + many[end] - first[new]
-        yield _runs(mix64(k.view(U64) + begin.astype(U64)), np.zeros(len(k), dtype=U64), k, begin, np.zeros(len(k), dtype=np.int64), total, np.ones(len(k), dtype=bool))
+        yield _runs(mix64(k.view(U64) + begin.astype(U64)), np.zeros(len(k), dtype=U64), k, begin, np.zeros(len(k), dtype=np.int64), total, np.ones(len(k), dtype=bool), _NONE)
 
 
 def _rank():
@@ -166,7 +180,7 @@ def _rank():
             if not batch.num_rows:
                 continue
             rows = np.zeros(batch.num_rows, dtype=kind)
-            for name in _NAMES:
+            for name in ("core", "span", "key", "anchor", "back", "count", "done", "more"):
                 rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
             rows = np.concatenate([held, rows])
             same_core = np.zeros(len(rows) + 1, dtype=bool)
@@ -197,11 +211,17 @@ def _rank():
 
 
 def _ranked(runs: DataFrame, name: str) -> DataFrame:
-    sorted_runs = runs.repartition(fan_out(runs), "core").sortWithinPartitions("core", "span")
+    sorted_runs = runs.repartition(fan_out(runs), "core", "salt").sortWithinPartitions("core", "span")
     return materialize(sorted_runs.mapInArrow(_rank(), "core long, key long, anchor int, back short, count int, open boolean"), name)
 
 
-def _rerank(length: int, step: int, salt: int):
+def _hot(runs: DataFrame) -> np.ndarray:
+    """Cores of many sampled runs with more than one span among them, the most frequent first: routes, bounded by ROUTES."""
+    cores = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter(f"n >= {HOT} and lo <> hi")
+    return np.sort(np.array([r["core"] for r in cores.orderBy(F.desc("n"), "core").limit(ROUTES).collect()], dtype=np.int64))
+
+
+def _rerank(length: int, step: int, salt: int, hot: np.ndarray):
     """Open runs of one text, cut into runs of ``step`` windows at fixed distances from the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +233,7 @@ def _rerank(length: int, step: int, salt: int):
             lists = batch.column("runs")
             starts, flat = lists.offsets.to_numpy(), lists.flatten()
             of = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            parts = []
             core0, anchor, back, count = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("core", "anchor", "back", "count"))
             i = 0
             while i < batch.num_rows:  # texts up to about a chunk at a time
@@ -232,8 +253,9 @@ def _rerank(length: int, step: int, salt: int):
                 core = span_hash(a, base - block * step, base - block * step - step + 1 + length)
                 core = mix64(core ^ mix64(c0[own].view(U64) + block.astype(U64) * U64(64) + U64(salt)))
                 span = span_hash(b, base - d_far, base - d_near + length, BASE_B) ^ mix64((d_far * 1024 + d_near).astype(U64))
-                yield _runs(core, span, keys[text][own], place[own], d_far, d_far - d_near + 1, np.zeros(len(own), dtype=bool))
+                parts.append((core, span, keys[text][own], place[own], d_far, d_far - d_near + 1))
                 i = j
+            yield from _settled(parts, hot)
 
     return run
 
@@ -299,20 +321,25 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHO
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges): one row per row of docs."""
     md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), md5.alias("md5"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.conv(F.substring("md5", 1, 15), 16, 10).cast("long").alias("key")
     # distinct texts, laid out by key once: what is found for a text later meets it without moving the text again
     table, n = f"leafweir_texts_{uuid.uuid4().hex[:12]}", fan_out(docs)
-    fewer = rows.mapInArrow(_fewer, "md5 string, text string, copies long, one long").withColumn("key", key)
-    distinct = fewer.repartition(n, "key").groupBy("key", "md5").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"), F.min("one").alias("one"))
-    texts = _Texts(distinct, table, n)
-    first = texts.read().filter(F.octet_length("text") >= length).select("key", "text").mapInArrow(_first(length, anchor), RUNS)
-    settled = []
-    ranked = _ranked(first, "ranked")
-    settled.append(ranked.filter("not open"))
+    fewer = rows.mapInArrow(_fewer, "md5 string, text string, copies long, one long").withColumn("lead", _lead(F.col("md5")))
+    distinct = fewer.repartition(n, "lead").groupBy("lead", "md5").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"), F.min("one").alias("one"))
+    # rows are already dealt by lead and sorted by (lead, md5)
+    tie = F.row_number().over(Window.partitionBy("lead").orderBy("md5")) - 1
+    key = F.when(tie < 8, F.col("lead") + tie.cast("long") * (1 << 60)).otherwise(F.raise_error(F.lit("more than eight texts share 60 bits of their digests")).cast("long"))
+    texts = _Texts(distinct.withColumn("key", key).drop("lead"), table, n)
+    long = texts.read().filter(F.octet_length("text") >= length).select("key", "text")
+    few = F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0
+    hot = _hot(long.filter(few).mapInArrow(_first(length, anchor, _NONE), RUNS))
+    ranked = _ranked(long.mapInArrow(_first(length, anchor, hot), RUNS), "ranked")
+    settled = [ranked.filter("not open")]
     for salt, step in enumerate((run, 1)):
         open_runs = ranked.filter("open").groupBy("key").agg(F.collect_list(F.struct("core", "anchor", "back", "count")).alias("runs"))
-        with_text = texts.read().select("key", "text").join(open_runs, "key")
-        ranked = _ranked(with_text.select("key", "text", "runs").mapInArrow(_rerank(length, step, salt), RUNS), "ranked")
+        with_text = texts.read().select("key", "text").join(open_runs, "key").select("key", "text", "runs")
+        # single windows have no span beyond their core
+        hot = _hot(with_text.filter(few).mapInArrow(_rerank(length, step, salt, _NONE), RUNS)) if step > 1 else _NONE
+        ranked = _ranked(with_text.mapInArrow(_rerank(length, step, salt, hot), RUNS), "ranked")
         settled.append(ranked.filter("not open"))
     found = settled[0].unionByName(settled[1]).unionByName(settled[2]).groupBy("key").agg(F.collect_list(F.struct("anchor", "back", "count")).alias("runs"))
     per_text = texts.read().select("key", "md5", "copies", "one", "text").join(found, "key", "left").mapInArrow(_remove(length), "md5 string, copies long, one long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first: long, end: long>>")
@@ -320,14 +347,17 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHO
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
+def _lead(md5: Column) -> Column:
+    """60 bits of a digest."""
+    return F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
+
+
 class _Texts:
     """The distinct texts as a bucketed table in the shared folder."""
 
     def __init__(self, distinct: DataFrame, table: str, n: int):
-        from ._store import scratch
-
         self.spark, self.table = distinct.sparkSession, table
-        path = scratch(self.spark, "texts")
+        path = scratch(self.spark, "texts", table)
         distinct.write.bucketBy(n, "key").option("path", path).format("parquet").saveAsTable(table)
 
     def read(self) -> DataFrame:

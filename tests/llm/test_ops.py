@@ -229,6 +229,23 @@ def test_repeats_of_other_lengths(spark, length, anchor, run):
     assert got == dict(enumerate(brute.without_repeats(texts, length)))
 
 
+def test_hot_cores_and_equal_leads(spark, monkeypatch):
+    """Every text is sampled, cores of two runs are hot, and texts share leading bits: the result is the same."""
+    r = random.Random(21)
+    phrase, words = prose(8, 5)[:50], [prose(1, i) for i in range(50)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) + phrase + " ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(120)]
+    texts += [texts[3], texts[4] + texts[5], phrase * 4, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    routes = []
+    hot = suffix_dedup._hot
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "_hot", lambda runs: routes.append(hot(runs)) or routes[-1])
+    monkeypatch.setattr(suffix_dedup, "_lead", lambda md5: F.pmod(F.xxhash64(md5), F.lit(60)))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.repeated_passages(df, 40, 16, 8).collect()}
+    assert got == dict(enumerate(brute.without_repeats(texts, 40))) and min(map(len, routes)) > 0
+
+
 def test_quality_is_ordered_and_learns(spark, empty):
     r = random.Random(2)
     data, labels = [], []

@@ -45,11 +45,15 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return ev.pages(lines(spark, d))
+    return ev.pages_of(ev.page_rows(docs(spark, d)))
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return ev.blocks(lines(spark, d))
+    return ev.blocks_of(ev.page_rows(docs(spark, d)))
+
+
+def page_keys(spark: SparkSession, d: str) -> DataFrame:
+    return ev.page_keys(docs(spark, d))
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +64,7 @@ def images(spark: SparkSession, d: str) -> DataFrame:
     """A page image for every seventh page, a figure for the others with a multiple of three (by id and page)."""
     n = F.col("doc_id") * 31 + F.col("page")
     full = n % 7 == 0
-    rows = pages(spark, d).filter(full | (n % 3 == 0)).select("doc_id", "page", full.alias("full"))
+    rows = page_keys(spark, d).filter(full | (n % 3 == 0)).select("doc_id", "page", full.alias("full"))
     return rows.select("doc_id", "page", F.lit(0).alias("image"), *[F.when(F.col("full"), a).otherwise(b).alias(c) for c, a, b in (("x", 6.0, 100.0), ("y", 6.0, 500.0), ("width", 600.0, 400.0), ("height", 780.0, 280.0))])
 
 
@@ -225,7 +229,7 @@ from block b join f using (doc_id, page) where font_size / body >= 1.08 and n_li
 and not regexp_matches(trim(text), '(?i)^(?:https?://|www\.|@|doi:)') and not regexp_matches(trim(text), '[,;]$') and not regexp_matches(trim(text), '[.!?]\s+\p{Lu}.*[.!?]$')""")
 def heading_tiers(spark, d):
     ls = lines(spark, d)
-    return layout.headings(ev.blocks(ls), layout.body_font(ls)).filter("level is not null").select("doc_id", "page", "block", "level")
+    return layout.headings(blocks(spark, d), layout.body_font(ls)).filter("level is not null").select("doc_id", "page", "block", "level")
 
 
 @query("""+ c as (select *, (width > 612 * 0.6)::int as wide from block), r as (select *, sum(wide) over (partition by doc_id, page order by y, x, block) * 2 - wide as run from c)
@@ -346,7 +350,7 @@ def large_raster_low_text(spark, d):
 select s.doc_id, s.page, count(*) as n from s where exists (select 1 from f where f.doc_id = s.doc_id and f.page = s.page and f.preceding_runs >= s.run and greatest(0, least(s.x + s.width, f.x + f.width) - greatest(s.x, f.x)) * greatest(0, least(s.y + s.height, f.y + f.height) - greatest(s.y, f.y)) / (s.width * s.height) >= 0.9) group by all""")
 def redaction_coverage(spark, d):
     """A dark box over the top left of every third page, drawn after 20 runs."""
-    at = pages(spark, d).filter((F.col("doc_id") + F.col("page")) % 3 == 0)
+    at = page_keys(spark, d).filter((F.col("doc_id") + F.col("page")) % 3 == 0)
     fills = at.select("doc_id", "page", F.lit(36.0).alias("x"), F.lit(30.0).alias("y"), F.lit(200.0).alias("width"), F.lit(40.0).alias("height"), F.lit(20).alias("preceding_runs"))
     return rules.text_under_fill(spans(spark, d).withColumn("run", F.col("line")), fills).select("doc_id", "page", F.col("detail").cast("long").alias("n"))
 
@@ -503,7 +507,7 @@ def region_topk(spark, d):
 @query()
 def visual_regions(spark, d):
     """Images and the words of pipe-parted lines as small vectors: merged, suppressed, captioned, ranked."""
-    vectors = spans(spark, d).filter(F.col("text") == "|").select("doc_id", "page", "x", "y", "width", "height")
+    vectors = ev.spans(lines(spark, d).filter(F.contains("text", F.lit("|")))).filter(F.col("text") == "|").select("doc_id", "page", "x", "y", "width", "height")
     return regions.build(images(spark, d), vectors, lines(spark, d), W, H).drop("caption")
 
 
@@ -613,7 +617,7 @@ p as (select b.doc_id, b.page, b.block, b.k, b.n, b.probe, strpos(page.text, b.p
 select doc_id, page, block, k / greatest(n - 1, 1) as layout, coalesce(case when length(probe) >= 8 and pos > 0 and strpos(substr(t, pos + 1), probe) = 0 then (pos - 1) / greatest(char_count, 1) end, -1.0) as native from p""")
 def reading_order_places(spark, d):
     ls = lines(spark, d)
-    return reading.native_places(ev.blocks(ls), ev.pages(ls)).select("doc_id", "page", "block", "layout", F.coalesce("native", F.lit(-1.0)).alias("native"))
+    return reading.native_places(blocks(spark, d), pages(spark, d)).select("doc_id", "page", "block", "layout", F.coalesce("native", F.lit(-1.0)).alias("native"))
 
 
 @query("""+ b as (select *, (block * 7) % 5 as k2 from block), o as (select *, row_number() over (partition by doc_id, page order by k2, block) - 1 as nb from b), c as (select *, trim(split_part(text, chr(10), 1)) as probe from o),
@@ -624,8 +628,8 @@ def reading_order_sequential(spark, d):
     """Blocks shuffled by their number against the text's own order."""
     ls = lines(spark, d)
     order = Window.partitionBy("doc_id", "page").orderBy((F.col("block") * 7) % 5, "block")
-    shuffled = ev.blocks(ls).withColumn("block", (F.row_number().over(order) - 1).cast("int"))
-    found = reading.out_of_sequence(reading.native_places(shuffled, ev.pages(ls)))
+    shuffled = blocks(spark, d).withColumn("block", (F.row_number().over(order) - 1).cast("int"))
+    found = reading.out_of_sequence(reading.native_places(shuffled, pages(spark, d)))
     return found.select("doc_id", "page", F.split("detail", "/")[0].cast("long").alias("back"), F.split("detail", "/")[1].cast("long").alias("n"))
 
 

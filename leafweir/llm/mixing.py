@@ -53,16 +53,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 def _taken(docs: DataFrame, keep: list[str], weights: tuple[int, ...], epochs: int, seed: int) -> DataFrame:
     """``keep`` and _lw_size, _lw_source_size, _lw_target, _lw_taken."""
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.select(*keep, F.col("source").alias("_lw_source"), size_of(F.col("text")).alias("_lw_size"), draw.alias("_lw_draw")).withColumn("_lw_bucket", F.shiftrightunsigned("_lw_draw", 64 - BUCKET_BITS))
+    # never null, so that running sums and join have one partitioning: a document is shuffled once
+    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rows = docs.select(*keep, F.col("source").alias("_lw_source"), named.alias("_lw_key"), size_of(F.col("text")).alias("_lw_size"), draw.alias("_lw_draw")).withColumn("_lw_bucket", F.shiftrightunsigned("_lw_draw", 64 - BUCKET_BITS))
     small = materialize(rows.groupBy(F.col("_lw_source").alias("source"), F.col("_lw_bucket").alias("bucket")).agg(F.sum("_lw_size").alias("n")), "bucket-sizes")
     per_source = targets(small.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = small.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     # a table, so that Spark sees its size: broadcast when small, else a join whose hot keys are split
-    plan = materialize(offsets.alias("o").join(per_source.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source"))).select(F.col("o.source").alias("_lw_s"), F.col("o.bucket").alias("_lw_b"), F.col("before").alias("_lw_before"), F.col("source_size").alias("_lw_source_size"), F.col("target").alias("_lw_target")), "plan")
-    within = Window.partitionBy("_lw_source", "_lw_bucket").orderBy("_lw_draw", "_lw_size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = materialize(offsets.alias("o").join(per_source.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source"))).select(F.coalesce(F.concat(F.lit("="), F.col("o.source")), F.lit("")).alias("_lw_key"), F.col("o.bucket").alias("_lw_bucket"), F.col("before").alias("_lw_before"), F.col("source_size").alias("_lw_source_size"), F.col("target").alias("_lw_target")), "plan")
+    within = Window.partitionBy("_lw_key", "_lw_bucket").orderBy("_lw_draw", "_lw_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_lw_own", F.coalesce(F.sum("_lw_size").over(within), F.lit(0)))
-    rows = rows.join(plan, F.col("_lw_source").eqNullSafe(F.col("_lw_s")) & (F.col("_lw_bucket") == F.col("_lw_b")))
+    rows = rows.join(plan, ["_lw_key", "_lw_bucket"])
     words = F.expr("cast(round(_lw_target) as bigint)")
     rows = rows.withColumn("_lw_whole", F.when(F.col("_lw_source_size") > 0, F.expr("cast(round(_lw_target) as bigint) div _lw_source_size")).otherwise(F.lit(0)))
     rest = words - F.col("_lw_whole") * F.col("_lw_source_size")

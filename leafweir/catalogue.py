@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .functions import geometry as G
 from .functions import predicates as P
 from .functions import text as T
-from .operators import chrome, document, forms, labels, layout, ocr, pagetext, quality, reading, regions, rules, search, tables, vertical
+from .operators import chrome, document, forms, labels, layout, ocr, overlap, pagetext, quality, reading, regions, rules, search, tables, vertical
 from .plans import process, report, tools
 from .sources import evidence as ev
 
@@ -73,10 +73,28 @@ _IMAGE = """image as (select doc_id, page, 0 as image, (case when full_ then 6.0
 _STATUS = r"""quality as (select *, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]')) as non_printable_count from page),
 status as (select *, case when char_count > 0 then floor(non_printable_count / char_count * 1000 + 0.5) / 1000 else 0.0 end as non_printable_ratio,
   case when char_count > 0 and non_printable_count / char_count >= 0.2995 then 'unusable_glyph_indices' when char_count > 0 and non_printable_count / char_count >= 0.0495 then 'mixed_glyph_indices' when char_count > 0 then 'ok' else 'empty' end as native_text_status from quality)"""
-_MARKED = r"""keyed as (select *, floor(y / 5.0) as bin, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') as key from block),
-total as (select doc_id, count(distinct page) as total from block group by 1),
-rep as (select doc_id, bin, key, count(distinct page) as on_pages from keyed join total using (doc_id) where length(key) > 0 group by doc_id, bin, key, total having count(distinct page) >= greatest(2, ceil(total / 2))),
-marked as (select keyed.*, on_pages is not null as repeated from keyed left join rep using (doc_id, bin, key))"""
+#: Planted edges (as ``chromed`` plants them), the keys of bands, the marked lines and, cut where marks change, the blocks.
+_MARKED = r"""pl(doc_id, page, block, line, text, x, y, width, height) as (select doc_id, page, 900, 0, 'Lecture 5 - ' || page, 400.0, 20.0, 110.0, 10.0 from page where doc_id % 3 = 0
+  union all select doc_id, page, 900, 0, 'Issued by the office of public records', 36.0, case when doc_id % 2 = 0 then 752.0 else 760.0 end, 240.0, 10.0 from page where doc_id % 3 = 1
+  union all select doc_id, page, 900, 1, 'sheet ' || (doc_id * 7919 + page * 104729), 36.0, 772.0, 250.0, 10.0 from page where doc_id % 3 = 1
+  union all select doc_id, page, 900, 0, 'Row total ' || page * 7 || ' units', 36.0, 400.0, 120.0, 10.0 from page where doc_id % 3 = 2),
+al as (select doc_id, page, block, line, text, x, y, width, height from numbered union all select * from pl),
+bl as (select doc_id, page, block, trim(regexp_replace(string_agg(text, chr(10) order by line), '\s+', ' ', 'g')) as t, min(y) as y, max(y + height) as low, max(x + width) - min(x) as width from al group by all),
+edge as (select * from bl where (y <= 79.2 or low >= 712.8) and regexp_replace(lower(t), '\.$', '') not in ('yes', 'no', 'stop')),
+ref as (select doc_id, page, block, null::integer as line, true as whole, y, t, width from edge union all
+  select doc_id, page, block, line, false, al.y, trim(regexp_replace(al.text, '\s+', ' ', 'g')), al.width from al semi join edge using (doc_id, page, block) where al.y <= 31.68 or al.y + al.height >= 760.32),
+told as (select *, list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}_]+'), lambda w: w <> '') as ws from ref),
+named as (select *, length(t) between 1 and 80 and ((length(t) <= 12 and regexp_replace(t, '[\p{N}\s.-]', '', 'g') = '' and width <= 73.44) or (ws[1] in ('page', 'slide', 'lecture') and starts_with(lower(t), ws[1])) or regexp_matches(lower(t), '^p\.[\p{L}\p{N}_]')
+  or (width <= 153.0 and (list_has_any(ws, ['page', 'slide', 'lecture']) or regexp_matches(lower(t), '(^|[^\p{L}\p{N}_])p\.[\p{L}\p{N}_]')))) as label from told),
+keyed as (select doc_id, page, block, line, whole, cast(floor(y / 5.0 + 0.5) * 5 as bigint) as bin, unnest(list_distinct(list_filter([case when t <> '' then t end, case when label then case when regexp_matches(t, '\s') and regexp_full_match(regexp_replace(t, '\s', '', 'g'), '\p{N}{2,4}') then '#page-number'
+  when regexp_matches(t, '\p{N}') and len(regexp_extract_all(t, '\p{L}')) >= 4 then regexp_replace(t, '\p{N}+', '#', 'g') end end], lambda k: k is not null))) as key from named where whole or length(t) >= 20 or width >= 122.4 or label),
+total as (select doc_id, count(distinct page) as total from bl group by 1),
+rep as (select doc_id, whole, bin, key, count(distinct page) as on_pages from keyed join total using (doc_id) group by doc_id, whole, bin, key, total having count(distinct page) >= greatest(2, ceil(total / 2))),
+hits as (select distinct doc_id, page, block, line, whole from keyed semi join rep using (doc_id, whole, bin, key)),
+flag as (select al.*, exists (select 1 from hits h where h.doc_id = al.doc_id and h.page = al.page and h.block = al.block and (h.whole or h.line = al.line)) as f from al),
+turn as (select *, coalesce(f <> lag(f) over w, false)::int as change from flag window w as (partition by doc_id, page, block order by line)),
+part as (select *, sum(change) over (partition by doc_id, page, block order by line) as part from turn),
+marked as (select doc_id, page, cast(row_number() over (partition by doc_id, page order by block, part) - 1 as integer) as block, string_agg(text, chr(10) order by line) as text, bool_and(f) as repeated, min(x) as x, min(y) as y, max(x + width) - min(x) as width, max(y + height) - min(y) as height from part group by doc_id, page, block, part)"""
 
 
 # -- quality ---------------------------------------------------------------------------------------
@@ -170,10 +188,71 @@ def latexit_payload(spark, d):
     return rules.raw_embedded_source(pages(spark, d)).select("doc_id", "page")
 
 
-@query(r"""+ c as (select doc_id, page, regexp_extract_all(text, '\b[a-z0-9]+LJ[a-z0-9]+\b') as s, len(regexp_extract_all(text, '\x{FFFD}')) as r, len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}]')) as p from page)
-select doc_id, page, 'digraph' as rule from c where len(s) > 0 union all select doc_id, page, 'replacement' from c where r > 0 union all select doc_id, page, 'private_use' from c where p > 0""")
+#: Bad glyphs planted by page number: what stands behind the page's text, or (from 9 on) in its place.
+_BEHIND = {
+    1: "�", 2: "\x01\x02", 3: "" * 9, 4: " waLJter eLJ LJx naïLJve", 5: " 日 本 語 文 字 列 行 間 東 京", 6: " 日日本本語語文文字字列列行行間間東東京京都都市市",
+    7: " 日 日日 日日日日日日 x 京", 8: " " + "日本語文字列行間東京都市" * 5 + " ā ē ī ō ū ą xā",
+}
+_INSTEAD = {9: "ÃÂâã ÐðÞþÃÂ éèêë ab", 10: "".join(chr(0x3400 + 2 * i) for i in range(12)) + " x", 11: "A\x01 title above a line that goes on", 12: "" * 30 + " ab", 13: "\x01" * 20 + "� and so on and so forth"}
+_GLYPHS = "glyphed as (select doc_id, page, case (doc_id * 31 + page) % 14 " + " ".join(f"when {k} then text || '{v}'" for k, v in _BEHIND.items()) + " " + " ".join(f"when {k} then '{v}'" for k, v in _INSTEAD.items()) + r""" else text end as text from page),
+g0 as (select *, length(text) as char_count, len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]')) as bad, len(regexp_extract_all(text, '\S')) as shown, len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]')) as pua, len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}]')) as cjk from glyphed),
+g as (select *, case when char_count > 0 then floor(bad / char_count * 1000 + 0.5) / 1000 else 0.0 end as npr, coalesce(pua / nullif(shown, 0), 0) as share from g0),
+ch as (select doc_id, page, generate_subscripts(c, 1) as i, unnest(c) as x from (select doc_id, page, string_split(text, '') as c from g where cjk >= 8)),
+flat as (select doc_id, page, generate_subscripts(c, 1) as i, unnest(c) as x from (select doc_id, page, string_split(regexp_replace(text, '[ \t\x{3000}]', '', 'g'), '') as c from g where cjk >= 8)),
+one as (select doc_id, page, generate_subscripts(c, 1) as i, unnest(c) as x from (select doc_id, page, string_split(regexp_replace(text, '[ \t\x{3000}]+', ' ', 'g'), '') as c from g where cjk >= 8)),
+sp as (select doc_id, page, count(*) as spaced from (select *, lead(x) over w as x1, lead(x, 2) over w as x2 from one window w as (partition by doc_id, page order by i)) where regexp_matches(x, '[\p{Han}\p{Hiragana}\p{Katakana}]') and x1 = ' ' and regexp_matches(x2, '[\p{Han}\p{Hiragana}\p{Katakana}]') group by all),
+db as (select doc_id, page, sum(n // 2) as doubled from (select doc_id, page, x, count(*) as n from (select *, i - row_number() over (partition by doc_id, page, x order by i) as island from ch) where regexp_matches(x, '[\p{Han}\p{Hiragana}\p{Katakana}]') group by doc_id, page, x, island) group by all),
+rn as (select doc_id, page, max(n) as longest from (select doc_id, page, x, count(*) as n from (select *, i - row_number() over (partition by doc_id, page, x order by i) as island from flat) where regexp_matches(x, '[\p{Han}\p{Hiragana}\p{Katakana}]') group by doc_id, page, x, island) group by all),
+mo as (select doc_id, page, count(*) as moji from (select *, lag(x) over w as b, lead(x) over w as a from ch window w as (partition by doc_id, page order by i)) where regexp_matches(x, '[\x{100}-\x{24F}\x{1E00}-\x{1EFF}]') and not coalesce(regexp_matches(b, '\p{Latin}'), false) and not coalesce(regexp_matches(a, '\p{Latin}'), false) group by all),
+ex as (select doc_id, page, row_number() over (partition by doc_id, page order by i) as i, unicode(x) as u, regexp_matches(x, '[\x{3400}-\x{4DBF}\x{20000}-\x{2EBEF}]') as e from ch where not regexp_matches(x, '^\s*$')),
+es as (select *, case when e and lag(e) over w then u - lag(u) over w end as step, count(*) over (partition by doc_id, page) as n, sum(e::int) over (partition by doc_id, page) as rare from ex window w as (partition by doc_id, page order by i)),
+sq as (select distinct doc_id, page from (select doc_id, page, step, island, count(*) as k, any_value(n) as n, any_value(rare) as rare from (select *, i - row_number() over (partition by doc_id, page, step order by i) as island from es where step between 1 and 4) group by doc_id, page, step, island) where k >= 7 and rare >= 8 and rare / n >= 0.75)"""
+
+
+def glyphed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with bad glyphs planted in 13 of 14, with their quality."""
+    n, text = (F.col("doc_id") * 31 + F.col("page")) % 14, F.col("text")
+    for k, v in _BEHIND.items():
+        text = F.when(n == k, F.concat("text", F.lit(v))).otherwise(text)
+    for k, v in _INSTEAD.items():
+        text = F.when(n == k, F.lit(v)).otherwise(text)
+    return quality.with_quality(pages(spark, d).withColumn("text", text).withColumn("char_count", F.length("text").cast("long")))
+
+
+@query("+" + _GLYPHS + r""" select doc_id, page, rule from (
+  select doc_id, page, 'replacement' as rule from g where npr < 0.05 and contains(text, '�') union all select doc_id, page, 'non_printable' from g where bad >= 2 and npr < 0.05
+  union all select doc_id, page, 'private_use' from g where pua >= 1 and not (pua >= 2 and share >= 0.6) and (share >= 0.25 or (pua >= 8 and share >= 0.02))
+  union all select doc_id, page, 'digraph' from g where len(list_filter(string_split_regex(text, '[^\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '[\p{Ll}\p{Nd}]+LJ[\p{Ll}\p{Nd}]+'))) > 0
+  union all select doc_id, page, 'cjk_spacing' from g join sp using (doc_id, page) where cjk >= 8 and spaced >= 5 and spaced / greatest(1, cjk - 1) >= 0.45
+  union all select doc_id, page, 'cjk_doubled' from g join db using (doc_id, page) where cjk >= 20 and doubled >= 6 and doubled / cjk >= 0.04
+  union all select doc_id, page, 'cjk_run' from rn where longest >= 8
+  union all select doc_id, page, 'cjk_mojibake' from g join mo using (doc_id, page) where cjk >= 50 and moji >= 5 and moji / char_count < 0.05
+  union all select doc_id, page, 'latin1_mojibake' from g where len(regexp_extract_all(text, '[\x{A0}-\x{FF}]')) - len(regexp_extract_all(text, '\x{A0}')) >= 4 and (len(regexp_extract_all(text, '[\x{A0}-\x{FF}]')) - len(regexp_extract_all(text, '\x{A0}'))) / shown >= 0.6 and regexp_matches(text, '[\x{A0}-\x{FF}]{2}') and regexp_matches(text, '[ÃÂâãÐðÞþ]')
+  union all select doc_id, page, 'sequential_extension' from sq)""")
 def localized_glyph_noise(spark, d):
-    return rules.localized_glyph_noise(pages(spark, d)).select("doc_id", "page", F.col("detail").alias("rule"))
+    """Every sub-rule on pages in which each is planted."""
+    return rules.localized_glyph_noise(glyphed(spark, d)).select("doc_id", "page", F.col("detail").alias("rule"))
+
+
+@query("+" + _GLYPHS + r" select doc_id, page, case when npr >= 0.2995 then 'unusable_glyph_indices' when npr >= 0.0495 then 'mixed_glyph_indices' else 'ok' end as status from g where char_count > 0 and (npr >= 0.05 or (pua >= 2 and share >= 0.6))")
+def glyph_garbage(spark, d):
+    return rules.glyph_garbage(glyphed(spark, d)).select("doc_id", "page", F.col("detail").alias("status"))
+
+
+@query("+" + _GLYPHS + r" select doc_id, page from g where npr >= 0.1")
+def unreliable_geometry(spark, d):
+    """Pages whose geometry rules are held back."""
+    return quality.unreliable_geometry(glyphed(spark, d)).select("doc_id", "page")
+
+
+@query("+" + _GLYPHS + r" select doc_id, page, 3 as block from g where bad = 1 and npr < 0.05 and (doc_id * 31 + page) % 14 = 11")
+def single_display_glyph(spark, d):
+    """Pages whose third block holds the one bad code point in a display line, the second in a small one."""
+    line = F.struct(F.lit("A\x01 title").alias("text"), F.lit(20.0).alias("font_size"), F.lit(18.0).alias("height"))
+    low = F.struct(F.lit("A\x01 note").alias("text"), F.lit(9.0).alias("font_size"), F.lit(9.0).alias("height"))
+    ps = glyphed(spark, d)
+    blocks_ = ps.filter((F.col("doc_id") * 31 + F.col("page")) % 14 == 11).select("doc_id", "page", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("block")).withColumn("lines", F.array(F.when(F.col("block") == 2, low).otherwise(line)))
+    return rules.single_display_glyph(ps, blocks_).select("doc_id", "page", "block")
 
 
 @query(r"""select doc_id, regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: not (length(s) > 0 and length(regexp_replace(s, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) = 0)), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') as text from documents""", evidence=False)
@@ -270,14 +349,35 @@ def numeric_tables(spark, d):
 # -- repeated chrome -------------------------------------------------------------------------------
 
 
-@query("+" + _MARKED + " select doc_id, cast(bin as bigint) as bin, key, on_pages from rep")
+def chromed(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks, and one more a page: a counting head, a foot whose first line stays, or a row amid the page."""
+    line = lambda n, text, x, y, width: F.struct(F.lit(n).alias("line"), text.alias("text"), F.lit(True).alias("start"), F.lit(x).alias("x"), y.alias("y"), F.lit(width).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"))
+    kind = F.col("doc_id") % 3
+    low = F.when(F.col("doc_id") % 2 == 0, 752.0).otherwise(760.0)
+    head = F.array(line(0, F.concat(F.lit("Lecture 5 - "), "page"), 400.0, F.lit(20.0), 110.0))
+    foot = F.array(line(0, F.lit("Issued by the office of public records"), 36.0, low, 240.0), line(1, F.concat(F.lit("sheet "), F.col("doc_id") * 7919 + F.col("page") * 104729), 36.0, F.lit(772.0), 250.0))
+    row = F.array(line(0, F.concat(F.lit("Row total "), F.col("page") * 7, F.lit(" units")), 36.0, F.lit(400.0), 120.0))
+    rows = page_keys(spark, d).select("doc_id", F.lit(None).cast("string").alias("source"), "page", F.lit(900).alias("block"), F.when(kind == 0, head).when(kind == 1, foot).otherwise(row).alias("lines"))
+    size = lambda c, end: F.array_max(F.transform("lines", lambda l: l[c] + l[end])) - F.array_min(F.transform("lines", lambda l: l[c]))
+    first = F.get("lines", F.lit(0))
+    planted = rows.select("doc_id", "source", "page", "block", F.array_join(F.transform("lines", lambda l: l["text"]), "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), F.lit(10.0).alias("font_size"), first["x"].alias("x"), first["y"].alias("y"), size("x", "width").alias("width"), size("y", "height").alias("height"), "lines")
+    return blocks(spark, d).unionByName(planted)
+
+
+@query("+" + _MARKED + " select doc_id, whole, bin, key, on_pages from rep")
 def repeated_chrome(spark, d):
-    return chrome.repeated_keys(blocks(spark, d))
+    return chrome.repeated_keys(chromed(spark, d), W, H)
+
+
+@query("+" + _MARKED + " select doc_id, page, block, repeated, md5(text) as digest, y, height from marked")
+def chrome_cut_blocks(spark, d):
+    """Every block marked or not, feet cut where their lines differ."""
+    return chrome.mark_repeated(chromed(spark, d), W, H).select("doc_id", "page", "block", "repeated", F.md5(F.col("text").cast("binary")).alias("digest"), "y", "height")
 
 
 @query("+" + _MARKED + " select doc_id, page, md5(coalesce(string_agg(text, chr(10) order by block) filter (where not repeated), '')) as digest from marked group by all")
 def strip_repeated_body(spark, d):
-    return chrome.body_text(chrome.mark_repeated(blocks(spark, d))).select("doc_id", "page", F.md5(F.col("body").cast("binary")).alias("digest"))
+    return chrome.body_text(chrome.mark_repeated(chromed(spark, d), W, H)).select("doc_id", "page", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
 @query("+" + _MARKED + """, p as (select a.doc_id, a.page, a.block, b.block as chrome, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) as depth, b.y - (a.y + a.height) as gap from marked a join marked b on a.doc_id = b.doc_id and a.page = b.page
@@ -285,7 +385,7 @@ where not a.repeated and b.repeated and b.y + b.height > a.y and least(a.x + a.w
 select doc_id, page, block, coalesce(arg_min(chrome, (-depth, chrome)) filter (where depth > 0), arg_min(chrome, (gap, chrome)) filter (where depth <= 0 and gap >= 0 and gap < 6)) as other_block, coalesce(max(depth) filter (where depth > 0), 0.0) as overlap,
 coalesce(case when count(*) filter (where depth > 0) = 0 then min(gap) filter (where depth <= 0 and gap >= 0 and gap < 6) end, -1.0) as gap from p where depth > 0 or (gap >= 0 and gap < 6) group by all""")
 def body_near_chrome(spark, d):
-    near = chrome.body_near_chrome(chrome.mark_repeated(blocks(spark, d)))
+    near = chrome.body_near_chrome(chrome.mark_repeated(chromed(spark, d), W, H))
     return near.withColumns({"overlap": F.coalesce("overlap", F.lit(0.0)), "gap": F.coalesce("gap", F.lit(-1.0))})
 
 
@@ -319,12 +419,36 @@ def page_edge_truncated(spark, d):
     return found.select("doc_id", "page", F.split("detail", ":")[0].alias("edge"), F.split("detail", ":")[1].cast("long").alias("n"))
 
 
-@query(r"""+ g as (select *, height + 14 as h2 from block), p as (select a.doc_id, a.page, a.block, b.block as other_block, greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h2, b.y + b.h2) - greatest(a.y, b.y)) as area from g a join g b on a.doc_id = b.doc_id and a.page = b.page and a.block < b.block
-where trim(regexp_replace(a.text, '\s+', ' ', 'g')) <> trim(regexp_replace(b.text, '\s+', ' ', 'g'))), r as (select *, row_number() over (partition by doc_id, page order by area desc, block, other_block) as rank, count(*) over (partition by doc_id, page) as pairs from p where area >= 1)
-select doc_id, page, block, other_block, floor(area * 100 + 0.5) / 100 as area, rank, pairs from r where rank <= 8""")
+#: Pairs of blocks of a page, those that overlap without a reason and, from 4 on, one for every reason: (block, text, box, lines' font).
+_PAIRS = {
+    1: [("Body text of the first column", 36, 100, 200, 12, 12), ("Another text that runs over it", 100, 104, 200, 12, 12)],
+    2: [("Narrow words here", 36, 200, 100, 12, 12), ("Words printed right over them", 90, 202, 150, 12, 12)],
+    3: [("Only their boxes touch, lines hardly", 36, 300, 200, 12, 12), ("as these stand nearly a line lower", 40, 308, 200, 12, 12)],
+    4: [("The same words twice", 36, 340, 120, 12, 12), ("The same words, twice!", 37, 341, 120, 12, 12)],
+    5: [("................", 36, 380, 200, 12, 12), ("Words among the dots", 60, 384, 120, 12, 12)],
+    6: [("12", 60, 416, 10, 8, 8), ("A long line of text with a raised mark in it", 36, 420, 300, 12, 12)],
+    7: [("•", 30, 460, 8, 12, 12), ("An item of a list after its bullet", 36, 460, 200, 12, 12)],
+    8: [("Total sales", 40, 502, 60, 10, 10), ("48,210", 36, 500, 120, 40, 40)],
+    9: [("x = 2y", 100, 561, 24, 8, 8), ("where the sum f(x) + g(y) is taken over all pairs", 36, 560, 300, 12, 12)],
+    10: [("A line with a tall formula in it that", 36, 600, 300, 30, 12), ("goes on below before it ends here", 36, 614, 300, 30, 12)],
+    11: [("Sales of the year in the chart", 300, 650, 60, 12, 12), ("North and south by quarter", 310, 654, 60, 12, 12)],
+}
+
+
+def colliding(spark: SparkSession, d: str) -> DataFrame:
+    """Two blocks for each case, one case to a number, on the first page of every document."""
+    made = [(2 * k + i, t, float(x), float(y), float(w), float(h), float(f)) for k, two in _PAIRS.items() for i, (t, x, y, w, h, f) in enumerate(two)]
+    rows = spark.createDataFrame(made, "block int, text string, x double, y double, width double, height double, font_size double")
+    line = F.struct(F.lit(0).alias("line"), "text", "x", "y", "width", "height", "font_size")
+    return docs(spark, d).select("doc_id", F.lit(1).alias("page")).crossJoin(F.broadcast(rows.withColumns({"lines": F.array(line), "n_lines": F.lit(1).cast("long")})))
+
+
+@query("select doc_id, 1 as page, block, other_block, area, rank, 2 as pairs from documents, (values (2, 3, 1088.0, 1), (4, 5, 460.0, 2)) as v(block, other_block, area, rank)", evidence=False)
 def text_overlap_topk(spark, d):
-    """Blocks grown downwards by 14 points, so that neighbours overlap."""
-    return rules.text_overlaps(blocks(spark, d).withColumn("height", F.col("height") + 14)).withColumn("rank", F.col("rank").cast("long"))
+    """Eleven pairs of blocks on a page: two collide, one touches, eight have a reason (one stands in a figure)."""
+    figure = docs(spark, d).select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("image"), F.lit(280.0).alias("x"), F.lit(640.0).alias("y"), F.lit(200.0).alias("width"), F.lit(100.0).alias("height"))
+    found = overlap.largest(overlap.pairs(colliding(spark, d), figure, W * H))
+    return found.select("doc_id", "page", "block", "other_block", "area", F.col("rank").cast("int").alias("rank"), F.col("pairs").cast("int").alias("pairs"))
 
 
 @query(r"""+ s as (select doc_id, page, line, lower(trim(text)) as key, y, font_size from line where length(trim(text)) >= 6), p as (select a.doc_id, a.page, a.key, a.y as y1, b.y as y2 from s a join s b on a.doc_id = b.doc_id and a.page = b.page and a.key = b.key and b.y - a.y >= 20)
@@ -461,22 +585,21 @@ def link_text_join(spark, d):
 # -- OCR against native text -----------------------------------------------------------------------
 
 
-@query(r"""with h as (select doc_id, regexp_replace(substr(text, 1, 180), '[^\x00-\x7F]', '', 'g') as s from documents), t as (select doc_id, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) as a, trim(regexp_replace(lower(reverse(s)), '\s+', ' ', 'g')) as b from h)
-select doc_id, levenshtein(a, b) as distance from t where length(a) between 3 and 200 and length(b) between 3 and 200 and least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.75 and floor(levenshtein(a, b) / greatest(length(a), length(b)) * 1000 + 0.5) / 1000 >= 0.5""", evidence=False)
+@query(r"""+ h as (select doc_id, page, line, regexp_replace(text, '[^\x00-\x7F]', '', 'g') as s from line), t as (select doc_id, page, line, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) as a, trim(regexp_replace(lower(reverse(s)), '\s+', ' ', 'g')) as b from h)
+select doc_id, page, line, levenshtein(a, b) as distance from t where length(a) between 3 and 200 and length(b) between 3 and 200 and least(length(a), length(b)) / greatest(length(a), length(b)) >= 0.75 and floor(levenshtein(a, b) / greatest(length(a), length(b)) * 1000 + 0.5) / 1000 >= 0.5""")
 def ocr_native_mismatch(spark, d):
-    """The first line's worth of text against itself reversed, as if an engine had misread it."""
-    head = F.regexp_replace(F.substring("text", 1, 180), r"[^\x{0}-\x{7F}]", "")
-    pairs = docs(spark, d).select("doc_id", head.alias("native"), F.reverse(head).alias("ocr"), F.lit(0.95).alias("confidence"))
-    return ocr.native_mismatch(pairs).select("doc_id", F.col("distance").cast("long").alias("distance"))
+    """Every line against itself reversed, as if an engine had misread it."""
+    said = F.regexp_replace("text", r"[^\x{0}-\x{7F}]", "")
+    pairs = lines(spark, d).select("doc_id", "page", "line", said.alias("native"), F.reverse(said).alias("ocr"), F.lit(0.95).alias("confidence"))
+    return ocr.native_mismatch(pairs).select("doc_id", "page", "line", F.col("distance").cast("long").alias("distance"))
 
 
-@query(r"""with t as (select doc_id, substr(text, 1, 600) as o, regexp_replace(substr(text, 1, 600), '([aeiou]) ', '\1', 'g') as n from documents) select doc_id, len(regexp_extract_all(trim(n), '\s+')) as native_spaces, len(regexp_extract_all(trim(o), '\s+')) as ocr_spaces from t
-where length(o) >= 120 and levenshtein(regexp_replace(lower(n), '\s+', '', 'g'), regexp_replace(lower(o), '\s+', '', 'g')) <= 0.12 * length(regexp_replace(lower(o), '\s+', '', 'g')) and len(regexp_extract_all(trim(n), '\s+')) <= 0.7 * len(regexp_extract_all(trim(o), '\s+'))""", evidence=False)
+@query(r"""+ t as (select doc_id, page, text as o, regexp_replace(text, '([aeiourstn]) ', '\1', 'g') as n from page) select doc_id, page, len(regexp_extract_all(trim(n), '\s+')) as native_spaces, len(regexp_extract_all(trim(o), '\s+')) as ocr_spaces from t
+where length(o) >= 120 and regexp_replace(lower(n), '\s+', '', 'g') = regexp_replace(lower(o), '\s+', '', 'g') and len(regexp_extract_all(trim(n), '\s+')) <= 0.7 * len(regexp_extract_all(trim(o), '\s+'))""")
 def ocr_spacing_loss(spark, d):
-    """Texts against themselves with the spaces after vowels lost."""
-    head = F.substring("text", 1, 600)
-    pairs = docs(spark, d).select("doc_id", F.regexp_replace(head, "([aeiou]) ", "$1").alias("native"), head.alias("ocr"), F.lit(0.95).alias("confidence"))
-    return ocr.spacing_loss(pairs).select("doc_id", F.col("native_spaces").cast("long").alias("native_spaces"), F.col("ocr_spaces").cast("long").alias("ocr_spaces"))
+    """Whole pages against themselves with the spaces after some letters lost: all other letters agree."""
+    pairs = pages(spark, d).select("doc_id", "page", F.regexp_replace("text", "([aeiourstn]) ", "$1").alias("native"), F.col("text").alias("ocr"), F.lit(0.95).alias("confidence"))
+    return ocr.spacing_loss(pairs).select("doc_id", "page", F.col("native_spaces").cast("long").alias("native_spaces"), F.col("ocr_spaces").cast("long").alias("ocr_spaces"))
 
 
 @query()
@@ -533,12 +656,19 @@ def truncate_budget(spark, d):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("section")).alias("chars"))
 
 
-@query("""+ s as (select doc_id, page, '## Page ' || page || chr(10) || chr(10) || text || chr(10) as section from page), r as (select *, sum(length(section)) over (partition by doc_id order by page) as upto, count(*) over (partition by doc_id) as pages from s),
-k as (select doc_id, any_value(pages) as pages, coalesce(string_agg(section, chr(10) order by page) filter (where upto <= 30000), '') as body, count(*) filter (where upto <= 30000) as kept from r group by all) select doc_id, pages, md5(body || case when pages > kept then chr(10) || '[... ' || (pages - kept) || ' more pages]' else '' end) as digest from k""")
+@query("""+ s as (select doc_id, page, '## Page ' || page || chr(10) || chr(10) || text || chr(10) as section from page) select doc_id, count(*) as pages, md5(string_agg(section, chr(10) order by page)) as digest from s group by all""")
 def markdown_report(spark, d):
+    """Whole documents, however long."""
     return report.markdown(report.markdown_sections(pages(spark, d))).select("doc_id", "pages", F.md5(F.col("markdown").cast("binary")).alias("digest"))
 
 
+@query("""+ s as (select doc_id, page, '## Page ' || page || chr(10) || chr(10) || text || chr(10) as section from page), r as (select *, sum(length(section)) over (partition by doc_id order by page) as upto, count(*) over (partition by doc_id) as pages from s),
+k as (select doc_id, any_value(pages) as pages, coalesce(string_agg(section, chr(10) order by page) filter (where upto <= 30000), '') as body, count(*) filter (where upto <= 30000) as kept from r group by all) select doc_id, pages, md5(body || case when pages > kept then chr(10) || '[... ' || (pages - kept) || ' more pages]' else '' end) as digest from k""")
+def read_body(spark, d):
+    """The read tool's body, whose budget is its feature."""
+    return report.markdown(report.markdown_sections(pages(spark, d)), tools.BODY).select("doc_id", "pages", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
 @query(r"""+ e as (select doc_id, page, replace(replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]', '�', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as t from page) select doc_id, md5('<document>' || string_agg('<page number="' || page || '">' || t || '</page>', '' order by page) || '</document>') as digest from e group by all""")
 def xml_report(spark, d):
     return report.xml_pages(pages(spark, d)).select("doc_id", F.md5(F.col("xml").cast("binary")).alias("digest"))
@@ -697,7 +827,7 @@ def ocr_low_confidence(spark, d):
     """Confidences by number; short pages as the weak ones."""
     ps = pages(spark, d)
     seen = ps.select("doc_id", "page", ocr.confidence(((F.col("doc_id") * 13 + F.col("page") * 7) % 110).cast("double")).alias("confidence"))
-    weak = ps.select("doc_id", "page", F.when(F.col("char_count") < 400, "empty").otherwise("ok").alias("native_text_status"))
+    weak = ps.filter("char_count < 400")
     return rules.low_confidence_ocr(seen, weak).select("doc_id", "page", F.col("detail").cast("double").alias("confidence"))
 
 

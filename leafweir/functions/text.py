@@ -16,14 +16,18 @@ PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 CONTROL = r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}]"
 RTL_LETTER = r"[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}\x{1E900}-\x{1E95F}&&\p{L}]"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+RARE_CJK = r"[\x{3400}-\x{4DBF}\x{20000}-\x{2EBEF}]"
 LATIN1_SUPPLEMENT = r"[\x{A0}-\x{FF}]"
 LATIN1_ANCHOR = "[ÃÂâãÐðÞþ]"
 LATIN_EXTENDED = r"[\x{100}-\x{24F}\x{1E00}-\x{1EFF}]"
 DOT_LEADER = "^[.·•․‥…]{3,}$"
 LATEXIT = r"<latexit[^>]*>[A-Za-z0-9+/=\s]{80,}"
-DIGRAPH = r"\b[a-z0-9]+LJ[a-z0-9]+\b"
-NUMERIC_CELL_NOISE = r"[0-9.,()%$¥€£+\-/~\s·⋅∙×^]"
-NUMERIC_LINE_NOISE = r"[0-9.,()%$¥€£+\-\s]"
+DIGRAPH = "LJ"
+CURRENCY = "$¥€£"
+CELL_SIGNS = ".,()%+-/~·⋅∙×^" + CURRENCY
+LINE_SIGNS = ".,()%+-" + CURRENCY
+SCORE_WORDS = ("below", "under", "over", "above", "about", "approximately")
+ORDINALS = ("st", "nd", "rd", "th")
 CAPTION = r"(?i)^(?:fig(?:ure)?\.?|table|tab\.|図|表)\s*[0-9]+"
 
 
@@ -31,6 +35,10 @@ def count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def without(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, pattern, "")
+
+
 def code_points(text: Column) -> Column:
     return F.coalesce(F.length(text), F.lit(0)).cast("long")
 
@@ -83,7 +91,12 @@ def cjk_leading(text: Column) -> Column:
 
 
 def digraph_samples(text: Column) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DIGRAPH), F.lit(0))), 1, 3)
+    """Up to three words of small letters and digits with the capital digraph inside them."""
+    words = F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}_]+"))
+    small = lambda part: part.rlike(r"^[\p{Ll}\p{Nd}]+$")
+    sides = lambda w: F.split(w, DIGRAPH)
+    odd = F.filter(words, lambda w: F.contains(w, F.lit(DIGRAPH)) & (F.size(sides(w)) == 2) & F.forall(sides(w), small))
+    return F.when(F.contains(text, F.lit(DIGRAPH)), F.slice(odd, 1, 3)).otherwise(F.array().cast("array<string>"))
 
 
 def cjk_spacing_pairs(text: Column) -> Column:
@@ -95,8 +108,16 @@ def cjk_doubled_pairs(text: Column) -> Column:
     return count(text, rf"({CJK})\1")
 
 
-def cjk_repeated_run(text: Column) -> Column:
-    return F.coalesce(text.rlike(rf"({CJK})(?:[ \t\x{{3000}}]*\1){{7,}}"), F.lit(False))
+def cjk_repeated_run(text: Column, least: int = 8) -> Column:
+    """One CJK letter so often in a row, whatever blanks stand between: neighbours are counted one by one."""
+    chars = F.split(F.translate(text, " \t\u3000", ""), "")
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        n = F.when(~c.rlike(CJK), 0).when(c == acc["last"], acc["n"] + 1).otherwise(1)
+        return F.struct(c.alias("last"), n.alias("n"), F.greatest(acc["most"], n).alias("most"))
+
+    return F.coalesce(F.when(count(text, CJK) >= least, F.aggregate(chars, start, step, lambda a: a["most"] >= least)), F.lit(False))
 
 
 def cjk_mojibake_count(text: Column) -> Column:
@@ -112,7 +133,7 @@ def latin1_mojibake(text: Column) -> Column:
 def sequential_extension_run(text: Column, least: int = 8, most_step: int = 4) -> Column:
     """Rare CJK code points that climb by one constant step, ``least`` of them in a row."""
     chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: ~c.rlike(r"^\s*$"))
-    rare = r"^[\x{3400}-\x{4DBF}\x{20000}-\x{2EBEF}]$"
+    rare = f"^{RARE_CJK}$"
     code = F.transform(chars, lambda c: F.when(c.rlike(rare), F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("step"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
@@ -133,22 +154,37 @@ def dot_leader_length(text: Column) -> Column:
     return F.when(token.rlike(DOT_LEADER), F.length(token))
 
 
+def _class(signs: str) -> str:
+    return "0-9" + "".join("\\" + c for c in signs)
+
+
 def numeric_cell(text: Column) -> Column:
-    """A table cell that holds a number: signs, percent, currency, ratios, ordinals, `under 5`."""
-    t = F.trim(text)
-    t = F.regexp_replace(t, r"(\d)\s*[xX]$", "$1")
-    t = F.regexp_replace(t, r"(?i)\b(?:below|under|over|above|about|approximately)\s+(\d)", "$1")
-    t = F.regexp_replace(t, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
-    return text.rlike(r"\d") & (F.length(F.regexp_replace(t, NUMERIC_CELL_NOISE, "")) == 0)
+    """A table cell that holds a number, token by token.
+
+    A token is digits and signs, in which a digit may be an ordinal; a word of comparison counts before a
+    token that begins with a digit, and a ratio's ``x`` after a digit, at the cell's end.
+    """
+    own = f"[{_class(CELL_SIGNS)}]"
+    tokens = F.split(F.trim(text), r"\s+")
+    last = F.size(tokens) - 1
+    after = lambda i: F.coalesce(F.get(tokens, i + 1), F.lit(""))
+    before = lambda i: F.when(i > 0, F.get(tokens, i - 1)).otherwise("")
+    plain = lambda t: t.rlike(f"(?i)^(?:{own}|[0-9](?:{'|'.join(ORDINALS)})(?![\\p{{L}}0-9_]))+$")
+    compares = lambda t, i: F.lower(F.regexp_extract(t, f"^{own}*(.*)$", 1)).isin(*SCORE_WORDS) & after(i).rlike("^[0-9]")
+    ratio_ = lambda t, i: (i == last) & ((F.lower(t) == "x") & before(i).rlike("[0-9]$") | t.rlike("[0-9][xX]$") & F.regexp_replace(t, "[xX]$", "").rlike(f"^{own}+$"))
+    fits = F.transform(tokens, lambda t, i: plain(t) | compares(t, i) | ratio_(t, i))
+    return F.coalesce(text.rlike("[0-9]") & F.forall(fits, lambda ok: ok), F.lit(False))
 
 
 def numeric_line(text: Column) -> Column:
+    """A short line of digits, signs and blanks."""
     t = F.trim(text)
-    return (F.length(t) > 0) & (F.length(t) <= 80) & t.rlike(r"\d") & (F.length(F.regexp_replace(t, NUMERIC_LINE_NOISE, "")) == 0)
+    return F.length(t).between(1, 80) & t.rlike("[0-9]") & t.rlike(f"^[{_class(LINE_SIGNS)}\\s]+$")
 
 
 def currency_only(text: Column) -> Column:
-    return F.trim(text).rlike("^[$¥€£]$")
+    t = F.trim(text)
+    return (F.length(t) == 1) & F.contains(F.lit(CURRENCY), t)
 
 
 def collapsed(text: Column) -> Column:

@@ -1,30 +1,144 @@
-"""Repeated page chrome: blocks that recur at one height over a document's pages."""
+"""Repeated page chrome: what stands at one height at the edge of many of a document's pages.
+
+Only blocks in a band along the top and bottom edge, and single lines in a narrower one, are looked at,
+so body text that recurs is never chrome. Their texts are keys; labels that count pages have a second
+key without their digits. A key that stands at one height (to 5 points) on at least two and half of the
+pages marks its blocks; a line's key marks that line, and a block is cut where its lines differ.
+
+blocks: doc_id, page, block, text, the box, lines (array of line, text, x, y, width, height, font_size).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import geometry as G
+from ..functions import text as T
 
+# fixed values: bands (least points, share of the page), bin and sizes
 BIN = 5.0
+BLOCK_BAND, LINE_BAND = (60.0, 0.1), (24.0, 0.04)
+LINE_CHARS, LINE_SHARE, LABEL_CHARS = 20, 0.2, 80
+COUNTERS = ("page", "slide", "lecture")
+CONTROLS = ("yes", "no", "stop")
+PAGE_NUMBER = "#page-number"
+EDGE_BAND, EDGE_WIDTH, EDGE_HEIGHT, EDGE_CHARS, MARKER_CHARS, MARKER_SIZE = (36.0, 0.08), 0.05, 0.1, 12, 3, 0.05
+MARKER_AWAY, MARKER_ASIDE = 80.0, 24.0
+
+
+def counts_pages(text: Column, width: Column, page_width: float) -> Column:
+    """Short text that names its page: a bare number, or one that begins with (or, if narrow, holds) a word for pages."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    named = F.arrays_overlap(words, F.array(*map(F.lit, COUNTERS))) | F.lower(text).rlike(r"(?<![\p{L}\p{N}_])p\.[\p{L}\p{N}_]")
+    first = F.get(words, F.lit(0)).isin(*COUNTERS) & F.lower(F.substring(text, 1, 1)).isin(*{c[0] for c in COUNTERS}) | F.lower(text).rlike(r"^p\.[\p{L}\p{N}_]")
+    bare = (F.length(text) <= 12) & (F.length(T.without(text, r"[\p{N}\s.\-]")) == 0)
+    return (F.length(text).between(1, LABEL_CHARS)) & F.coalesce((bare & (width <= 0.12 * page_width)) | first | (named & (width <= 0.25 * page_width)), F.lit(False))
+
+
+def without_digits(text: Column) -> Column:
+    """The text with each number as one mark; null where it has none, or too few letters to be known by."""
+    compact = T.without(text, r"\s")
+    spaced_number = (compact != text) & F.length(compact).between(2, 4) & (F.length(T.without(compact, r"\p{N}")) == 0)
+    said = T.count(text, r"\p{N}") > 0
+    return F.when(spaced_number, PAGE_NUMBER).when(said & (T.letters(text) >= 4), F.regexp_replace(text, r"\p{N}+", "#"))
+
+
+def _band(y: Column, height: Column, page_height: float, band: tuple[float, float]) -> Column:
+    deep = max(band[0], band[1] * page_height)
+    return (y <= deep) | (y + height >= page_height - deep)
 
 
-def chrome_key(text: Column) -> Column:
-    """Collapsed, lower-cased text with numbers as one mark, so page numbers agree."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), "[0-9]+", "#")
+def _keys(text: Column, label: Column) -> Column:
+    plain = F.when(F.length(text) > 0, text)
+    return F.array_distinct(F.filter(F.array(plain, F.when(label, without_digits(text))), lambda k: k.isNotNull()))
 
 
-def repeated_keys(blocks: DataFrame) -> DataFrame:
-    """doc_id, bin, key that stand on at least max(2, half) of the document's pages."""
+def candidates(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """doc_id, page, block, line (null: the whole block), bin, key: every key of what stands in a band."""
+    text = T.collapsed(F.col("text"))
+    control = F.lower(F.regexp_replace(text, r"\.$", "")).isin(*CONTROLS)
+    own = blocks.filter(_band(F.col("y"), F.col("height"), page_height, BLOCK_BAND) & ~control)
+    label = counts_pages(text, F.col("width"), page_width)
+    whole = own.select("doc_id", "page", "block", F.lit(None).cast("int").alias("line"), "y", F.explode(_keys(text, label)).alias("key"))
+    rows = own.select("doc_id", "page", "block", F.explode("lines").alias("l"))
+    text = T.collapsed(F.col("l.text"))
+    label = counts_pages(text, F.col("l.width"), page_width)
+    worth = (F.length(text) >= LINE_CHARS) | (F.col("l.width") >= LINE_SHARE * page_width) | label
+    single = rows.filter(_band(F.col("l.y"), F.col("l.height"), page_height, LINE_BAND) & worth).select("doc_id", "page", "block", F.col("l.line").alias("line"), F.col("l.y").alias("y"), F.explode(_keys(text, label)).alias("key"))
+    return whole.unionByName(single).withColumn("bin", (F.floor(F.col("y") / BIN + 0.5) * BIN).cast("long")).drop("y")
+
+
+def _recurring(found: DataFrame, blocks: DataFrame) -> DataFrame:
     total = blocks.groupBy("doc_id").agg(F.countDistinct("page").alias("total"))
-    keyed = blocks.select("doc_id", "page", F.floor(F.col("y") / BIN).alias("bin"), chrome_key(F.col("text")).alias("key")).filter(F.length("key") > 0)
-    n = keyed.groupBy("doc_id", "bin", "key").agg(F.countDistinct("page").alias("on_pages"))
-    return n.join(total, "doc_id").filter(F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("total") / 2))).select("doc_id", "bin", "key", "on_pages")
+    n = found.groupBy("doc_id", F.col("line").isNull().alias("whole"), "bin", "key").agg(F.countDistinct("page").alias("on_pages")).filter("on_pages >= 2")
+    return n.join(total, "doc_id").filter(F.col("on_pages") >= F.ceil(F.col("total") / 2)).drop("total")
+
+
+def repeated_keys(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """doc_id, whole (a block's key, else a line's), bin, key, on_pages: keys on at least max(2, half) of the pages."""
+    return _recurring(candidates(blocks, page_width, page_height), blocks)
 
 
-def mark_repeated(blocks: DataFrame) -> DataFrame:
-    keyed = blocks.withColumns({"bin": F.floor(F.col("y") / BIN), "key": chrome_key(F.col("text"))})
-    marked = keyed.join(repeated_keys(blocks), ["doc_id", "bin", "key"], "left")
-    return marked.withColumn("repeated", F.col("on_pages").isNotNull()).drop("bin", "key", "on_pages")
+def mark_repeated(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Blocks with ``repeated``; a block of which only some lines are is cut, and the page's blocks numbered anew."""
+    found = candidates(blocks, page_width, page_height)
+    keys = _recurring(found, blocks).select("doc_id", "whole", "bin", "key")
+    hit = found.withColumn("whole", F.col("line").isNull()).join(keys, ["doc_id", "whole", "bin", "key"], "left_semi")
+    flags = hit.groupBy("doc_id", "page", "block").agg(F.max("whole").alias("_whole"), F.collect_set("line").alias("_some"))
+    rows = blocks.join(flags, ["doc_id", "page", "block"], "left")
+    is_some = lambda l: F.array_contains("_some", l["line"])
+    marked = F.coalesce(F.col("_whole") | ((F.size("lines") > 0) & F.forall("lines", is_some)), F.lit(False))
+    cut = ~marked & F.coalesce(F.size("_some") > 0, F.lit(False))
+    kept = ["doc_id", "page", "block", *[c for c in blocks.columns if c not in ("doc_id", "page", "block")]]
+    plain = rows.filter(~cut).select(*kept, F.lit(0).alias("_part"), marked.alias("repeated"))
+    # runs of lines that are (not) repeated: each begins where the mark changes
+    change = F.filter(F.transform("lines", lambda l, i: F.when((i == 0) | (is_some(l) != is_some(F.get("lines", F.greatest(i - 1, F.lit(0))))), i)), lambda i: i.isNotNull())
+    runs = F.transform("_at", lambda a, k: F.slice("lines", a + 1, F.coalesce(F.get("_at", k + 1), F.size("lines")) - a))
+    parts = rows.filter(cut).withColumn("_at", change).select(*[c for c in kept if c != "lines"], "_some", F.posexplode(runs).alias("_part", "lines"))
+    low, high = (lambda c: F.array_min(F.transform("lines", c))), (lambda c: F.array_max(F.transform("lines", c)))
+    x, y = low(lambda l: l["x"]), low(lambda l: l["y"])
+    again = {
+        "text": F.array_join(F.transform("lines", lambda l: l["text"]), "\n"), "n_lines": F.size("lines").cast("long"), "font_size": high(lambda l: l["font_size"]), "repeated": is_some(F.get("lines", F.lit(0))),
+        "x": G.half_up(x), "y": G.half_up(y), "width": G.half_up(high(lambda l: l["x"] + l["width"]) - x), "height": G.half_up(high(lambda l: l["y"] + l["height"]) - y),
+    }
+    parts = parts.select(*[again.pop(c).alias(c) if c in again else F.col(c) for c in [*kept, "_part", "repeated"]])
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("block", "_part")) - 1
+    both = plain.unionByName(parts).withColumn("block", number.cast("int")).drop("_part")
+    if "level" in blocks.columns:  # chrome is no heading
+        both = both.withColumn("level", F.when(~F.col("repeated"), F.col("level")))
+    return both
+
+
+def mark_page_edges(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Blocks marked (column ``repeated``, kept where it was set) that are chapter marks down a side of the page.
+
+    A vertical run along a side whose text stands on a second page, and numbers or chapter signs right
+    beside such a run; in a document of one page only what reads as a chapter sign. blocks also have writing_mode.
+    """
+    deep = max(EDGE_BAND[0], EDGE_BAND[1] * page_width)
+    right = page_width - (F.col("x") + F.col("width"))
+    aside = (F.col("x") <= deep) | (right <= deep)
+    key = T.without(F.translate(F.col("text"), "".join(map(chr, range(0xFF10, 0xFF1A))), "0123456789"), r"[\s\x{3000}]")
+    rows = blocks.withColumns({"_key": key, "_side": F.when(F.col("x") <= right, "left").otherwise("right"), "_aside": aside, "_cx": F.col("x") + F.col("width") / 2, "_cy": F.col("y") + F.col("height") / 2})
+    sign = F.translate(F.col("_key"), "第章編部", "")
+    reads = F.col("_key").isin(*"第章編部") | ((F.length(T.without(sign, r"\p{N}")) == 0) & (F.length(sign) > 0) & (F.length(F.col("_key")) - F.length(sign) <= 2) & F.col("_key").rlike(r"^第?\p{N}+[章編部]?$"))
+    anchor = F.col("_aside") & (F.col("writing_mode") == "vertical") & (F.col("width") <= EDGE_WIDTH * page_width) & (F.col("height") >= EDGE_HEIGHT * page_height)
+    rows = rows.withColumns({"_anchor": F.coalesce(anchor, F.lit(False)), "_reads": reads})
+    chrome = F.col("_anchor") & F.length("_key").between(1, EDGE_CHARS) & ~F.col("_key").rlike("[。、]")
+    a = rows.filter("_anchor").select(F.col("doc_id").alias("ad"), F.col("page").alias("ap"), F.col("_side").alias("a_side"), F.col("_cx").alias("a_cx"), F.col("y").alias("ay"), (F.col("y") + F.col("height")).alias("ab"))
+    small = F.col("_aside") & F.col("_reads") & F.length("_key").between(1, MARKER_CHARS) & (F.col("height") <= MARKER_SIZE * page_height) & (F.col("width") <= MARKER_SIZE * page_width)
+    beside = (F.col("doc_id") == F.col("ad")) & (F.col("page") == F.col("ap")) & (F.col("_side") == F.col("a_side")) & (F.abs(F.col("_cx") - F.col("a_cx")) <= MARKER_ASIDE) & (F.col("_cy") >= F.col("ay") - MARKER_AWAY) & (F.col("_cy") <= F.col("ab") + MARKER_AWAY)
+    ref = lambda df, kind: df.select("doc_id", "page", "block", F.col("_key").alias("key"), F.col("_reads").alias("reads"), F.lit(kind).alias("kind"))
+    refs = ref(rows.filter(chrome), "run").unionByName(ref(rows.filter(small).join(a, beside, "left_semi"), "marker"))
+    total = blocks.groupBy("doc_id").agg(F.countDistinct("page").alias("total"))
+    on = refs.groupBy("doc_id", "kind", "key").agg(F.countDistinct("page").alias("on_pages"))
+    told = refs.join(on, ["doc_id", "kind", "key"]).join(total, "doc_id")
+    one = (F.col("total") == 1) & ((F.col("kind") == "marker") | (F.col("reads") & (F.length("key") <= 6)))
+    hit = told.filter(one | ((F.col("total") > 1) & (F.col("on_pages") >= 2))).select("doc_id", "page", "block").distinct().withColumn("_hit", F.lit(True))
+    before = F.col("repeated") if "repeated" in blocks.columns else F.lit(False)
+    return blocks.join(hit, ["doc_id", "page", "block"], "left").withColumn("repeated", before | F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def body_text(marked: DataFrame) -> DataFrame:

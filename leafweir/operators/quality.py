@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 # fixed values: thresholds of the two cascades
-UNUSABLE, MIXED = 0.3, 0.05
+UNUSABLE, MIXED, GEOMETRY_NOISE = 0.3, 0.05, 0.1
 SPARSE_CHARS, SPARSE_COVERAGE, DENSE_VECTORS, DENSE_CHARS = 200, 0.02, 250, 40
 VISUAL_OK, VISUAL_SPARSE, VISUAL_TRACE = 0.005, 0.001, 0.0005
 UNRELIABLE = ("unusable_glyph_indices", "mixed_glyph_indices", "empty_but_visual_content", "sparse_text_with_visual_content")
@@ -58,6 +58,17 @@ def unreliable(status: Column) -> Column:
     return status.isin(*UNRELIABLE)
 
 
+def unreliable_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, ranges: the pages of each document whose native text is not to be trusted."""
+    return page_ranges(pages.filter(unreliable(F.col("native_text_status"))).select("doc_id", "page"), ["doc_id"])
+
+
+def unreliable_geometry(pages: DataFrame) -> DataFrame:
+    """doc_id, page where glyphs are so bad that boxes say nothing either."""
+    bad = (F.col("native_text_status") == "unusable_glyph_indices") | ((F.col("native_text_status") == "mixed_glyph_indices") & (F.col("non_printable_ratio") >= GEOMETRY_NOISE))
+    return pages.filter(bad).select("doc_id", "page")
+
+
 def overview(pages: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """One row per page of documents with more than one, with a count of each child table's rows."""
     many = Window.partitionBy("doc_id")
@@ -78,11 +89,9 @@ def page_ranges(rows: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, "pages", F.array_join(F.transform("rs", lambda r: r["r"]), ", ").alias("ranges"))
 
 
-def parse_ranges(spec: str, total: int, most_skipped: int = 100) -> tuple[list[int], list[int], bool]:
-    """Pages of ``1-3,7`` within 1..total, those outside (at most so many), and whether more were outside."""
-    pages: set[int] = set()
-    skipped: set[int] = set()
-    cut = False
+def parse_runs(spec: str) -> list[tuple[int, int]]:
+    """(first, last) of each page or range of ``1-3,7``, as written."""
+    out = []
     for part in spec.split(","):
         ends = part.strip().split("-")
         if len(ends) > 2 or not all(e.strip().isascii() and e.strip().isdigit() for e in ends):
@@ -90,6 +99,16 @@ def parse_ranges(spec: str, total: int, most_skipped: int = 100) -> tuple[list[i
         lo, hi = int(ends[0]), int(ends[-1])
         if lo < 1 or hi < lo:
             raise ValueError(f"not a page or range: {part!r}")
+        out.append((lo, hi))
+    return out
+
+
+def parse_ranges(spec: str, total: int, most_skipped: int = 100) -> tuple[list[int], list[int], bool]:
+    """Pages of ``1-3,7`` within 1..total, those outside (at most so many), and whether more were outside."""
+    pages: set[int] = set()
+    skipped: set[int] = set()
+    cut = False
+    for lo, hi in parse_runs(spec):
         pages.update(range(lo, min(hi, total) + 1))
         for p in range(max(lo, total + 1), hi + 1):
             if len(skipped) >= most_skipped and p not in skipped:
@@ -103,13 +122,7 @@ def parse_ranges(spec: str, total: int, most_skipped: int = 100) -> tuple[list[i
 
 def select_pages(rows: DataFrame, spec: str) -> DataFrame:
     """Rows of the pages a range names, as a filter that reaches the scan."""
-    wanted, _, _ = parse_ranges(spec, 1_000_000)
-    runs: list[list[int]] = []
-    for p in wanted:
-        if runs and runs[-1][1] == p - 1:
-            runs[-1][1] = p
-        else:
-            runs.append([p, p])
+    runs = parse_runs(spec)
     test = F.lit(False)
     for lo, hi in runs:
         test = test | F.col("page").between(lo, hi)

@@ -5,7 +5,7 @@ A block's native place is where its text first stands in the page's text (null:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,14 +17,23 @@ EARLY, LATE, NATIVE_LATE, NATIVE_EARLY, LEAST_PROBE = 0.25, 0.75, 0.5, 0.1, 8
 
 def native_places(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks with layout (0..1 by order) and native (0..1 by characters) of each that stands once in the text."""
-    probe = F.trim(F.substring_index("text", "\n", 1))
+    kept = [c for c in blocks.columns if c not in ("doc_id", "page", "lines")]
     order = Window.partitionBy("doc_id", "page").orderBy("block")
     many = Window.partitionBy("doc_id", "page")
-    rows = blocks.withColumns({"probe": probe, "k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(many)}).join(pages.select("doc_id", "page", F.col("text").alias("page_text"), "char_count"), ["doc_id", "page"])
-    at = F.expr("instr(page_text, probe)")
-    once = F.expr("instr(substring(page_text, instr(page_text, probe) + 1), probe)") == 0
-    rows = rows.withColumn("native", F.when((F.length("probe") >= LEAST_PROBE) & (at > 0) & once, (at - 1) / F.greatest(F.col("char_count"), F.lit(1))))
-    return rows.withColumn("layout", F.col("k") / F.greatest(F.col("n") - 1, F.lit(1))).drop("page_text", "probe")
+    rows = blocks.drop("lines").withColumns({"k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(many)})
+    grouped = rows.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*kept, "k", "n")).alias("own"))
+    # one row a page: its text is read where it stands, not sent once for each block
+    paged = grouped.join(pages.select("doc_id", "page", F.col("text").alias("page_text"), "char_count"), ["doc_id", "page"])
+    probe = lambda b: F.trim(F.substring_index(b["text"], "\n", 1))
+
+    def native(b: Column) -> Column:
+        at = F.instr(F.col("page_text"), probe(b))
+        once = F.instr(F.substr(F.col("page_text"), at + 1), probe(b)) == 0
+        return F.when((F.length(probe(b)) >= LEAST_PROBE) & (at > 0) & once, (at - 1) / F.greatest(F.col("char_count"), F.lit(1)))
+
+    placed = paged.select("doc_id", "page", "char_count", F.explode(F.transform("own", lambda b: F.struct(b.alias("b"), native(b).alias("native")))).alias("r"))
+    out = placed.select("doc_id", "page", "r.b.*", "char_count", "r.native")
+    return out.withColumn("layout", F.col("k") / F.greatest(F.col("n") - 1, F.lit(1)))
 
 
 def divergent_blocks(placed: DataFrame) -> DataFrame:

@@ -1,25 +1,31 @@
 """Search over lines: literal and regular expressions, several queries at once, five kinds of source.
 
-A query is compiled on the driver to a Java pattern; matching is ``regexp_extract_all`` with the
-texts between matches giving the places, so a literal search never leaves the JVM. Patterns that may
-backtrack without end go through ``matches_guarded``: an Arrow function with a time limit per row.
+A query is compiled on the driver to a Java pattern; matching sets marks around every match and reads
+the places off them, so a literal search never leaves the JVM. Patterns that may backtrack without end
+go through ``matches_guarded``: an Arrow function with a time limit a page and one a document.
 """
 
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 
 CAP = 10_000
+PAGE_SECONDS, REQUEST_SECONDS = 1.0, 12.0
+#: Stand around matches; noncharacters, which text has only by mistake.
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"
 SOURCES = ("native", "formField", "annotation", "link", "ocr")
 _CJK = "぀-ヿ㐀-鿿가-힯"
 
@@ -40,10 +46,7 @@ def compile_queries(queries: str | list[str], regex: bool = False, case_sensitiv
         if not said.strip():
             raise ValueError("an empty query")
         if regex:
-            try:
-                re.compile(said)
-            except re.error as e:
-                raise ValueError(f"query {i}: {e}") from e
+            _check(said, i)
             body = said
         else:
             parts = [re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", c) for c in said]
@@ -52,45 +55,88 @@ def compile_queries(queries: str | list[str], regex: bool = False, case_sensitiv
     return out
 
 
-def matches(lines: DataFrame, queries: list[Query], source: str = "native") -> DataFrame:
-    """One row per match: doc_id, page, line, query, text, start (from 0), source and the matched part's box.
+def _check(pattern: str, i: int) -> None:
+    """Refuses a pattern that the engine which will run it does not take (Python's where no session is there)."""
+    session = SparkSession.getActiveSession()
+    try:
+        if session is not None:
+            session._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            re.compile(pattern)
+    except (re.error, Py4JError, PySparkException) as e:
+        raise ValueError(f"query {i} is no pattern: {pattern!r}") from e
 
-    lines: doc_id, page, line, text, x, y, width, height. A character is as wide as any of its line.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(q.index).alias("query"), F.regexp_extract_all("text", F.lit(q.pattern), F.lit(0)).alias("found"), F.split(F.col("text"), q.pattern, -1).alias("between")) for q in queries]))
-    rows = lines.withColumn("_q", each).filter(F.size("_q.found") > 0)
-    gap = F.transform("_q.between", lambda s: F.length(s))
-    sizes = F.transform("_q.found", lambda s: F.length(s))
-    start = F.transform(F.sequence(F.lit(0), F.size("_q.found") - 1), lambda i: F.aggregate(F.slice(gap, F.lit(1), i + 1), F.lit(0), lambda a, v: a + v) + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, v: a + v))
-    rows = rows.withColumn("_m", F.explode(F.filter(F.arrays_zip(F.col("_q.found").alias("t"), start.alias("s")), lambda m: F.length(m["t"]) > 0)))
+
+def _placed(rows: DataFrame, source: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with line boxes, query, match and start as results: the matched part's box, a character as wide as any of its line."""
     unit = F.when(F.length("text") > 0, F.col("width") / F.length("text")).otherwise(F.lit(0.0))
     return rows.select(
-        "doc_id", "page", "line", F.col("_q.query").alias("query"), F.col("_m.t").alias("match"), F.col("_m.s").alias("start"), F.lit(source).alias("source"),
-        G.half_up(F.col("x") + unit * F.col("_m.s")).alias("x"), "y", G.half_up(unit * F.length("_m.t")).alias("width"), "height",
+        "doc_id", "page", "line", "query", "match", "start", F.lit(source).alias("source"),
+        G.half_up(F.col("x") + unit * F.col("start")).alias("x"), "y", G.half_up(unit * F.length("match")).alias("width"), "height", *extra,
     )
 
 
-def matches_guarded(lines: DataFrame, queries: list[Query], seconds: float = 1.0) -> DataFrame:
-    """As ``matches`` (without boxes) under a time limit for each line; timed_out rows have no match."""
+def matches(lines: DataFrame, queries: list[Query], source: str = "native", extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per match: doc_id, page, line, query, match, start (from 0), source and the matched part's box.
+
+    lines: doc_id, page, line, text, x, y, width, height. Matches of nothing are left out, but count as steps.
+    """
+    marked = lambda q: F.regexp_replace(F.translate("text", _OPEN + _SHUT, "\ufffd\ufffd"), q.pattern, f"{_OPEN}$0{_SHUT}")
+    each = F.explode(F.array(*[F.struct(F.lit(q.index).alias("query"), F.split(marked(q), _OPEN).alias("parts")) for q in queries]))
+    rows = lines.withColumn("_q", each).filter(F.size("_q.parts") > 1)
+    # each part but the first is a match, a mark, and what stands up to the next match
+    before = lambda i: F.aggregate(F.slice("_q.parts", F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)) - (i - 1)
+    found = F.transform(F.sequence(F.lit(1), F.size("_q.parts") - 1), lambda i: F.struct(F.substring_index(F.get("_q.parts", i), _SHUT, 1).alias("t"), before(i).alias("s")))
+    rows = rows.withColumn("_m", F.explode(F.filter(found, lambda m: F.length(m["t"]) > 0)))
+    return _placed(rows.withColumns({"query": F.col("_q.query"), "match": F.col("_m.t"), "start": F.col("_m.s")}), source, extra)
+
+
+def matches_guarded(lines: DataFrame, queries: list[Query], page_seconds: float = PAGE_SECONDS, request_seconds: float = REQUEST_SECONDS, source: str = "native") -> DataFrame:
+    """As ``matches``, and timed_out; under a time limit for each page and for each document.
+
+    A page whose time is spent gives one row of each query not done, without a match; so does every page
+    after the document's time. A document's lines are taken as they come: time is counted over neighbouring ones.
+    """
     compiled = [(q.index, q.pattern.removeprefix("(?iu)"), q.ignore_case) for q in queries]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         own = [(i, regex.compile(p, regex.I if ci else 0)) for i, p, ci in compiled]
+        doc, page, spent, on_page, done = None, None, 0.0, 0.0, set()
         for batch in batches:
             out = []
-            for d, p, n, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "line", "text")), strict=True):
+            for d, p, n, t, *box in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "line", "text", "x", "y", "width", "height")), strict=True):
+                if (d, p) != (doc, page):
+                    spent, on_page, done = spent if d == doc else 0.0, 0.0, set()
+                    doc, page = d, p
                 for i, pattern in own:
+                    left = min(page_seconds - on_page, request_seconds - spent)
+                    began = time.perf_counter()
                     try:
-                        out += [(d, p, n, i, m.group(), m.start(), False) for m in pattern.finditer(t or "", timeout=seconds) if m.group()]
+                        if left <= 0:
+                            raise TimeoutError
+                        out += [(d, p, n, i, m.group(), m.start(), False, t, *box) for m in pattern.finditer(t or "", timeout=left) if m.group()]
                     except TimeoutError:
-                        out.append((d, p, n, i, None, None, True))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "page", "line", "query", "match", "start", "timed_out"])
+                        if i not in done:
+                            done.add(i)
+                            out.append((d, p, n, i, None, None, True, t, *box))
+                    took = time.perf_counter() - began
+                    spent, on_page = spent + took, on_page + took
+            columns = list(zip(*out, strict=True)) if out else [()] * 12
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string(), *[pa.float64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "page", "line", "query", "match", "start", "timed_out", "text", "x", "y", "width", "height"])
+
+    schema = "doc_id long, page int, line int, query int, match string, start int, timed_out boolean, text string, x double, y double, width double, height double"
+    found = lines.select("doc_id", "page", "line", "text", "x", "y", "width", "height").mapInArrow(run, schema)
+    placed = _placed(found.filter(~F.col("timed_out")), source).withColumn("timed_out", F.lit(False))
+    late = found.filter("timed_out").select(*[F.col(c) if c in ("doc_id", "page", "line", "query", "timed_out") else (F.lit(source) if c == "source" else F.lit(None)).cast(t).alias(c) for c, t in placed.dtypes])
+    return placed.unionByName(late)
+
 
-    return lines.select("doc_id", "page", "line", "text").mapInArrow(run, "doc_id long, page int, line int, query int, match string, start int, timed_out boolean")
+def budget(pages: DataFrame, page_ms: float = 1000 * PAGE_SECONDS, request_ms: float = 1000 * REQUEST_SECONDS) -> DataFrame:
+    """doc_id, page, cost_ms with ``searched``: pages are searched while time is left; a page costs at most its own limit."""
+    return within_time(pages.withColumn("cost_ms", F.least(F.col("cost_ms").cast("double"), F.lit(float(page_ms)))), request_ms)
 
 
 def capped(found: DataFrame, most: int = CAP) -> DataFrame:
@@ -128,7 +174,7 @@ def hyphenated(lines: DataFrame, ahead: int = 6) -> DataFrame:
     nexts = [F.when(F.abs(F.lead("x", k).over(order) - F.col("x")) <= 2, F.lead("text", k).over(order)) for k in range(1, ahead + 1)]
     rows = lines.withColumn("_next", F.coalesce(*nexts)).filter(F.col("text").rlike(r"\p{L}-$") & F.col("_next").isNotNull())
     first = F.regexp_extract("_next", r"^\S+", 0)
-    return rows.select("doc_id", "page", "line", F.concat(F.expr("substring(text, 1, length(text) - 1)"), first).alias("text"), "x", "y", "width", "height")
+    return rows.select("doc_id", "page", "line", F.concat(F.expr("substring(text, 1, length(text) - 1)"), first).alias("text"), "x", "y", "width", "height", (F.length("text") - 1).alias("joint"))
 
 
 def collapse(hits: DataFrame, texts: int = 4) -> DataFrame:
@@ -174,7 +220,7 @@ def stacked_labels(lines: DataFrame, ahead: int = 24, gap_em: float = 1.6) -> Da
     pair = a.join(b, (F.col("doc_id") == F.col("bd")) & (F.col("page") == F.col("bp")) & (F.col("bl") > F.col("line")) & (F.col("bl") <= F.col("line") + ahead) & (below >= 0) & (below <= gap_em * F.col("_a.height")) & middle)
     best = pair.groupBy("doc_id", "page", "line").agg(F.min_by(F.struct("bt", "_b"), F.struct(below, "bl")).alias("n"), F.first("text").alias("t"), F.first("_a").alias("_a"))
     x, y = F.least("_a.x", "n._b.x"), F.col("_a.y")
-    return best.select("doc_id", "page", "line", F.concat_ws(" ", F.trim("t"), F.trim("n.bt")).alias("text"), x.alias("x"), y.alias("y"), (F.greatest(G.right(F.col("_a")), G.right(F.col("n._b"))) - x).alias("width"), (G.bottom(F.col("n._b")) - y).alias("height"))
+    return best.select("doc_id", "page", "line", F.concat_ws(" ", F.trim("t"), F.trim("n.bt")).alias("text"), x.alias("x"), y.alias("y"), (F.greatest(G.right(F.col("_a")), G.right(F.col("n._b"))) - x).alias("width"), (G.bottom(F.col("n._b")) - y).alias("height"), F.length(F.trim("t")).alias("joint"))
 
 
 def vertical_lines(runs: DataFrame) -> DataFrame:
@@ -216,3 +262,41 @@ def link_matches(links: DataFrame, queries: list[Query]) -> DataFrame:
     rows = links.filter(~F.coalesce(anchor_restates_target(F.col("text"), F.col("target")), F.lit(False)))
     rows = rows.select("doc_id", "page", F.col("link").alias("line"), F.col("target").alias("text"), "x", "y", "width", "height")
     return matches(rows, queries, "link")
+
+
+def annotation_matches(annotations: DataFrame, queries: list[Query]) -> DataFrame:
+    """Matches in what notes say and in their titles, placed on the note; the same match of one note is one."""
+    said = F.explode(F.array_distinct(F.filter(F.array("contents", "title"), lambda t: F.length(t) > 0)))
+    rows = annotations.withColumn("text", said).withColumn("line", F.col("annotation"))
+    found = matches(rows, queries, "annotation").select("doc_id", "page", "line", "query", "match", "source").distinct().withColumn("start", F.lit(0))
+    return found.join(annotations.select("doc_id", "page", F.col("annotation").alias("line"), "x", "y", "width", "height"), ["doc_id", "page", "line"])
+
+
+def ocr_matches(words: DataFrame, queries: list[Query], native: DataFrame) -> DataFrame:
+    """Matches in lines of recognised words, beyond as many native ones of the same text and none over the same place."""
+    from . import ocr
+
+    lines = ocr.words_to_lines(words).withColumn("line", F.col("line").cast("int"))
+    return without_precise_duplicates(bag_difference(native, matches(lines, queries, "ocr")), native)
+
+
+def across_lines(lines: DataFrame, queries: list[Query]) -> DataFrame:
+    """Matches that run over the joint of words parted by a hyphen, or of labels set on two lines."""
+    out = None
+    for joined in (hyphenated(lines), stacked_labels(lines)):
+        found = matches(joined, queries, extra=("joint",)).filter((F.col("start") < F.col("joint")) & (F.col("start") + F.length("match") > F.col("joint"))).drop("joint")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def everywhere(lines: DataFrame, queries: list[Query], fields: DataFrame | None = None, annotations: DataFrame | None = None, links: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """Matches of all five sources, those of joined lines only over the joint, at most ``CAP`` a page, query and source."""
+    cols = ["doc_id", "page", "line", "query", "match", "start", "source", "x", "y", "width", "height"]
+    native = matches(lines, queries)
+    out = native.select(*cols).unionByName(across_lines(lines, queries).select(*cols))
+    for table, find in ((fields, field_matches), (annotations, annotation_matches), (links, link_matches)):
+        if table is not None:
+            out = out.unionByName(find(table, queries).select(*cols))
+    if words is not None:
+        out = out.unionByName(ocr_matches(words, queries, native).select(*cols))
+    return capped(out)

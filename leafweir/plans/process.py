@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chrome, layout, quality, reading, rules, search
+from ..operators import chrome, layout, quality, search
 from ..sources import evidence as ev
-from . import report
+from . import detect, report
 
 FORMATS = ("markdown", "json", "xml", "table")
 
@@ -49,32 +50,38 @@ class Result:
     pages: DataFrame
     blocks: DataFrame
     headings: DataFrame
-    warnings: DataFrame
+    evidence: detect.Evidence
     matches: DataFrame | None
+    unsearched: DataFrame | None = None
 
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return detect.detect(self.evidence, ev.PAGE_WIDTH, ev.PAGE_HEIGHT)
 
-def process(documents: DataFrame, options: Options | None = None) -> Result:
+
+def process(documents: DataFrame, options: Options | None = None, fields: DataFrame | None = None, links: DataFrame | None = None, words: DataFrame | None = None, **evidence: DataFrame) -> Result:
+    """The plan of a body of documents.
+
+    Form fields, links and recognised words are searched too; further evidence (``detect.Evidence``: images,
+    ocr, annotations, ...) by name. ``unsearched`` are pages on which a pattern's time ran out.
+    """
     options = options or Options()
-    lines = ev.lines(documents)
+    rows = ev.page_rows(documents)
     if options.pages:
-        lines = quality.select_pages(lines, options.pages)
-    pages = quality.with_quality(ev.pages(lines))
-    blocks = chrome.mark_repeated(ev.blocks(lines))
-    spans = ev.spans(lines)
+        rows = quality.select_pages(rows, options.pages)
+        evidence = {k: quality.select_pages(v, options.pages) if "page" in v.columns else v for k, v in evidence.items()}
+    lines, pages = ev.lines_of(rows), quality.with_quality(ev.pages_of(rows))
+    blocks = chrome.mark_repeated(ev.blocks_of(rows), ev.PAGE_WIDTH, ev.PAGE_HEIGHT)
     headed = layout.headings(blocks, layout.body_font(lines))
-    placed = reading.native_places(blocks, pages)
-    overlaps, near = rules.text_overlaps(blocks), chrome.body_near_chrome(blocks)
-    found = rules.settle(
-        rules.all_of(
-            rules.glyph_garbage(pages), rules.localized_glyph_noise(pages), rules.rtl_script(pages), rules.raw_embedded_source(pages), rules.dot_leaders(lines),
-            rules.tiny_text(lines), rules.off_page(blocks, ev.PAGE_WIDTH, ev.PAGE_HEIGHT), rules.near_bottom_edge(blocks, ev.PAGE_WIDTH, ev.PAGE_HEIGHT),
-            rules.page_edge_truncated(spans, ev.PAGE_WIDTH, ev.PAGE_HEIGHT), rules.numeric_layout(lines), rules.late_heading(blocks, pages),
-            rules.duplicate_text_layer(spans), reading.out_of_sequence(placed), reading.column_lists(placed, ev.PAGE_WIDTH),
-            rules.warning(overlaps, "text_overlap", F.concat_ws("/", "other_block", "area", "pairs"), F.col("block")), rules.warning(near, "body_near_repeated_chrome", F.concat_ws("/", "other_block", "overlap", "gap"), F.col("block")),
-        )
-    )
-    matches = search.capped(search.matches(lines, search.compile_queries(options.search, options.regex, options.case_sensitive))) if options.search else None
-    return Result(lines, pages, blocks, headed, found, matches)
+    matches = late = None
+    if options.search:
+        queries = search.compile_queries(options.search, options.regex, options.case_sensitive)
+        if options.regex:  # a user's pattern may never end
+            own = search.matches_guarded(lines, queries)
+            matches, late = search.capped(own.filter(~F.col("timed_out")).drop("timed_out")), own.filter("timed_out").select("doc_id", "page", "query").distinct()
+        else:
+            matches = search.everywhere(lines, queries, fields, evidence.get("annotations"), links, words)
+    return Result(lines, pages, blocks, headed, detect.Evidence(pages, lines, blocks, ev.spans(lines), **evidence), matches, late)
 
 
 def process_to_text(documents: DataFrame, options: Options | None = None) -> DataFrame:

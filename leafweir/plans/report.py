@@ -13,9 +13,6 @@ from pyspark.sql.window import Window
 
 from ..operators.quality import page_ranges
 
-BUDGET = 30_000
-
-
 def escape_xml(text: Column) -> Column:
     """Escaped; characters that XML forbids become U+FFFD."""
     t = F.regexp_replace(text, r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{FFFE}\x{FFFF}]", "�")
@@ -51,14 +48,18 @@ def markdown_table(rows: DataFrame, keys: list[str], order: str, cells: str = "c
     return grouped.select(*keys, F.array_join(F.concat(F.array(F.get("_l", F.lit(0))["l"], rule), F.transform(F.slice("_l", 2, 2**30), lambda s: s["l"])), "\n").alias("markdown"))
 
 
-def within_budget(sections: DataFrame, budget: int = BUDGET) -> DataFrame:
+def within_budget(sections: DataFrame, budget: int) -> DataFrame:
     """The first sections of each document that fit the budget together."""
     run = F.sum(F.length("section")).over(Window.partitionBy("doc_id").orderBy("page"))
     return sections.withColumn("upto", run).filter(F.col("upto") <= budget)
 
 
-def markdown(sections: DataFrame, budget: int = BUDGET) -> DataFrame:
-    kept = within_budget(sections, budget).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "section"))), lambda s: s["section"]), "\n").alias("body"), F.count(F.lit(1)).alias("kept"))
+def markdown(sections: DataFrame, budget: int | None = None) -> DataFrame:
+    """doc_id, pages, markdown: the whole document, or its first sections that fit a budget and a note of how many do not."""
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "section"))), lambda s: s["section"]), "\n").alias("body")
+    if budget is None:
+        return sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), body.alias("markdown"))
+    kept = within_budget(sections, budget).groupBy("doc_id").agg(body, F.count(F.lit(1)).alias("kept"))
     total = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
     left = F.col("pages") - F.coalesce("kept", F.lit(0))
     note = F.when(left > 0, F.concat(F.lit("\n[... "), left, F.lit(" more pages]"))).otherwise("")

@@ -53,14 +53,58 @@ def test_text_status(spark, npr, chars, coverage, images, vectors, content, want
 BLOCK = "doc_id long, page int, block int, text string, x double, y double, width double, height double, font_size double, n_lines long"
 
 
+def with_lines(df):
+    """Blocks whose lines are their text's, each as high as its share of the block."""
+    said = F.split("text", "\n")
+    h = F.col("height") / F.size(said)
+    line = lambda t, i: F.struct(i.alias("line"), t.alias("text"), F.lit(True).alias("start"), F.col("x").alias("x"), (F.col("y") + i * h).alias("y"), F.col("width").alias("width"), h.alias("height"), F.col("font_size").alias("font_size"))
+    return df.withColumn("lines", F.transform(said, line))
+
+
+def marked(spark, rows, height=792.0):
+    return chrome.mark_repeated(with_lines(spark.createDataFrame(rows, BLOCK)), 612.0, height)
+
+
 def test_chrome(spark):
-    rows = [(1, p, b, t, 50.0, y, 100.0, 10.0, 10.0, 1) for p in (1, 2, 3) for b, t, y in ((0, f"Report  page {p}", 30.0), (1, f"body {'abc'[p - 1]}", 200.0), (2, "Footer" if p < 3 else "Other", 212.0))]
-    marked = chrome.mark_repeated(spark.createDataFrame(rows, BLOCK)).collect()
-    assert {(r.page, r.block) for r in marked if r.repeated} == {(1, 0), (2, 0), (3, 0), (1, 2), (2, 2)}
-    near = chrome.body_near_chrome(spark.createDataFrame(marked)).collect()
+    rows = [(1, p, b, t, 50.0, y, 100.0, 10.0, 10.0, 1) for p in (1, 2, 3) for b, t, y in ((0, f"Report  page {p}", 30.0), (1, f"body {'abc'[p - 1]}", 728.0), (2, "Footer" if p < 3 else "Other", 740.0), (3, f"Row total {7 * p} units", 400.0), (4, "Same", 410.0))]
+    found = marked(spark, rows).collect()
+    # rows amid the page stay, whatever they share; labels count pages only at the edge
+    assert {(r.page, r.block) for r in found if r.repeated} == {(1, 0), (2, 0), (3, 0), (1, 2), (2, 2)}
+    near = chrome.body_near_chrome(spark.createDataFrame(found)).collect()
     assert {(r.page, r.block, r.other_block, r.overlap, r.gap) for r in near} == {(1, 1, 2, None, 2.0), (2, 1, 2, None, 2.0)}
-    body = {r.page: r.body for r in chrome.body_text(spark.createDataFrame(marked)).collect()}
-    assert body == {1: "body a", 2: "body b", 3: "body c\nOther"}
+    body = {r.page: r.body for r in chrome.body_text(spark.createDataFrame(found)).collect()}
+    assert body == {1: "body a\nRow total 7 units\nSame", 2: "body b\nRow total 14 units\nSame", 3: "body c\nOther\nRow total 21 units\nSame"}
+
+
+def test_only_labels_lose_their_digits(spark):
+    text = [lambda p: f"Total 1{p} of the year", lambda p: f"{p} 4", lambda p: f"Slide {p}: results of all the towns", lambda p: f"p.{p} of it all", lambda p: "Yes."]
+    for k, t in enumerate(text):
+        rows = [(1, p, 0, t(p), 50.0, 20.0, 150.0, 10.0, 10.0, 1) for p in (1, 2)]
+        assert {r.repeated for r in marked(spark, rows).collect()} == {k in (2, 3)}
+    rows = [(1, p, 0, f"{p} 4", 50.0, 20.0, 30.0, 10.0, 10.0, 1) for p in (1, 2)]
+    assert {r.repeated for r in marked(spark, rows).collect()} == {True}
+    # on one page nothing repeats; heights may differ by what rounds to 5 points alike
+    assert not any(r.repeated for r in marked(spark, rows[:1]).collect())
+    assert {r.repeated for r in marked(spark, [(1, 1, 0, "Head", 9.0, 22.4, 30.0, 9.0, 9.0, 1), (1, 2, 0, "Head", 9.0, 18.0, 30.0, 9.0, 9.0, 1)]).collect()} == {True}
+    assert {r.repeated for r in marked(spark, [(1, 1, 0, "Head", 9.0, 22.5, 30.0, 9.0, 9.0, 1), (1, 2, 0, "Head", 9.0, 22.4, 30.0, 9.0, 9.0, 1)]).collect()} == {False}
+
+
+def test_a_foot_is_cut_where_its_lines_differ(spark):
+    rows = [(1, p, 0, f"Issued by the office of records\nsheet of {'xyz'[p - 1] * 9}", 36.0, 765.0, 300.0, 20.0, 10.0, 2) for p in (1, 2, 3)]
+    got = sorted((r.page, r.block, r.text, r.repeated, r.y, r.height, r.n_lines) for r in marked(spark, rows).collect())
+    assert got[:2] == [(1, 0, "Issued by the office of records", True, 765.0, 10.0, 1), (1, 1, "sheet of xxxxxxxxx", False, 775.0, 10.0, 1)] and len(got) == 6
+
+
+def test_marks_down_the_page_s_side(spark):
+    kind = BLOCK + ", writing_mode string"
+    run = lambda p, text: (1, p, 0, text, 590.0, 100.0, 14.0, 120.0, 10.0, 1, "vertical")
+    sign = lambda p, text: (1, p, 1, text, 588.0, 225.0, 16.0, 16.0, 10.0, 1, "horizontal")
+    far = lambda p: (1, p, 2, "3", 20.0, 225.0, 16.0, 16.0, 10.0, 1, "horizontal")
+    rows = [run(1, "防災の備え"), sign(1, "第3章"), far(1), run(2, "防災の備え"), sign(2, "第３章"), far(2), run(3, "ほかの章"), sign(3, "4")]
+    got = chrome.mark_page_edges(spark.createDataFrame(rows, kind), 612.0, 792.0).filter("repeated").collect()
+    assert {(r.page, r.block) for r in got} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+    one = chrome.mark_page_edges(spark.createDataFrame([run(1, "第3章"), sign(1, "4"), far(1)], kind), 612.0, 792.0).filter("repeated").collect()
+    assert {(r.page, r.block) for r in one} == {(1, 0), (1, 1)}
 
 
 def test_edges(spark):
@@ -143,6 +187,30 @@ def test_search(page):
     assert (region.x, region.y, region.width) == (0.0, 8.0, 64.0)
 
 
+def test_matches_of_nothing_keep_places(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "abxcx", 0.0, 0.0, 50.0, 10.0), (1, 1, 1, "\ufdd0x\ufdd1x", 0.0, 0.0, 40.0, 10.0)], "doc_id long, page int, line int, text string, x double, y double, width double, height double")
+    got = sorted((r.line, r.match, r.start, r.x) for r in search.matches(rows, search.compile_queries("(?=a)|x", regex=True)).collect())
+    assert got == [(0, "x", 2, 20.0), (0, "x", 4, 40.0), (1, "x", 1, 10.0), (1, "x", 3, 30.0)]
+
+
+def test_time_runs_out_by_page_and_document(spark):
+    line = lambda d, p, n, t: (d, p, n, t, 0.0, 0.0, 10.0, 10.0)
+    rows = [line(1, p, 0, "a" * 40 + "b") for p in range(1, 6)] + [line(2, 1, 0, "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, line int, text string, x double, y double, width double, height double").coalesce(1)
+    got = {(r.doc_id, r.page): (r.match, r.timed_out) for r in search.matches_guarded(frame, search.compile_queries("^(a|aa)+$", regex=True), 0.2, 0.5).collect()}
+    assert got == {**{(1, p): (None, True) for p in range(1, 6)}, (2, 1): ("aa", False)}
+    pages = spark.createDataFrame([(1, p, c) for p, c in ((1, 400.0), (2, 5000.0), (3, 599.0), (4, 1.0))], "doc_id long, page int, cost_ms double")
+    assert [r.searched for r in search.budget(pages, 1000, 1999).orderBy("page").collect()] == [True, True, True, False]
+
+
+def test_joined_lines_match_over_the_joint(spark):
+    line = lambda n, t, x, y: (1, 1, n, t, x, y, 60.0, 10.0)
+    rows = spark.createDataFrame([line(0, "about docu-", 0.0, 0.0), line(1, "ments of docu", 0.0, 12.0), line(2, "First", 300.0, 0.0), line(3, "name", 300.0, 12.0)], "doc_id long, page int, line int, text string, x double, y double, width double, height double")
+    hit = lambda q: sorted((r.line, r.match) for r in search.across_lines(rows, search.compile_queries(q)).collect())
+    assert hit("documents") == [(0, "documents")] and hit("about") == [] and hit("first name") == [(2, "First name")]
+    assert sorted(r.line for r in search.everywhere(rows, search.compile_queries("docu")).collect()) == [0, 1]
+
+
 @pytest.mark.parametrize("bad", ["", "   ", ["ok", ""]])
 def test_empty_queries(bad):
     with pytest.raises(ValueError):
@@ -153,7 +221,8 @@ def test_empty_queries(bad):
 
 def test_runaway_patterns_time_out(spark):
     rows = spark.createDataFrame([(1, 1, 0, "a" * 60 + "b"), (1, 1, 1, "aa")], "doc_id long, page int, line int, text string")
-    got = {r.line: (r.match, r.timed_out) for r in search.matches_guarded(rows, search.compile_queries("^(a|aa)+$", regex=True), seconds=0.3).collect()}
+    rows = rows.withColumns({c: F.lit(1.0) for c in ("x", "y", "width", "height")})
+    got = {r.line: (r.match, r.timed_out) for r in search.matches_guarded(rows, search.compile_queries("^(a|aa)+$", regex=True), page_seconds=0.3).collect()}
     assert got == {0: (None, True), 1: ("aa", False)}
 
 

@@ -1,65 +1,13 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-``materialize`` cuts lineage by writing Parquet under ``spark.checkpoint.dir`` and reading it back:
-Spark's commit protocol makes it safe against lost executors, and a later join on it has a plain
-exchange on either side, which adaptive execution can split when a key is hot. The folder is the
-cluster's own when the setting is there; only where it is unset and Spark is local (tests, a laptop) a
-local one is set. Tables go when Python ends, or earlier with ``clear``.
-"""
+"""Where operators keep intermediate tables (``sources.store``), and how rows of a hot key meet what is known of it."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from py4j.protocol import Py4JError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str, str | None]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    kept = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
-    folder = spark.conf.get("spark.checkpoint.dir", None) or kept
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="leafweir-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def scratch(spark: SparkSession, name: str, table: str | None = None) -> str:
-    """A path for an intermediate table, and its name where it is one of the catalogue's."""
-    path = f"{shared_folder(spark).rstrip('/')}/leafweir-{uuid.uuid4().hex[:12]}-{name}"
-    _WRITTEN.append((spark, path, table))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Delete every intermediate table that this process wrote; frames that still read one are void.
-
-    Files go even when Spark has been stopped, as long as its process lives; catalogue entries only before.
-    """
-    while _WRITTEN:
-        spark, path, table = _WRITTEN.pop()
-        with contextlib.suppress(Py4JError, OSError):
-            if table and spark.sparkContext._jsc is not None:
-                spark.sql(f"drop table if exists {table}")
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
+from ..sources.store import clear, materialize, scratch, shared_folder
 
-atexit.register(clear)
+__all__ = ["clear", "fan_out", "materialize", "scratch", "shared_folder", "spread_back", "text_bytes"]
 
 
 def fan_out(df: DataFrame) -> int:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import planted
 from .functions import geometry as G
 from .functions import predicates as P
 from .functions import text as T
@@ -317,9 +318,46 @@ def column_order(spark, d):
     return layout.column_order(blocks(spark, d), W).select("doc_id", "page", "block", F.col("ord").cast("int").alias("ord"))
 
 
-@query("""+ g as (select *, lag(x + width) over (partition by doc_id, page, line order by x, word) as e from span) select doc_id, page, cast(floor((x + e) / 2 / 5.0) as bigint) as bin, count(distinct line) as rows from g where x - e >= 0.5 * font_size group by all having count(distinct line) >= 3""")
+_GAPS = """r as (select doc_id, page, line, word, text, font_size, x * 4 as x, x * 4 + width as e from span),
+g as (select *, lag(e) over w as pe, x - lag(e) over w as gap, min(x) over p as l, max(e) over p as r, least(font_size, lag(font_size) over w) as f from r window w as (partition by doc_id, page, line order by x, word), p as (partition by doc_id, page, line))"""
+
+
+def spread(spark: SparkSession, d: str) -> DataFrame:
+    """Words set four times as far apart, on a sheet as much wider."""
+    return spans(spark, d).withColumn("x", F.col("x") * 4)
+
+
+@query("+ " + _GAPS + " select doc_id, page, cast(floor((pe + gap / 2) / 5 + 0.5) * 5 as bigint) as bin, count(distinct line) as rows from g where r - l >= 0.6 * 2448 and gap >= greatest(1.05 * f, 9) and pe - l >= 612 and r - x >= 612 group by all having count(distinct line) >= 3")
 def recurring_gutters(spark, d):
-    return layout.recurring_gutters(spans(spark, d), 3, 0.5)
+    return layout.recurring_gutters(spread(spark, d), 4 * W)
+
+
+@query("+ " + _GAPS + " select doc_id, page, cast(floor(x / 5 + 0.5) * 5 as bigint) as bin, count(distinct line) as rows from g where r - l >= 0.6 * 2448 and gap >= greatest(0.9 * f, 9) and x >= 0.58 * 2448 and pe - l >= 0.4 * 2448 group by all having count(distinct line) >= 2")
+def recurring_panels(spark, d):
+    return layout.recurring_panels(spread(spark, d), 4 * W)
+
+
+@query("""with c as (select l_orderkey as doc_id, cast(l_linenumber as integer) as line, unnest([0, 1, 2, 3]) as word, unnest(['Item', cast(cast(l_quantity as integer) as varchar), case when l_partkey % 5 = 0 then '-' else cast(l_partkey as varchar) end, case when l_suppkey % 3 = 0 then 'none' else cast(l_suppkey as varchar) end]) as text from (select l_orderkey, l_linenumber, min(l_quantity) as l_quantity, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem group by all)),
+n as (select doc_id, line, word, text, 40.0 + 60 * word + (line % 2) * 10 as x, text = '-' or regexp_full_match(text, '[0-9]+') as num from c), m as (select *, sum(num::int) over (partition by doc_id, line) as nums, lag(num) over w as pn, lag(x + 30) over w as pe from n window w as (partition by doc_id, line order by x, word))
+select doc_id, 1 as page, cast(floor((pe + (x - pe) / 2) / 5 + 0.5) * 5 as bigint) as bin, count(distinct line) as rows from m where nums >= 3 and num and pn and x - pe >= 10.5 group by all having count(distinct line) >= 4""", evidence=False)
+def table_gutters(spark, d):
+    """Order lines as rows of four cells, odd ones ten points to the right."""
+    cells = F.array(F.lit("Item"), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_partkey") % 5 == 0, "-").otherwise(F.col("l_partkey").cast("string")), F.when(F.col("l_suppkey") % 3 == 0, "none").otherwise(F.col("l_suppkey").cast("string")))
+    one = ev.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")])
+    rows = one.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("int").alias("line"), F.posexplode(cells).alias("word", "text"))
+    placed = rows.withColumns({"x": 40.0 + 60 * F.col("word") + (F.col("line") % 2) * 10, "width": F.lit(30.0), "font_size": F.lit(10.0)})
+    return layout.table_gutters(placed, W)
+
+
+@query("""select l_orderkey as doc_id, cast(l_linenumber as integer) as line, '$ ' || cast(l_quantity as integer) || '|' || l_partkey || '|€ ' || l_suppkey || case when l_linenumber % 2 = 0 then '|each £' else '|5 £' end as cells from lineitem group by all""", evidence=False)
+def currency_cells(spark, d):
+    """A lone sign, a number with a sign at its end, and a last cell from which no sign goes on."""
+    cells = F.array(F.lit("$"), F.col("l_quantity").cast("int").cast("string"), F.concat(F.col("l_partkey").cast("string"), F.lit(" €")), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "each £").otherwise("5 £"))
+    rows = ev.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey").distinct()
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    rows = rows.select(F.col("l_orderkey").alias("doc_id"), key.alias("page"), F.col("l_linenumber").cast("int").alias("line"), F.posexplode(cells).alias("word", "text"))
+    folded = layout.currency_folded(rows).groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda c: c["text"]), "|").alias("cells"))
+    return folded.drop("page")
 
 
 @query("""+ a as (select doc_id, page, block, x, y, width, height from block), p as (select a.doc_id, a.page, a.block, o.block as other, a.y - (o.y + o.height) as up, o.y - (a.y + a.height) as down from a join a o on a.doc_id = o.doc_id and a.page = o.page and a.block <> o.block and least(a.x + a.width, o.x + o.width) > greatest(a.x, o.x)),
@@ -639,9 +677,16 @@ def visual_regions(spark, d):
 
 @query()
 def page_warnings(spark, d):
+    """The warnings of the documents as they are laid out."""
     return process.process(docs(spark, d)).warnings
 
 
+@query(f"select doc_id, page, code, severity, coalesce(cast(block as integer), -1) as block, cast(detail as varchar) as detail from documents, (values {planted.values(planted.EXPECTED)}) as v(page, code, severity, block, detail)", evidence=False)
+def planted_warnings(spark, d):
+    """Every warning code on a page planted for it, with the gates between rules."""
+    return planted.warnings(spark, docs(spark, d))
+
+
 @query("+ w as (select doc_id, page, 'off_page' as code, block from block where x + width > 560 union all select doc_id, page, 'late', block from block where n_lines > 3), r as (select *, row_number() over (partition by doc_id, page order by case when code = 'off_page' then 0 else 1 end, code, block) as rank from w) select doc_id, page, code, block, rank from r")
 def warning_sort(spark, d):
     found = blocks(spark, d)
@@ -876,3 +921,92 @@ def search_owners(spark, d):
 @query()
 def search_stacked_labels(spark, d):
     return search.stacked_labels(lines(spark, d))
+
+
+_P = {
+    "lettered": (lambda t: P.lettered_section(t), f"regexp_matches(t, '{P.LETTERED}') and length(t) <= 80"),
+    "fragment": (lambda t: P.sentence_fragment(t), r"regexp_matches(t, '^\p{Ll}') or regexp_matches(t, '[.!?]\s+\p{L}') or regexp_matches(t, '(?i)\b(?:the|of|and|to|in|a|an|for|with|by)$') or (length(t) > 60 and regexp_matches(t, '[.,;:]$'))"),
+    "figures": (lambda t: P.caption_kind(t) == "figure", r"regexp_matches(t, '(?i)^(?:fig(?:ure)?\.?|図)\s*[0-9]')"),
+    "tables": (lambda t: P.caption_kind(t) == "table", r"regexp_matches(t, '(?i)^(?:table|tab\.|表)\s*[0-9]') and not regexp_matches(t, '(?i)^(?:fig(?:ure)?\.?|図)\s*[0-9]')"),
+    "chrome": (lambda t: P.label_chrome(t), r"regexp_matches(t, '(?i)^(?:page\s*\d+(?:\s+of\s+\d+)?|form\s+[\w-]+|omb\s+no\.?.*|\d{1,3}|rev\.?\s.*)$')"),
+    "marker": (lambda t: P.field_marker(t), f"regexp_matches(t, '{P.FIELD_MARK}')"),
+    "section": (lambda t: P.form_section(t), f"regexp_matches(t, '{P.FORM_SECTION}')"),
+    "dotted": (lambda t: P.dotted_texture(t), "len(regexp_extract_all(t, '[.·•․‥…]')) >= 12 and len(regexp_extract_all(t, '[.·•․‥…]')) / greatest(1, len(regexp_extract_all(t, '\\S'))) >= 0.65 and len(regexp_extract_all(t, '[\\p{L}\\p{N}]')) / greatest(1, len(regexp_extract_all(t, '\\S'))) <= 0.2"),
+    "numeric": (lambda t: T.numeric_line(t), r"length(t) between 1 and 80 and regexp_matches(t, '\d') and regexp_matches(t, '^[0-9.,()%+$¥€£\s-]+$')"),
+    "currency": (lambda t: T.currency_only(t), "t in ('$', '¥', '€', '£')"),
+    "cjk": (lambda t: T.cjk_leading(t), r"regexp_matches(t, '^[\x{2E80}-\x{2EFF}\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]')"),
+    "rtl": (lambda t: T.rtl_dominant(t), r"len(regexp_extract_all(t, '[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]')) > 0 and len(regexp_extract_all(t, '[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]')) >= len(regexp_extract_all(t, '[A-Za-z\x{C0}-\x{24F}]'))"),
+}
+#: Lines planted among the documents' own, by line number.
+_SAID = ["A. Income of the year", "page 3 of 9", "12a.", "Part II of the form", "Figure 3", "Table 4 of 9", "................ .", "1,200 %", "€", "日本語", "שלום a", "Form W-2"]
+
+
+@query("+ said as (select doc_id, page, case when line % 20 = 7 then (" + str(_SAID).replace('"', "'") + ")[1 + (doc_id + page + line) % 12] else trim(text) end as t from line) select doc_id, page, " + ", ".join(f"sum(coalesce({q}, false)::int)::bigint as {n}" for n, (_, q) in _P.items()) + " from said group by all")
+def line_grammars(spark, d):
+    """Lines of each page that match a grammar; every twentieth is planted."""
+    at = ((F.col("doc_id") + F.col("page") + F.col("line")) % len(_SAID)).cast("int")
+    said = F.when(F.col("line") % 20 == 7, F.get(F.array(*map(F.lit, _SAID)), at)).otherwise(F.trim("text"))
+    return lines(spark, d).select("doc_id", "page", said.alias("t")).groupBy("doc_id", "page").agg(*[F.sum(F.coalesce(test(F.col("t")), F.lit(False)).cast("int")).alias(n) for n, (test, _) in _P.items()])
+
+
+_B = {
+    "usable": (P.usable_box, "width >= 18 and height >= 18"),
+    "near_full": (lambda b: P.near_full_page(b, W, H), "width >= 0.9 * 612 and height >= 0.9 * 792"),
+    "side": (lambda b: P.side_chrome(b, W, H), "width <= 0.08 * 612 and height >= 0.6 * 792 and (x <= 0.08 * 612 or x + width >= 0.92 * 612)"),
+    "band": (lambda b: P.horizontal_chrome(b, W, H), "height <= 0.04 * 792 and width >= 0.5 * 612 and (y <= 0.12 * 792 or y + height >= 0.88 * 792)"),
+    "background": (lambda b: P.background(b, W, H), "width * height >= 0.85 * 612 * 792"),
+    "micro": (P.micro_vector, "width * height <= 100 and greatest(width, height) between 0.5 and 18"),
+}
+#: Boxes of every kind: a page, a rail, a band, a dot, and the page's own block.
+_BOXES = [(6.0, 6.0, 600.0, 780.0), (4.0, 40.0, 30.0, 700.0), (40.0, 20.0, 500.0, 10.0), (100.0, 100.0, 5.0, 6.0), (570.0, 60.0, 40.0, 600.0)]
+_BOXED = "boxed as (select doc_id, page, x, y, width, height from block union all select doc_id, page, bx, \"by\", bw, bh from page, (values " + ", ".join(map(str, _BOXES)) + ") as v(bx, \"by\", bw, bh))"
+
+
+def boxed(spark: SparkSession, d: str) -> DataFrame:
+    made = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("x", "y", "width", "height"), b, strict=True)]) for b in _BOXES])
+    return blocks(spark, d).select("doc_id", "page", "x", "y", "width", "height").unionByName(page_keys(spark, d).select("doc_id", "page", F.inline(made)))
+
+
+@query("+ " + _BOXED + " select doc_id, page, " + ", ".join(f"sum(({q})::int)::bigint as {n}" for n, (_, q) in _B.items()) + " from boxed group by all")
+def box_predicates(spark, d):
+    """Boxes of each page that are of a kind."""
+    return boxed(spark, d).groupBy("doc_id", "page").agg(*[F.sum(test(G.box()).cast("int")).alias(n) for n, (test, _) in _B.items()])
+
+
+@query("+ " + _BOXED + """, p as (select *, least(x + width, 400) - greatest(x, 100) as ox, least(y + height, 400) - greatest(y, 200) as oy from boxed), q as (select doc_id, page, greatest(0, ox) * greatest(0, oy) as area, least(width * height, 60000) as small, greatest(width * height, 60000) as large, ox, oy, x, y, width, height from p where width > 0)
+select doc_id, page, floor(sum(small / large) * 100 + 0.5) / 100 as alike, floor(sum(greatest(0, ox) / least(width, 300)) * 100 + 0.5) / 100 as across, floor(sum(greatest(0, oy) / least(height, 200)) * 100 + 0.5) / 100 as down, sum((ox >= -10 and oy >= -10)::int)::bigint as touching,
+floor(sum(area / small) * 100 + 0.5) / 100 as shared, floor(sum(greatest(0, least(300, x + width) - greatest(0, x)) * greatest(0, least(300, y + height) - greatest(0, y))) * 100 + 0.5) / 100 as shown from q group by all""")
+def box_arithmetic(spark, d):
+    """Each box against one of 300 by 200 points at (100, 200), and cut to a sheet of 300 by 300."""
+    one = F.struct(F.lit(100.0).alias("x"), F.lit(200.0).alias("y"), F.lit(300.0).alias("width"), F.lit(200.0).alias("height"))
+    b, seen = G.box(), G.visible(G.box(), F.lit(300.0), F.lit(300.0))
+    total = lambda c, n: G.half_up(F.sum(c)).alias(n)
+    rows = boxed(spark, d).filter("width > 0")
+    return rows.groupBy("doc_id", "page").agg(
+        total(G.area_similarity(b, one), "alike"), total(G.horizontal_overlap_ratio(b, one), "across"), total(G.vertical_overlap_ratio(b, one), "down"), F.sum(G.touches(b, one, 10).cast("int")).alias("touching"),
+        total(G.overlap_of_smaller(b, one), "shared"), total(G.area(seen), "shown"),
+    )
+
+
+@query("""+ b as (select doc_id, page, block, x, 792 - (y + height) as low, x + width as r, 792 - y as high, n_lines, font_size from block) select doc_id, page, block, floor(x * 100 + 0.5) / 100 as x, floor((792 - high) * 100 + 0.5) / 100 as y, floor((r - x) * 100 + 0.5) / 100 as width, floor((high - low) * 100 + 0.5) / 100 as height,
+array_to_string(list_filter([case when n_lines & 1 = 1 then 'invisible' end, case when n_lines & 2 = 2 then 'hidden' end, case when n_lines & 4 = 4 then 'print' end, case when n_lines & 8 = 8 then 'noZoom' end, case when n_lines & 16 = 16 then 'noRotate' end, case when n_lines & 32 = 32 then 'noView' end], lambda z: z is not null), '/') as flags,
+font_size * 2 as font, floor((r - x + 4) * 100 + 0.5) / 100 as quad_width from b""")
+def annotation_geometry(spark, d):
+    """Blocks as annotations: rectangles from the bottom left with corners in any order, flags, a quadrilateral and a text matrix."""
+    low, high, right = H - (F.col("y") + F.col("height")), H - F.col("y"), F.col("x") + F.col("width")
+    rows = blocks(spark, d).select("doc_id", "page", "block", "font_size", F.array(right, high, "x", low).alias("rect"), F.array(F.col("x") - 2, low, right + 2, low, "x", high, right, high).alias("quad"), F.col("n_lines").cast("int").alias("flags"))
+    found = forms.boxed(rows, H)
+    matrix = F.array(F.col("font_size"), F.lit(0.0), F.lit(0.0), F.col("font_size") * 2, F.lit(0.0), F.lit(0.0))
+    quads = G.quad_boxes(F.col("quad"), F.lit(H))
+    return found.select("doc_id", "page", "block", "x", "y", "width", "height", F.array_join("flag_names", "/").alias("flags"), G.matrix_font_size(matrix).alias("font"), F.get(quads, F.lit(0))["width"].alias("quad_width"))
+
+
+@query(r"""+ w as (select doc_id, page, line, text, list_filter(string_split(regexp_replace(lower(trim(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' +', ' ', 'g'), ' '), lambda x: length(x) > 0) as t from line),
+n as (select doc_id, page, case when line % 2 = 0 then t[1:2] else [t[1], 'zzz'] end as name, t from w where len(t) >= 2)
+select doc_id, page, sum(list_has_all(t, name)::int)::bigint as matched, sum((len(list_filter(name, lambda x: length(x) >= 3)) > 0 and not list_has_any(list_filter(name, lambda x: length(x) >= 3), t))::int)::bigint as contradicted from n group by all""")
+def field_names(spark, d):
+    """Names made of a line's first words (or of its first and another) against the line as a label."""
+    t = T.field_name_tokens(F.col("text"))
+    name = F.when(F.col("line") % 2 == 0, F.concat_ws("_", F.get(t, F.lit(0)), F.get(t, F.lit(1)))).otherwise(F.concat(F.get(t, F.lit(0)), F.lit(".Zzz")))
+    rows = lines(spark, d).filter(F.size(t) >= 2).withColumn("name", name)
+    return rows.groupBy("doc_id", "page").agg(F.sum(P.name_matches_label(F.col("name"), F.col("text")).cast("int")).alias("matched"), F.sum(P.name_contradicts_label(F.col("name"), F.col("text")).cast("int")).alias("contradicted"))

@@ -17,6 +17,7 @@ from ..functions import text as T
 # fixed values: heading tiers over the body font
 TIERS = ((1.40, 1), (1.25, 2), (1.15, 3), (1.08, 4))
 COLUMN_SLACK = 0.05
+GUTTER_BIN, GUTTER_GAP, FONT = 5, 9.0, 12.0
 
 
 def dedupe_items(items: DataFrame) -> DataFrame:
@@ -114,13 +115,46 @@ def column_order(blocks: DataFrame, page_width: float) -> DataFrame:
     return run.withColumn("_col", col).withColumn("ord", F.row_number().over(order) - 1).drop("_wide", "_run", "_col")
 
 
-def recurring_gutters(spans: DataFrame, least_rows: int = 3, least_em: float = 1.5, bin_width: float = 5.0) -> DataFrame:
-    """doc_id, page, bin, rows: centres of wide gaps between neighbours of a row that recur on so many rows."""
-    order = Window.partitionBy("doc_id", "page", "line").orderBy("x", "word")
-    end = F.lag(F.col("x") + F.col("width")).over(order)
-    gap = spans.withColumn("_end", end).filter(F.col("x") - F.col("_end") >= least_em * F.col("font_size"))
-    binned = gap.withColumn("bin", F.floor((F.col("x") + F.col("_end")) / 2 / bin_width))
-    return binned.groupBy("doc_id", "page", "bin").agg(F.countDistinct("line").alias("rows")).filter(F.col("rows") >= least_rows)
+def _gaps(spans: DataFrame) -> DataFrame:
+    """Neighbours of a row: the gap between them, the smaller font, the row's left and right end, and both texts."""
+    row = Window.partitionBy("doc_id", "page", "line")
+    order = row.orderBy("x", "word")
+    font = F.when(F.col("font_size") > 0, F.col("font_size")).otherwise(FONT)
+    end = F.col("x") + F.col("width")
+    return spans.withColumns({
+        "_end": F.lag(end).over(order), "_left": F.min("x").over(row), "_right": F.max(end).over(row), "_font": F.least(font, F.lag(font).over(order)), "_before": F.lag("text").over(order),
+        "_numbers": F.sum(table_number(F.col("text")).cast("int")).over(row),
+    }).filter("_end is not null").withColumn("_gap", F.col("x") - F.col("_end"))
+
+
+def _recurring(rows: DataFrame, place: Column, least: int) -> DataFrame:
+    binned = rows.withColumn("bin", (F.floor(place / GUTTER_BIN + 0.5) * GUTTER_BIN).cast("long"))
+    return binned.groupBy("doc_id", "page", "bin").agg(F.countDistinct("line").alias("rows")).filter(F.col("rows") >= least)
+
+
+def table_number(text: Column) -> Column:
+    """A cell of a number column: a number, or a dash in its place."""
+    return (F.trim(text) == "-") | T.numeric_cell(text)
+
+
+def recurring_gutters(spans: DataFrame, page_width: float) -> DataFrame:
+    """doc_id, page, bin, rows: middles of gaps that part rows of most of the page's width into two sides, on three rows or more."""
+    sides = (F.col("_end") - F.col("_left") >= 0.25 * page_width) & (F.col("_right") - F.col("x") >= 0.25 * page_width)
+    wide = (F.col("_right") - F.col("_left") >= 0.6 * page_width) & (F.col("_gap") >= F.greatest(1.05 * F.col("_font"), F.lit(GUTTER_GAP)))
+    return _recurring(_gaps(spans).filter(wide & sides), F.col("_end") + F.col("_gap") / 2, 3)
+
+
+def recurring_panels(spans: DataFrame, page_width: float) -> DataFrame:
+    """doc_id, page, bin, rows: where the right part of wide rows begins after a gap, past 58 % of the page, on two rows or more."""
+    wide = (F.col("_right") - F.col("_left") >= 0.6 * page_width) & (F.col("_gap") >= F.greatest(0.9 * F.col("_font"), F.lit(GUTTER_GAP)))
+    aside = (F.col("x") >= 0.58 * page_width) & (F.col("_end") - F.col("_left") >= 0.4 * page_width)
+    return _recurring(_gaps(spans).filter(wide & aside), F.col("x"), 2)
+
+
+def table_gutters(spans: DataFrame, page_width: float) -> DataFrame:
+    """doc_id, page, bin, rows: middles of gaps between numbers, in rows of three or more, on four rows or more."""
+    able = (F.col("_numbers") >= 3) & table_number(F.col("text")) & table_number(F.col("_before")) & (F.col("_right") - F.col("_left") >= min(0.4 * page_width, 96.0))
+    return _recurring(_gaps(spans).filter(able & (F.col("_gap") >= F.greatest(1.05 * F.col("_font"), F.lit(GUTTER_GAP)))), F.col("_end") + F.col("_gap") / 2, 4)
 
 
 def table_rows(spans: DataFrame, cells: int = 3, numeric: int = 2) -> DataFrame:
@@ -138,9 +172,16 @@ def tables(rows: DataFrame, gap: int = 1) -> DataFrame:
 
 
 def currency_folded(cells: DataFrame) -> DataFrame:
-    """Cells of a row with a lone currency sign put before the numeric cell that follows it."""
+    """Cells of a row with currency signs put before the number they belong to.
+
+    A lone sign before a number, and a sign at a number's end when another number follows, go to that one.
+    """
     order = Window.partitionBy("doc_id", "page", "line").orderBy("word")
-    sign, number = T.currency_only(F.col("text")), T.numeric_cell(F.col("text"))
-    rows = cells.withColumns({"_before": F.lag(F.when(sign, F.trim("text"))).over(order), "_next": F.lead(number).over(order)})
-    folded = F.when(number & F.col("_before").isNotNull(), F.concat("_before", "text")).otherwise(F.col("text"))
-    return rows.filter(~(sign & F.coalesce("_next", F.lit(False)))).withColumn("text", folded).drop("_before", "_next")
+    text = F.trim("text")
+    sign, last = T.currency_only(text), F.right(text, F.lit(1))
+    rest = F.rtrim(F.expr("substring(trim(text), 1, length(trim(text)) - 1)"))
+    trailing = F.contains(F.lit(T.CURRENCY), last) & (F.length(text) > 1) & T.numeric_cell(rest)
+    follows = F.coalesce(F.lead(T.numeric_cell(F.col("text"))).over(order), F.lit(False))
+    rows = cells.withColumns({"_moves": F.when(follows & (sign | trailing), last), "_rest": F.when(trailing & follows, rest).otherwise(text), "_gone": sign & follows})
+    said = F.concat(F.coalesce(F.concat(F.lag("_moves").over(order), F.lit(" ")), F.lit("")), "_rest")
+    return rows.withColumn("text", said).filter(~F.col("_gone")).drop("_moves", "_rest", "_gone")

@@ -90,7 +90,8 @@ def _evidence(e: Evidence, backed: DataFrame | None, width: float, height: float
     if e.vectors is not None:
         out += [graphics.dense_vectors(counted, e.vectors, area), graphics.vectors_without_text(counted, e.vectors, width, height)]
     if e.images is not None:
-        out += [graphics.raster_without_text(counted, e.images, area), rules.large_raster_low_text(e.images, e.lines, area)]
+        told = e.pages.filter("char_count > 0").filter(~F.col("native_text_status").isin(*rules.GARBAGE)).select(*keys)
+        out += [graphics.raster_without_text(counted, e.images, area), rules.large_raster_low_text(e.images.join(told, keys, "left_semi"), e.lines, area)]
     if e.annotations is not None:
         missing = forms.missing_annotation_text(e.annotations, e.pages).select(*keys).distinct()
         out.append(rules.warning(missing, "annotation_text_missing_from_native", F.lit("")))
@@ -106,7 +107,7 @@ def _geometry(e: Evidence, width: float, height: float) -> list[DataFrame]:
     several = e.pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n")).filter("n >= 2").select("doc_id")
     near, found = chrome.body_near_chrome(e.blocks), overlap.largest(overlap.pairs(e.blocks, e.images, width * height))
     out = [
-        rules.page_edge_truncated(e.spans, width, height), rules.off_page(e.blocks, width, height), rules.numeric_layout(e.lines), rules.late_heading(e.blocks, e.pages),
+        rules.page_edge_truncated(e.spans, width, height, e.blocks), rules.off_page(e.blocks, width, height), rules.numeric_layout(e.lines), rules.late_heading(e.blocks, e.pages),
         reading.out_of_sequence(placed), reading.divergent_blocks(placed), reading.column_lists(placed, width),
         rules.near_bottom_edge(e.blocks, width, height, layout.body_font(e.lines)).join(several, "doc_id", "left_semi"),
         rules.warning(found, "text_overlap", F.concat_ws("/", "other_block", "area", "pairs"), F.col("block")), rules.warning(near, "body_near_repeated_chrome", F.concat_ws("/", "other_block", "overlap", "gap"), F.col("block")),

@@ -55,14 +55,20 @@ def _unescape_role(role: Column) -> Column:
 
 
 def log_of_turns(rows: DataFrame) -> DataFrame:
-    """Events of a table conv_id, turn, role, text: users speak at once, assistants stream in two deltas."""
+    """Events of a table conv_id, turn, role, text, as a chat leaves them behind.
+
+    An assistant streams a draft, to which a next turn is already begun, is told to regenerate (which takes
+    both back) and streams its text in two deltas. Of other turns every third is corrected by an edit.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "text")
     texts = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.row_number().over(order).cast("long"))
-    event = lambda n, kind, text: F.struct((F.col("at") * 4 + n).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    half = F.floor(F.length("text") / 2).cast("int")
-    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", F.substring(F.col("text"), F.lit(1), half)), event(2, "delta", F.substring(F.col("text"), half + 1, F.length("text"))))
-    events = F.when(F.col("role") == "assistant", streamed).otherwise(F.array(event(0, "message", F.col("text"))))
-    return texts.select("conv_id", F.col("at").alias("turn"), "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "turn", "role", "e.text")
+    event = lambda n, kind, text, ahead=0: F.struct((F.col("at") * 8 + n).alias("seq"), F.lit(kind).alias("kind"), (F.col("at") + ahead).alias("turn"), text.alias("text"))
+    half, none = F.floor(F.length("text") / 2).cast("int"), F.lit("")
+    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    streamed = F.array(event(0, "message", none), event(1, "delta", F.concat(F.lit("A draft: "), second)), event(2, "message", F.lit("Wait."), 1), event(3, "regenerate", none), event(4, "delta", first), event(5, "delta", second))
+    corrected = F.array(event(0, "message", F.concat("text", F.lit(" (uncorrected)"))), event(1, "edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", streamed).when(F.col("at") % 3 == 0, corrected).otherwise(F.array(event(0, "message", F.col("text"))))
+    return texts.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "e.turn", "role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:

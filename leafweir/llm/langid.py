@@ -37,6 +37,8 @@ from ._text import CHUNK_BYTES, U64, Chunk, chunks, mix64
 
 DIMS = 4096
 SAMPLE = 400
+#: Most sampled texts of all languages together: with more than 40 of them, each has fewer
+TOTAL = 16_000
 CENTROIDS = 4
 QUANTILE, SLACK, MARGIN, MOST = 0.99, 2.2, 0.8, 0.97
 #: Bytes of the prefixes that a reach is learned at; the last stands for whole texts
@@ -107,8 +109,8 @@ def _small(column: pa.Array, dims: int) -> Iterator[Chunk]:
             yield Chunk(c.lo + lo, c.hi + lo, c.data, c.off)
 
 
-def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int = CENTROIDS, quantile: float = QUANTILE, slack: float = SLACK, seed: int = 11, margin: float = MARGIN) -> Model:
-    """rows: text, lang. At most ``sample`` vectors (and beginnings of texts) of each language go to the driver."""
+def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int = CENTROIDS, quantile: float = QUANTILE, slack: float = SLACK, seed: int = 11, margin: float = MARGIN, total: int = TOTAL) -> Model:
+    """rows: text, lang. At most ``sample`` vectors (and beginnings of texts) of each language, and ``total`` of all, go to the driver."""
     known = rows.filter("lang is not null and text is not null").select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +124,10 @@ def fit(rows: DataFrame, dims: int = DIMS, sample: int = SAMPLE, centroids: int
 
     got = known.select("text").mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
-    total, df = int(n[at == -1].sum()), np.zeros(dims)
+    texts, df = int(n[at == -1].sum()), np.zeros(dims)
     df[at[at >= 0]] = n[at >= 0]
-    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+    idf = (np.log((1 + texts) / (1 + df)) + 1).astype(np.float32)
+    sample = max(1, min(sample, total // max(1, known.select(F.countDistinct("lang")).first()[0])))
     # the sample: per language the rows of least text hash, kept as they are met (a hot language is no larger than another)
     picked = known.withColumn("h", F.xxhash64("text")).groupBy("lang", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by("text", "h").alias("text"))
 

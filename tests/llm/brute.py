@@ -74,15 +74,15 @@ def decontaminated(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
-def without_repeats(texts, length=200):
-    """n_bytes, n_removed, n_spans, kept_sha256 of each text."""
+def without_repeats(texts, length=200, key=bytes):
+    """n_bytes, n_removed, n_spans, kept_sha256 of each text; strings are told apart by ``key``."""
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    seen = Counter(key(b[i : i + length]) for b in raw for i in range(len(b) - length + 1))
     out = []
     for b in raw:
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
+            if seen[key(b[i : i + length])] > 1:
                 gone[i : i + length] = b"\x01" * length
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)

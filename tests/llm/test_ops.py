@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafweir.llm import bag_minhash, chat, decontam, langid, mixing, quality, sharding, suffix_dedup, syncmers, warc
-from leafweir.llm._text import chunks, words
+from leafweir.llm._text import chunks, mix64, prefix_hash, span_hash, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(5)
@@ -190,6 +190,88 @@ def test_syncmers_are_context_free_and_dense():
         assert h.min() in (h[0], h[-1])
 
 
+def plain_anchors(raw):
+    """24-bit hashes of closed syncmers and, up to FINE bytes, of four-byte strings: every k-mer on its own."""
+    value = lambda b: int(span_hash(prefix_hash(np.frombuffer(b, dtype=np.uint8)), np.array([0]), np.array([len(b)]))[0]) >> 40
+    k, s = syncmers.K, syncmers.S
+    coarse = []
+    for p in range(len(raw) - k + 1):
+        inner = [value_of(raw[p + j : p + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            coarse.append(value(raw[p : p + k]))
+    fine = [value(raw[i : i + 4]) for i in range(max(1, len(raw) - 3))] if 0 < len(raw) <= syncmers.FINE else []
+    return [coarse, fine] if fine else [coarse]
+
+
+def value_of(b):
+    return int(span_hash(prefix_hash(np.frombuffer(b, dtype=np.uint8)), np.array([0]), np.array([len(b)]))[0])
+
+
+def dice(a, b):
+    if not a or not b:
+        return float(a == b)
+    x, y = plain_anchors(a), plain_anchors(b)
+    level = min(len(x), len(y)) - 1
+    x, y = Counter(x[level]), Counter(y[level])
+    return 2 * sum((x & y).values()) / (x.total() + y.total()) if x and y else 0.0
+
+
+def test_likenesses_are_those_of_a_plain_scan(spark):
+    texts = [prose(60, 70), edited(prose(60, 70), 5, 0.1), "", None, "abc", "abcd", "é" * 40, prose(20, 71), prose(21, 71), "x" * 300, prose(60, 70)]
+    rows = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in syncmers.edited_likeness(rows).collect()}
+    down = list(reversed(range(len(texts))))
+    for a, b in zip(down, down[1:] + down[:1], strict=True):
+        t, n = texts[a] or "", texts[b] or ""
+        changed = syncmers.edited(t, n)
+        assert abs(got[a * 3].near_edited - dice(t.encode(), changed.encode())) < 1e-12 and abs(got[a * 3].near_next - dice(t.encode(), n.encode())) < 1e-12
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 17, 200])
+def test_ranges_of_ids(spark, n):
+    cuts = sorted(random.Random(n).sample(range(-500, 500), n), reverse=True)
+    values = [None, -501, 501, 0, *cuts, *[c + 1 for c in cuts], *[c - 1 for c in cuts]]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", syncmers._cuts_above(F.col("v"), cuts).alias("k")).collect()
+    assert all(r.k == (n if r.v is None else sum(c > r.v for c in cuts)) for r in got)
+
+
+def long_rows():
+    """Texts of more than a chunk: a long one, the same with a word changed here and there, one of few words, one without."""
+    base = [w for i in range(12) for w in prose(20_000, 40 + i).split(" ")]
+    other = list(base)
+    for i in range(500, len(other), 9_000):
+        other[i] = "changed"
+    assert len(" ".join(base)) > 1_200_000
+    return [(1, " ".join(base)), (2, " ".join(other)), (3, "same words again and " * 60_000), (4, "." * 1_100_000), (5, prose(50, 3)), (6, None)]
+
+
+def test_texts_longer_than_a_chunk(spark):
+    data = long_rows()
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(data, schema).withColumns({"lang": F.lit("en"), "source": F.lit("s")}).repartition(2).cache()
+    got = {r.doc_id: r for r in bag_minhash.near_duplicates(docs).collect()}
+    assert [got[i].class_id for i in range(1, 7)] == [1, 1, 3, 4, 5, 6]
+    prints = {r.doc_id: r for r in syncmers.edited_likeness(docs).collect()}
+    assert prints[2].near_next > 0.95 and all(prints[i].n_chars == len(t or "") for i, t in data)
+    items = [(7, " ".join(data[0][1].split(" ")[100_000:100_030])), (8, "words again and same words again and same words again and same")]
+    found = {r.doc_id: r for r in decontam.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in data:
+        assert (found[i].n_words, found[i].n_hit, found[i].n_items, found[i].items_sha256) == brute.decontaminated(t, items)
+    kept = {r.doc_id: r for r in suffix_dedup.repeated_passages(docs).collect()}
+    for i, want in zip((1, 2, 3, 4, 5, 6), brute.without_repeats([t for _, t in data], key=hash), strict=True):
+        assert (kept[i].n_bytes, kept[i].n_removed, kept[i].n_spans, kept[i].kept_sha256) == want
+    model = langid.fit(docs)
+    assert langid.predict(docs, model).filter("lang_pred = 'en'").count() == 4
+    flat = quality.fit(docs, quality.grades(spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")), bits=12)
+    assert quality.score(docs, flat).filter("p_select between 0 and 1").count() == 6
+    assert sharding.assign(docs).agg(F.sum("size")).first()[0] == sum(len((t or "").encode()) + 16 for _, t in data)
+    assert mixing.mix(docs).filter("taken <= 3 * size").count() == 6
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a").alias("url"), F.col("text").alias("html"))
+    assert {r.page_id: r.payload_bytes for r in warc.round_trip(pages).collect()} == {i: len((t or "").encode()) for i, t in data}
+    turns = docs.select(F.lit(1).cast("long").alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert chat.digests(chat.render(chat.fold(chat.log_of_turns(turns)))).first().loss_chars == sum(len(t or "") for _, t in data)
+
+
 def bench(spark):
     base = rows()
     return spark.createDataFrame(
@@ -270,6 +352,94 @@ def test_quality_is_ordered_and_learns(spark, empty):
     assert quality.score(odd, flat).count() == 3
 
 
+def plain_quality(model, text):
+    """(expected grade, tail) of one text: its set of words and punctuation runs and its shape, one by one."""
+    raw = (text or "").encode()
+    own = lambda b: span_hash(prefix_hash(np.frombuffer(b, dtype=np.uint8)), np.array([0]), np.array([len(b)]))
+    kind = [int(k) for k in quality._CLASS[np.frombuffer(raw, dtype=np.uint8)]]
+    ws = [w.encode() for w in brute.split_words(text)]
+    runs, at = [], 0
+    while at < len(raw):
+        end = at
+        while end < len(raw) and (kind[end] == 0) == (kind[at] == 0):
+            end += 1
+        if kind[at] == 0:
+            runs.append(raw[at:end])
+        at = end
+    shift = np.uint64(64 - model.bits)
+    seen = {int((own(w) >> shift)[0]) for w in ws} | {int((mix64(own(r) + np.uint64(1)) >> shift)[0]) for r in runs}
+    n, nw = max(1, len(raw)), max(1, len(ws))
+    part = [kind.count(k) for k in range(5)]
+    letters, lines = max(1, part[1] + part[2]), raw.count(b"\n") + 1
+    alike = sum(a == b for a, b in zip(ws, ws[1:], strict=False))
+    root = lambda x: math.sqrt(x) * 12
+    shape = [*(root(p / n) for p in part), root(part[1] / letters), root(alike / nw), len(seen) / nw * 12, letters / nw, math.log2(n), math.log2(1 + len(ws) / lines), root(part[0] / (part[0] + nw))]
+    score = sum(model.known[f] * model.weights[f] for f in seen) + sum(model.weights[(1 << model.bits) + 12 * k + int(min(max(x, 0), 11))] for k, x in enumerate(shape)) / math.sqrt(12)
+    tails = [1 / (1 + math.exp(-(score - t))) for t in model.thresholds]
+    return sum(tails), tails[-1]
+
+
+def test_quality_scores_are_those_of_a_plain_version(spark):
+    r = random.Random(12)
+    texts = [prose(r.randint(1, 60), 400 + i) + r.choice(["", " vile!!", " 12 34\n\nA  B"]) for i in range(120)]
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(100)]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.fit(train, quality.grades(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), bits=12)
+    data = rows()
+    odd = spark.createDataFrame([(i, x[1]) for i, x in enumerate(data)], "doc_id long, text string").repartition(3)
+    for got in (quality.score(train, model).collect(), quality.score(odd, model).collect()):
+        own = texts if len(got) == len(texts) else [x[1] for x in data]
+        for x in got:
+            expected, tail = plain_quality(model, own[x.doc_id])
+            assert math.isclose(x.expected_grade, expected, abs_tol=1e-7) and math.isclose(x.p_select, tail, abs_tol=1e-7) and x.keep == (x.p_select >= 0.5)
+
+
+def plain_language(model, text):
+    """(language, cosine, rejected) of one text: its 1- to 3-grams counted in a table."""
+    raw, low = (text or "").encode(), []
+    for i, b in enumerate(raw):
+        c = b + 32 if 65 <= b <= 90 or (i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E) else b
+        c = c if 97 <= c <= 122 or c >= 128 else 32
+        if not (c == 32 and low and low[-1] == 32):
+            low.append(c)
+    count = np.zeros(len(model.idf))
+    for k in (1, 2, 3):
+        for i in range(len(low) - k + 1):
+            if k > 1 or low[i] != 32:
+                code = int.from_bytes(bytes(low[i : i + k]), "big")
+                count[int(mix64(np.array([code + (k << 32)], dtype=np.uint64))[0] % np.uint64(len(count)))] += 1
+    v = count * model.idf
+    cos = model.centroids @ (v / max(1e-12, math.sqrt((v * v).sum())))
+    k = int(cos.argmax())
+    at = min(max(math.log2(max(1, count.sum() / 3)) - math.log2(langid.SIZES[0]), 0), len(langid.SIZES) - 1)
+    j = min(int(at), len(langid.SIZES) - 2)
+    reach = model.reach[k, j] * (1 - at + j) + model.reach[k, j + 1] * (at - j)
+    return model.languages[model.owner[k]], cos[k], 1 - cos[k] - reach
+
+
+def test_languages_are_those_of_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    data = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(10_000 + i, x[1]) for i, x in enumerate(rows())]
+    for r in langid.predict(spark.createDataFrame(data, "doc_id long, text string"), model).collect():
+        text = dict(data)[r.doc_id]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        lang, cos, over = plain_language(model, text)
+        assert abs(r.score - min(1, max(0, cos))) < 1e-4
+        # where two centroids or the reach are as near as single precision can tell, either is right
+        assert r.lang_pred == lang or abs(r.score - cos) < 1e-5
+        assert r.rejected == (over > 0) or abs(over) < 1e-4
+
+
+def test_language_sample_is_bounded_over_many_languages(spark):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(r.randint(5, 20), 2000 + i), f"l{i % 50}") for i in range(400)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, total=100)
+    assert len(model.languages) == 50 and len(model.centroids) <= 100
+
+
 def test_cumulative_link_gradient():
     """The fitted tails are those of the best constant model where features say nothing."""
     n = 4000
@@ -516,6 +686,26 @@ def water_fill(sizes, weights, most):
     return target
 
 
+def test_what_each_document_gives(docs):
+    """Whole repetitions and, in order of draws, the rest of the target: document by document."""
+    data = [(r.doc_id, r.source, r.n, r.d) for r in docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("n"), F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"), F.col("text")).alias("d")).collect()]
+    sizes = Counter()
+    for _, s, n, _ in data:
+        sizes[s] += n
+    want = Counter()
+    for s, target in water_fill(sizes, mixing.WEIGHTS, 3).items():
+        words = math.floor(target + 0.5)
+        whole, left = divmod(words, sizes[s]) if sizes[s] else (0, 0)
+        for i, _, n, _ in sorted((x for x in data if x[1] == s), key=lambda x: (x[3] % 2**64, x[2])):
+            more = max(0, min(n, left))
+            left -= more
+            want[(i, n, whole * n + more)] += 1
+    got = Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix(docs).collect())
+    assert got == want
+    times = Counter(r.doc_id for r in mixing.repeated(docs).collect())
+    assert times == Counter({i: k for i, k in sum((Counter({i: int(t / n + 0.5) * c}) for (i, n, t), c in want.items() if n), Counter()).items()})
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs).toPandas()
     data = rows()

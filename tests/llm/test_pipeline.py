@@ -1,8 +1,13 @@
 """The pipeline's stages, each judged on its own input."""
 
+from collections import Counter
+
 import brute
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
+from test_ops import descend, plain_language
+
+from leafweir.llm import langid, mixing, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,10 +28,18 @@ def test_stages(spark):
     before, after = seen["decontaminate"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert sorted(after.doc_id) == sorted(r.doc_id for r in before.itertuples() if brute.decontaminated(r.text, items)[1] == 0)
+    before, after = seen["language"]
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    far = {i: plain_language(model, t)[2] for i, t in zip(before.doc_id, before.text, strict=True) if t and any(c.isalpha() for c in t)}
+    assert {i for i, d in far.items() if d < -1e-4} <= set(after.doc_id) <= {i for i, d in far.items() if d < 1e-4}
     before, after = seen["mix"]
-    assert set(after.doc_id) <= set(before.doc_id) and after.doc_id.value_counts().max() <= 3
+    taken = mixing.mix(spark.createDataFrame(before)).collect()
+    times = Counter({r.doc_id: int(r.taken / r["size"] + 0.5) for r in taken if r["size"]})
+    assert Counter(after.doc_id) == +times and after.doc_id.value_counts().max() <= 3
     before, after = seen["shard"]
-    assert len(before) == len(after) and {"shard", "slot"} <= set(after.columns)
+    assert len(before) == len(after) and [*before.columns, *sharding.RESULT] == list(after.columns)
+    assert all(r.shard == descend(r.doc_id, sharding.tree(sharding.SHARDS))[1] for r in after.itertuples())
+    assert all(sorted(own) == list(range(len(own))) for _, own in after.groupby("shard").slot)
 
 
 def test_odd_rows_pass_through(spark):
@@ -37,4 +50,5 @@ def test_odd_rows_pass_through(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == rows.columns
             docs = docs.cache()
-        assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+        last = cp.STAGES[-1][1](spark, docs, SF)
+        assert last.count() == docs.count() and len(set(last.columns)) == len(last.columns) and dict(last.dtypes)["shard"] == "int"

@@ -672,6 +672,12 @@ def visual_regions(spark, d):
     return regions.build(images(spark, d), vectors, lines(spark, d), W, H).drop("caption")
 
 
+@query(f"select doc_id, page, region, kind, x::double as x, y::double as y, width::double as width, height::double as height, sources, coalesce(caption, '') as caption from documents, (values {planted.values(planted.REGIONS_EXPECTED)}) as v(page, region, kind, x, y, width, height, sources, caption)", evidence=False)
+def planted_regions(spark, d):
+    """Regions of every kind, and what suppresses, merges and labels them, on pages planted for each."""
+    return planted.visual_regions(spark, docs(spark, d))
+
+
 # -- orchestration and sinks -----------------------------------------------------------------------
 
 

@@ -1,18 +1,20 @@
 """Layout: spans to lines, lines to blocks, headings, column order, numeric tables.
 
 Where the rule is greedy and depends on order (lines anchored on their first span, first-fit columns)
-it is a fold over one page in ``applyInPandas``; a page is bounded. What windows can say is a window.
+it is a fold over one page (``folds``); a page is bounded. What windows can say is a window.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .folds import by_page
 
 # fixed values: heading tiers over the body font
 TIERS = ((1.40, 1), (1.25, 2), (1.15, 3), (1.08, 4))
@@ -29,36 +31,35 @@ def dedupe_items(items: DataFrame) -> DataFrame:
 def lines_from_spans(spans: DataFrame, gutter_em: float = 4.0) -> DataFrame:
     """Greedy rows anchored on their first span (half its height), cut at gutters; one row per line."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+    def page(doc: int, number: int, c: dict[str, list]) -> list[tuple]:
+        x, y, w, h, font, text, order = (c[k] for k in ("x", "y", "width", "height", "font_size", "text", "ord"))
         rows: list[list[int]] = []
-        pdf = pdf.sort_values(["y", "x", "ord"], kind="stable").reset_index(drop=True)
-        y, h = pdf["y"].to_numpy(), pdf["height"].to_numpy()
-        for i in range(len(pdf)):
+        for i in range(len(y)):
             for row in reversed(rows):
                 if abs(y[i] - y[row[0]]) <= max(h[row[0]], 1.0) * 0.5:
                     row.append(i)
                     break
             else:
                 rows.append([i])
-        out, n = [], 0
+        out: list[tuple] = []
         for row in rows:
-            part = pdf.iloc[row].sort_values(["x", "ord"], kind="stable")
-            cut = (part["x"] - (part["x"] + part["width"]).shift()) > part["font_size"].clip(lower=1) * gutter_em
-            for _, run in part.groupby(cut.cumsum()):
-                texts, last = [], None
-                for s in run.itertuples():
-                    if last is not None and s.x - (last.x + last.width) > 0.18 * max(s.font_size, 1):
-                        texts.append(" ")
-                    texts.append(s.text)
-                    last = s
-                x0, y0 = run["x"].min(), run["y"].min()
-                fonts = run["font_size"].value_counts(sort=False)
-                first = next(f for f in run["font_size"] if fonts[f] == fonts.max())
-                out.append((run["doc_id"].iloc[0], run["page"].iloc[0], n, "".join(texts), x0, y0, (run["x"] + run["width"]).max() - x0, (run["y"] + run["height"]).max() - y0, first))
-                n += 1
-        return pd.DataFrame(out, columns=["doc_id", "page", "line", "text", "x", "y", "width", "height", "font_size"])
-
-    return spans.groupBy("doc_id", "page").applyInPandas(page, "doc_id long, page int, line int, text string, x double, y double, width double, height double, font_size double")
+            row.sort(key=lambda i: (x[i], order[i]))
+            runs = [[row[0]]]
+            for a, b in zip(row, row[1:], strict=False):
+                if x[b] - (x[a] + w[a]) > max(font[b], 1.0) * gutter_em:
+                    runs.append([])
+                runs[-1].append(b)
+            for run in runs:
+                said = [text[run[0]]]
+                for a, b in zip(run, run[1:], strict=False):
+                    said += [" ", text[b]] if x[b] - (x[a] + w[a]) > 0.18 * max(font[b], 1) else [text[b]]
+                fonts = Counter(font[i] for i in run)
+                left, top = min(x[i] for i in run), min(y[i] for i in run)
+                # the first of the commonest sizes
+                out.append((doc, number, len(out), "".join(said), left, top, max(x[i] + w[i] for i in run) - left, max(y[i] + h[i] for i in run) - top, fonts.most_common(1)[0][0]))
+        return out
+
+    return by_page(spans, ["x", "y", "width", "height", "font_size", "text", "ord"], ["y", "x", "ord"], page, "doc_id long, page int, line int, text string, x double, y double, width double, height double, font_size double")
 
 
 def sessions(lines: DataFrame, gap: float = 0.8) -> DataFrame:

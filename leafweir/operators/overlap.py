@@ -235,15 +235,21 @@ def pairs(blocks: DataFrame, images: DataFrame | None = None, page_area: float =
         said = told(l["text"])
         return F.struct(*[l[c].alias(c) for c in (*box, "text", "font_size")], *[said[c].alias(c) for c in ("n", "formula", "mark")])
 
+    # which boxes meet is asked first: words are only read where some do
+    light = body.select("doc_id", "page", F.struct("block", *box).alias("s"))
+    keys = ["doc_id", "page"]
+    pair = light.withColumnRenamed("s", "a").join(light.withColumnRenamed("s", "b"), keys).filter((F.col("a.block") < F.col("b.block")) & _meets(F.col("a"), F.col("b")))
+    pair = pair.select(*keys, F.col("a.block").alias("ba"), F.col("b.block").alias("bb"))
+    some = pair.select(*keys, F.explode(F.array("ba", "bb")).alias("block")).distinct()
     # a block without lines is one itself
     whole = F.array(F.struct("text", *box, F.col("height").alias("font_size")))
     plain = F.transform("lines", lambda l: F.struct(*[l[c].alias(c) for c in ("text", *box, "font_size")]))
-    rows = body.withColumn("_lines", F.when(F.size("lines") > 0, plain).otherwise(whole)).withColumns({f"_{k}": v for k, v in told(F.col("text")).items()})
+    rows = body.join(some, [*keys, "block"], "left_semi").withColumn("_lines", F.when(F.size("lines") > 0, plain).otherwise(whole)).withColumns({f"_{k}": v for k, v in told(F.col("text")).items()})
     own = F.struct("block", *box, F.transform("_lines", known).alias("lines"), vertical.alias("vertical"), *[F.col(f"_{k}").alias(k) for k in told(F.col("text"))])
-    # a repartition by page keeps what is told before the join, where it is read for every pair
-    rows = rows.select("doc_id", "page", own.alias("s")).repartition("doc_id", "page")
+    # a repartition by page keeps what is told before the joins, where it is read for every pair
+    rows = rows.select(*keys, "block", own.alias("s")).repartition(*keys)
     a, b = F.col("a"), F.col("b")
-    pair = rows.withColumnRenamed("s", "a").join(rows.withColumnRenamed("s", "b"), ["doc_id", "page"]).filter((F.col("a.block") < F.col("b.block")) & _meets(a, b))
+    pair = pair.join(rows.select(*keys, F.col("block").alias("ba"), F.col("s").alias("a")), [*keys, "ba"]).join(rows.select(*keys, F.col("block").alias("bb"), F.col("s").alias("b")), [*keys, "bb"])
     if images is not None:
         share = F.col("width") * F.col("height") / page_area
         figure = images.filter(share.between(FIGURE_LEAST, FIGURE_MOST)).select(F.col("doc_id").alias("id_"), F.col("page").alias("ip"), G.box().alias("_i"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import text as T
+from .folds import by_page
 
 MOST = 12
 _SCHEMA = "doc_id long, page int, kind string, x double, y double, width double, height double, sources int, boxes int"
@@ -23,10 +23,9 @@ def raster_candidates(images: DataFrame, page_width: float, page_height: float)
 def vector_candidates(vectors: DataFrame, gap: float = 10.0, least_boxes: int = 6) -> DataFrame:
     """Connected components of a page's vector boxes (gap apart at most), by union-find in one page."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf[["x", "y", "width", "height"]].to_numpy()
-        order = b[:, 1].argsort(kind="stable")
-        root = list(range(len(b)))
+    def page(doc: int, number: int, c: dict[str, list]) -> list[tuple]:
+        x, y, w, h = (c[k] for k in ("x", "y", "width", "height"))
+        root = list(range(len(x)))
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -34,48 +33,47 @@ def vector_candidates(vectors: DataFrame, gap: float = 10.0, least_boxes: int =
                 i = root[i]
             return i
 
-        open_boxes: list[int] = []
-        for i in order.tolist():
-            open_boxes = [j for j in open_boxes if b[j, 1] + b[j, 3] + gap >= b[i, 1]]
-            for j in open_boxes:
-                if b[j, 0] - gap <= b[i, 0] + b[i, 2] and b[i, 0] - gap <= b[j, 0] + b[j, 2]:
+        reached: list[int] = []  # boxes that end no higher than the gap above the one at hand; rows come from the top
+        for i in range(len(x)):
+            reached = [j for j in reached if y[j] + h[j] + gap >= y[i]]
+            for j in reached:
+                if x[j] - gap <= x[i] + w[i] and x[i] - gap <= x[j] + w[j]:
                     root[top(i)] = top(j)
-            open_boxes.append(i)
-        own = pd.Series([top(i) for i in range(len(b))])
+            reached.append(i)
+        groups: dict[int, list[int]] = {}
+        for i in range(len(x)):
+            groups.setdefault(top(i), []).append(i)
         out = []
-        for _, at in own.groupby(own).groups.items():
-            if len(at) >= least_boxes:
-                g = b[list(at)]
-                x, y = g[:, 0].min(), g[:, 1].min()
-                out.append((pdf["doc_id"].iloc[0], pdf["page"].iloc[0], "vector", x, y, (g[:, 0] + g[:, 2]).max() - x, (g[:, 1] + g[:, 3]).max() - y, 1, len(at)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+        for own in groups.values():
+            if len(own) >= least_boxes:
+                left, up = min(x[i] for i in own), min(y[i] for i in own)
+                out.append((doc, number, "vector", left, up, max(x[i] + w[i] for i in own) - left, max(y[i] + h[i] for i in own) - up, 1, len(own)))
+        return out
 
-    return vectors.groupBy("doc_id", "page").applyInPandas(page, _SCHEMA)
+    return by_page(vectors, ["x", "y", "width", "height"], ["y", "x", "width", "height"], page, _SCHEMA)
 
 
 def merged(candidates: DataFrame, overlap: float = 0.75, alike: float = 0.0) -> DataFrame:
     """First-fit merge, in order, of candidates that overlap by so much of the smaller one and are so alike in area."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+    def page(doc: int, number: int, c: dict[str, list]) -> list[tuple]:
         out: list[list] = []
-        for r in pdf.sort_values(["y", "x", "width", "height"], kind="stable").itertuples(index=False):
+        for kind, x, y, w, h, sources, boxes in zip(*(c[k] for k in ("kind", "x", "y", "width", "height", "sources", "boxes")), strict=True):
             for o in out:
-                w = min(o[3] + o[5], r.x + r.width) - max(o[3], r.x)
-                h = min(o[4] + o[6], r.y + r.height) - max(o[4], r.y)
-                small = min(o[5] * o[6], r.width * r.height)
-                large = max(o[5] * o[6], r.width * r.height)
-                if w > 0 and h > 0 and small > 0 and w * h / small >= overlap and small / large >= alike:
-                    x, y = min(o[3], r.x), min(o[4], r.y)
-                    o[5], o[6] = max(o[3] + o[5], r.x + r.width) - x, max(o[4] + o[6], r.y + r.height) - y
-                    o[3], o[4], o[7], o[8] = x, y, o[7] + r.sources, o[8] + r.boxes
-                    if o[2] != r.kind:
+                across, down = min(o[3] + o[5], x + w) - max(o[3], x), min(o[4] + o[6], y + h) - max(o[4], y)
+                small, large = sorted((o[5] * o[6], w * h))
+                if across > 0 and down > 0 and small > 0 and across * down / small >= overlap and small / large >= alike:
+                    left, up = min(o[3], x), min(o[4], y)
+                    o[5], o[6] = max(o[3] + o[5], x + w) - left, max(o[4] + o[6], y + h) - up
+                    o[3], o[4], o[7], o[8] = left, up, o[7] + sources, o[8] + boxes
+                    if o[2] != kind:
                         o[2] = "mixed"
                     break
             else:
-                out.append(list(r))
-        return pd.DataFrame(out, columns=pdf.columns)
+                out.append([doc, number, kind, x, y, w, h, sources, boxes])
+        return [tuple(o) for o in out]
 
-    return candidates.groupBy("doc_id", "page").applyInPandas(page, _SCHEMA)
+    return by_page(candidates, ["kind", "x", "y", "width", "height", "sources", "boxes"], ["y", "x", "width", "height"], page, _SCHEMA)
 
 
 def without_contained(candidates: DataFrame, share: float = 0.9, larger: float = 1.5) -> DataFrame:
@@ -220,3 +218,117 @@ def without_chrome(candidates: DataFrame, chrome_blocks: DataFrame, share: float
 def equivalent_merged(candidates: DataFrame) -> DataFrame:
     """First-fit merge of candidates that are all but the same box."""
     return merged(candidates, 0.98, 0.98)
+
+
+def page_diagrams(blocks: DataFrame, vectors: DataFrame, images: DataFrame | None, page_width: float, page_height: float) -> DataFrame:
+    """Pages without images whose many short blocks stand in several columns over a page-wide drawing: the blocks' hull as a region.
+
+    At least 20 vectors, one of nearly the whole page, and 20 blocks that are neither prose nor page marks,
+    at four places across or more; the hull takes 70 % of the width, 55 % of the height, at most 85 % of the page.
+    """
+    text = T.collapsed(F.col("text"))
+    prose = ((F.length(text) >= 24) & (F.col("width") >= 0.45 * page_width) & (F.col("n_lines") <= 1)) | ((F.length(text) >= 90) & (F.col("width") >= 0.55 * page_width) & ((F.col("n_lines") >= 3) | (F.col("height") >= 0.12 * page_height)))
+    mark = (F.col("y") > 0.96 * page_height) | ((F.col("y") > 0.93 * page_height) & (F.length(T.without(text, "[0-9]")) == 0)) | ((F.col("x") <= 0.06 * page_width) & (F.col("width") <= 0.05 * page_width))
+    own = blocks.filter((F.length(text) > 0) & ~prose & ~mark)
+    own = own.filter(~F.col("repeated")) if "repeated" in blocks.columns else own
+    middle = F.when((F.col("width") <= 0.35 * page_width) & (F.col("height") <= 0.25 * page_height), F.col("x") + F.col("width") / 2)
+    per = own.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(middle)).alias("middles"), *[a.alias(n) for a, n in zip((F.min("x"), F.min("y"), F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))), ("x0", "y0", "x1", "y1"), strict=True)])
+    gap = max(36.0, 0.08 * page_width)
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1e9).alias("last"))
+    places = F.aggregate("middles", start, lambda a, m: F.when(m - a["last"] >= gap, F.struct((a["n"] + 1).alias("n"), m.alias("last"))).otherwise(a), lambda a: a["n"])
+    full = (F.col("width") >= 0.9 * page_width) & (F.col("height") >= 0.9 * page_height)
+    drawn = vectors.groupBy("doc_id", "page").agg(F.count(F.lit(1)).cast("int").alias("boxes"), F.max(full).alias("full")).filter("full and boxes >= 20")
+    rows = per.filter((F.col("n") >= 20) & (places >= 4)).join(drawn, ["doc_id", "page"])
+    if images is not None:
+        rows = rows.join(images.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    x, y = F.greatest(F.lit(0.0), "x0"), F.greatest(F.lit(0.0), "y0")
+    w, h = F.least(F.lit(page_width), "x1") - x, F.least(F.lit(page_height), "y1") - y
+    rows = rows.select("doc_id", "page", F.lit("vector").alias("kind"), x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"), F.lit(1).alias("sources"), "boxes")
+    return rows.filter((F.col("width") >= 0.7 * page_width) & (F.col("height") >= 0.55 * page_height) & (F.col("width") * F.col("height") <= 0.85 * page_width * page_height))
+
+
+def _nearly_full(page_width: float, page_height: float) -> Column:
+    return (F.col("width") >= 0.9 * page_width) & (F.col("height") >= 0.9 * page_height)
+
+
+def without_blank_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Without the regions of pages that a render shows to be blank."""
+    return candidates.join(pages.filter("visual_status = 'blank'").select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+
+
+def without_low_content_scans(candidates: DataFrame, pages: DataFrame, blocks: DataFrame, others: list[DataFrame], page_width: float, page_height: float) -> DataFrame:
+    """Without full-page rasters of pages of which a render shows next to nothing and no other evidence says more."""
+    low = pages.filter("native_text_status = 'empty_but_visual_content' and render_content_ratio <= 0.02").select("doc_id", "page")
+    for other in [blocks.filter(F.length(F.trim("text")) > 0), *others]:
+        low = low.join(other.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    scan = (F.col("kind") == "raster") & _nearly_full(page_width, page_height)
+    return candidates.filter(~scan).unionByName(candidates.filter(scan).join(low, ["doc_id", "page"], "left_anti"))
+
+
+def without_lone_backplanes(candidates: DataFrame, pages: DataFrame, images: DataFrame, page_width: float, page_height: float) -> DataFrame:
+    """Without full-page vectors of one source, unless they are all that a page shows."""
+    only = pages.filter("native_text_status = 'empty_but_visual_content' and (visual_status is null or visual_status <> 'blank') and char_count = 0").select("doc_id", "page").join(images.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    plane = (F.col("kind") == "vector") & (F.col("sources") == 1) & _nearly_full(page_width, page_height)
+    return candidates.filter(~plane).unionByName(candidates.filter(plane).join(only, ["doc_id", "page"], "left_semi"))
+
+
+_LABELLED = _SCHEMA + ", caption string, label string"
+
+
+def settled(candidates: DataFrame) -> DataFrame:
+    """Candidates with caption and label (null: none), put together where they are one thing, in order within a page.
+
+    A table takes the nearest header strip right above it; tables of one label stacked closely are one; boxes all
+    but the same are one; of two that share a text and overlap, the larger stays.
+    """
+    kinds = ["kind", "x", "y", "width", "height", "sources", "boxes", "caption", "label"]
+
+    def page(doc: int, number: int, c: dict[str, list]) -> list[tuple]:
+        rows = [dict(zip(kinds, r, strict=True)) for r in zip(*(c[k] for k in kinds), strict=True)]
+        area = lambda r: r["width"] * r["height"]
+        across = lambda a, b: min(a["x"] + a["width"], b["x"] + b["width"]) - max(a["x"], b["x"])
+        down = lambda a, b: min(a["y"] + a["height"], b["y"] + b["height"]) - max(a["y"], b["y"])
+        over = lambda a, b: max(0.0, across(a, b)) * max(0.0, down(a, b)) / max(1e-9, min(area(a), area(b)))
+        alike = lambda a, b: min(area(a), area(b)) / max(1e-9, max(area(a), area(b)))
+        level = lambda a, b: max(0.0, across(a, b)) / max(1e-9, min(a["width"], b["width"]))
+        texts = lambda r: {t for t in (r["caption"], r["label"]) if t}
+
+        def union(a: dict, b: dict, kind: str | None = None) -> dict:
+            x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
+            return {
+                "kind": kind or (a["kind"] if a["kind"] == b["kind"] else "mixed"), "x": x, "y": y, "width": max(a["x"] + a["width"], b["x"] + b["width"]) - x, "height": max(a["y"] + a["height"], b["y"] + b["height"]) - y,
+                "sources": a["sources"] + b["sources"], "boxes": a["boxes"] + b["boxes"], "caption": a["caption"] or b["caption"], "label": a["label"] or b["label"],
+            }
+
+        def first_fit(rows: list[dict], fits, join) -> list[dict]:
+            out: list[dict] = []
+            for r in rows:
+                at = next((i for i, o in enumerate(out) if fits(o, r)), None)
+                if at is None:
+                    out.append(r)
+                else:
+                    out[at] = join(out[at], r)
+            return out
+
+        def heads(head: dict, table: dict) -> bool:
+            gap = table["y"] - (head["y"] + head["height"])
+            return head["kind"] in ("table", "vector", "mixed") and head["y"] < table["y"] and head["height"] <= 0.75 * table["height"] and 0.3 * table["width"] <= head["width"] <= 1.25 * table["width"] and level(head, table) >= 0.85 and -0.18 * table["height"] <= gap <= 28
+
+        used: set[int] = set()
+        joined = []
+        for i, table in enumerate(rows):
+            able = [(max(0.0, table["y"] - (h["y"] + h["height"])) + abs(table["x"] - h["x"]) / 10, j) for j, h in enumerate(rows) if table["kind"] == "table" and j != i and j not in used and heads(h, table)]
+            if able:
+                used.add(min(able)[1])
+                table = union(table, rows[min(able)[1]], "table")
+            joined.append(table)
+        rows = [r for i, r in enumerate(joined) if i not in used]
+        gap = lambda a, b: max(a["y"] - (b["y"] + b["height"]), b["y"] - (a["y"] + a["height"]), 0.0)
+        rows = first_fit(rows, lambda a, b: a["kind"] == b["kind"] == "table" and bool(texts(a) & texts(b)) and level(a, b) >= 0.9 and gap(a, b) <= 24, union)
+        rows = first_fit(rows, lambda a, b: over(a, b) >= 0.98 and alike(a, b) >= 0.98, union)
+        same = lambda a, b: bool(texts(a) & texts(b)) and over(a, b) >= 0.6 and (alike(a, b) >= 0.5 or (a["kind"] != b["kind"] and a["caption"] is not None and a["caption"] == b["caption"] and over(a, b) >= 0.8))
+        larger = lambda a, b: max((a, b), key=area) | {"sources": a["sources"] + b["sources"], "boxes": a["boxes"] + b["boxes"]}
+        rows = first_fit(rows, same, larger)
+        return [(doc, number, *(r[k] for k in kinds)) for r in rows]
+
+    return by_page(candidates, kinds, ["y", "x", "width", "height", "kind"], page, _LABELLED)

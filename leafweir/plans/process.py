@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chrome, layout, quality, search
 from ..sources import evidence as ev
+from ..sources.store import materialize
 from . import detect, report
 
 FORMATS = ("markdown", "json", "xml", "table")
@@ -46,17 +47,25 @@ class Options:
 class Result:
     """Frames of one plan; each is computed only when it is used."""
 
+    rows: DataFrame
     lines: DataFrame
     pages: DataFrame
     blocks: DataFrame
     headings: DataFrame
-    evidence: detect.Evidence
+    evidence: dict[str, DataFrame]
     matches: DataFrame | None
     unsearched: DataFrame | None = None
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return detect.detect(self.evidence, ev.PAGE_WIDTH, ev.PAGE_HEIGHT)
+        """Every rule reads the layout, so it is written to the shared folder once."""
+        _, lines, pages, blocks = _laid(materialize(self.rows, "page-rows"))
+        return detect.detect(detect.Evidence(pages, lines, blocks, ev.spans(lines), **self.evidence), ev.PAGE_WIDTH, ev.PAGE_HEIGHT)
+
+
+def _laid(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Page rows, and of them lines, pages with quality and blocks marked for repeated chrome."""
+    return rows, ev.lines_of(rows), quality.with_quality(ev.pages_of(rows)), chrome.mark_repeated(ev.blocks_of(rows), ev.PAGE_WIDTH, ev.PAGE_HEIGHT)
 
 
 def process(documents: DataFrame, options: Options | None = None, fields: DataFrame | None = None, links: DataFrame | None = None, words: DataFrame | None = None, **evidence: DataFrame) -> Result:
@@ -70,8 +79,7 @@ def process(documents: DataFrame, options: Options | None = None, fields: DataFr
     if options.pages:
         rows = quality.select_pages(rows, options.pages)
         evidence = {k: quality.select_pages(v, options.pages) if "page" in v.columns else v for k, v in evidence.items()}
-    lines, pages = ev.lines_of(rows), quality.with_quality(ev.pages_of(rows))
-    blocks = chrome.mark_repeated(ev.blocks_of(rows), ev.PAGE_WIDTH, ev.PAGE_HEIGHT)
+    rows, lines, pages, blocks = _laid(rows)
     headed = layout.headings(blocks, layout.body_font(lines))
     matches = late = None
     if options.search:
@@ -81,7 +89,7 @@ def process(documents: DataFrame, options: Options | None = None, fields: DataFr
             matches, late = search.capped(own.filter(~F.col("timed_out")).drop("timed_out")), own.filter("timed_out").select("doc_id", "page", "query").distinct()
         else:
             matches = search.everywhere(lines, queries, fields, evidence.get("annotations"), links, words)
-    return Result(lines, pages, blocks, headed, detect.Evidence(pages, lines, blocks, ev.spans(lines), **evidence), matches, late)
+    return Result(rows, lines, pages, blocks, headed, evidence, matches, late)
 
 
 def process_to_text(documents: DataFrame, options: Options | None = None) -> DataFrame:

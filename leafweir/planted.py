@@ -96,3 +96,44 @@ def values(rows: list[tuple]) -> str:
 
 def warnings(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return detect.detect(evidence(spark, documents), W, H).select("doc_id", "page", "code", "severity", F.coalesce("block", F.lit(-1)).alias("block"), "detail")
+
+
+# -- visual regions --------------------------------------------------------------------------------
+
+#: page -> images, vectors, tables, fields, annotations, lines (text and box); sizes as on a page of 612 x 792.
+REGIONS = {
+    1: {"images": [(100.0, 200.0, 200.0, 150.0)], "lines": [("Figure 1. Sales", 120.0, 360.0, 100.0, 12.0), ("Body text far below", 36.0, 600.0, 300.0, 12.0)]},
+    2: {"images": [_FULL, (100.0, 200.0, 200.0, 150.0)]},
+    3: {"images": [_FULL]},
+    4: {"vectors": [(100.0 + 12 * i, 300.0 + 5 * (i % 3), 10.0, 10.0) for i in range(8)]},
+    5: {"tables": [(60.0, 300.0, 400.0, 100.0), (60.0, 262.0, 400.0, 20.0)]},
+    6: {"tables": [(60.0, 100.0, 400.0, 80.0), (60.0, 500.0, 400.0, 120.0)], "fields": [(300.0, 650.0, 100.0, 14.0), (300.0, 670.0, 100.0, 14.0)]},
+    7: {"images": [(100.0, 200.0, 200.0, 150.0), (110.0, 210.0, 120.0, 100.0)]},
+    8: {"annotations": [("Square", 50.0, 60.0, 80.0, 40.0), ("Link", 200.0, 60.0, 80.0, 40.0)]},
+    9: {"images": [(20.0, 20.0, 300.0, 30.0)], "lines": [("A foot", 10.0, 15.0, 330.0, 40.0)]},
+    10: {"images": [(100.0, 200.0, 200.0, 150.0)]},
+    11: {"images": [_FULL]},
+    12: {"vectors": [(5.0, 5.0, 602.0, 782.0)] + [(60.0 + 130 * (i % 4), 100.0 + 60 * (i // 4), 40.0, 30.0) for i in range(24)], "lines": [(f"Box {i}", 62.0 + 130 * (i % 4), 105.0 + 90 * (i // 4), 60.0, 12.0) for i in range(24)]},
+}
+#: (page, region, kind, x, y, width, height, sources, caption): what has to be left.
+REGIONS_EXPECTED = [
+    (1, 1, "raster", 100.0, 200.0, 200.0, 150.0, 1, "Figure 1. Sales"), (2, 1, "raster", 100.0, 200.0, 200.0, 150.0, 1, None), (3, 1, "raster", *_FULL, 1, None), (4, 1, "vector", 100.0, 300.0, 94.0, 20.0, 1, None), (5, 1, "table", 60.0, 262.0, 400.0, 138.0, 2, None),
+    (6, 1, "table", 60.0, 100.0, 400.0, 80.0, 1, None), (6, 2, "table", 60.0, 500.0, 400.0, 120.0, 1, None), (6, 3, "form", 300.0, 650.0, 100.0, 34.0, 1, None), (7, 1, "raster", 100.0, 200.0, 200.0, 150.0, 2, None), (8, 1, "annotation", 50.0, 60.0, 80.0, 40.0, 1, None),
+    (12, 1, "vector", 62.0, 105.0, 450.0, 462.0, 1, None),
+]
+
+
+def visual_regions(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Images with caption, before a page and alone; clusters, tables with headers, fields, notes, chrome, blank pages, low scans, a diagram."""
+    from .plans import visual
+
+    rows = lambda r, s: _rows(spark, documents, r, s)
+    every = lambda key: [(p, i, *b) for p, page in REGIONS.items() for i, b in enumerate(page.get(key, []))]
+    box = lambda key, n: rows(every(key), f"page int, {n} int, {_BOX}")
+    lines = rows(every("lines"), f"page int, line int, text string, {_BOX}").withColumn("font_size", F.lit(12.0))
+    blocks = lines.withColumnRenamed("line", "block").withColumns({"n_lines": F.lit(1).cast("long"), "repeated": F.col("page") == 9})
+    status = [(p, "ok", "empty_but_visual_content" if p == 11 else "ok", 0.01 if p == 11 else 0.2, 10) if p != 10 else (p, "blank", "empty", 0.0, 0) for p in REGIONS]
+    pages = rows(status, "page int, visual_status string, native_text_status string, render_content_ratio double, char_count long")
+    notes = rows(every("annotations"), f"page int, annotation int, subtype string, {_BOX}").withColumn("flag_names", F.array(F.lit("print")))
+    found = visual.build(pages, lines, blocks, box("images", "image"), box("vectors", "vector").drop("vector"), W, H, box("tables", "table").drop("table"), box("fields", "field"), notes)
+    return found.select("doc_id", "page", "region", "kind", *[F.round(c, 2).alias(c) for c in ("x", "y", "width", "height")], "sources", F.coalesce("caption", F.lit("")).alias("caption"))

@@ -725,12 +725,16 @@ def xml_report(spark, d):
     return report.xml_pages(pages(spark, d)).select("doc_id", F.md5(F.col("xml").cast("binary")).alias("digest"))
 
 
-@query()
+@query("+" + _STATUS + " select doc_id, count(*) as pages, sum(char_count)::bigint as chars, md5(string_agg(text || '/' || native_text_status, chr(10) order by page)) as digest from status group by all")
 def json_report(spark, d):
-    return process.process_to_text(docs(spark, d), process.Options(format="json"))
+    """The plan's JSON, read back."""
+    kind = "array<struct<page: int, text: string, char_count: long, native_text_status: string>>"
+    read = process.process_to_text(docs(spark, d), process.Options(format="json")).select("doc_id", F.from_json("json", kind).alias("p"))
+    said = F.array_join(F.transform("p", lambda p: F.concat_ws("/", p["text"], p["native_text_status"])), "\n")
+    return read.select("doc_id", F.size("p").cast("long").alias("pages"), F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + p["char_count"]).alias("chars"), F.md5(said.cast("binary")).alias("digest"))
 
 
-@query()
+@query("+" + _STATUS + " select doc_id, 'pages[' || count(*) || ']{page,char_count,native_text_status}:' || chr(10) || string_agg('  ' || page || ',' || char_count || ',' || native_text_status, chr(10) order by page) as notation from status group by doc_id")
 def table_notation_report(spark, d):
     return process.process_to_text(docs(spark, d), process.Options(format="table"))
 
@@ -741,11 +745,11 @@ def marked_content_text(spark, d):
     return document.marked_text(items).select("doc_id", "page", "mcid", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("""with a as (select source as doc_id, lang || '.txt' as name, sha256(text) as sha, row_number() over (partition by source, lang, text order by doc_id) as k from documents where text is not null), u as (select doc_id, name, sha from a where k = 1),
+@query("""with a as (select doc_id // 10 as doc_id, lang || '.txt' as name, sha256(text) as sha, row_number() over (partition by doc_id // 10, lang, text order by doc_id) as k from documents where text is not null), u as (select doc_id, name, sha from a where k = 1),
 n as (select *, row_number() over (partition by doc_id, lower(name) order by name, sha) as i from u) select doc_id, count(*) as files, count(distinct case when i > 1 then replace(name, '.txt', '') || '-' || i || '.txt' else name end) as names from n group by all""", evidence=False)
 def attachment_dedupe(spark, d):
-    """Texts as attachments of their source, named by language."""
-    rows = docs(spark, d).filter("text is not null").select(F.col("source").alias("doc_id"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    """Ten texts as the attachments of one document, named by language."""
+    rows = docs(spark, d).filter("text is not null").select(F.floor(F.col("doc_id") / 10).alias("doc_id"), F.concat("lang", F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
     return document.merge_attachments(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_name").alias("names"))
 
 
@@ -889,9 +893,13 @@ def search_tool(spark, d):
     return hits.filter("ord <= 5").select("doc_id", "page", F.col("first.line").alias("line"), "hits", F.col("ord").cast("long").alias("ord"))
 
 
-@query()
+@query("""+ s as (select doc_id, page, '## Page ' || page || chr(10) || chr(10) || text || chr(10) as section from page), r as (select *, sum(length(section)) over (partition by doc_id order by page) as upto, count(*) over (partition by doc_id) as pages from s),
+k as (select doc_id, any_value(pages) as pages, coalesce(string_agg(section, chr(10) order by page) filter (where upto <= 30000), '') as body, count(*) filter (where upto <= 30000) as kept from r group by all)
+select doc_id, case when pages <= 20 then 'body' else 'map' end as kind, case when pages <= 20 then md5(body || case when pages > kept then chr(10) || '[... ' || (pages - kept) || ' more pages]' else '' end) else 'text:' end as said from k""")
 def read_tool(spark, d):
-    return tools.read(docs(spark, d))
+    """Documents of up to 20 pages are read within a budget; of others comes a map, which begins with their text status."""
+    found = tools.read(docs(spark, d))
+    return found.select("doc_id", "kind", F.when(F.col("kind") == "body", F.md5(F.col("body").cast("binary"))).otherwise(F.substring("body", 1, 5)).alias("said"))
 
 
 @query()
@@ -901,10 +909,11 @@ def vertical_text(spark, d):
     return vertical.vertical_blocks(vertical.vertical_runs(rows))
 
 
-@query()
+@query(r"+ m as (select doc_id, page, line, unnest(regexp_extract_all(text, '(?i)(?:the|of|and)(?: [a-z]+){0,3} (?:in|to) ')) as match from line) select doc_id, page, line, match, count(*) as n from m group by all")
 def search_guarded(spark, d):
-    """A pattern that backtracks, under its time limit."""
-    return search.matches_guarded(lines(spark, d), search.compile_queries(r"\b(?:the|of|and)(?: \w+){0,3} (?:in|to)\b", regex=True))
+    """A pattern that backtracks, under its time limits."""
+    found = search.matches_guarded(lines(spark, d), search.compile_queries(r"(?:the|of|and)(?: [a-z]+){0,3} (?:in|to) ", regex=True))
+    return found.filter(~F.col("timed_out")).groupBy("doc_id", "page", "line", "match").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""+ t as (select doc_id, page, trim(text) as t, text from line) select doc_id, page, sum(regexp_matches(t, '^(?:\d+|[IVXLC]+)[.)]\s+\p{L}')::int)::bigint as numbered, sum(regexp_matches(t, '^\d+(?:\.\d+)+\.?\s+\p{L}')::int)::bigint as sections, sum(regexp_matches(t, '^(?:\d{1,2}[a-z]?|[a-z])[.)]?\s')::int)::bigint as items,
@@ -924,9 +933,27 @@ def search_owners(spark, d):
     return found.groupBy("doc_id", "page", "line", "query").agg(F.count(F.lit(1)).alias("parts"), G.half_up(F.sum("width")).alias("across"))
 
 
-@query()
+@query("""+ a as (select * from line where length(trim(text)) between 1 and 40), p as (select a.doc_id, a.page, a.line, a.text as t, b.text as bt, b.line as bl, b.y - (a.y + a.height) as gap from a join line b on a.doc_id = b.doc_id and a.page = b.page and b.line > a.line and b.line <= a.line + 24
+where b.y - (a.y + a.height) >= 0 and b.y - (a.y + a.height) <= 1.6 * a.height and abs((a.x + a.width / 2) - (b.x + b.width / 2)) <= greatest(a.height, 4)),
+n as (select doc_id, page, line, any_value(t) as t, arg_min(bt, gap * 1000 + bl) as bt from p group by all) select doc_id, page, line, trim(t) || ' ' || trim(bt) as text from n""")
 def search_stacked_labels(spark, d):
-    return search.stacked_labels(lines(spark, d))
+    return search.stacked_labels(lines(spark, d)).select("doc_id", "page", "line", "text")
+
+
+@query("+ " + _FOUND + """, c as (select doc_id, page, count(*) filter (where query = 0) as n from hit group by all), z as (select page.doc_id, page.page, coalesce(n, 0) as n from page left join c using (doc_id, page))
+select doc_id, page, n as native, 1 as fields, 1 as notes, 1 as links, 1 as seen from z""")
+def search_sources(spark, d):
+    """A field's value, a note, a link's target (another's text says it already) and a word that only an engine saw, on every page."""
+    ls, keys = lines(spark, d), page_keys(spark, d)
+    box = lambda y: [F.lit(v).alias(n) for n, v in (("x", 400.0), ("y", y), ("width", 90.0), ("height", 12.0))]
+    none = F.lit(None).cast("string")
+    fields = keys.select("*", F.lit(0).alias("field"), F.lit("Gunder").alias("value"), none.alias("caption"), F.array().cast("array<string>").alias("options"), *box(770.0))
+    notes = keys.select("*", F.lit(0).alias("annotation"), F.lit("under a tree").alias("contents"), F.lit("Note").alias("title"), *box(772.0))
+    links = keys.select("*", F.lit(0).alias("link"), F.lit("click here").alias("text"), F.lit("https://a.b/under").alias("target"), *box(774.0)).unionByName(keys.select("*", F.lit(1).alias("link"), F.lit("under").alias("text"), F.lit("under").alias("target"), *box(776.0)))
+    words = spans(spark, d).select("doc_id", "page", (F.col("line") * 1000 + F.col("word")).alias("word"), "text", "x", "y", "width", "height").unionByName(keys.select("*", F.lit(999_999).alias("word"), F.lit("wonder").alias("text"), *box(780.0)))
+    found = search.everywhere(ls, search.compile_queries("nder"), fields, notes, links, words)
+    n = lambda source, name: F.count(F.when(F.col("source") == source, 1)).alias(name)
+    return found.groupBy("doc_id", "page").agg(n("native", "native"), *[n(a, b).cast("int").alias(b) for a, b in (("formField", "fields"), ("annotation", "notes"), ("link", "links"), ("ocr", "seen"))])
 
 
 _P = {

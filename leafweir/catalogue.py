@@ -156,9 +156,11 @@ def letter_counts(spark, d):
     return pages(spark, d).select("doc_id", "page", T.letters(t).alias("letters"), T.count(t, r"[\x{C0}-\x{FF}]").alias("accented")).filter("letters >= 50")
 
 
-@query(r"select doc_id, page from page where len(regexp_extract_all(text, '\p{L}')) >= 50 and len(regexp_extract_all(text, '[\p{Hebrew}\p{Arabic}]')) > 0.25 * len(regexp_extract_all(text, '\p{L}'))")
+@query(r"+ said as (select doc_id, page, case when (doc_id + page) % 3 = 0 then repeat('שלום עולם ', 12) || substr(text, 1, 100 * cast(page % 4 as integer)) else text end as text from page) select doc_id, page from said where len(regexp_extract_all(text, '\p{L}')) >= 50 and len(regexp_extract_all(text, '[\p{Hebrew}\p{Arabic}]')) > 0.25 * len(regexp_extract_all(text, '\p{L}'))")
 def rtl_script_text(spark, d):
-    return rules.rtl_script(pages(spark, d)).select("doc_id", "page")
+    """Every third page begins with Hebrew words, before none or up to 300 characters of its own."""
+    said = F.when((F.col("doc_id") + F.col("page")) % 3 == 0, F.concat(F.lit("שלום עולם " * 12), F.expr("substring(text, 1, 100 * cast(page % 4 as int))"))).otherwise(F.col("text"))
+    return rules.rtl_script(pages(spark, d).withColumn("text", said)).select("doc_id", "page")
 
 
 @query(r"select doc_id, page, floor(len(regexp_extract_all(text, '[^\p{L}\p{N}\s]')) / len(regexp_extract_all(text, '\S')) * 1000 + 0.5) / 1000 as share from page where char_count >= 80 and len(regexp_extract_all(text, '[^\p{L}\p{N}\s]')) / len(regexp_extract_all(text, '\S')) >= 0.35")
@@ -179,14 +181,18 @@ def leader_lines(spark, d):
     return lines(spark, d).filter(token.rlike("^[.·•․‥…|*#$%&!]{3,}$")).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("dot_lines"), F.sum(F.length(token)).alias("dots"))
 
 
-@query(r"+ t as (select doc_id, page, text, regexp_replace(text, '\s+', '', 'g') as k from line) select doc_id, page, count(*) as n from t where regexp_matches(k, '^[.·•․‥…]{3,}$') group by all having count(*) >= 8 and sum(length(k)) >= 80")
+@query(r"+ t as (select doc_id, page, regexp_replace(case when line % 3 = 0 and (doc_id + page) % 2 = 0 then repeat('. ', 6 + line) else text end, '\s+', '', 'g') as k from line) select doc_id, page, count(*) as n from t where regexp_matches(k, '^[.·•․‥…]{3,}$') group by all having count(*) >= 8 and sum(length(k)) >= 80")
 def dot_leader_noise(spark, d):
-    return rules.dot_leaders(lines(spark, d)).select("doc_id", "page", F.split("detail", "/")[0].cast("long").alias("n"))
+    """On every other page each third line is a leader."""
+    said = F.when((F.col("line") % 3 == 0) & ((F.col("doc_id") + F.col("page")) % 2 == 0), F.expr("repeat('. ', 6 + line)")).otherwise(F.col("text"))
+    return rules.dot_leaders(lines(spark, d).withColumn("text", said)).select("doc_id", "page", F.split("detail", "/")[0].cast("long").alias("n"))
 
 
-@query(r"select doc_id, page from page where regexp_matches(text, '<latexit[^>]*>[A-Za-z0-9+/=\s]{80,}')")
+@query(r"+ said as (select doc_id, page, case when (doc_id + page) % 4 = 0 then '<latexit sha1=x>' || repeat('Ab9+/ ', cast(10 + page % 9 as integer)) || '</latexit> ' || text else text end as text from page) select doc_id, page from said where regexp_matches(text, '<latexit[^>]*>[A-Za-z0-9+/=\s]{80,}')")
 def latexit_payload(spark, d):
-    return rules.raw_embedded_source(pages(spark, d)).select("doc_id", "page")
+    """Every fourth page begins with an embedded source, long enough on some."""
+    said = F.when((F.col("doc_id") + F.col("page")) % 4 == 0, F.concat(F.lit("<latexit sha1=x>"), F.expr("repeat('Ab9+/ ', cast(10 + page % 9 as int))"), F.lit("</latexit> "), "text")).otherwise(F.col("text"))
+    return rules.raw_embedded_source(pages(spark, d).withColumn("text", said)).select("doc_id", "page")
 
 
 #: Bad glyphs planted by page number: what stands behind the page's text, or (from 9 on) in its place.
@@ -430,9 +436,15 @@ def body_near_chrome(spark, d):
 # -- geometry rules --------------------------------------------------------------------------------
 
 
-@query("select doc_id, page, block from block where x < -3.672 or x + width > 612 + 3.672 or y + height > 792 + 3.672")
+@query("""+ s as (select doc_id, page, block, width, height, case block % 5 when 0 then x - 40 when 1 then x + 576 when 2 then x - 38 else x end as x, case block % 5 when 3 then y + 740 when 4 then y - 50 else y end as y from block)
+select doc_id, page, block, array_to_string(list_filter([case when x < -3.672 then 'left' end, case when y < -greatest(3.672, least(12, height * 0.1)) then 'top' end, case when x + width > 612 + 3.672 then 'right' end, case when y + height > 792 + 3.672 then 'bottom' end], lambda e: e is not null), '/') as edges from s
+where x < -3.672 or y < -greatest(3.672, least(12, height * 0.1)) or x + width > 612 + 3.672 or y + height > 792 + 3.672""")
 def off_page(spark, d):
-    return rules.off_page(blocks(spark, d), W, H).select("doc_id", "page", "block")
+    """Blocks moved over each edge, by more or less than the slack."""
+    n = F.col("block") % 5
+    x = F.when(n == 0, F.col("x") - 40).when(n == 1, F.col("x") + 576).when(n == 2, F.col("x") - 38).otherwise(F.col("x"))
+    y = F.when(n == 3, F.col("y") + 740).when(n == 4, F.col("y") - 50).otherwise(F.col("y"))
+    return rules.off_page(blocks(spark, d).drop("lines").withColumns({"x": x, "y": y}), W, H).select("doc_id", "page", "block", F.col("detail").alias("edges"))
 
 
 @query("+ s as (select *, x * 1.2 as x2, width * 1.2 as w2 from block) select doc_id, page, block from s where x2 + w2 > 612 + 3.672")
@@ -603,10 +615,12 @@ def heading_extract(spark, d):
     return forms.html_headings(ev.table(spark, d, "pages"))
 
 
-@query(r"""with r as (select page_id, cast(k - 1 as integer) as row, tr[k] as tr from (select page_id, tr, unnest(range(1, len(tr) + 1)) as k from (select page_id, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) as tr from pages)))
+@query(r"""with r as (select page_id, cast(k - 1 as integer) as row, tr[k] as tr from (select page_id, tr, unnest(range(1, len(tr) + 1)) as k from (select page_id, regexp_extract_all(html || '<table><tr class="a"><th>Page</th><th>Two <b>words</b></th></tr><tr><td>' || page_id || '</td><td> a  b</td><td></td></tr><tr></tr></table>', '(?is)<tr[^>]*>(.*?)</tr>', 1) as tr from pages)))
 select page_id, row, len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) as cells, array_to_string(list_transform(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), lambda c: trim(regexp_replace(regexp_replace(c, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))), '|') as text from r where len(regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)) > 0""", evidence=False)
 def structure_table_grid(spark, d):
-    cells = forms.html_cells(ev.table(spark, d, "pages")).withColumns({"doc_id": F.col("page_id"), "page": F.lit(1), "table": F.lit(0)})
+    """Pages with a table of three rows at their end, the last without a cell."""
+    table = F.concat("html", F.lit('<table><tr class="a"><th>Page</th><th>Two <b>words</b></th></tr><tr><td>'), "page_id", F.lit("</td><td> a  b</td><td></td></tr><tr></tr></table>"))
+    cells = forms.html_cells(ev.table(spark, d, "pages").withColumn("html", table)).withColumns({"doc_id": F.col("page_id"), "page": F.lit(1), "table": F.lit(0)})
     return forms.structure_tables(cells).select(F.col("doc_id").alias("page_id"), "row", F.size("cells").cast("long").alias("cells"), F.array_join("cells", "|").alias("text"))
 
 

@@ -33,7 +33,7 @@ def lettered_section(text: Column) -> Column:
 def sentence_fragment(text: Column) -> Column:
     """Reads like running text: starts small, or goes on past a full stop, or ends on a small word."""
     t = F.trim(text)
-    return t.rlike(r"^\p{Ll}") | t.rlike(r"[.!?]\s+\p{L}") | t.rlike(r"(?i)\b(?:the|of|and|to|in|a|an|for|with|by)$") | ((F.length(t) > 60) & t.rlike(r"[.,;:]$"))
+    return t.rlike(r"^\p{Ll}") | t.rlike(r"[.!?]\s+\p{L}") | t.rlike(r"(?i)(?:^|[^\p{L}\p{N}_])(?:the|of|and|to|in|a|an|for|with|by)$") | ((F.length(t) > 60) & t.rlike(r"[.,;:]$"))
 
 
 def caption(text: Column) -> Column:

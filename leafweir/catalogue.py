@@ -972,7 +972,7 @@ def search_sources(spark, d):
 
 _P = {
     "lettered": (lambda t: P.lettered_section(t), f"regexp_matches(t, '{P.LETTERED}') and length(t) <= 80"),
-    "fragment": (lambda t: P.sentence_fragment(t), r"regexp_matches(t, '^\p{Ll}') or regexp_matches(t, '[.!?]\s+\p{L}') or regexp_matches(t, '(?i)\b(?:the|of|and|to|in|a|an|for|with|by)$') or (length(t) > 60 and regexp_matches(t, '[.,;:]$'))"),
+    "fragment": (lambda t: P.sentence_fragment(t), r"regexp_matches(t, '^\p{Ll}') or regexp_matches(t, '[.!?]\s+\p{L}') or regexp_matches(t, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|of|and|to|in|a|an|for|with|by)$') or (length(t) > 60 and regexp_matches(t, '[.,;:]$'))"),
     "figures": (lambda t: P.caption_kind(t) == "figure", r"regexp_matches(t, '(?i)^(?:fig(?:ure)?\.?|図)\s*[0-9]')"),
     "tables": (lambda t: P.caption_kind(t) == "table", r"regexp_matches(t, '(?i)^(?:table|tab\.|表)\s*[0-9]') and not regexp_matches(t, '(?i)^(?:fig(?:ure)?\.?|図)\s*[0-9]')"),
     "chrome": (lambda t: P.label_chrome(t), r"regexp_matches(t, '(?i)^(?:page\s*\d+(?:\s+of\s+\d+)?|form\s+[\w-]+|omb\s+no\.?.*|\d{1,3}|rev\.?\s.*)$')"),

@@ -36,7 +36,7 @@ def _plain(c: Column) -> Column:
 
 def _within(a: Column, b: Column, most: Column) -> Column:
     """Edit distance, or -1 beyond ``most``: banded, so that texts of any length stay affordable."""
-    return F.call_function("levenshtein", a, b, F.floor(most).cast("int"))
+    return F.when(a == b, 0).otherwise(F.call_function("levenshtein", a, b, F.floor(most).cast("int")))
 
 
 def _comparable(rows: DataFrame, column: str, to: str) -> DataFrame:

@@ -53,7 +53,7 @@ DEAL = 64
 SPREAD = 256
 #: Points drawn at once; fixed, so that a point's time has the same bits whatever texts are signed with it.
 STEPS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
-CELLS = 2_000_000
+CELLS = 250_000
 _GOLD = U64(0x9E3779B97F4A7C15)
 _STEP = U64(0xD6E8FEB86659FD93)
 

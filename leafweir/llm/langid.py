@@ -103,7 +103,7 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _small(column: pa.Array, dims: int) -> Iterator[Chunk]:
     """Chunks of at most so many texts that their count matrix stays within some MB."""
-    most = max(1, (4 * CHUNK_BYTES) // dims)
+    most = max(1, CHUNK_BYTES // dims)
     for lo in range(0, len(column), most):
         for c in chunks(column.slice(lo, most)):
             yield Chunk(c.lo + lo, c.hi + lo, c.data, c.off)

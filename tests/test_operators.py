@@ -162,7 +162,7 @@ def test_items_drawn_twice(spark):
 def test_currency_is_folded(spark):
     rows = [(1, 1, 0, i, t) for i, t in enumerate(["Total", "$", "12", "$", "x"])]
     got = layout.currency_folded(spark.createDataFrame(rows, "doc_id long, page int, line int, word int, text string")).orderBy("word").collect()
-    assert [r.text for r in got] == ["Total", "$12", "$", "x"]
+    assert [r.text for r in got] == ["Total", "$ 12", "$", "x"]
 
 
 LINE = "doc_id long, page int, line int, text string, x double, y double, width double, height double"

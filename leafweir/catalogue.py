@@ -970,9 +970,11 @@ def search_sources(spark, d):
     return found.groupBy("doc_id", "page").agg(n("native", "native"), *[n(a, b).cast("int").alias(b) for a, b in (("formField", "fields"), ("annotation", "notes"), ("link", "links"), ("ocr", "seen"))])
 
 
+_FRAGMENT = f"not regexp_matches(t, '{P.NUMBERED}') and not (regexp_matches(t, '{P.LETTERED}') and length(t) <= 80) and (regexp_matches(t, '^\\p{{Ll}}') or regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])et al\\.') or regexp_matches(t, '[\\p{{L}}\\p{{N}}]-$') or regexp_matches(t, '[.!?。！？]$') or (regexp_matches(t, '[,;、。，；]') and (length(t) > 24 or len(regexp_extract_all(t, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]')) >= 12)) or len(regexp_extract_all(t, '\\S+')) > 16)"
 _P = {
     "lettered": (lambda t: P.lettered_section(t), f"regexp_matches(t, '{P.LETTERED}') and length(t) <= 80"),
-    "fragment": (lambda t: P.sentence_fragment(t), r"regexp_matches(t, '^\p{Ll}') or regexp_matches(t, '[.!?]\s+\p{L}') or regexp_matches(t, '(?i)(?:^|[^\p{L}\p{N}_])(?:the|of|and|to|in|a|an|for|with|by)$') or (length(t) > 60 and regexp_matches(t, '[.,;:]$'))"),
+    "fragment": (lambda t: P.sentence_fragment(t), _FRAGMENT),
+    "small": (lambda t: P.small_heading_fragment(t), f"({_FRAGMENT}) or (not regexp_matches(t, '{P.NUMBERED}') and (regexp_matches(t, '[,;:]') or len(regexp_extract_all(t, '\\S+')) > 7))"),
     "figures": (lambda t: P.caption_kind(t) == "figure", r"regexp_matches(t, '(?i)^(?:fig(?:ure)?\.?|図)\s*[0-9]')"),
     "tables": (lambda t: P.caption_kind(t) == "table", r"regexp_matches(t, '(?i)^(?:table|tab\.|表)\s*[0-9]') and not regexp_matches(t, '(?i)^(?:fig(?:ure)?\.?|図)\s*[0-9]')"),
     "chrome": (lambda t: P.label_chrome(t), r"regexp_matches(t, '(?i)^(?:page\s*\d+(?:\s+of\s+\d+)?|form\s+[\w-]+|omb\s+no\.?.*|\d{1,3}|rev\.?\s.*)$')"),
@@ -1057,3 +1059,41 @@ def field_names(spark, d):
     name = F.when(F.col("line") % 2 == 0, F.concat_ws("_", F.get(t, F.lit(0)), F.get(t, F.lit(1)))).otherwise(F.concat(F.get(t, F.lit(0)), F.lit(".Zzz")))
     rows = lines(spark, d).filter(F.size(t) >= 2).withColumn("name", name)
     return rows.groupBy("doc_id", "page").agg(F.sum(P.name_matches_label(F.col("name"), F.col("text")).cast("int")).alias("matched"), F.sum(P.name_contradicts_label(F.col("name"), F.col("text")).cast("int")).alias("contradicted"))
+
+
+@query("""with c as (select l_orderkey as doc_id, l_linenumber as line, unnest([cast(cast(l_quantity as integer) as varchar), case when l_partkey % 2 = 0 then '$' else '7%' end, case when l_suppkey % 3 = 0 then l_linestatus else cast(l_suppkey as varchar) end]) as text from lineitem),
+r as (select doc_id, line, sum(regexp_full_match(text, '[0-9]+%?')::int) as n, bool_and(regexp_full_match(text, '[0-9]+%?') or text = '$') as ok from c group by all) select doc_id, cast(line as integer) as line from r where n >= 2 and ok""", evidence=False)
+def numeric_only_rows(spark, d):
+    """Order lines as rows of a number, a sign or share, and a number or letter."""
+    cells = F.array(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_partkey") % 2 == 0, "$").otherwise("7%"), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_linestatus")).otherwise(F.col("l_suppkey").cast("string")))
+    rows = ev.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").cast("int").alias("line"), F.explode(cells).alias("text"))
+    return layout.numeric_rows(rows).select("doc_id", "line")
+
+
+@query("select doc_id, page, page = 1 as grid, page in (1, 2) as fragment, page = 3 as legend from documents, (values (1), (2), (3), (4)) as v(page)", evidence=False)
+def chart_numbers(spark, d):
+    """A grid of tiny numbers, a piece of one, a legend's numbers far apart, and a table."""
+    made = [(1, f"{i}.{j}", 50.0 + 20 * i, 100.0 + 10 * j, 8.0, 5.0, 5.0) for i in range(7) for j in range(7)] + [(2, t, 50.0 + 20 * (i % 4), 100.0 + 10 * (i // 4), 8.0, 5.0, 5.0) for i, t in enumerate(["1", "2", "3", "4", "5", "6", "a", "b"])]
+    made += [(3, str(10 * i), 50.0 + 60 * (i % 4), 100.0 + 50 * (i // 4), 14.0, 7.0, 7.0) for i in range(8)] + [(4, str(10 * i), 50.0 + 90 * (i % 3), 100.0 + 16 * (i // 3), 30.0, 11.0, 11.0) for i in range(24)]
+    rows = docs(spark, d).select("doc_id").crossJoin(F.broadcast(spark.createDataFrame(made, "page int, text string, x double, y double, width double, height double, font_size double")))
+    return layout.chart_numbers(rows, ["doc_id", "page"])
+
+
+@query(r"""+ w as (select doc_id, page, line, word, x, case when line % 2 = 0 and word % 3 > 0 then 'שלום' else text end as text from span), k as (select *, len(regexp_extract_all(text, '[\x{590}-\x{8FF}]')) > 0 as rtl, len(regexp_extract_all(text, '[\x{590}-\x{8FF}]')) = 0 and regexp_matches(text, '[A-Za-z\x{C0}-\x{24F}]') as ltr from w),
+t as (select *, sum(rtl::int) over p > 0 and sum(rtl::int) over p >= sum(ltr::int) over p as turned from k window p as (partition by doc_id, page, line)) select doc_id, page, line, word, cast(row_number() over (partition by doc_id, page, line order by case when turned then -x else x end, text) - 1 as integer) as place from t""")
+def text_order(spark, d):
+    """Of every other line two words in three are Hebrew."""
+    said = F.when((F.col("line") % 2 == 0) & (F.col("word") % 3 > 0), "שלום").otherwise(F.col("text"))
+    return layout.text_order(spans(spark, d).withColumn("text", said), ["doc_id", "page", "line"]).select("doc_id", "page", "line", "word", "place")
+
+
+@query(r"""+ s as (select *, case when line % 4 = 1 then (line * 7) || '' else text end as t, case when line % 4 = 1 then 20.0 else x end as x1, case when line % 4 = 1 then 30.0 else width end as w1 from line), p as (select *, lag(t) over o as bt, lag(x1) over o as bx, lag(w1) over o as bw from s window o as (partition by doc_id, page order by line))
+select doc_id, page, line from p where regexp_full_match(trim(regexp_replace(t, '\s+', ' ', 'g')), '[\p{N}\s.-]{1,12}') and w1 <= 0.12 * 612 and regexp_matches(bt, '\p{L}') and (x1 < bx or least(bx + bw, x1 + w1) - greatest(bx, x1) < 0.5 * w1)""")
+def lone_numbers(spark, d):
+    """Every fourth line is a number set to the left of the others."""
+    odd = F.col("line") % 4 == 1
+    rows = lines(spark, d).withColumns({"text": F.when(odd, (F.col("line") * 7).cast("string")).otherwise(F.col("text")), "x": F.when(odd, 20.0).otherwise(F.col("x")), "width": F.when(odd, 30.0).otherwise(F.col("width"))})
+    order = Window.partitionBy("doc_id", "page").orderBy("line")
+    before = {c: F.lag(c).over(order) for c in ("text", "x", "width")}
+    rows = rows.withColumns({f"b_{c}": v for c, v in before.items()})
+    return rows.filter(P.lone_number(F.col("text"), F.col("width"), F.col("x"), F.col("b_text"), F.col("b_x"), F.col("b_width"), W)).select("doc_id", "page", "line")

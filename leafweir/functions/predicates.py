@@ -15,6 +15,7 @@ LETTERED = r"^[A-Z][.)]\s+\p{Lu}"
 ITEM_MARK = r"^(?:\d{1,2}[a-z]?|[a-z])[.)]?\s"
 FIELD_MARK = r"^\d{1,2}[a-z]?\.?$"
 FORM_SECTION = r"(?i)^(?:part|section|schedule)\s+(?:[IVXLC]+|\d+|[A-Z])\b"
+SENTENCE_ENDS = ".!?。！？"
 URL_LIKE = r"(?i)^(?:https?://|www\.|doi:|arxiv:)\S+$"
 
 
@@ -31,9 +32,29 @@ def lettered_section(text: Column) -> Column:
 
 
 def sentence_fragment(text: Column) -> Column:
-    """Reads like running text: starts small, or goes on past a full stop, or ends on a small word."""
+    """Reads like running text: begins small, cites, is cut or ends as a sentence, is parted by commas and long, or has many words."""
     t = F.trim(text)
-    return t.rlike(r"^\p{Ll}") | t.rlike(r"[.!?]\s+\p{L}") | t.rlike(r"(?i)(?:^|[^\p{L}\p{N}_])(?:the|of|and|to|in|a|an|for|with|by)$") | ((F.length(t) > 60) & t.rlike(r"[.,;:]$"))
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    cites = F.lower(t).rlike(r"(?<![\p{L}\p{N}_])et al\.")
+    parted = t.rlike("[,;、。，；]") & ((F.length(t) > 24) | (T.count(t, T.CJK) >= 12))
+    ended = F.contains(F.lit(SENTENCE_ENDS), F.right(t, F.lit(1))) & (F.length(t) > 0)
+    runs = t.rlike(r"^\p{Ll}") | cites | t.rlike(r"[\p{L}\p{N}]-$") | ended | parted | (words > 16)
+    return ~numbered_heading(text) & ~lettered_section(text) & runs
+
+
+def small_heading_fragment(text: Column) -> Column:
+    """Too much like running text for a heading of the third level: a fragment, parted, or of more than seven words."""
+    t = F.trim(text)
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return sentence_fragment(text) | (~numbered_heading(text) & (t.rlike("[,;:]") | (words > 7)))
+
+
+def lone_number(text: Column, width: Column, x: Column, before: Column, before_x: Column, before_width: Column, page_width: float) -> Column:
+    """A short number set apart from the prose line before it: left of its start, or hardly below it."""
+    t = T.collapsed(text)
+    bare = F.length(t).between(1, 12) & (F.length(T.without(t, r"[\p{N}\s.\-]")) == 0) & (width <= 0.12 * page_width)
+    over = F.least(before_x + before_width, x + width) - F.greatest(before_x, x)
+    return F.coalesce(bare & before.rlike(r"\p{L}") & ((x < before_x) | (over < 0.5 * width)), F.lit(False))
 
 
 def caption(text: Column) -> Column:

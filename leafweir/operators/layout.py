@@ -164,6 +164,53 @@ def table_rows(spans: DataFrame, cells: int = 3, numeric: int = 2) -> DataFrame:
     return rows.filter((F.col("cells") >= cells) & (F.col("numeric") >= numeric))
 
 
+def numeric_rows(spans: DataFrame) -> DataFrame:
+    """Rows of nothing but numbers and currency signs, two numbers or more: doc_id, page, line."""
+    number, sign = T.numeric_cell(F.col("text")), T.currency_only(F.col("text"))
+    rows = spans.groupBy("doc_id", "page", "line").agg(F.sum(number.cast("int")).alias("n"), F.bool_and(number | sign).alias("all"))
+    return rows.filter("n >= 2 and all").select("doc_id", "page", "line")
+
+
+def places(values: Column, apart: float) -> Column:
+    """How many places values (an array) take when those within ``apart`` of a place's first are at it."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1e12).alias("at"))
+    return F.aggregate(F.sort_array(values), start, lambda a, v: F.when(v - a["at"] > apart, F.struct((a["n"] + 1).alias("n"), v.alias("at"))).otherwise(a), lambda a: a["n"])
+
+
+def chart_numbers(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of lines (by ``keys``) that are numbers of a drawing rather than a table: keys, grid, fragment, legend.
+
+    grid: 40 numbers, three quarters tiny, on six columns and rows; fragment: eight lines, mostly tiny numbers on three
+    columns and two rows; legend: five small numbers on four columns and up to four rows that lie far apart.
+    """
+    number = T.numeric_cell(F.col("text"))
+    tiny = number & (F.col("font_size") <= 6.5) & (F.col("height") <= 6.5) & (F.col("width") <= 10.5)
+    small = number & (F.col("font_size") <= 7) & (F.col("height") <= 8)
+    at = lambda test, a, b: F.collect_list(F.when(test, F.col(a) + F.col(b) / 2))
+    n = lambda test: F.sum(test.cast("int"))
+    per = lines.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lines"), n(number).alias("numbers"), n(tiny).alias("tiny"), n(small).alias("small"), at(tiny, "x", "width").alias("tx"), at(tiny, "y", "height").alias("ty"), at(small, "x", "width").alias("sx"), at(small, "y", "height").alias("sy")
+    )
+    columns, rows = places(F.col("tx"), 12.0), places(F.col("ty"), 4.0)
+    numbers = F.greatest("numbers", F.lit(1))
+    grid = (F.col("numbers") >= 40) & (F.col("tiny") / numbers >= 0.75) & (columns >= 6) & (rows >= 6)
+    fragment = (F.col("lines") >= 8) & (F.col("numbers") / F.col("lines") >= 0.6) & (F.col("tiny") / numbers >= 0.7) & (columns >= 3) & (rows >= 2)
+    sparse = places(F.col("sy"), 4.0)
+    far = (sparse >= 2) & ((F.array_max("sy") - F.array_min("sy")) / (sparse - 1) >= 36)
+    legend = (F.col("numbers") >= 5) & (F.col("small") / numbers >= 0.75) & (places(F.col("sx"), 12.0) >= 4) & sparse.between(1, 4) & F.coalesce(far, F.lit(False))
+    return per.select(*keys, grid.alias("grid"), fragment.alias("fragment"), legend.alias("legend"))
+
+
+def text_order(items: DataFrame, row: list[str]) -> DataFrame:
+    """Items (x, text) with their place in each row: from the right where most that say anything are right-to-left."""
+    rtl = T.rtl_dominant(F.col("text"))
+    ltr = ~rtl & F.col("text").rlike(r"[A-Za-z\x{C0}-\x{24F}]")
+    whole = Window.partitionBy(*row)
+    turned = (F.sum(rtl.cast("int")).over(whole) > 0) & (F.sum(rtl.cast("int")).over(whole) >= F.sum(ltr.cast("int")).over(whole))
+    rows = items.withColumn("_key", F.when(turned, -F.col("x")).otherwise(F.col("x")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*row).orderBy("_key", "text")) - 1).drop("_key")
+
+
 def tables(rows: DataFrame, gap: int = 1) -> DataFrame:
     """Table rows folded into tables: neighbouring lines belong together."""
     order = Window.partitionBy("doc_id", "page").orderBy("line")

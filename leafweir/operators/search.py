@@ -7,6 +7,7 @@ go through ``matches_guarded``: an Arrow function with a time limit a page and o
 
 from __future__ import annotations
 
+import math
 import re
 import time
 import unicodedata
@@ -103,6 +104,7 @@ def matches_guarded(lines: DataFrame, queries: list[Query], page_seconds: float
         import regex
 
         own = [(i, regex.compile(p, regex.I if ci else 0)) for i, p, ci in compiled]
+        whole = request_budget(request_seconds)
         doc, page, spent, on_page, done = None, None, 0.0, 0.0, set()
         for batch in batches:
             out = []
@@ -111,7 +113,7 @@ def matches_guarded(lines: DataFrame, queries: list[Query], page_seconds: float
                     spent, on_page, done = spent if d == doc else 0.0, 0.0, set()
                     doc, page = d, p
                 for i, pattern in own:
-                    left = min(page_seconds - on_page, request_seconds - spent)
+                    left = min(page_seconds - on_page, whole - spent)
                     began = time.perf_counter()
                     try:
                         if left <= 0:
@@ -228,6 +230,11 @@ def vertical_lines(runs: DataFrame) -> DataFrame:
     return runs.select("doc_id", "page", F.col("run").alias("line"), "text", "x", "y", "width", "height")
 
 
+def request_budget(seconds: float | None = None) -> float:
+    """Seconds of a request: a limit may be drawn tighter, never wider or away."""
+    return seconds if seconds is not None and math.isfinite(seconds) and 0 <= seconds <= REQUEST_SECONDS else REQUEST_SECONDS
+
+
 def within_time(timed: DataFrame, budget_ms: float) -> DataFrame:
     """Pages (doc_id, page, cost_ms) that a request's time budget reaches: those before which it was not yet spent."""
     order = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,7 @@
 """A training corpus out of ``documents`` in five stages, each one of the operators of leafweir.llm.
 
 Each stage gets what its predecessor kept and returns the columns of documents; the last adds where
-each row goes. ``run`` writes every stage's rows to the shared folder and reads them again.
+each row goes. ``run`` writes every stage's rows to the shared folder and reads them again, in few files.
 
 * language: texts further from every language's centroids than its reach go; learned from the rows'
   own text and lang.
@@ -18,11 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leafweir.llm import bag_minhash, decontam, langid, mixing, sharding
-from leafweir.llm._store import materialize
+from leafweir.llm._store import few, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accepted(docs, langid.fit(docs))
+    return few(langid.accepted(docs, langid.fit(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +30,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return few(decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeated(docs)
+    return few(mixing.repeated(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign(docs)
+    return few(sharding.assign(docs))
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]

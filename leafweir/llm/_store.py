@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import clear, materialize, scratch, shared_folder
+from ..sources.store import clear, few, materialize, scratch, shared_folder
 
-__all__ = ["clear", "fan_out", "materialize", "scratch", "shared_folder", "spread_back", "text_bytes"]
+__all__ = ["clear", "fan_out", "few", "materialize", "scratch", "shared_folder", "spread_back", "text_bytes"]
 
 
 def fan_out(df: DataFrame) -> int:

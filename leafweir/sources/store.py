@@ -5,6 +5,10 @@ Spark's commit protocol makes it safe against lost executors, what several steps
 and a later join on it has a plain exchange on either side, which adaptive execution can split when a key
 is hot. The folder is the cluster's own when the setting is there; only where it is unset and Spark is
 local (tests, a laptop) a local one is set. Tables go when Python ends, or earlier with ``clear``.
+
+Files cost more than their bytes. Hadoop's local file system starts ``chmod`` three times for each, and until
+such a process runs its own program it counts with all the memory of the JVM that started it. ``few`` keeps a
+task for every core but writes what up to FILE_PARTITIONS partitions hold in one file.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import uuid
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+FILE_PARTITIONS = 8
 _WRITTEN: list[tuple[SparkSession, str, str | None]] = []
 
 
@@ -38,6 +43,13 @@ def scratch(spark: SparkSession, name: str, table: str | None = None) -> str:
     return path
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The same rows in fewer partitions, one or more whole rounds of all cores: no shuffle, each is still read by itself."""
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(cores * -(-partitions // (FILE_PARTITIONS * cores)))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)

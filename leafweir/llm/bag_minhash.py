@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import fan_out, few, materialize, spread_back
+from ._store import fan_out, few, spread_back, tabled
 from ._text import U64, Chunk, Words, chunks, gram_hash, mix64, ranges, words
 
 SHINGLE = 5
@@ -195,7 +195,7 @@ def _verify():
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (centre, member, want: its extra shingles, n: members of the centre) of text keys with their overlap and sizes.
+    """A table of pairs (centre, member, want: its extra shingles, n: members of the centre) of text keys with their overlap and sizes.
 
     A centre's text is sent once for each DEAL of its members, so a centre with very many is dealt out.
     """
@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .unionByName(salted.join(texts, salted.member == texts.key).select("centre", "salt", "member", "want", "text"))
     )
     dealt = rows.repartition(fan_out(pairs), "centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
-    return dealt.mapInArrow(_verify(), _FOUND)
+    return tabled(dealt, "verified", _verify(), _FOUND)
 
 
 def reach(found: DataFrame) -> DataFrame:
@@ -218,24 +218,19 @@ def reach(found: DataFrame) -> DataFrame:
     return rows.select("centre", F.col("member").alias("key"), "size", "common", (F.col("size") - F.col("common") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    """The tables are many and mostly small: each in few files."""
-    return materialize(few(df), name)
-
-
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(key, root): least key of each connected component, by min-label steps with pointer jumping.
 
     Labels and links are tables in the shared folder; nothing is collected but a count of changes.
     """
-    both = _table(links.select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(links.select(F.col("member").alias("a"), F.col("centre").alias("b"))), "links")
-    touched = _table(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("root")), "roots")
+    both = tabled(links.select(F.col("centre").alias("a"), F.col("member").alias("b")).unionByName(links.select(F.col("member").alias("a"), F.col("centre").alias("b"))), "links")
+    touched = tabled(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("root")), "roots")
     for _ in range(100):
         # own root and the neighbours' in one aggregate, then a jump to the root's own root
         near = both.join(touched, both.b == touched.key).select(F.col("a").alias("key"), "root", F.lit(None).cast("long").alias("own"))
         hooked = near.unionByName(touched.select("key", "root", F.col("root").alias("own"))).groupBy("key").agg(F.max("own").alias("old"), F.min("root").alias("root"))
         jump = touched.select(F.col("key").alias("root"), F.col("root").alias("up"))
-        step = _table(hooked.join(jump, "root", "left").select("key", "old", F.least("root", "up").alias("root")), "roots")
+        step = tabled(hooked.join(jump, "root", "left").select("key", "old", F.least("root", "up").alias("root")), "roots")
         touched = step.select("key", "root")
         if step.filter("root <> old").isEmpty():
             break
@@ -258,48 +253,48 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, thres
     ``keep`` marks the row of least (doc_id, text_md5) in each class; rows alike in both are marked alike.
     """
     md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", md5.alias("text_md5")).mapInArrow(_sign(bands, rows), "doc_id long, text_md5 string, k1 long, k2 long, bands array<long>")
-    signed = _table(signed, "signed")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", md5.alias("text_md5"))
+    signed = tabled(given, "signed", _sign(bands, rows), "doc_id long, text_md5 string, k1 long, k2 long, bands array<long>")
     distinct = signed.groupBy("k1", "k2").agg(F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_md5")).alias("least"), F.min("doc_id").alias("least_id"))
     # unique by construction; a task that is run again is committed once, and later steps read what was written
-    distinct = _table(distinct.withColumn("key", F.monotonically_increasing_id()), "distinct")
+    distinct = tabled(distinct.withColumn("key", F.monotonically_increasing_id()), "distinct")
     buckets = distinct.select("key", F.explode("bands").alias("bucket"))
-    sizes = _table(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("fill")).filter("fill > 1"), "sizes")
-    shared = _table(buckets.join(sizes, "bucket").select("bucket", "fill", "key"), "shared")
+    sizes = tabled(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("fill")).filter("fill > 1"), "sizes")
+    shared = tabled(buckets.join(sizes, "bucket").select("bucket", "fill", "key"), "shared")
     full = shared.groupBy("key").agg(F.sum("fill").alias("fullness"))
-    centre = _table(shared.join(full, "key").groupBy("bucket", "fill").agg(F.max_by("key", F.struct("fullness", "key")).alias("centre")), "first-centres")
+    centre = tabled(shared.join(full, "key").groupBy("bucket", "fill").agg(F.max_by("key", F.struct("fullness", "key")).alias("centre")), "first-centres")
     # whole texts of the keys that share a bucket, once per key
     rows_of = distinct.join(full, "key", "left_semi").select("key", F.col("least.doc_id").alias("one_id"), F.col("least.text_md5").alias("one_md5"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text", md5.alias("text_md5"))
-    texts = _table(own.join(rows_of, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))).groupBy("key").agg(F.min("text").alias("text")), "texts")
+    texts = tabled(own.join(rows_of, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("text_md5") == F.col("one_md5"))).groupBy("key").agg(F.min("text").alias("text")), "texts")
 
     def counted(pairs: DataFrame) -> DataFrame:
-        pairs = _table(pairs.groupBy("centre", "member").agg(F.max("want").alias("want")), "pairs")
+        pairs = tabled(pairs.groupBy("centre", "member").agg(F.max("want").alias("want")), "pairs")
         # only centres of many members are looked up: a table for Spark to broadcast while small, else to split
-        many = _table(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DEAL), "many")
+        many = tabled(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DEAL), "many")
         return pairs.join(many, "centre", "left").withColumn("n", F.coalesce("n", F.lit(1)))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
 
     members = along(shared, centre)
-    first = _table(verified(counted(members.filter("key <> centre").select("centre", F.col("key").alias("member"), (F.col("fill") > 2).alias("want"))), texts), "verified")
+    first = verified(counted(members.filter("key <> centre").select("centre", F.col("key").alias("member"), (F.col("fill") > 2).alias("want"))), texts)
     links = ordered(first.filter(F.col("similarity") >= threshold)).distinct()
-    root = _table(components(distinct.select("key"), links), "components")
-    waiting = _table(_waiting(members, first, root, threshold), "waiting")
+    root = tabled(components(distinct.select("key"), links), "components")
+    waiting = tabled(_waiting(members, first, root, threshold), "waiting")
     most = waiting.agg(F.max("n_out").alias("n")).first()["n"] or 0
     tested, begin, width = ordered(first), 0, centres
     while begin < most:
         rooted = waiting.join(root, "key")
         turn = rooted.filter(F.col("out") & (F.col("place") >= begin) & (F.col("place") < begin + width)).join(root.select(F.col("key").alias("head"), F.col("root").alias("head_root")), "head").filter("root <> head_root")
         fresh = counted(_across(turn, rooted, threshold).join(tested, ["centre", "member"], "left_anti"))
-        found = _table(verified(fresh, texts), "verified")
+        found = verified(fresh, texts)
         tested = tested.unionByName(found.select("centre", "member"))
         begin, width = begin + width, 2 * width
         near = found.filter(F.col("similarity") >= threshold)
         if not near.isEmpty():
             links = links.unionByName(near.select("centre", "member"))
-            root = _table(components(distinct.select("key"), links), "components")
+            root = tabled(components(distinct.select("key"), links), "components")
     per_key = distinct.join(root, "key")
     named = per_key.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.when(F.col("least.doc_id").isNotNull(), F.col("least"))).alias("first"), F.min("least").alias("any_first"))
     classes = per_key.join(named, "root").select("k1", "k2", "copies", F.col("least_id").alias("one"), "class_id", "class_size", F.coalesce("first", "any_first").alias("first"))
@@ -318,7 +313,7 @@ def _waiting(members: DataFrame, first: DataFrame, root: DataFrame, threshold: f
     mixed = more.join(root, "key").groupBy("bucket", "fill").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "fill")
     bound = reach(first).filter(F.col("common") + F.col("shared") >= threshold * F.col("size"))
     open_rows = along(more.filter("key <> centre"), mixed).join(bound, ["centre", "key"]).select("bucket", "fill", "key", "size", "common", "shared")
-    rooted = _table(open_rows.join(root, "key"), "open")
+    rooted = tabled(open_rows.join(root, "key"), "open")
     parts = rooted.groupBy("bucket", "fill", "root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head"))
     main = parts.groupBy("bucket", "fill").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root", "head")).alias("main")).filter("n > main.n")
     known = along(rooted, main.select("bucket", "fill", (F.col("n") - F.col("main.n")).alias("n_out"), F.col("main.root").alias("main"), F.col("main.head").alias("head")))
@@ -342,7 +337,7 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """
     names = docs.columns
     found = near_duplicates(docs, **params).filter("keep").groupBy(F.col("doc_id").alias("_lw_id"), F.col("text_md5").alias("_lw_md5")).agg(F.count(F.lit(1)).alias("_lw_same"))
-    found = _table(found, "kept")
+    found = tabled(found, "kept")
     md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     rows = docs.withColumn("_lw_m", md5)
     kept = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_lw_id")) & (F.col("_lw_m") == F.col("_lw_md5")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bag_minhash, chat, decontam, langid, mixing, quality, sharding, suffix_dedup, syncmers, warc
+from ._store import tabled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bag_minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
+    found = bag_minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
+    # narrow rows: read again they are split by bytes, so whoever writes them writes few files
+    return tabled(found, "classes")
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,20 +8,29 @@ local (tests, a laptop) a local one is set. Tables go when Python ends, or earli
 
 Files cost more than their bytes. Hadoop's local file system starts ``chmod`` three times for each, and until
 such a process runs its own program it counts with all the memory of the JVM that started it. ``few`` keeps a
-task for every core but writes what up to FILE_PARTITIONS partitions hold in one file.
+task for every core but writes what up to FILE_PARTITIONS partitions hold in one file. ``tabled``, for operators
+of many tables, starts no process at all where the folder is a local path: Python workers write the files.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 FILE_PARTITIONS = 8
+#: Bytes of a row group that a Python worker gathers before it writes them.
+GROUP_BYTES = 8 << 20
+Batches = Iterator[pa.RecordBatch]
 _WRITTEN: list[tuple[SparkSession, str, str | None]] = []
 
 
@@ -56,6 +65,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _write_part(folder: str, make: Callable[[Batches], Batches] | None):
+    """Write what ``make`` makes of a task's rows to a file that readers pass over; its name is the one row that comes back."""
+
+    def run(batches: Batches) -> Batches:
+        name, writer, held = f"part-{uuid.uuid4().hex}.parquet", None, []
+        for batch in batches if make is None else make(batches):
+            if not batch.num_rows:
+                continue
+            writer = writer or pq.ParquetWriter(f"{folder}/_{name}", batch.schema, compression="snappy", write_page_checksum=True)
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= GROUP_BYTES:
+                writer.write_table(pa.Table.from_batches(held))
+                held = []
+        if writer is not None:
+            if held:
+                writer.write_table(pa.Table.from_batches(held))
+            writer.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    return run
+
+
+def tabled(df: DataFrame, name: str, make: Callable[[Batches], Batches] | None = None, schema: str | None = None) -> DataFrame:
+    """``materialize`` of ``few`` files, of the rows or of what ``make`` (as for mapInArrow) makes of them.
+
+    A file counts once the driver has its name from the task that Spark took as done and renames it: what a
+    lost or repeated task left is never read. Checksums of pages, verified on reading, stand for Hadoop's.
+    """
+    spark, rows = df.sparkSession, few(df)
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return materialize(rows if make is None else rows.mapInArrow(make, schema), name)
+    path = scratch(spark, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+    os.makedirs(folder)
+    for part in rows.mapInArrow(_write_part(folder, make), "name string").collect():
+        os.rename(f"{folder}/_{part.name}", f"{folder}/{part.name}")
+    kind = df.schema if make is None else StructType.fromDDL(schema)
+    return spark.read.option("parquet.page.verify-checksum.enabled", "true").schema(kind).parquet(path)
+
+
 def clear() -> None:
     """Delete every intermediate table that this process wrote; frames that still read one are void.
 

@@ -1,6 +1,9 @@
 """How many files the intermediate tables and stages are, each of which costs processes on the executors."""
 
 import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
 from contextlib import contextmanager
 
@@ -9,7 +12,7 @@ import corpus_pipeline as cp
 import pytest
 from test_ops import DOCS, edited, prose
 
-from leafweir.llm import bag_minhash
+from leafweir.llm import bag_minhash, queries
 from leafweir.sources import store
 
 TEXTS = [edited(prose(90, 55), 100 + i, share) for share in (0.03, 0.12) for i in range(12)] + [prose(80, i % 60) for i in range(120)] + [None, "", "one"]
@@ -63,3 +66,53 @@ def test_near_duplicate_classes_with_fewer_files_are_those_of_any_number(spark):
     some = sorted(tuple(r) for r in bag_minhash.near_duplicates(docs).select("doc_id", "class_id", "class_size", "keep").collect())
     with dealt(spark, 40):
         assert sorted(tuple(r) for r in bag_minhash.near_duplicates(docs, centres=1).select("doc_id", "class_id", "class_size", "keep").collect()) == some
+
+
+PROCESSES = """
+import os, sys
+from pyspark.sql import SparkSession
+from leafweir.sources import store
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[1] + "/shared").getOrCreate()
+spark.range(1000).repartition(5).write.parquet(sys.argv[1] + "/plain")
+print("PLAIN", os.path.getsize(sys.argv[1] + "/chmods"))
+open(sys.argv[1] + "/chmods", "w").close()
+rows = store.tabled(spark.range(1000).repartition(5), "rows")
+print("TABLE", os.path.getsize(sys.argv[1] + "/chmods"), rows.count(), rows.agg({"id": "sum"}).first()[0])
+"""
+
+
+def test_intermediate_tables_start_no_process(tmp_path):
+    (tmp_path / "chmods").touch()
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/chmods\nexec {shutil.which("chmod")} "$@"\n')
+    (tmp_path / "bin/chmod").chmod(0o755)
+    env = os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}", "PYTHONPATH": os.path.dirname(os.path.abspath(cp.__file__))}
+    for inherited in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(inherited, None)
+    said = subprocess.run([sys.executable, "-c", PROCESSES, str(tmp_path)], env=env, capture_output=True, text=True, timeout=120).stdout.split("\n")
+    plain, table = (next(x.split()[1:] for x in said if x.startswith(name)) for name in ("PLAIN", "TABLE"))
+    assert int(plain[0]) > 0 and table == ["0", "1000", "499500"]
+
+
+def test_a_damaged_intermediate_table_is_not_read(spark):
+    rows = store.tabled(spark.range(4000).coalesce(1).selectExpr("id", "md5(string(id)) as text"), "damaged")
+    assert rows.filter("length(text) = 32").count() == 4000
+    path = rows.inputFiles()[0].removeprefix("file://")
+    with open(path, "r+b") as f:
+        f.seek(os.path.getsize(path) // 2)
+        byte = f.read(1)
+        f.seek(-1, os.SEEK_CUR)
+        f.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        rows.agg({"text": "max"}).collect()
+
+
+def test_near_duplicate_classes_are_handed_out_in_few_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(TEXTS)], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with dealt(spark, 64):
+        found = queries.op1_bag_minhash(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() <= 8
+    want = sorted(tuple(r) for r in bag_minhash.near_duplicates(docs).select("doc_id", "class_id", "class_size", "keep").collect())
+    assert sorted(tuple(r) for r in found.collect()) == want

@@ -2,6 +2,7 @@
 
 Each stage gets what its predecessor kept and returns the columns of documents; the last adds where
 each row goes. ``run`` writes every stage's rows to the shared folder and reads them again, in few files.
+Stages with Python workers bound the bytes of a batch (``store.bounded``), for the rest of the session.
 
 * language: texts further from every language's centroids than its reach go; learned from the rows'
   own text and lang.
@@ -18,18 +19,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leafweir.llm import bag_minhash, decontam, langid, mixing, sharding
-from leafweir.llm._store import few, materialize
+from leafweir.llm._store import bounded, few, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return few(langid.accepted(docs, langid.fit(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return bag_minhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return few(decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 

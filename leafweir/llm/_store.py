@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import clear, few, materialize, scratch, shared_folder, tabled
+from ..sources.store import bounded, clear, few, materialize, scratch, shared_folder, tabled
 
-__all__ = ["clear", "fan_out", "few", "materialize", "scratch", "shared_folder", "spread_back", "tabled", "text_bytes"]
+__all__ = ["bounded", "clear", "fan_out", "few", "materialize", "scratch", "shared_folder", "spread_back", "tabled", "text_bytes"]
 
 
 def fan_out(df: DataFrame) -> int:

@@ -4,11 +4,13 @@ import os
 import shutil
 import subprocess
 import sys
+import zlib
 from collections import Counter
 from contextlib import contextmanager
 
 import brute
 import corpus_pipeline as cp
+import pyarrow as pa
 import pytest
 from test_ops import DOCS, edited, prose
 
@@ -116,3 +118,30 @@ def test_near_duplicate_classes_are_handed_out_in_few_files(spark, tmp_path):
         assert found.rdd.getNumPartitions() <= 8
     want = sorted(tuple(r) for r in bag_minhash.near_duplicates(docs).select("doc_id", "class_id", "class_size", "keep").collect())
     assert sorted(tuple(r) for r in found.collect()) == want
+
+
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("stage", ["language", "near_dedup", "decontaminate"])
+def test_stages_send_whole_texts_in_bounded_batches(spark, stage):
+    """Fewer than 10,000 rows of long texts came as one batch, however many bytes that were."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes], "before_last": [b.slice(0, b.num_rows - 1).nbytes], "crc": [sum(zlib.crc32(t.encode()) for t in b.column("text").to_pylist())]})
+
+    texts = [f"{i} " + prose(80, i % 60) * 40 for i in range(600)] + [prose(90, 7) * 9000]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS).coalesce(1)
+    own = spark.conf.get(LIMIT, None)
+    try:
+        spark.conf.unset(LIMIT)
+        dict(cp.STAGES)[stage](spark, docs, "/root/testdata/sf0.001")
+        got = docs.select("text").mapInArrow(sizes, "rows long, bytes long, before_last long, crc long").collect()
+        assert sum(r.rows for r in got) == len(texts) and sum(r.crc for r in got) == sum(zlib.crc32(t.encode()) for t in texts)
+        assert sum(r.bytes for r in got) > 4 * store.BATCH_BYTES and max(r.before_last for r in got) <= store.BATCH_BYTES
+        spark.conf.set(LIMIT, "5m")
+        dict(cp.STAGES)[stage](spark, docs.limit(3), "/root/testdata/sf0.001")
+        assert spark.conf.get(LIMIT) == "5m"
+    finally:
+        spark.conf.unset(LIMIT) if own is None else spark.conf.set(LIMIT, own)

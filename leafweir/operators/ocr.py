@@ -58,7 +58,8 @@ def spacing_loss(pairs: DataFrame, least_confidence: float = 0.85) -> DataFrame:
     spaces = lambda c: F.regexp_count(F.trim(c), F.lit(r"\s+"))
     rows = pairs.filter((F.col("confidence") >= least_confidence) & (F.length("ocr") >= 120))
     rows = rows.withColumns({"distance": _within(squeeze(F.col("native")), squeeze(F.col("ocr")), 0.12 * F.length(squeeze(F.col("ocr")))), "native_spaces": spaces(F.col("native")), "ocr_spaces": spaces(F.col("ocr"))})
-    return rows.filter((F.col("distance") >= 0) & (F.col("native_spaces") <= 0.7 * F.col("ocr_spaces")))
+    # whole numbers: 0.7 * 680 is less than 476 in binary
+    return rows.filter((F.col("distance") >= 0) & (10 * F.col("native_spaces") <= 7 * F.col("ocr_spaces")))
 
 
 def page_spacing_loss(pairs: DataFrame, least_confidence: float = 0.85) -> DataFrame:

@@ -264,6 +264,11 @@ def test_spacing_loss_on_whole_pages(spark):
     assert sorted(r.doc_id for r in ocr.page_spacing_loss(pairs).collect()) == [1, 5]
 
 
+def test_seven_tenths_of_the_spaces_are_few_enough(spark):
+    pairs = spark.createDataFrame([(d, " ".join(["ab"] * (n + 1)) + "cd" * (90 - n), " ".join(["ab"] * (n + 1) + ["cd"] * (90 - n)), 0.9) for d, n in ((1, 63), (2, 64))], "doc_id long, native string, ocr string, confidence double")
+    assert [(r.doc_id, r.native_spaces, r.ocr_spaces) for r in ocr.spacing_loss(pairs).collect()] == [(1, 63, 90)]
+
+
 def test_the_plan_warns_of_body_near_chrome(spark):
     from leafweir.plans import process
 

@@ -1055,10 +1055,11 @@ n as (select doc_id, page, case when line % 2 = 0 then t[1:2] else [t[1], 'zzz']
 select doc_id, page, sum(list_has_all(t, name)::int)::bigint as matched, sum((len(list_filter(name, lambda x: length(x) >= 3)) > 0 and not list_has_any(list_filter(name, lambda x: length(x) >= 3), t))::int)::bigint as contradicted from n group by all""")
 def field_names(spark, d):
     """Names made of a line's first words (or of its first and another) against the line as a label."""
-    t = T.field_name_tokens(F.col("text"))
-    name = F.when(F.col("line") % 2 == 0, F.concat_ws("_", F.get(t, F.lit(0)), F.get(t, F.lit(1)))).otherwise(F.concat(F.get(t, F.lit(0)), F.lit(".Zzz")))
-    rows = lines(spark, d).filter(F.size(t) >= 2).withColumn("name", name)
-    return rows.groupBy("doc_id", "page").agg(F.sum(P.name_matches_label(F.col("name"), F.col("text")).cast("int")).alias("matched"), F.sum(P.name_contradicts_label(F.col("name"), F.col("text")).cast("int")).alias("contradicted"))
+    name = lambda t: F.when(F.col("line") % 2 == 0, F.concat_ws("_", F.get(t, F.lit(0)), F.get(t, F.lit(1)))).otherwise(F.concat(F.get(t, F.lit(0)), F.lit(".Zzz")))
+    named = T.once(T.field_name_tokens(F.col("text")), lambda t: F.when(F.size(t) >= 2, name(t)))
+    told = F.transform(F.filter(F.array(named), lambda n: n.isNotNull()), lambda n: P.name_and_label(n, F.col("text")))
+    rows = lines(spark, d).select("doc_id", "page", F.inline(told))
+    return rows.groupBy("doc_id", "page").agg(F.sum(F.col("matches").cast("int")).alias("matched"), F.sum(F.col("contradicts").cast("int")).alias("contradicted"))
 
 
 @query("""with c as (select l_orderkey as doc_id, l_linenumber as line, unnest([cast(cast(l_quantity as integer) as varchar), case when l_partkey % 2 = 0 then '$' else '7%' end, case when l_suppkey % 3 = 0 then l_linestatus else cast(l_suppkey as varchar) end]) as text from lineitem),

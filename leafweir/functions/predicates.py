@@ -87,16 +87,26 @@ def item_marker(text: Column) -> Column:
     return F.trim(text).rlike(ITEM_MARK)
 
 
+def name_and_label(name: Column, label: Column) -> Column:
+    """matches: every word of the field's name is in the label; contradicts: the name has words of three letters, and none is in it."""
+    words = F.struct(T.field_name_tokens(name).alias("name"), T.field_name_tokens(label).alias("label"))
+
+    def told(w: Column) -> Column:
+        long = F.filter(w["name"], lambda t: F.length(t) >= 3)
+        matches = (F.size(w["name"]) > 0) & (F.size(F.array_except(w["name"], w["label"])) == 0)
+        return F.struct(matches.alias("matches"), ((F.size(long) > 0) & ~F.arrays_overlap(long, w["label"])).alias("contradicts"))
+
+    return T.once(words, told)
+
+
 def name_matches_label(name: Column, label: Column) -> Column:
     """Every word of the field's name is in the label."""
-    tokens = T.field_name_tokens(name)
-    return (F.size(tokens) > 0) & (F.size(F.array_except(tokens, T.field_name_tokens(label))) == 0)
+    return name_and_label(name, label)["matches"]
 
 
 def name_contradicts_label(name: Column, label: Column) -> Column:
     """The name has words, and none is in the label."""
-    tokens = F.filter(T.field_name_tokens(name), lambda w: F.length(w) >= 3)
-    return (F.size(tokens) > 0) & ~F.arrays_overlap(tokens, T.field_name_tokens(label))
+    return name_and_label(name, label)["contradicts"]
 
 
 def compact_label(text: Column, width: Column) -> Column:

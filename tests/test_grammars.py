@@ -51,3 +51,19 @@ def test_roman_numerals(spark, text, value):
 )
 def test_bottom_references(spark, text, width, want):
     assert told(spark, lambda t: rules.bottom_reference(t, F.lit(float(width))), [text])[text] is want
+
+
+def written(df, what: str) -> int:
+    """How often a function stands in the plan that runs."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_words_of_names_are_read_once(spark):
+    from leafweir import catalogue
+
+    # of the line, of the name made of it, of the label
+    found = catalogue.field_names(spark, "/root/testdata/sf0.001")
+    assert written(found, "Alnum") + written(found, "A-Za-z0-9") <= 3
+    said = ["fooBar_baz.Qux", "aBCd9E", " .x", "", "ÄrgerUndB", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    assert [r.t for r in rows.orderBy("i").select(T.field_name_tokens(F.col("s")).alias("t")).collect()] == [["foo", "bar", "baz", "qux"], ["a", "bcd9", "e"], ["x"], [], ["rger", "und", "b"], None]

@@ -46,10 +46,12 @@ def _comparable(rows: DataFrame, column: str, to: str) -> DataFrame:
 
 def native_mismatch(pairs: DataFrame, least_confidence: float = 0.85, least_ratio: float = 0.5) -> DataFrame:
     """Of pages with native and OCR text of 3 to 200 characters and like length, those that differ by half or more."""
-    rows = pairs.withColumns({"a": _plain(F.col("native")), "b": _plain(F.col("ocr"))})
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    rows = rows.filter((F.col("confidence") >= least_confidence) & F.length("a").between(3, 200) & F.length("b").between(3, 200) & (short / long >= 0.75))
-    return rows.withColumn("distance", F.levenshtein("a", "b")).withColumn("ratio", G.half_up(F.col("distance") / F.greatest(F.length("a"), F.length("b")), 3)).filter(F.col("ratio") >= least_ratio)
+    size = lambda s: (F.length(s["a"]), F.length(s["b"]))
+    # as an array of one or none, so that each text and each distance is worked out once
+    said = F.filter(F.array(F.struct(_plain(F.col("native")).alias("a"), _plain(F.col("ocr")).alias("b"))), lambda s: F.least(*size(s)).between(3, 200) & F.greatest(*size(s)).between(3, 200) & (F.least(*size(s)) / F.greatest(*size(s)) >= 0.75))
+    apart = F.transform(said, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.levenshtein(s["a"], s["b"]).alias("distance")))
+    rated = F.transform(apart, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["distance"].alias("distance"), G.half_up(s["distance"] / F.greatest(*size(s)), 3).alias("ratio")))
+    return pairs.filter(F.col("confidence") >= least_confidence).select("*", F.inline(F.filter(rated, lambda s: s["ratio"] >= least_ratio)))
 
 
 def spacing_loss(pairs: DataFrame, least_confidence: float = 0.85) -> DataFrame:

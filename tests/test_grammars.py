@@ -67,3 +67,9 @@ def test_words_of_names_are_read_once(spark):
     said = ["fooBar_baz.Qux", "aBCd9E", " .x", "", "ÄrgerUndB", None]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
     assert [r.t for r in rows.orderBy("i").select(T.field_name_tokens(F.col("s")).alias("t")).collect()] == [["foo", "bar", "baz", "qux"], ["a", "bcd9", "e"], ["x"], [], ["rger", "und", "b"], None]
+
+
+def test_a_distance_is_taken_once(spark):
+    from leafweir import catalogue
+
+    assert written(catalogue.ocr_native_mismatch(spark, "/root/testdata/sf0.001"), "levenshtein(") == 1

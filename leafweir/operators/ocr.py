@@ -39,9 +39,12 @@ def _within(a: Column, b: Column, most: Column) -> Column:
     return F.when(a == b, 0).otherwise(F.call_function("levenshtein", a, b, F.floor(most).cast("int")))
 
 
-def _comparable(rows: DataFrame, column: str, to: str) -> DataFrame:
-    """With the letters and digits of a column, in NFKC and lower case."""
-    return nfkc(rows.withColumn(to, F.col(column)), to).withColumn(to, F.regexp_replace(F.lower(F.col(to)), r"[^\p{L}\p{N}]+", ""))
+#: What is counted in a page's text, and the name of its count.
+_COUNTED = {r"[\p{L}\p{N}]": "alnum", r"\s": "spaces", r"[\p{L}\p{N}]+": "runs"}
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
 def native_mismatch(pairs: DataFrame, least_confidence: float = 0.85, least_ratio: float = 0.5) -> DataFrame:
@@ -67,13 +70,18 @@ def spacing_loss(pairs: DataFrame, least_confidence: float = 0.85) -> DataFrame:
 def page_spacing_loss(pairs: DataFrame, least_confidence: float = 0.85) -> DataFrame:
     """Whole raster-backed pages, of any length from 120 characters on, under all conditions of the reference:
     like letters, but less white space, longer tokens and fewer word runs in the native text."""
-    rows = _comparable(_comparable(pairs.filter(F.col("confidence") >= least_confidence), "native", "_a"), "ocr", "_b")
-    short, long = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
-    rows = rows.filter((long >= 120) & (short / long >= 0.75)).withColumn("distance", _within(F.col("_a"), F.col("_b"), 0.12 * long)).filter("distance >= 0")
-    count = lambda c, what: F.regexp_count(F.col(c), F.lit(what))
-    for c in ("native", "ocr"):
-        rows = rows.withColumns({f"{c}_alnum": count(c, r"[\p{L}\p{N}]"), f"{c}_spaces": count(c, r"\s"), f"{c}_runs": count(c, r"[\p{L}\p{N}]+")})
-    # products in place of quotients: counts of letters and runs are above 0 from here on
-    n, o = F.col("native_alnum"), F.col("ocr_alnum")
-    lost = (F.col("ocr_spaces") >= 0.14 * o) & (F.col("native_spaces") / n <= 0.6 * F.col("ocr_spaces") / o) & (n >= 8 * F.col("native_runs")) & (o <= 7 * F.col("ocr_runs")) & (F.col("native_runs") <= 0.65 * F.col("ocr_runs"))
-    return rows.filter((n >= 120) & (o >= 120)).filter(lost).drop("_a", "_b")
+    rows = nfkc(pairs.filter(F.col("confidence") >= least_confidence).withColumns({"_a": F.col("native"), "_b": F.col("ocr")}), ["_a", "_b"])
+    size = lambda s: (F.length(s["a"]), F.length(s["b"]))
+    count = lambda c, what: F.regexp_count(F.col(c), F.lit(what)).alias(f"{c}_{_COUNTED[what]}")
+
+    def lost(s: Column) -> Column:
+        # products in place of quotients: counts of letters and runs are above 0 here
+        n, o = s["native_alnum"], s["ocr_alnum"]
+        spaced = (s["ocr_spaces"] >= 0.14 * o) & (s["native_spaces"] / n <= 0.6 * s["ocr_spaces"] / o)
+        return (n >= 120) & (o >= 120) & spaced & (n >= 8 * s["native_runs"]) & (o <= 7 * s["ocr_runs"]) & (s["native_runs"] <= 0.65 * s["ocr_runs"])
+
+    # as an array of one or none, so that each text, count and distance is worked out once
+    said = F.filter(F.array(F.struct(_letters(F.col("_a")).alias("a"), _letters(F.col("_b")).alias("b"))), lambda s: (F.greatest(*size(s)) >= 120) & (F.least(*size(s)) / F.greatest(*size(s)) >= 0.75))
+    apart = F.filter(F.transform(said, lambda s: _within(s["a"], s["b"], 0.12 * F.greatest(*size(s)))), lambda d: d >= 0)
+    told = F.transform(apart, lambda d: F.struct(d.alias("distance"), *[count(c, what) for c in ("native", "ocr") for what in _COUNTED]))
+    return rows.select(*pairs.columns, F.inline(F.filter(told, lost)))

@@ -73,3 +73,10 @@ def test_a_distance_is_taken_once(spark):
     from leafweir import catalogue
 
     assert written(catalogue.ocr_native_mismatch(spark, "/root/testdata/sf0.001"), "levenshtein(") == 1
+
+
+def test_pages_go_to_python_once(spark):
+    from leafweir import catalogue
+
+    found = catalogue.ocr_spacing_loss_pages(spark, "/root/testdata/sf0.001")
+    assert written(found, "levenshtein(") == 1 and written(found, "MapInArrow") == 1

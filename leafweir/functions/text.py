@@ -97,6 +97,11 @@ def cjk_leading(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[\x{2E80}-\x{2EFF}\x{3000}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"), F.lit(False))
 
 
+def has_cjk(text: Column) -> Column:
+    """A CJK letter: the scripts are only looked up in texts with a code point from their first block on."""
+    return F.coalesce(text.rlike(r"[\x{2E80}-\x{10FFFF}]") & text.rlike(CJK), F.lit(False))
+
+
 def digraph_samples(text: Column) -> Column:
     """Up to three words of small letters and digits with the capital digraph inside them."""
     words = F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}_]+"))
@@ -116,15 +121,8 @@ def cjk_doubled_pairs(text: Column) -> Column:
 
 
 def cjk_repeated_run(text: Column, least: int = 8) -> Column:
-    """One CJK letter so often in a row, whatever blanks stand between: neighbours are counted one by one."""
-    chars = F.split(F.translate(text, " \t\u3000", ""), "")
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
-
-    def step(acc: Column, c: Column) -> Column:
-        n = F.when(~c.rlike(CJK), 0).when(c == acc["last"], acc["n"] + 1).otherwise(1)
-        return F.struct(c.alias("last"), n.alias("n"), F.greatest(acc["most"], n).alias("most"))
-
-    return F.coalesce(F.when(count(text, CJK) >= least, F.aggregate(chars, start, step, lambda a: a["most"] >= least)), F.lit(False))
+    """One CJK letter so often in a row, whatever blanks stand between."""
+    return F.coalesce(F.translate(text, " \t\u3000", "").rlike(rf"({CJK})\1{{{least - 1}}}"), F.lit(False))
 
 
 def cjk_mojibake_count(text: Column) -> Column:

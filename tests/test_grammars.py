@@ -80,3 +80,12 @@ def test_pages_go_to_python_once(spark):
 
     found = catalogue.ocr_spacing_loss_pages(spark, "/root/testdata/sf0.001")
     assert written(found, "levenshtein(") == 1 and written(found, "MapInArrow") == 1
+
+
+def test_runs_are_found_without_a_step_for_each_letter(spark):
+    from leafweir import catalogue
+
+    assert "aggregate(" not in catalogue.localized_glyph_noise(spark, "/root/testdata/sf0.001").select("doc_id")._jdf.queryExecution().optimizedPlan().toString().split("cjk_run")[0].rsplit("cjk_doubled", 1)[1]
+    said = {"日" * 8: True, "日 日　日日\t日日日日": True, "日" * 7: False, "日日日日x日日日日": False, "xxxxxxxx日": False, "\U00020000" * 8: True, "日本" * 8: False}
+    rows = spark.createDataFrame([(t, y) for t, y in said.items()], "t string, y boolean").select("y", T.cjk_repeated_run(F.col("t")).alias("found"), T.has_cjk(F.col("t")).alias("some")).collect()
+    assert all(r.y == r.found and r.some for r in rows)

@@ -55,10 +55,15 @@ def lines(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", (F.floor(F.col("n") / PER_PAGE) + 1).cast("int").alias("page"), *_line(F.col("cell"), F.col("n") % PER_PAGE))
 
 
+def page_total(text: Column) -> Column:
+    """On how many pages a text is set."""
+    n = F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), F.lit(0).cast("long"), lambda a, t: a + F.greatest(F.lit(1).cast("long"), F.ceil(F.length(t) / COLUMNS)))
+    return F.ceil(n / PER_PAGE).cast("int")
+
+
 def page_keys(documents: DataFrame) -> DataFrame:
     """doc_id, page of every page, without its lines."""
-    n = F.aggregate(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0).cast("long"), lambda a, t: a + F.greatest(F.lit(1).cast("long"), F.ceil(F.length(t) / COLUMNS)))
-    return documents.select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(n / PER_PAGE).cast("int"))).alias("page"))
+    return documents.select("doc_id", F.explode(F.sequence(F.lit(1), page_total(F.col("text")))).alias("page"))
 
 
 def page_rows(documents: DataFrame) -> DataFrame:

@@ -219,3 +219,13 @@ def test_tools(spark):
     assert tools.read(docs, "1").filter("kind = 'body'").count() == 2
     places = tools.find(docs, ["many"], most=10).collect()
     assert len(places) == 10 and places[0].left_out == 890
+
+
+def test_warnings_are_found_for_documents_with_a_map_alone(spark, monkeypatch):
+    from leafweir.plans import detect
+
+    seen, plain = [], detect.detect
+    monkeypatch.setattr(detect, "detect", lambda e, *size: seen.extend(r.doc_id for r in e.pages.select("doc_id").distinct().collect()) or plain(e, *size))
+    docs = spark.createDataFrame([(1, "Short text.", "s"), (2, "\n".join(f"line {i}." for i in range(801)), "s"), (3, "x" * 90 * 800, "s"), (4, None, "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.kind for r in tools.read(docs).collect()} == {1: "body", 2: "map", 3: "body", 4: "body"}
+    assert seen == [2]

@@ -56,56 +56,72 @@ def _keys(text: Column, label: Column) -> Column:
 
 
 def candidates(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
-    """doc_id, page, block, line (null: the whole block), bin, key: every key of what stands in a band."""
-    text = T.collapsed(F.col("text"))
-    control = F.lower(F.regexp_replace(text, r"\.$", "")).isin(*CONTROLS)
+    """doc_id, page, block, line (null: the whole block), bin, key: every key of what stands in a band, in one pass over the blocks."""
+    control = F.lower(F.regexp_replace(T.collapsed(F.col("text")), r"\.$", "")).isin(*CONTROLS)
     own = blocks.filter(_band(F.col("y"), F.col("height"), page_height, BLOCK_BAND) & ~control)
-    label = counts_pages(text, F.col("width"), page_width)
-    whole = own.select("doc_id", "page", "block", F.lit(None).cast("int").alias("line"), "y", F.explode(_keys(text, label)).alias("key"))
-    rows = own.select("doc_id", "page", "block", F.explode("lines").alias("l"))
-    text = T.collapsed(F.col("l.text"))
-    label = counts_pages(text, F.col("l.width"), page_width)
-    worth = (F.length(text) >= LINE_CHARS) | (F.col("l.width") >= LINE_SHARE * page_width) | label
-    single = rows.filter(_band(F.col("l.y"), F.col("l.height"), page_height, LINE_BAND) & worth).select("doc_id", "page", "block", F.col("l.line").alias("line"), F.col("l.y").alias("y"), F.explode(_keys(text, label)).alias("key"))
-    return whole.unionByName(single).withColumn("bin", (F.floor(F.col("y") / BIN + 0.5) * BIN).cast("long")).drop("y")
+
+    def keyed(line: Column, y: Column, text: Column, width: Column, least: bool) -> Column:
+        def told(t: Column) -> Column:
+            label = counts_pages(t, width, page_width)
+            worth = ((F.length(t) >= LINE_CHARS) | (width >= LINE_SHARE * page_width) | label) if least else F.lit(True)
+            bin_ = (F.floor(y / BIN + 0.5) * BIN).cast("long")
+            return F.when(worth, F.transform(_keys(t, label), lambda k: F.struct(line.alias("line"), k.alias("key"), bin_.alias("bin"))))
+
+        return T.once(T.collapsed(text), told)
+
+    whole = keyed(F.lit(None).cast("int"), F.col("y"), F.col("text"), F.col("width"), False)
+    low = F.filter("lines", lambda l: _band(l["y"], l["height"], page_height, LINE_BAND))
+    single = F.transform(low, lambda l: keyed(l["line"].cast("int"), l["y"], l["text"], l["width"], True))
+    every = F.flatten(F.filter(F.concat(F.array(whole), single), lambda k: k.isNotNull()))
+    return own.select("doc_id", "page", "block", F.inline(every))
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    """Candidates with whole, and on how many pages of the document their key stands at their height."""
+    rows = found.withColumn("whole", F.col("line").isNull())
+    return rows.withColumn("on_pages", F.size(F.collect_set("page").over(Window.partitionBy("doc_id", "whole", "bin", "key"))).cast("long")).filter("on_pages >= 2")
 
 
 def _recurring(found: DataFrame, blocks: DataFrame) -> DataFrame:
     total = blocks.groupBy("doc_id").agg(F.countDistinct("page").alias("total"))
-    n = found.groupBy("doc_id", F.col("line").isNull().alias("whole"), "bin", "key").agg(F.countDistinct("page").alias("on_pages")).filter("on_pages >= 2")
-    return n.join(total, "doc_id").filter(F.col("on_pages") >= F.ceil(F.col("total") / 2)).drop("total")
+    return _counted(found).join(total, "doc_id").filter(F.col("on_pages") >= F.ceil(F.col("total") / 2)).drop("total")
 
 
 def repeated_keys(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
     """doc_id, whole (a block's key, else a line's), bin, key, on_pages: keys on at least max(2, half) of the pages."""
-    return _recurring(candidates(blocks, page_width, page_height), blocks)
+    return _recurring(candidates(blocks, page_width, page_height), blocks).select("doc_id", "whole", "bin", "key", "on_pages").distinct()
 
 
 def mark_repeated(blocks: DataFrame, page_width: float, page_height: float) -> DataFrame:
     """Blocks with ``repeated``; a block of which only some lines are is cut, and the page's blocks numbered anew."""
-    found = candidates(blocks, page_width, page_height)
-    keys = _recurring(found, blocks).select("doc_id", "whole", "bin", "key")
-    hit = found.withColumn("whole", F.col("line").isNull()).join(keys, ["doc_id", "whole", "bin", "key"], "left_semi")
-    flags = hit.groupBy("doc_id", "page", "block").agg(F.max("whole").alias("_whole"), F.collect_set("line").alias("_some"))
-    rows = blocks.join(flags, ["doc_id", "page", "block"], "left")
+    hit = _recurring(candidates(blocks, page_width, page_height), blocks)
+    of_block = hit.groupBy("doc_id", "page", "block").agg(F.max("whole").alias("whole"), F.collect_set("line").alias("some"))
+    # one row a page, so that blocks are dealt out by page, once, and numbered where they lie
+    flags = of_block.groupBy("doc_id", "page").agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct("whole", "some")))).alias("_hit"))
+    rows = blocks.join(flags, ["doc_id", "page"], "left").withColumn("_own", F.try_element_at("_hit", F.col("block")))
+    rows = rows.withColumns({"_whole": F.coalesce(F.col("_own.whole"), F.lit(False)), "_some": F.coalesce(F.col("_own.some"), F.array().cast("array<int>"))}).drop("_hit", "_own")
     is_some = lambda l: F.array_contains("_some", l["line"])
-    marked = F.coalesce(F.col("_whole") | ((F.size("lines") > 0) & F.forall("lines", is_some)), F.lit(False))
-    cut = ~marked & F.coalesce(F.size("_some") > 0, F.lit(False))
-    kept = ["doc_id", "page", "block", *[c for c in blocks.columns if c not in ("doc_id", "page", "block")]]
-    plain = rows.filter(~cut).select(*kept, F.lit(0).alias("_part"), marked.alias("repeated"))
+    rows = rows.withColumn("repeated", F.col("_whole") | ((F.size("lines") > 0) & F.forall("lines", is_some)))
+    rows = rows.withColumn("_cut", ~F.col("repeated") & (F.size("_some") > 0))
     # runs of lines that are (not) repeated: each begins where the mark changes
     change = F.filter(F.transform("lines", lambda l, i: F.when((i == 0) | (is_some(l) != is_some(F.get("lines", F.greatest(i - 1, F.lit(0))))), i)), lambda i: i.isNotNull())
-    runs = F.transform("_at", lambda a, k: F.slice("lines", a + 1, F.coalesce(F.get("_at", k + 1), F.size("lines")) - a))
-    parts = rows.filter(cut).withColumn("_at", change).select(*[c for c in kept if c != "lines"], "_some", F.posexplode(runs).alias("_part", "lines"))
-    low, high = (lambda c: F.array_min(F.transform("lines", c))), (lambda c: F.array_max(F.transform("lines", c)))
-    x, y = low(lambda l: l["x"]), low(lambda l: l["y"])
-    again = {
-        "text": F.array_join(F.transform("lines", lambda l: l["text"]), "\n"), "n_lines": F.size("lines").cast("long"), "font_size": high(lambda l: l["font_size"]), "repeated": is_some(F.get("lines", F.lit(0))),
-        "x": G.half_up(x), "y": G.half_up(y), "width": G.half_up(high(lambda l: l["x"] + l["width"]) - x), "height": G.half_up(high(lambda l: l["y"] + l["height"]) - y),
-    }
-    parts = parts.select(*[again.pop(c).alias(c) if c in again else F.col(c) for c in [*kept, "_part", "repeated"]])
+    runs = T.once(change, lambda at: F.transform(at, lambda a, k: F.slice("lines", a + 1, F.coalesce(F.get(at, k + 1), F.size("lines")) - a)))
+    low, high = (lambda ls, c: F.array_min(F.transform(ls, c))), (lambda ls, c: F.array_max(F.transform(ls, c)))
+
+    def again(ls: Column) -> Column:
+        x, y = low(ls, lambda l: l["x"]), low(ls, lambda l: l["y"])
+        return F.struct(
+            F.array_join(F.transform(ls, lambda l: l["text"]), "\n").alias("text"), F.size(ls).cast("long").alias("n_lines"), high(ls, lambda l: l["font_size"]).alias("font_size"), G.half_up(x).alias("x"), G.half_up(y).alias("y"),
+            G.half_up(high(ls, lambda l: l["x"] + l["width"]) - x).alias("width"), G.half_up(high(ls, lambda l: l["y"] + l["height"]) - y).alias("height"), ls.alias("lines"), is_some(F.get(ls, F.lit(0))).alias("repeated"),
+        )
+
+    made = ["text", "n_lines", "font_size", "x", "y", "width", "height", "lines", "repeated"]
+    plain = F.struct(*made)
+    parts = F.when(F.col("_cut"), F.transform(runs, again)).otherwise(F.array(plain))
+    own = [c for c in blocks.columns if c not in made]
+    cut = rows.select(*own, F.posexplode(parts).alias("_part", "_p")).select(*own, "_part", *[F.col(f"_p.{c}").alias(c) for c in made])
     number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("block", "_part")) - 1
-    both = plain.unionByName(parts).withColumn("block", number.cast("int")).drop("_part")
+    both = cut.withColumn("block", number.cast("int")).select("doc_id", "page", "block", *[c for c in blocks.columns if c not in ("doc_id", "page", "block")], "repeated")
     if "level" in blocks.columns:  # chrome is no heading
         both = both.withColumn("level", F.when(~F.col("repeated"), F.col("level")))
     return both
@@ -149,9 +165,11 @@ def body_text(marked: DataFrame) -> DataFrame:
 
 def body_near_chrome(marked: DataFrame, gap: float = 6.0) -> DataFrame:
     """Body blocks that a repeated block overlaps, or else follows at less than ``gap``: the worst one of each."""
-    a = marked.filter(~F.col("repeated")).select("doc_id", "page", "block", "x", "y", "width", "height").alias("a")
-    b = marked.filter("repeated").select("doc_id", "page", F.col("block").alias("chrome"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("width").alias("cw"), F.col("height").alias("ch")).alias("b")
-    pair = a.join(b, ["doc_id", "page"]).filter((F.col("cy") + F.col("ch") > F.col("y")) & (F.least(F.col("x") + F.col("width"), F.col("cx") + F.col("cw")) > F.greatest("x", "cx")))
+    # the page's chrome comes to its blocks by a window: the marks are worked out once
+    chrome = F.collect_list(F.when(F.col("repeated"), F.struct(F.col("block").alias("chrome"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("width").alias("cw"), F.col("height").alias("ch")))).over(Window.partitionBy("doc_id", "page"))
+    light = marked.select("doc_id", "page", "block", "repeated", "x", "y", "width", "height").withColumn("_chrome", chrome)
+    pair = light.filter(~F.col("repeated")).select("doc_id", "page", "block", "x", "y", "width", "height", F.inline("_chrome"))
+    pair = pair.filter((F.col("cy") + F.col("ch") > F.col("y")) & (F.least(F.col("x") + F.col("width"), F.col("cx") + F.col("cw")) > F.greatest("x", "cx")))
     depth = F.least(F.col("y") + F.col("height"), F.col("cy") + F.col("ch")) - F.greatest("y", "cy")
     below = F.col("cy") - (F.col("y") + F.col("height"))
     pair = pair.withColumns({"depth": depth, "gap": below}).filter((F.col("depth") > 0) | F.col("gap").between(0, gap) & (F.col("gap") < gap))

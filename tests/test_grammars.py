@@ -89,3 +89,11 @@ def test_runs_are_found_without_a_step_for_each_letter(spark):
     said = {"日" * 8: True, "日 日　日日\t日日日日": True, "日" * 7: False, "日日日日x日日日日": False, "xxxxxxxx日": False, "\U00020000" * 8: True, "日本" * 8: False}
     rows = spark.createDataFrame([(t, y) for t, y in said.items()], "t string, y boolean").select("y", T.cjk_repeated_run(F.col("t")).alias("found"), T.has_cjk(F.col("t")).alias("some")).collect()
     assert all(r.y == r.found and r.some for r in rows)
+
+
+@pytest.mark.parametrize("name", ["chrome_cut_blocks", "strip_repeated_body", "body_near_chrome"])
+def test_blocks_are_laid_out_for_candidates_counts_and_marks_alone(spark, name):
+    from leafweir import catalogue
+
+    # two layouts, the documents' own and the planted edges, for each of the three
+    assert written(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"), "Relation") <= 6

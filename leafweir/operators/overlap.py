@@ -100,7 +100,7 @@ def told(text: Column) -> dict[str, Column]:
     compact, plain = _compact(text), T.collapsed(text)
     words, n = F.split(F.trim(text), r"\s+"), F.length(compact)
     label = (F.size(words) <= 8) & (n <= NOTE_LINE_CHARS) & F.forall(words, lambda w: w.rlike("^[A-Za-z0-9]+$"))
-    dense = n.between(1, 12) & (T.count(compact, "[^A-Za-z0-9]") / F.greatest(n, F.lit(1)) >= 0.5)
+    dense = n.between(1, 12) & (T.count(compact, r"\P{Alnum}") / F.greatest(n, F.lit(1)) >= 0.5)
     alone = F.forall(words, lambda w: w.rlike("^[A-Za-z]$"))
     number = (T.count(text, "[0-9０-９]") >= 2) & (F.length(T.without(F.translate(F.trim(text), NUMBER_SIGNS, ""), r"[0-9０-９\s]")) == 0)
     return {
@@ -240,11 +240,12 @@ def pairs(blocks: DataFrame, images: DataFrame | None = None, page_area: float =
     keys = ["doc_id", "page"]
     pair = light.withColumnRenamed("s", "a").join(light.withColumnRenamed("s", "b"), keys).filter((F.col("a.block") < F.col("b.block")) & _meets(F.col("a"), F.col("b")))
     pair = pair.select(*keys, F.col("a.block").alias("ba"), F.col("b.block").alias("bb"))
-    some = pair.select(*keys, F.explode(F.array("ba", "bb")).alias("block")).distinct()
+    # one row a page, so that blocks with their words are not dealt out by number
+    some = pair.groupBy(*keys).agg(F.array_union(F.collect_set("ba"), F.collect_set("bb")).alias("_some"))
     # a block without lines is one itself
     whole = F.array(F.struct("text", *box, F.col("height").alias("font_size")))
     plain = F.transform("lines", lambda l: F.struct(*[l[c].alias(c) for c in ("text", *box, "font_size")]))
-    rows = body.join(some, [*keys, "block"], "left_semi").withColumn("_lines", F.when(F.size("lines") > 0, plain).otherwise(whole)).withColumns({f"_{k}": v for k, v in told(F.col("text")).items()})
+    rows = body.join(some, keys).filter(F.array_contains("_some", F.col("block"))).drop("_some").withColumn("_lines", F.when(F.size("lines") > 0, plain).otherwise(whole)).withColumns({f"_{k}": v for k, v in told(F.col("text")).items()})
     own = F.struct("block", *box, F.transform("_lines", known).alias("lines"), vertical.alias("vertical"), *[F.col(f"_{k}").alias(k) for k in told(F.col("text"))])
     # a repartition by page keeps what is told before the joins, where it is read for every pair
     rows = rows.select(*keys, "block", own.alias("s")).repartition(*keys)

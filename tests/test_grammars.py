@@ -97,3 +97,12 @@ def test_blocks_are_laid_out_for_candidates_counts_and_marks_alone(spark, name):
 
     # two layouts, the documents' own and the planted edges, for each of the three
     assert written(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"), "Relation") <= 6
+
+
+def test_words_and_blocks_stay_on_their_page(spark):
+    spans = spark.createDataFrame([(1, 1, t, y, f) for t, y, f in (("Invoice", 1.0, 9.0), ("Invoice", 90.0, 12.0))], "doc_id long, page int, text string, y double, font_size double").repartition(3, "doc_id", "page")
+    blocks = spark.createDataFrame([(1, 1, 0, "a b", 0.0, 0.0, 9.0, 9.0, [])], "doc_id long, page int, block int, text string, x double, y double, width double, height double, lines array<struct<text: string, x: double, y: double, width: double, height: double, font_size: double>>").repartition(3, "doc_id", "page")
+    for found in (rules.duplicate_text_layer(spans, least_pairs=1).hint("merge"), overlap.pairs(blocks)):
+        semi = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in line]
+        assert semi == []
+    assert [r.detail for r in rules.duplicate_text_layer(spans.unionByName(spans.withColumns({"text": F.lit("Address"), "y": F.col("y") + 5})), least_pairs=2).collect()] == ["2"]

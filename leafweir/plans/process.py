@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chrome, layout, quality, search
 from ..sources import evidence as ev
-from ..sources.store import materialize
+from ..sources.store import bucketed
 from . import detect, report
 
 FORMATS = ("markdown", "json", "xml", "table")
@@ -58,9 +58,9 @@ class Result:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        """Every rule reads the layout, so it is written to the shared folder once."""
-        _, lines, pages, blocks = _laid(materialize(self.rows, "page-rows"))
-        return detect.detect(detect.Evidence(pages, lines, blocks, ev.spans(lines), **self.evidence), ev.PAGE_WIDTH, ev.PAGE_HEIGHT)
+        """Every rule reads the layout, so it is written to the shared folder once, and dealt out by page before."""
+        _, lines, pages, blocks = _laid(bucketed(self.rows, "page-rows"))
+        return detect.detect(detect.Evidence(pages, lines, blocks, ev.spans(lines), **self.evidence), ev.PAGE_WIDTH, ev.PAGE_HEIGHT, dealt=True)
 
 
 def _laid(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -106,3 +106,19 @@ def test_words_and_blocks_stay_on_their_page(spark):
         semi = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in line]
         assert semi == []
     assert [r.detail for r in rules.duplicate_text_layer(spans.unionByName(spans.withColumns({"text": F.lit("Address"), "y": F.col("y") + 5})), least_pairs=2).collect()] == ["2"]
+
+
+def test_a_few_rules_are_run_at_once_and_no_page_is_sent_to_all(spark, monkeypatch):
+    from leafweir.operators import reading
+    from leafweir.plans import detect, process
+    from leafweir.sources import store
+
+    asked, plain = [], rules.all_of
+    monkeypatch.setattr(rules, "all_of", lambda *frames: asked.append(len(frames)) or plain(*frames))
+    docs = spark.createDataFrame([(1, "A text of some words.\nAnd more.", "s")], "doc_id long, text string, source string")
+    found = process.process(docs)
+    found.warnings.collect()
+    assert max(asked) <= detect.AT_ONCE
+    pages, blocks = store.bucketed(found.pages, "pages"), store.bucketed(found.blocks, "blocks")
+    plan = reading.native_places(blocks, pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Exchange" not in plan

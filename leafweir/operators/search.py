@@ -160,14 +160,14 @@ def with_context(found: DataFrame, lines: DataFrame, least: float = 0.5) -> Data
 
 def crop_region(found: DataFrame, lines: DataFrame, page_width: float, page_height: float, pad: float = 12.0) -> DataFrame:
     """Each match with its crop: the smallest line around its centre, or itself, padded and kept on the page."""
-    l = lines.select(F.col("doc_id").alias("ld"), F.col("page").alias("lp"), G.box().alias("_l"), F.col("line").alias("ll"))  # noqa: E741
-    m = found.withColumn("_b", G.box())
+    # a page's lines come to its matches as one row, so that matches are found once and not joined with themselves
+    boxes = lines.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x", "y", "width", "height", "line")).alias("_lines"))
     cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
-    inside = (cx >= F.col("_l.x")) & (cx <= F.col("_l.x") + F.col("_l.width")) & (cy >= F.col("_l.y")) & (cy <= F.col("_l.y") + F.col("_l.height"))
-    keys = ["doc_id", "page", "line", "query", "start", "source"]
-    best = m.join(l, (F.col("doc_id") == F.col("ld")) & (F.col("page") == F.col("lp")) & inside, "left").groupBy(*keys).agg(F.min_by("_l", F.struct(G.area(F.col("_l")), "ll")).alias("_best"), F.first("_b").alias("_own"))
-    region = G.pad_and_clamp(F.coalesce("_best", "_own"), F.lit(page_width), F.lit(page_height), pad)
-    return found.join(best.select(*keys, region.alias("region")), keys)
+    around = F.filter("_lines", lambda l: (cx >= l["x"]) & (cx <= l["x"] + l["width"]) & (cy >= l["y"]) & (cy <= l["y"] + l["height"]))
+    best = F.array_min(F.transform(around, lambda l: F.struct(G.area(l).alias("area"), l["line"].alias("line"), F.struct(*[l[c].alias(c) for c in ("x", "y", "width", "height")]).alias("box"))))["box"]
+    region = G.pad_and_clamp(F.col("_at"), F.lit(page_width), F.lit(page_height), pad)
+    placed = found.join(boxes, ["doc_id", "page"], "left").withColumn("_at", F.coalesce(best, G.box()))
+    return placed.select(*found.columns, region.alias("region"))
 
 
 def hyphenated(lines: DataFrame, ahead: int = 6) -> DataFrame:

@@ -122,3 +122,9 @@ def test_a_few_rules_are_run_at_once_and_no_page_is_sent_to_all(spark, monkeypat
     pages, blocks = store.bucketed(found.pages, "pages"), store.bucketed(found.blocks, "blocks")
     plan = reading.native_places(blocks, pages)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Exchange" not in plan
+
+
+def test_matches_are_found_once_for_their_regions(spark):
+    from leafweir import catalogue
+
+    assert written(catalogue.search_context_region(spark, "/root/testdata/sf0.001"), "Relation") == 2

@@ -783,7 +783,8 @@ r as (select doc_id, page, line, string_agg(sep || text, '' order by word) as t
 def page_text_join(spark, d):
     """Words as text items; the last of a line ends it."""
     last = F.max("word").over(Window.partitionBy("doc_id", "page", "line"))
-    items = spans(spark, d).withColumns({"has_eol": F.col("word") == last, "ord": F.col("line") * 1000 + F.col("word")}).withColumnRenamed("text", "str")
+    # dealt out by page here, where words lie by line and by page afterwards
+    items = spans(spark, d).repartition("doc_id", "page").withColumns({"has_eol": F.col("word") == last, "ord": F.col("line") * 1000 + F.col("word")}).withColumnRenamed("text", "str")
     return pagetext.page_text(items).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -128,3 +128,9 @@ def test_matches_are_found_once_for_their_regions(spark):
     from leafweir import catalogue
 
     assert written(catalogue.search_context_region(spark, "/root/testdata/sf0.001"), "Relation") == 2
+
+
+def test_words_are_dealt_out_once_for_lines_and_pages(spark):
+    from leafweir import catalogue
+
+    assert catalogue.page_text_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
